@@ -66,3 +66,120 @@ SELECT fold, feature_set, idx, rho, sel_rank FROM (
   SELECT tf AS fold, feature_set, idx, round(rho, 6) + 0.0 AS rho,
          row_number() OVER (PARTITION BY tf ORDER BY round(abs(rho), 9) DESC, set_ord, idx) AS sel_rank
   FROM rho) WHERE sel_rank <= 30"""
+
+# --- prediction tables (E4-E7, W1, F7, A5-A7, P7) ----------------------------
+
+CFG = """cfg AS (
+  SELECT * FROM (VALUES
+    (1, 'emb_a', 'LinearRegression', 'none', 'concat', NULL),
+    (2, 'emb_b', 'Ridge', 'spearman_30', 'kernel', 'coarse'),
+    (3, 'emb_c', 'GradientBoosting', 'pca_50', 'concat', '')
+  ) t(cfg_id, combo, model, selector, preprocessing, cfg_label))"""
+
+CVP = """cvp AS (
+  SELECT f.fold, CAST(c.cfg_id AS BIGINT) AS cfg_id,
+         coalesce(nullif(c.cfg_label, ''), concat_ws('/', c.combo, c.model, c.selector, c.preprocessing)) AS label,
+         f.item_id, f.y,
+         CASE c.cfg_id WHEN 1 THEN CAST(e.embedding[1] AS DOUBLE)
+                       WHEN 2 THEN round(CAST(e.embedding[2] AS DOUBLE), 1) END AS p
+  FROM folds f JOIN emb e USING (item_id) CROSS JOIN cfg c),
+cvz AS (SELECT fold, cfg_id, label, item_id, y, coalesce(p, 0.0) AS p FROM cvp)"""
+
+TSP = """tsp AS (
+  SELECT CAST(c.cfg_id AS BIGINT) AS cfg_id, e.item_id,
+         CASE c.cfg_id WHEN 1 THEN CAST(e.embedding[1] AS DOUBLE)
+                       WHEN 2 THEN round(CAST(e.embedding[2] AS DOUBLE), 1) END AS p
+  FROM emb e CROSS JOIN cfg c WHERE e.split = 'test')"""
+
+AVG_RANK = "CAST(rank() OVER {w} + count(*) OVER {w} AS DOUBLE) / 2"
+
+SQL["average_rank"] = with_(EMB, FOLDS, CFG, CVP) + """
+SELECT fold, cfg_id, item_id, round(""" + AVG_RANK.format(w="w") + """, 6) + 0.0 AS avg_rank
+FROM cvz WINDOW w AS (PARTITION BY fold, cfg_id ORDER BY p)"""
+
+SQL["normalised_rank"] = with_(EMB, FOLDS, CFG, CVP) + """
+SELECT fold, cfg_id, item_id,
+       round(""" + AVG_RANK.format(w="w") + """ / count(*) OVER (PARTITION BY fold, cfg_id), 6) + 0.0 AS norm_rank
+FROM cvz WINDOW w AS (PARTITION BY fold, cfg_id ORDER BY p)"""
+
+PAIR_RANKS = """rk AS (
+  SELECT *, """ + AVG_RANK.format(w="wy") + """ AS ry, """ + AVG_RANK.format(w="wp") + """ AS rp
+  FROM {src}
+  WINDOW wy AS (PARTITION BY {g} ORDER BY y), wp AS (PARTITION BY {g} ORDER BY {p}))"""
+
+GUARDED = """CASE WHEN min({a}) = max({a}) OR min({b}) = max({b}) THEN 0.0
+            ELSE covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END"""
+
+METRICS = """met AS (
+  SELECT fold, cfg_id, label,
+         """ + GUARDED.format(a="ry", b="rp") + """ AS spearman,
+         """ + GUARDED.format(a="y", b="p") + """ AS pearson,
+         avg((y - p) * (y - p)) AS mse
+  FROM rk GROUP BY fold, cfg_id, label)"""
+
+SQL["spearman"] = with_(EMB, FOLDS, CFG, CVP, PAIR_RANKS.format(src="cvz", g="fold, cfg_id", p="p"),
+                        METRICS) + """
+SELECT fold, cfg_id, round(spearman, 6) + 0.0 AS spearman FROM met"""
+
+SQL["safe_pearson"] = with_(EMB, FOLDS, CFG, CVP, PAIR_RANKS.format(src="cvz", g="fold, cfg_id", p="p"),
+                            METRICS) + """
+SELECT fold, cfg_id, round(pearson, 6) + 0.0 AS pearson FROM met"""
+
+SQL["mse"] = with_(EMB, FOLDS, CFG, CVP, PAIR_RANKS.format(src="cvz", g="fold, cfg_id", p="p"),
+                   METRICS) + """
+SELECT fold, cfg_id, round(mse, 6) + 0.0 AS mse FROM met"""
+
+FUSED = """nr AS (
+  SELECT fold, cfg_id, item_id, y,
+         """ + AVG_RANK.format(w="w") + """ / count(*) OVER (PARTITION BY fold, cfg_id) AS nr
+  FROM cvz WINDOW w AS (PARTITION BY fold, cfg_id ORDER BY p)),
+fused AS (
+  SELECT fold, item_id, y, round(avg(nr), 9) AS fused FROM nr GROUP BY fold, item_id, y
+  HAVING count(DISTINCT cfg_id) = (SELECT count(DISTINCT cfg_id) FROM cvz))"""
+
+SQL["fuse_rank_average"] = with_(EMB, FOLDS, CFG, CVP, FUSED) + """
+SELECT fold, item_id, round(fused, 6) + 0.0 AS fused FROM fused"""
+
+SQL["ensemble_cv"] = with_(EMB, FOLDS, CFG, CVP, PAIR_RANKS.format(src="cvz", g="fold, cfg_id", p="p"),
+                           METRICS, FUSED) + """,
+frk AS (
+  SELECT *, """ + AVG_RANK.format(w="wy") + """ AS ry, """ + AVG_RANK.format(w="wp") + """ AS rp
+  FROM fused WINDOW wy AS (PARTITION BY fold ORDER BY y), wp AS (PARTITION BY fold ORDER BY fused)),
+fmet AS (
+  SELECT fold, 'Ensemble (rank average)' AS label,
+         """ + GUARDED.format(a="ry", b="rp") + """ AS spearman,
+         """ + GUARDED.format(a="y", b="fused") + """ AS pearson,
+         avg((y - fused) * (y - fused)) AS mse
+  FROM frk GROUP BY fold),
+allm AS (SELECT fold, label, spearman, pearson, mse FROM met UNION ALL SELECT * FROM fmet),
+lm AS (
+  SELECT label AS config, 'spearman' AS metric, spearman AS v FROM allm
+  UNION ALL SELECT label, 'pearson', pearson FROM allm
+  UNION ALL SELECT label, 'mse', mse FROM allm)
+SELECT config, metric, round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) + 0.0 AS std,
+       round(min(v), 6) + 0.0 AS min, round(max(v), 6) + 0.0 AS max
+FROM lm GROUP BY config, metric"""
+
+SQL["ensemble_predict"] = with_(EMB, CFG, TSP) + """,
+ok AS (SELECT * FROM tsp WHERE p IS NOT NULL),
+nr AS (
+  SELECT cfg_id, item_id, """ + AVG_RANK.format(w="w") + """ / count(*) OVER (PARTITION BY cfg_id) AS nr
+  FROM ok WINDOW w AS (PARTITION BY cfg_id ORDER BY p))
+SELECT item_id, round(round(avg(nr), 9), 6) + 0.0 AS score FROM nr GROUP BY item_id
+HAVING count(DISTINCT cfg_id) = (SELECT count(DISTINCT cfg_id) FROM ok)"""
+
+SQL["batch_ensembles"] = with_(EMB, CFG, TSP) + """,
+runs AS (SELECT CAST(r AS BIGINT) AS run_id, CAST(c AS BIGINT) AS cfg_id
+         FROM (VALUES (1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 2)) t(r, c)),
+ok AS (SELECT * FROM tsp WHERE p IS NOT NULL),
+nr AS (
+  SELECT cfg_id, item_id, """ + AVG_RANK.format(w="w") + """ / count(*) OVER (PARTITION BY cfg_id) AS nr
+  FROM ok WINDOW w AS (PARTITION BY cfg_id ORDER BY p)),
+used AS (SELECT run_id, cfg_id FROM runs WHERE cfg_id IN (SELECT cfg_id FROM ok)),
+need AS (SELECT run_id, count(DISTINCT cfg_id) AS k FROM used GROUP BY run_id)
+SELECT u.run_id, n.item_id, round(round(avg(n.nr), 9), 6) + 0.0 AS score
+FROM nr n JOIN used u USING (cfg_id) JOIN need USING (run_id)
+GROUP BY u.run_id, n.item_id, need.k HAVING count(DISTINCT n.cfg_id) = need.k"""
+
+SQL["config_label"] = with_(EMB, FOLDS, CFG, CVP) + """
+SELECT DISTINCT cfg_id, label FROM cvp"""

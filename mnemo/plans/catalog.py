@@ -35,3 +35,102 @@ def q_top_n_spearman(spark, sf):
     concatenation of the four sets."""
     sel = top_n_spearman(dev_long(spark, sf), dev_folds(spark, sf), 30, B.EMB_SETS)
     return sel.select("fold", "feature_set", "idx", round6(F.col("rho")).alias("rho"), "sel_rank")
+
+
+# --- ranking / ensemble family ---------------------------------------------
+
+from ..operators import ensemble as ens  # noqa: E402
+from ..operators.ranks import average_rank, mse, normalised_rank, safe_pearson  # noqa: E402
+
+
+def cv_preds(spark, sf, zero=True):
+    folded = dev_folds(spark, sf)
+    p = B.cv_predictions(spark, folded, sf).withColumn(
+        "label", ens.config_label(F.col("cfg_label"), F.col("combo"), F.col("model"),
+                                  F.col("selector"), F.col("preprocessing")))
+    if zero:
+        p = p.withColumn("p", F.coalesce("p", F.lit(0.0)))
+    return p.select("fold", "cfg_id", "label", "item_id", "y", "p")
+
+
+@register("average_rank")
+def q_average_rank(spark, sf):
+    """Average ranks of every config's predictions within each fold."""
+    r = average_rank(cv_preds(spark, sf), ["fold", "cfg_id"], "p", "avg_rank")
+    return r.select("fold", "cfg_id", "item_id", round6(F.col("avg_rank")).alias("avg_rank"))
+
+
+@register("normalised_rank")
+def q_normalised_rank(spark, sf):
+    """rank / n."""
+    r = normalised_rank(cv_preds(spark, sf), ["fold", "cfg_id"], "p", "norm_rank")
+    return r.select("fold", "cfg_id", "item_id", round6(F.col("norm_rank")).alias("norm_rank"))
+
+
+def _fold_metrics(spark, sf):
+    p = cv_preds(spark, sf)
+    r = average_rank(average_rank(p, ["fold", "cfg_id"], "y", "ry"), ["fold", "cfg_id"], "p", "rp")
+    return r.groupBy("fold", "cfg_id").agg(safe_pearson("ry", "rp").alias("spearman"),
+                                           safe_pearson("y", "p").alias("pearson"),
+                                           mse("y", "p").alias("mse"))
+
+
+@register("spearman")
+def q_spearman(spark, sf):
+    """A5: Spearman(y, prediction) per fold and config; constant -> 0."""
+    return _fold_metrics(spark, sf).select("fold", "cfg_id", round6(F.col("spearman")).alias("spearman"))
+
+
+@register("safe_pearson")
+def q_safe_pearson(spark, sf):
+    """Guarded Pearson per fold and config."""
+    return _fold_metrics(spark, sf).select("fold", "cfg_id", round6(F.col("pearson")).alias("pearson"))
+
+
+@register("mse")
+def q_mse(spark, sf):
+    """Mean squared error per fold and config."""
+    return _fold_metrics(spark, sf).select("fold", "cfg_id", round6(F.col("mse")).alias("mse"))
+
+
+@register("fuse_rank_average")
+def q_fuse(spark, sf):
+    """Rank-average fusion per fold."""
+    p = cv_preds(spark, sf).select("fold", "cfg_id", "item_id", "p")
+    return ens.fuse_rank_average(p, ["fold"]).select("fold", "item_id", round6(F.col("fused")).alias("fused"))
+
+
+@register("ensemble_cv")
+def q_ensemble_cv(spark, sf):
+    """E5: per-config and ensemble CV metrics, summarised over folds."""
+    folded = dev_folds(spark, sf)
+    p = B.cv_predictions(spark, folded, sf).withColumn(
+        "label", ens.config_label(F.col("cfg_label"), F.col("combo"), F.col("model"),
+                                  F.col("selector"), F.col("preprocessing")))
+    out = ens.ensemble_cv(p.select("fold", "cfg_id", "label", "item_id", "y", "p"), on_error="zero")
+    return out.select("config", "metric", *[round6(F.col(c)).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@register("ensemble_predict")
+def q_ensemble_predict(spark, sf):
+    """Fuse the unlabelled split's predictions; failed configs dropped."""
+    p = B.split_predictions(spark, sf).select("cfg_id", "item_id", "p")
+    return ens.ensemble_predict(p).select("item_id", round6(F.col("fused")).alias("score"))
+
+
+# Fixed values of the batch binding: which configs each ensemble run fuses.
+BATCH_RUNS = [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 2)]
+
+
+@register("batch_ensembles")
+def q_batch_ensembles(spark, sf):
+    """Several ensembles in one pass; shared configs ranked once."""
+    p = B.split_predictions(spark, sf).select("cfg_id", "item_id", "p")
+    runs = spark.createDataFrame(BATCH_RUNS, "run_id bigint, cfg_id bigint")
+    return ens.batch_ensembles(p, runs).select("run_id", "item_id", round6(F.col("fused")).alias("score"))
+
+
+@register("config_label")
+def q_config_label(spark, sf):
+    """Config labels as carried by the prediction table."""
+    return cv_preds(spark, sf).select("cfg_id", "label").distinct()

@@ -103,3 +103,50 @@ def clip_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns joined by a space."""
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("clip_id"), "turn", "role", "text")
+
+
+def emb_combos() -> dict[str, list[str]]:
+    """Every non-empty subset of the four sets, in concatenation order,
+    named 'emb_a+emb_c' etc. (15 combinations, built by rule)."""
+    from itertools import combinations
+    out = {}
+    for r in range(1, len(EMB_SETS) + 1):
+        for c in combinations(EMB_SETS, r):
+            out["+".join(c)] = list(c)
+    return out
+
+
+# Fixed values of the prediction binding: three configurations whose
+# predictions are embedding position 1, position 2 rounded to 1 decimal
+# (ties), and a failed config (no predictions).
+PRED_CONFIGS = [
+    (1, "emb_a", "LinearRegression", "none", "concat", None),
+    (2, "emb_b", "Ridge", "spearman_30", "kernel", "coarse"),
+    (3, "emb_c", "GradientBoosting", "pca_50", "concat", ""),
+]
+
+
+def _pred_structs():
+    e = F.col("embedding")
+    p = {1: F.element_at(e, 1).cast("double"),
+         2: F.round(F.element_at(e, 2).cast("double"), 1),
+         3: F.lit(None).cast("double")}
+    return F.array(*[F.struct(F.lit(c).cast("bigint").alias("cfg_id"), F.lit(combo).alias("combo"),
+                              F.lit(model).alias("model"), F.lit(sel).alias("selector"),
+                              F.lit(pre).alias("preprocessing"),
+                              F.lit(lab).cast("string").alias("cfg_label"), p[c].alias("p"))
+                     for c, combo, model, sel, pre, lab in PRED_CONFIGS])
+
+
+def cv_predictions(spark: SparkSession, folded: DataFrame, sf_dir: str) -> DataFrame:
+    """(fold, cfg_id, combo, model, selector, preprocessing, cfg_label, item_id, y, p)
+    for the labelled split: each item is predicted once, in its own fold."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    return folded.join(e, "item_id").select("fold", "item_id", "y", F.inline(_pred_structs()))
+
+
+def split_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cfg_id, ..., item_id, p) for the unlabelled split."""
+    e = table(spark, sf_dir, "embeddings")
+    return (e.where(split_of("vec_id") == "test")
+             .select(F.col("vec_id").alias("item_id"), F.inline(_pred_structs())))

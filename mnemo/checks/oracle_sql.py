@@ -183,3 +183,179 @@ GROUP BY u.run_id, n.item_id, need.k HAVING count(DISTINCT n.cfg_id) = need.k"""
 
 SQL["config_label"] = with_(EMB, FOLDS, CFG, CVP) + """
 SELECT DISTINCT cfg_id, label FROM cvp"""
+
+
+# --- E1 evaluate_concat with deterministic scorers, and result analysis ------
+
+COMBOS = """combos AS (SELECT * FROM (VALUES
+    ('emb_a', 'emb_a'),
+    ('emb_b', 'emb_b'),
+    ('emb_c', 'emb_c'),
+    ('emb_d', 'emb_d'),
+    ('emb_a+emb_b', 'emb_a'),
+    ('emb_a+emb_b', 'emb_b'),
+    ('emb_a+emb_c', 'emb_a'),
+    ('emb_a+emb_c', 'emb_c'),
+    ('emb_a+emb_d', 'emb_a'),
+    ('emb_a+emb_d', 'emb_d'),
+    ('emb_b+emb_c', 'emb_b'),
+    ('emb_b+emb_c', 'emb_c'),
+    ('emb_b+emb_d', 'emb_b'),
+    ('emb_b+emb_d', 'emb_d'),
+    ('emb_c+emb_d', 'emb_c'),
+    ('emb_c+emb_d', 'emb_d'),
+    ('emb_a+emb_b+emb_c', 'emb_a'),
+    ('emb_a+emb_b+emb_c', 'emb_b'),
+    ('emb_a+emb_b+emb_c', 'emb_c'),
+    ('emb_a+emb_b+emb_d', 'emb_a'),
+    ('emb_a+emb_b+emb_d', 'emb_b'),
+    ('emb_a+emb_b+emb_d', 'emb_d'),
+    ('emb_a+emb_c+emb_d', 'emb_a'),
+    ('emb_a+emb_c+emb_d', 'emb_c'),
+    ('emb_a+emb_c+emb_d', 'emb_d'),
+    ('emb_b+emb_c+emb_d', 'emb_b'),
+    ('emb_b+emb_c+emb_d', 'emb_c'),
+    ('emb_b+emb_c+emb_d', 'emb_d'),
+    ('emb_a+emb_b+emb_c+emb_d', 'emb_a'),
+    ('emb_a+emb_b+emb_c+emb_d', 'emb_b'),
+    ('emb_a+emb_b+emb_c+emb_d', 'emb_c'),
+    ('emb_a+emb_b+emb_c+emb_d', 'emb_d')
+  ) t(combination, feature_set)),
+cmeta AS (SELECT * FROM (VALUES
+    ('emb_a', 'emb_a', 16),
+    ('emb_b', 'emb_b', 16),
+    ('emb_c', 'emb_c', 24),
+    ('emb_d', 'emb_d', 12),
+    ('emb_a+emb_b', 'emb_a|emb_b', 32),
+    ('emb_a+emb_c', 'emb_a|emb_c', 40),
+    ('emb_a+emb_d', 'emb_a|emb_d', 28),
+    ('emb_b+emb_c', 'emb_b|emb_c', 40),
+    ('emb_b+emb_d', 'emb_b|emb_d', 28),
+    ('emb_c+emb_d', 'emb_c|emb_d', 36),
+    ('emb_a+emb_b+emb_c', 'emb_a|emb_b|emb_c', 56),
+    ('emb_a+emb_b+emb_d', 'emb_a|emb_b|emb_d', 44),
+    ('emb_a+emb_c+emb_d', 'emb_a|emb_c|emb_d', 52),
+    ('emb_b+emb_c+emb_d', 'emb_b|emb_c|emb_d', 52),
+    ('emb_a+emb_b+emb_c+emb_d', 'emb_a|emb_b|emb_c|emb_d', 68)
+  ) t(combination, features, n_features))"""
+
+RES = """yr AS (
+  SELECT item_id, tf, """ + AVG_RANK.format(w="w") + """ AS ry
+  FROM train WINDOW w AS (PARTITION BY tf ORDER BY y)),
+fr AS (
+  SELECT t.tf, l.feature_set, l.idx, l.item_id, l.value,
+         """ + AVG_RANK.format(w="w") + """ AS rv
+  FROM lng l JOIN train t USING (item_id)
+  WHERE l.split = 'dev'
+  WINDOW w AS (PARTITION BY t.tf, l.feature_set, l.idx ORDER BY l.value)),
+st AS (
+  SELECT tf AS fold, feature_set, idx, """ + GUARDED.format(a="rv", b="ry") + """ AS rho,
+         avg(value) AS mean, stddev_pop(value) AS sd
+  FROM fr JOIN yr USING (item_id, tf) GROUP BY tf, feature_set, idx),
+zt AS (
+  SELECT f.fold, f.item_id, f.y, c.combination,
+         (l.value - s.mean) / CASE WHEN s.sd IS NULL OR s.sd < 2.220446049250313e-15 THEN 1.0 ELSE s.sd END AS z,
+         sign(s.rho) AS w
+  FROM lng l JOIN folds f USING (item_id)
+  JOIN st s ON s.fold = f.fold AND s.feature_set = l.feature_set AND s.idx = l.idx
+  JOIN combos c ON c.feature_set = l.feature_set
+  WHERE l.split = 'dev'),
+sc AS (
+  SELECT fold, combination, 'rho_sign' AS model, item_id, y, avg(w * z) AS pred
+  FROM zt GROUP BY fold, combination, item_id, y
+  UNION ALL
+  SELECT fold, combination, 'mean_z' AS model, item_id, y, avg(z) AS pred
+  FROM zt GROUP BY fold, combination, item_id, y),
+srk AS (
+  SELECT *, """ + AVG_RANK.format(w="wy") + """ AS ry, """ + AVG_RANK.format(w="wp") + """ AS rp
+  FROM sc WINDOW wy AS (PARTITION BY fold, combination, model ORDER BY y),
+                 wp AS (PARTITION BY fold, combination, model ORDER BY pred)),
+pf AS (
+  SELECT fold, combination, model, """ + GUARDED.format(a="ry", b="rp") + """ AS spearman,
+         count(*) AS n_test
+  FROM srk GROUP BY fold, combination, model),
+res AS (
+  SELECT p.combination, m.features, CAST(m.n_features AS BIGINT) AS n_features,
+         CAST(sum(p.n_test) AS BIGINT) AS n_samples, 'none' AS selector, p.model,
+         round(avg(p.spearman), 4) AS mean_spearman, round(stddev_pop(p.spearman), 4) AS std_spearman,
+         round(min(p.spearman), 4) AS min_spearman, round(max(p.spearman), 4) AS max_spearman
+  FROM pf p JOIN cmeta m USING (combination)
+  GROUP BY p.combination, m.features, m.n_features, p.model)"""
+
+RES_ALL = (EMB, VEC, LNG, FOLDS, TRAIN, COMBOS, RES)
+
+SQL["evaluate_concat"] = with_(*RES_ALL) + "SELECT * FROM res"
+
+SQL["overall_stats"] = with_(*RES_ALL) + """
+SELECT CAST(count(*) AS BIGINT) AS n, round(avg(mean_spearman), 6) + 0.0 AS mean,
+       round(stddev_pop(mean_spearman), 6) + 0.0 AS std FROM res"""
+
+MARKERS = """mk AS (SELECT * FROM (VALUES
+    ('emb_a', ['emb_a'], false), ('emb_b', ['emb_b'], false),
+    ('emb_a&emb_b', ['emb_a', 'emb_b'], true), ('emb_c', ['emb_c'], false),
+    ('emb_d', ['emb_d'], false), ('emb_c|emb_d', ['emb_c', 'emb_d'], false)
+  ) t(feature, markers, require_all)),
+marked AS (
+  SELECT r.*, mk.feature, mk.require_all,
+         CASE WHEN mk.require_all
+              THEN len(list_filter(mk.markers, lambda m: list_contains(string_split(r.features, '|'), m))) = len(mk.markers)
+              ELSE len(list_filter(mk.markers, lambda m: list_contains(string_split(r.features, '|'), m))) > 0
+         END AS "with"
+  FROM res r CROSS JOIN mk),
+ww AS (
+  SELECT feature, CASE WHEN require_all THEN 'AND' ELSE 'OR' END AS logic,
+         count(*) FILTER (WHERE NOT "with") AS n_without,
+         avg(mean_spearman) FILTER (WHERE NOT "with") AS mean_without,
+         stddev_pop(mean_spearman) FILTER (WHERE NOT "with") AS std_without,
+         var_samp(mean_spearman) FILTER (WHERE NOT "with") AS v0,
+         count(*) FILTER (WHERE "with") AS n_with,
+         avg(mean_spearman) FILTER (WHERE "with") AS mean_with,
+         stddev_pop(mean_spearman) FILTER (WHERE "with") AS std_with,
+         var_samp(mean_spearman) FILTER (WHERE "with") AS v1
+  FROM marked GROUP BY feature, require_all)"""
+
+SQL["with_without"] = with_(*RES_ALL, MARKERS) + """
+SELECT feature, logic, CAST(n_without AS BIGINT) AS n_without,
+       round(mean_without, 6) + 0.0 AS mean_without, round(std_without, 6) + 0.0 AS std_without,
+       CAST(n_with AS BIGINT) AS n_with, round(mean_with, 6) + 0.0 AS mean_with,
+       round(std_with, 6) + 0.0 AS std_with, round(mean_with - mean_without, 6) + 0.0 AS diff
+FROM ww"""
+
+# Two-sided p of Student's t by Simpson's rule on cos^(df-1) over
+# [atan(|t|/sqrt(df)), pi/2] divided by the same over [0, pi/2].
+SIMPSON = """(list_sum(list_transform(range(0, 2001), lambda i:
+      (CASE WHEN i = 0 OR i = 2000 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END)
+      * pow(cos({lo} + i * ((pi() / 2 - {lo}) / 2000)), {df} - 1.0))) * ((pi() / 2 - {lo}) / 2000) / 3.0)"""
+
+WELCH = """tt AS (
+  SELECT feature, (mean_with - mean_without) / sqrt(v1 / n_with + v0 / n_without) AS t,
+         (v1 / n_with + v0 / n_without) * (v1 / n_with + v0 / n_without)
+           / ((v1 / n_with) * (v1 / n_with) / (n_with - 1) + (v0 / n_without) * (v0 / n_without) / (n_without - 1)) AS df
+  FROM ww),
+tp AS (
+  SELECT feature, t, df,
+         greatest(least(""" + SIMPSON.format(lo="atan(abs(t) / sqrt(df))", df="df") + " / " + \
+    SIMPSON.format(lo="0.0", df="df") + """, 1.0), 0.0) AS p
+  FROM tt)"""
+
+SQL["welch_t"] = with_(*RES_ALL, MARKERS, WELCH) + """
+SELECT feature, round(t, 6) + 0.0 AS t, round(df, 6) + 0.0 AS df, round(p, 6) + 0.0 AS p,
+       CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '** ' WHEN p < 0.05 THEN '*  ' ELSE 'n.s' END AS sig
+FROM tp"""
+
+SQL["has_markers"] = with_(*RES_ALL, MARKERS) + """
+SELECT combination, model, feature, "with" FROM marked"""
+
+SQL["leaderboard"] = with_(*RES_ALL) + """
+SELECT combination, model, selector, n_features, mean_spearman, std_spearman
+FROM res ORDER BY mean_spearman DESC, model, selector, combination LIMIT 10"""
+
+SQL["best_per_combination"] = with_(*RES_ALL) + """
+SELECT combination, model, selector, mean_spearman FROM (
+  SELECT *, row_number() OVER (PARTITION BY combination ORDER BY mean_spearman DESC, model, selector) AS rn
+  FROM res) WHERE rn = 1"""
+
+SQL["combo_shape"] = with_(EMB, VEC, LNG, COMBOS) + """
+SELECT c.combination, CAST(count(DISTINCT (l.feature_set, l.idx)) AS BIGINT) AS n_features,
+       CAST(count(DISTINCT l.item_id) AS BIGINT) AS n_samples
+FROM lng l JOIN combos c USING (feature_set) WHERE l.split = 'dev' GROUP BY c.combination"""

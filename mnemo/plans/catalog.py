@@ -134,3 +134,88 @@ def q_batch_ensembles(spark, sf):
 def q_config_label(spark, sf):
     """Config labels as carried by the prediction table."""
     return cv_preds(spark, sf).select("cfg_id", "label").distinct()
+
+
+# --- evaluation + analysis family ---------------------------------------------
+
+from ..operators import analysis as an  # noqa: E402
+from ..plans.evaluate import evaluate_scored  # noqa: E402
+
+# Fixed values of the analysis binding: feature types over the four sets
+# (two single, one AND pair, two single, one OR pair).
+EMB_MARKERS = [
+    ("emb_a", ["emb_a"], False),
+    ("emb_b", ["emb_b"], False),
+    ("emb_a&emb_b", ["emb_a", "emb_b"], True),
+    ("emb_c", ["emb_c"], False),
+    ("emb_d", ["emb_d"], False),
+    ("emb_c|emb_d", ["emb_c", "emb_d"], False),
+]
+
+
+def sweep_results(spark, sf):
+    return evaluate_scored(dev_long(spark, sf), dev_folds(spark, sf), B.emb_combos(), B.EMB_WIDTHS)
+
+
+@register("evaluate_concat")
+def q_evaluate_concat(spark, sf):
+    """E1 with train-fitted deterministic scorers: sweep-result rows."""
+    return sweep_results(spark, sf)
+
+
+@register("overall_stats")
+def q_overall_stats(spark, sf):
+    """A2."""
+    r = an.overall_stats(sweep_results(spark, sf))
+    return r.select(F.col("n").cast("bigint"), round6(F.col("mean")).alias("mean"),
+                    round6(F.col("std")).alias("std"))
+
+
+@register("with_without")
+def q_with_without(spark, sf):
+    """A3: with / without statistics per feature type."""
+    r = an.with_without(sweep_results(spark, sf), EMB_MARKERS)
+    return r.select("feature", "logic", F.col("n_without").cast("bigint"),
+                    round6(F.col("mean_without")).alias("mean_without"),
+                    round6(F.col("std_without")).alias("std_without"),
+                    F.col("n_with").cast("bigint"), round6(F.col("mean_with")).alias("mean_with"),
+                    round6(F.col("std_with")).alias("std_with"), round6(F.col("diff")).alias("diff"))
+
+
+@register("welch_t")
+def q_welch_t(spark, sf):
+    """A4 + P10: Welch t, df, two-sided p and significance stars."""
+    r = an.with_without(sweep_results(spark, sf), EMB_MARKERS)
+    return r.select("feature", round6(F.col("t")).alias("t"), round6(F.col("df")).alias("df"),
+                    round6(F.col("p")).alias("p"), "sig")
+
+
+@register("has_markers")
+def q_has_markers(spark, sf):
+    """Membership flag of every result row for every feature type."""
+    m = an.mark(sweep_results(spark, sf), EMB_MARKERS)
+    return m.select("combination", "model", "feature", "with")
+
+
+@register("leaderboard")
+def q_leaderboard(spark, sf):
+    """Top 10 configurations."""
+    return an.leaderboard(sweep_results(spark, sf), 10)
+
+
+@register("best_per_combination")
+def q_best(spark, sf):
+    """A26."""
+    return an.best_per_combination(sweep_results(spark, sf))
+
+
+@register("combo_shape")
+def q_combo_shape(spark, sf):
+    """n_features / n_samples of each combination from the aligned
+    long table."""
+    combos = B.emb_combos()
+    from ..plans.evaluate import combo_of_set
+    lng = dev_long(spark, sf).withColumn(
+        "combination", F.explode(F.element_at(combo_of_set(combos), F.col("feature_set"))))
+    return an.combo_shape(lng).select("combination", F.col("n_features").cast("bigint"),
+                                      F.col("n_samples").cast("bigint"))

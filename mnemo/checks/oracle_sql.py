@@ -359,3 +359,144 @@ SQL["combo_shape"] = with_(EMB, VEC, LNG, COMBOS) + """
 SELECT c.combination, CAST(count(DISTINCT (l.feature_set, l.idx)) AS BIGINT) AS n_features,
        CAST(count(DISTINCT l.item_id) AS BIGINT) AS n_samples
 FROM lng l JOIN combos c USING (feature_set) WHERE l.split = 'dev' GROUP BY c.combination"""
+
+# --- text family -------------------------------------------------------------
+
+CLEAN = """lower(trim(regexp_replace(regexp_replace(regexp_replace({t},
+    '\\[[^\\n]*?\\]', ' ', 'g'), '[^a-zA-Z \\t\\n\\x0b\\f\\r]', ' ', 'g'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')))"""
+WSTOK = "list_filter(string_split_regex({t}, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')"
+ALPHA = "regexp_extract_all(lower({t}), '(\\p{{L}}+)', 1)"
+LENSUM = "coalesce(list_sum(list_transform({w}, lambda x: length(x))), 0)"
+
+SQL["clean_text"] = "SELECT doc_id, " + CLEAN.format(t="text") + " AS clean FROM documents"
+
+SQL["tokenize_ws"] = """SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(""" + LENSUM.format(w="w") + """ AS BIGINT) AS n_chars
+FROM (SELECT doc_id, """ + WSTOK.format(t=CLEAN.format(t="text")) + """ AS w FROM documents)"""
+
+SQL["tokenize_alpha"] = """SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(""" + LENSUM.format(w="w") + """ AS BIGINT) AS n_chars
+FROM (SELECT doc_id, """ + ALPHA.format(t="text") + """ AS w FROM documents)"""
+
+SQL["is_empty_text"] = """SELECT conv_id, turn, (text IS NULL OR regexp_matches(text, '^[ \\t\\n\\x0b\\f\\r]*$')) AS empty
+FROM conversations"""
+
+SQL["count_syllables"] = """SELECT conv_id, turn, CAST(coalesce(list_sum(list_transform(
+    list_filter(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' '), lambda w: w <> ''),
+    lambda w: greatest(1, len(regexp_extract_all(w, '([aeiou]+)', 1))))), 0) AS BIGINT) AS syllables
+FROM conversations"""
+
+VOCAB = """vocab AS (
+  SELECT word, CAST(count(*) AS BIGINT) AS n
+  FROM (SELECT unnest(""" + ALPHA.format(t="text") + """) AS word FROM documents) GROUP BY word)"""
+
+SQL["word_frequency"] = with_(VOCAB) + "SELECT word, n FROM vocab"
+
+SQL["union_vocab"] = """SELECT word, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT unnest(""" + ALPHA.format(t="text") + """) AS word FROM (
+    SELECT text FROM documents UNION ALL SELECT text FROM conversations UNION ALL SELECT text FROM benchmark))
+GROUP BY word"""
+
+SQL["language_complexity"] = """SELECT doc_id, CAST(len(w) AS BIGINT) AS word_count,
+  CAST(len(list_distinct(w)) AS BIGINT) AS vocab_size,
+  CASE WHEN len(w) > 0 THEN round(len(list_distinct(w)) / len(w), 6) + 0.0 ELSE 'NaN'::DOUBLE END AS unique_word_ratio,
+  CASE WHEN len(w) > 0 THEN round(""" + LENSUM.format(w="w") + """ / len(w), 6) + 0.0 ELSE 'NaN'::DOUBLE END AS avg_word_length
+FROM (SELECT doc_id, """ + WSTOK.format(t=CLEAN.format(t="text")) + """ AS w FROM documents)"""
+
+ELEX = """elex AS (SELECT * FROM (VALUES
+  ('the', 'joy'), ('the', 'positive'), ('and', 'trust'), ('and', 'positive'),
+  ('of', 'anger'), ('of', 'negative'), ('to', 'anticipation'), ('in', 'sadness'), ('in', 'negative'),
+  ('is', 'surprise'), ('that', 'disgust'), ('that', 'negative'), ('it', 'fear'), ('was', 'sadness'),
+  ('for', 'trust'), ('with', 'joy'), ('with', 'trust'), ('as', 'anger'), ('de', 'fear'), ('de', 'negative'),
+  ('la', 'joy'), ('der', 'anger'), ('le', 'sadness'), ('el', 'surprise'), ('el', 'positive'),
+  ('und', 'anticipation'), ('und', 'positive')) t(word, emotion)),
+dtok AS (SELECT doc_id, unnest(""" + WSTOK.format(t=CLEAN.format(t="text")) + """) AS word FROM documents),
+hits AS (SELECT doc_id, emotion, count(*) AS h FROM dtok JOIN elex USING (word) GROUP BY doc_id, emotion),
+tot AS (SELECT doc_id, sum(h) AS t FROM hits GROUP BY doc_id),
+esc AS (
+  SELECT d.doc_id""" + "".join(
+    f""",
+    coalesce((SELECT h FROM hits WHERE hits.doc_id = d.doc_id AND emotion = '{e}'), 0)
+      / coalesce((SELECT t FROM tot WHERE tot.doc_id = d.doc_id), 1) AS {e}_score"""
+    for e in ["joy", "anger", "fear", "sadness", "positive", "negative", "anticipation", "disgust",
+              "surprise", "trust"]) + """
+  FROM documents d),
+dom AS (
+  SELECT *, joy_score + anger_score + fear_score + sadness_score AS emotion_intensity,
+         CASE WHEN joy_score + anger_score + fear_score + sadness_score <= 0 THEN 'none'
+              WHEN joy_score = greatest(joy_score, anger_score, fear_score, sadness_score) THEN 'joy'
+              WHEN anger_score = greatest(joy_score, anger_score, fear_score, sadness_score) THEN 'anger'
+              WHEN fear_score = greatest(joy_score, anger_score, fear_score, sadness_score) THEN 'fear'
+              ELSE 'sadness' END AS dominant_emotion
+  FROM esc)"""
+
+EMO10 = ["joy", "anger", "fear", "sadness", "positive", "negative", "anticipation", "disgust",
+         "surprise", "trust"]
+
+SQL["lexicon_join"] = with_(ELEX) + "SELECT doc_id, emotion, CAST(h AS BIGINT) AS hits FROM hits"
+
+SQL["emotion_scores"] = with_(ELEX) + "SELECT doc_id, " + ", ".join(
+    f"round({e}_score, 6) + 0.0 AS {e}_score" for e in EMO10) + " FROM esc"
+
+SQL["dominant_emotion"] = with_(ELEX) + """SELECT doc_id, dominant_emotion,
+  round(emotion_intensity, 6) + 0.0 AS emotion_intensity,
+  CAST(dominant_emotion = 'joy' AS BIGINT) AS dom_joy, CAST(dominant_emotion = 'anger' AS BIGINT) AS dom_anger,
+  CAST(dominant_emotion = 'fear' AS BIGINT) AS dom_fear, CAST(dominant_emotion = 'sadness' AS BIGINT) AS dom_sadness
+FROM dom"""
+
+SQL["emotion_features"] = with_(ELEX) + """, lc AS (
+  SELECT doc_id, len(w) AS word_count, len(list_distinct(w)) AS vocab_size,
+    CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 'NaN'::DOUBLE END AS unique_word_ratio,
+    CASE WHEN len(w) > 0 THEN """ + LENSUM.format(w="w") + """ / len(w) ELSE 'NaN'::DOUBLE END AS avg_word_length
+  FROM (SELECT doc_id, """ + WSTOK.format(t=CLEAN.format(t="text")) + """ AS w FROM documents))
+SELECT doc_id, dominant_emotion, """ + ", ".join(f"round({e}_score, 6) + 0.0 AS {e}_score" for e in EMO10) + """,
+  CAST(word_count AS DOUBLE) AS word_count, CAST(vocab_size AS DOUBLE) AS vocab_size,
+  round(unique_word_ratio, 6) + 0.0 AS unique_word_ratio, round(avg_word_length, 6) + 0.0 AS avg_word_length,
+  round(emotion_intensity, 6) + 0.0 AS emotion_intensity,
+  CAST(dominant_emotion = 'joy' AS DOUBLE) AS dom_joy, CAST(dominant_emotion = 'anger' AS DOUBLE) AS dom_anger,
+  CAST(dominant_emotion = 'fear' AS DOUBLE) AS dom_fear, CAST(dominant_emotion = 'sadness' AS DOUBLE) AS dom_sadness
+FROM dom JOIN lc USING (doc_id)"""
+
+SEM = """plex AS (SELECT * FROM (VALUES
+  ('is', 'VERB'), ('was', 'VERB'), ('are', 'VERB'), ('be', 'VERB'), ('have', 'VERB'),
+  ('est', 'VERB'), ('ist', 'VERB'), ('es', 'VERB'),
+  ('de', 'NOUN'), ('la', 'NOUN'), ('der', 'NOUN'), ('le', 'NOUN'), ('time', 'NOUN'),
+  ('that', 'ADJ'), ('this', 'ADJ'), ('new', 'ADJ'), ('good', 'ADJ')) t(word, pos)),
+dw AS (SELECT doc_id, """ + ALPHA.format(t="text") + """ AS w,
+              len(regexp_extract_all(text, '([^.!?]+[.!?]*)', 1)) AS ns FROM documents),
+tk AS (SELECT doc_id, unnest(w) AS word FROM dw),
+pc AS (SELECT doc_id, count(*) FILTER (WHERE pos = 'NOUN') AS nn, count(*) FILTER (WHERE pos = 'VERB') AS nv,
+              count(*) FILTER (WHERE pos = 'ADJ') AS na FROM tk JOIN plex USING (word) GROUP BY doc_id),
+vtot AS (SELECT sum(n) AS total FROM vocab),
+rr AS (SELECT tk.doc_id, -avg(ln(coalesce(v.n, 1) / (SELECT total FROM vtot))) AS rarity
+       FROM tk LEFT JOIN vocab v USING (word) GROUP BY tk.doc_id),
+sem AS (
+  SELECT dw.doc_id, len(w) AS nw,
+    CASE WHEN len(w) = 0 THEN 0.0 ELSE coalesce(pc.nn, 0) / len(w) END AS noun_ratio,
+    CASE WHEN len(w) = 0 THEN 0.0 ELSE coalesce(pc.nv, 0) / len(w) END AS verb_ratio,
+    CASE WHEN len(w) = 0 THEN 0.0 ELSE coalesce(pc.na, 0) / len(w) END AS adj_ratio,
+    CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_distinct(w)) / len(w) END AS lexical_diversity,
+    CASE WHEN len(w) = 0 THEN 0.0 ELSE """ + LENSUM.format(w="w") + """ / len(w) END AS avg_word_length,
+    CASE WHEN len(w) = 0 OR ns = 0 THEN 0.0 ELSE len(w) / ns END AS avg_sentence_length,
+    CASE WHEN len(w) = 0 THEN 0.0 ELSE rr.rarity END AS rarity
+  FROM dw LEFT JOIN pc USING (doc_id) LEFT JOIN rr USING (doc_id))"""
+
+SEMC = ["noun_ratio", "verb_ratio", "adj_ratio", "lexical_diversity", "avg_word_length",
+        "avg_sentence_length", "rarity"]
+
+
+def _sem(cols):
+    return with_(VOCAB, SEM) + "SELECT doc_id, " + ", ".join(
+        f"round({c}, 6) + 0.0 AS {c}" for c in cols) + " FROM sem"
+
+
+SQL["semantic_features"] = _sem(SEMC)
+SQL["pos_ratios"] = _sem(SEMC[:3])
+SQL["lexical_diversity"] = _sem(SEMC[3:5])
+SQL["avg_sentence_length"] = _sem(["avg_sentence_length"])
+SQL["rarity"] = _sem(["rarity"])
+
+SQL["freq_lookup"] = with_(VOCAB) + """, ct AS (
+  SELECT conv_id, unnest(""" + ALPHA.format(t="text") + """) AS word FROM conversations)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_words,
+       CAST(count(*) FILTER (WHERE v.n IS NULL) AS BIGINT) AS n_unseen,
+       round(sum(ln(coalesce(v.n, 1))), 6) + 0.0 AS sum_ln_n
+FROM ct LEFT JOIN vocab v USING (word) GROUP BY conv_id"""

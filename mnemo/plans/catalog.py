@@ -219,3 +219,160 @@ def q_combo_shape(spark, sf):
         "combination", F.explode(F.element_at(combo_of_set(combos), F.col("feature_set"))))
     return an.combo_shape(lng).select("combination", F.col("n_features").cast("bigint"),
                                       F.col("n_samples").cast("bigint"))
+
+
+# --- text family --------------------------------------------------------------
+
+from ..functions import text as T  # noqa: E402
+from ..operators import text_features as TF  # noqa: E402
+from ..sources.lexicons import emotion_lexicon, pos_lexicon  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+
+
+def docs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "text")
+
+
+@register("clean_text")
+def q_clean_text(spark, sf):
+    """F1 on every document (whole texts)."""
+    return docs(spark, sf).select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+
+
+@register("tokenize_ws")
+def q_tokenize_ws(spark, sf):
+    """token count and total token length of the cleaned text."""
+    w = T.tokenize_ws(T.clean_text(F.col("text")))
+    return docs(spark, sf).select("doc_id", F.size(w).cast("bigint").alias("n_tokens"),
+                                  F.aggregate(F.transform(w, F.length), F.lit(0), lambda a, b: a + b)
+                                   .cast("bigint").alias("n_chars"))
+
+
+@register("tokenize_alpha")
+def q_tokenize_alpha(spark, sf):
+    """alphabetic token count and total length per document."""
+    w = T.tokenize_alpha(F.col("text"))
+    return docs(spark, sf).select("doc_id", F.size(w).cast("bigint").alias("n_tokens"),
+                                  F.aggregate(F.transform(w, F.length), F.lit(0), lambda a, b: a + b)
+                                   .cast("bigint").alias("n_chars"))
+
+
+@register("is_empty_text")
+def q_is_empty_text(spark, sf):
+    """F5 over every conversation turn."""
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", T.is_empty_text(F.col("text")).alias("empty"))
+
+
+@register("count_syllables")
+def q_count_syllables(spark, sf):
+    """F2 over every conversation turn."""
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", T.count_syllables(F.col("text")).alias("syllables"))
+
+
+@register("word_frequency")
+def q_word_frequency(spark, sf):
+    """Corpus vocabulary of the documents."""
+    return TF.word_frequency(docs(spark, sf)).select("word", F.col("n").cast("bigint"))
+
+
+@register("union_vocab")
+def q_union_vocab(spark, sf):
+    """One vocabulary over documents, conversations and benchmark."""
+    return TF.union_vocab(docs(spark, sf), table(spark, sf, "conversations").select("text"),
+                          table(spark, sf, "benchmark").select("text")) \
+        .select("word", F.col("n").cast("bigint"))
+
+
+@register("language_complexity")
+def q_language_complexity(spark, sf):
+    """A10."""
+    r = TF.language_complexity(docs(spark, sf), "doc_id")
+    return r.select("doc_id", "word_count", "vocab_size", round6(F.col("unique_word_ratio")).alias("unique_word_ratio"),
+                    round6(F.col("avg_word_length")).alias("avg_word_length"))
+
+
+@register("lexicon_join")
+def q_lexicon_join(spark, sf):
+    """Lexicon hits per document and label."""
+    toks = docs(spark, sf).select("doc_id", F.explode(T.tokenize_ws(T.clean_text(F.col("text")))).alias("word"))
+    return (toks.join(F.broadcast(emotion_lexicon(spark)), "word")
+                .groupBy("doc_id", "emotion").agg(F.count(F.lit(1)).cast("bigint").alias("hits")))
+
+
+@register("emotion_scores")
+def q_emotion_scores(spark, sf):
+    """Ten label frequencies per document."""
+    r = TF.emotion_scores(docs(spark, sf), "doc_id", emotion_lexicon(spark))
+    return r.select("doc_id", *[round6(F.col(c)).alias(c) for c in r.columns if c != "doc_id"])
+
+
+@register("dominant_emotion")
+def q_dominant_emotion(spark, sf):
+    """A12."""
+    r = TF.dominant_emotion(TF.emotion_scores(docs(spark, sf), "doc_id", emotion_lexicon(spark)))
+    return r.select("doc_id", "dominant_emotion", round6(F.col("emotion_intensity")).alias("emotion_intensity"),
+                    "dom_joy", "dom_anger", "dom_fear", "dom_sadness")
+
+
+@register("emotion_features")
+def q_emotion_features(spark, sf):
+    """The 19-value emotion vector per document."""
+    r = TF.emotion_features(docs(spark, sf), "doc_id", emotion_lexicon(spark))
+    return r.select("doc_id", "dominant_emotion", *[round6(F.col(c).cast("double")).alias(c) for c in TF.EMOTION_VECTOR])
+
+
+def _semantic(spark, sf):
+    d = docs(spark, sf)
+    return TF.semantic_features(d, "doc_id", TF.word_frequency(d), pos_lexicon(spark))
+
+
+SEM_COLS = ["noun_ratio", "verb_ratio", "adj_ratio", "lexical_diversity", "avg_word_length",
+            "avg_sentence_length", "rarity"]
+
+
+@register("semantic_features")
+def q_semantic_features(spark, sf):
+    """The 7-value semantic vector per document (vocabulary = documents)."""
+    r = _semantic(spark, sf)
+    return r.select("doc_id", *[round6(F.col(c)).alias(c) for c in SEM_COLS])
+
+
+@register("pos_ratios")
+def q_pos_ratios(spark, sf):
+    """A14."""
+    return _semantic(spark, sf).select("doc_id", *[round6(F.col(c)).alias(c) for c in SEM_COLS[:3]])
+
+
+@register("lexical_diversity")
+def q_lexical_diversity(spark, sf):
+    """A15."""
+    return _semantic(spark, sf).select("doc_id", *[round6(F.col(c)).alias(c) for c in SEM_COLS[3:5]])
+
+
+@register("avg_sentence_length")
+def q_avg_sentence_length(spark, sf):
+    """A16."""
+    return _semantic(spark, sf).select("doc_id", round6(F.col("avg_sentence_length")).alias("avg_sentence_length"))
+
+
+@register("rarity")
+def q_rarity(spark, sf):
+    """A17."""
+    return _semantic(spark, sf).select("doc_id", round6(F.col("rarity")).alias("rarity"))
+
+
+@register("freq_lookup")
+def q_freq_lookup(spark, sf):
+    """Conversation words looked up in the documents' vocabulary; an
+    unseen word counts 1."""
+    vocab = TF.word_frequency(docs(spark, sf))
+    c = table(spark, sf, "conversations").select("conv_id", F.explode(T.tokenize_alpha(F.col("text"))).alias("word"))
+    cw = c.groupBy("conv_id", "word").agg(F.count(F.lit(1)).alias("c"))
+    from ..operators.joins import skew_safe_lookup
+    j = skew_safe_lookup(cw, vocab, "word", "n", "conv_id")
+    return j.groupBy("conv_id").agg(
+        F.sum("c").cast("bigint").alias("n_words"),
+        F.sum(F.when(F.col("n").isNull(), F.col("c")).otherwise(0)).cast("bigint").alias("n_unseen"),
+        round6(F.sum(F.col("c") * F.ln(F.coalesce(F.col("n"), F.lit(1)).cast("double")))).alias("sum_ln_n"))

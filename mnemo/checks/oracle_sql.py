@@ -500,3 +500,215 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_words,
        CAST(count(*) FILTER (WHERE v.n IS NULL) AS BIGINT) AS n_unseen,
        round(sum(ln(coalesce(v.n, 1))), 6) + 0.0 AS sum_ln_n
 FROM ct LEFT JOIN vocab v USING (word) GROUP BY conv_id"""
+
+# --- audio / time-series family -----------------------------------------------
+
+FR = """fr AS (
+  SELECT user_id AS clip_id,
+         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS frame,
+         value AS rms, 80.0 + value AS f0, event_type IN ('view', 'click', 'purchase') AS voiced
+  FROM events),
+fp AS (SELECT * FROM fr WHERE frame * 512 < 120 * 16000)"""
+
+FT = "(CAST({x} AS DOUBLE) * 512.0 / 16000.0)"
+TOPDB = "0.03162277660168379"
+
+
+def r6(x, alias):
+    return f"round({x}, 6) + 0.0 AS {alias}"
+
+
+SQL["clip_prefix"] = with_(FR) + "SELECT clip_id, CAST(count(*) AS BIGINT) AS n_frames FROM fp GROUP BY clip_id"
+
+SQL["frame_rms"] = with_(FR) + """,
+sm AS (SELECT clip_id, frame AS pos, (rms - 50.0) / 1000.0 AS amp FROM fr),
+nf AS (SELECT clip_id, CAST(floor((max(pos) + 1) / 4) + 1 AS BIGINT) AS n FROM sm GROUP BY clip_id),
+fk AS (SELECT clip_id, unnest(range(0, n)) AS frame FROM nf)
+SELECT fk.clip_id, CAST(fk.frame AS BIGINT) AS frame, round(sqrt(sum(sm.amp * sm.amp) / 16), 6) + 0.0 AS rms
+FROM fk JOIN sm ON sm.clip_id = fk.clip_id AND sm.pos >= fk.frame * 4 - 8 AND sm.pos < fk.frame * 4 + 8
+GROUP BY fk.clip_id, fk.frame"""
+
+SQL["peak_db"] = with_(FR) + """,
+sm AS (SELECT clip_id, (rms - 50.0) / 1000.0 AS amp FROM fr)
+SELECT clip_id, CASE WHEN max(abs(amp)) > 0 THEN round(20 * log10(max(abs(amp))), 6) + 0.0
+                     ELSE '-Infinity'::DOUBLE END AS peak_db
+FROM sm GROUP BY clip_id"""
+
+ENERGY = """SELECT {k}, avg(rms) AS energy_mean, var_pop(rms) AS energy_var, stddev_pop(rms) AS energy_std,
+       max(rms) - min(rms) AS energy_range FROM {src} GROUP BY {k}"""
+PITCH = """SELECT {k}, coalesce(avg(f0) FILTER (WHERE voiced), 0.0) AS pitch_mean,
+       coalesce(var_pop(f0) FILTER (WHERE voiced), 0.0) AS pitch_var,
+       coalesce(stddev_pop(f0) FILTER (WHERE voiced), 0.0) AS pitch_std,
+       coalesce(max(f0) FILTER (WHERE voiced) - min(f0) FILTER (WHERE voiced), 0.0) AS pitch_range
+FROM {src} GROUP BY {k}"""
+VELO = """vd_{n} AS (
+  SELECT {k}, (f0 - lag(f0) OVER w) / """ + FT.format(x="frame - lag(frame) OVER w") + """ AS v
+  FROM {src} WHERE voiced WINDOW w AS (PARTITION BY {k} ORDER BY frame)),
+vel_{n} AS (
+  SELECT g.*, coalesce(a.vm, 0.0) AS pitch_vel_mean, coalesce(a.vv, 0.0) AS pitch_vel_var
+  FROM (SELECT DISTINCT {k} FROM {src}) g
+  LEFT JOIN (SELECT {k}, avg(abs(v)) AS vm, var_pop(v) AS vv FROM vd_{n} WHERE v IS NOT NULL GROUP BY {k}) a
+  USING ({k}))"""
+PAUSE = """mx_{n} AS (SELECT {k}, max(rms) AS mx FROM {src} GROUP BY {k}),
+act_{n} AS (
+  SELECT s.{k0}, s.frame, s.frame - row_number() OVER (PARTITION BY {sk} ORDER BY s.frame) AS isl
+  FROM {src} s JOIN mx_{n} m USING ({k}) WHERE m.mx <= 0 OR s.rms > m.mx * """ + TOPDB + """),
+isl_{n} AS (SELECT {k}, min(frame) AS start, max(frame) AS "end" FROM act_{n} GROUP BY {k}, isl),
+gap_{n} AS (
+  SELECT {k}, start, """ + FT.format(x='lead(start) OVER (PARTITION BY {k} ORDER BY start) - "end" - 1') + """ AS gap
+  FROM isl_{n}),
+pv_{n} AS (
+  SELECT g.*, coalesce(a.pv, 0.0) AS pause_var
+  FROM (SELECT DISTINCT {k} FROM {src}) g
+  LEFT JOIN (SELECT {k}, var_pop(gap) AS pv FROM gap_{n} WHERE gap IS NOT NULL GROUP BY {k}) a USING ({k}))"""
+
+
+def _ck(n, src, k="clip_id", k0="clip_id", sk="s.clip_id"):
+    return dict(n=n, src=src, k=k, k0=k0, sk=sk)
+
+
+SQL["energy_stats"] = with_(FR) + "SELECT clip_id, " + ", ".join(
+    r6(c, c) for c in ["energy_mean", "energy_var", "energy_std", "energy_range"]) + \
+    " FROM (" + ENERGY.format(k="clip_id", src="fr") + ")"
+
+SQL["pitch_stats"] = with_(FR) + "SELECT clip_id, " + ", ".join(
+    r6(c, c) for c in ["pitch_mean", "pitch_var", "pitch_std", "pitch_range"]) + \
+    " FROM (" + PITCH.format(k="clip_id", src="fr") + ")"
+
+SQL["velocity"] = with_(FR, VELO.format(**_ck("g", "fp"))) + \
+    "SELECT clip_id, " + r6("pitch_vel_mean", "pitch_vel_mean") + ", " + r6("pitch_vel_var", "pitch_vel_var") + \
+    " FROM vel_g"
+
+SQL["active_islands"] = with_(FR, PAUSE.format(**_ck("g", "fp"))) + \
+    'SELECT clip_id, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM isl_g'
+
+SQL["gap"] = with_(FR, PAUSE.format(**_ck("g", "fp"))) + \
+    "SELECT clip_id, CAST(start AS BIGINT) AS start, " + r6("gap", "gap") + " FROM gap_g WHERE gap IS NOT NULL"
+
+SQL["pause_variance"] = with_(FR, PAUSE.format(**_ck("g", "fp"))) + \
+    "SELECT clip_id, " + r6("pause_var", "pause_var") + " FROM pv_g"
+
+SEGS = """dur AS (SELECT clip_id, """ + FT.format(x="max(frame) + 1") + """ AS T FROM fr GROUP BY clip_id),
+sg0 AS (
+  SELECT f.*, """ + FT.format(x="f.frame") + """ AS t, d.T,
+         d.T >= 3 * 60.0 AS lng,
+         CASE WHEN d.T >= 3 * 60.0 THEN 60.0 ELSE d.T / 3.0 END AS l0,
+         CASE WHEN d.T >= 3 * 60.0 THEN d.T / 2.0 - 60.0 / 2.0 ELSE d.T / 3.0 END AS s1,
+         CASE WHEN d.T >= 3 * 60.0 THEN d.T - 60.0 ELSE 2.0 * (d.T / 3.0) END AS s2
+  FROM fr f JOIN dur d USING (clip_id)),
+sg AS (
+  SELECT clip_id, frame, rms, f0, voiced,
+         CASE WHEN t >= 0.0 AND t < 0.0 + l0 THEN 0 WHEN t >= s1 AND t < s1 + l0 THEN 1
+              WHEN t >= s2 AND t < s2 + l0 THEN 2 END AS seg
+  FROM sg0),
+seg AS (SELECT clip_id, CAST(seg AS BIGINT) AS seg, frame, rms, f0, voiced FROM sg WHERE seg IS NOT NULL)"""
+
+SQL["three_segments"] = with_(FR, SEGS) + """
+SELECT clip_id, seg, CAST(count(*) AS BIGINT) AS n_frames, CAST(min(frame) AS BIGINT) AS first_frame,
+       CAST(max(frame) AS BIGINT) AS last_frame FROM seg GROUP BY clip_id, seg"""
+
+HALF = """hv AS (
+  SELECT clip_id, f0, row_number() OVER (PARTITION BY clip_id ORDER BY frame) - 1 AS i,
+         count(*) OVER (PARTITION BY clip_id) AS n
+  FROM fp WHERE voiced),
+ha AS (
+  SELECT clip_id, coalesce(avg(f0) FILTER (WHERE i >= floor(n / 2)), 'NaN'::DOUBLE) AS b,
+         coalesce(avg(f0) FILTER (WHERE i < floor(n / 2)), 'NaN'::DOUBLE) AS a FROM hv GROUP BY clip_id),
+hs AS (
+  SELECT g.clip_id, coalesce(ha.b - ha.a, 0.0) AS pitch_variation
+  FROM (SELECT DISTINCT clip_id FROM fp) g LEFT JOIN ha USING (clip_id))"""
+
+SQL["half_shift"] = with_(FR, HALF) + "SELECT clip_id, " + r6("pitch_variation", "pitch_variation") + " FROM hs"
+
+ACT = """thr AS (SELECT clip_id, quantile_cont(rms, 0.35) AS threshold FROM fp GROUP BY clip_id),
+ac AS (
+  SELECT f.clip_id, t.threshold, avg(CAST(f.rms > t.threshold AS DOUBLE)) AS speech_ratio,
+         sum(CAST(f.rms > t.threshold AS BIGINT)) AS active_frames,
+         avg(f.rms * f.rms) FILTER (WHERE f.rms > t.threshold) AS sp,
+         avg(f.rms * f.rms) FILTER (WHERE NOT (f.rms > t.threshold)) AS np
+  FROM fp f JOIN thr t USING (clip_id) GROUP BY f.clip_id, t.threshold),
+act AS (
+  SELECT *, CASE WHEN np > 0 THEN 10 * log10(coalesce(sp, 'NaN'::DOUBLE) / np) ELSE 60.0 END AS snr_db FROM ac),
+syl AS (
+  SELECT conv_id AS clip_id, sum(coalesce(list_sum(list_transform(
+    list_filter(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' '), lambda w: w <> ''),
+    lambda w: greatest(1, len(regexp_extract_all(w, '([aeiou]+)', 1))))), 0)) AS syllables
+  FROM conversations GROUP BY conv_id),
+spk AS (
+  SELECT a.clip_id,
+         CASE WHEN s.syllables IS NOT NULL THEN CAST(s.syllables AS DOUBLE) ELSE 'NaN'::DOUBLE END AS syllable_count,
+         CASE WHEN s.syllables IS NOT NULL AND """ + FT.format(x="a.active_frames") + """ > 0
+              THEN s.syllables / """ + FT.format(x="a.active_frames") + """ ELSE 'NaN'::DOUBLE END AS speaking_rate
+  FROM act a LEFT JOIN syl s USING (clip_id))"""
+
+SQL["percentile_threshold"] = with_(FR, ACT) + "SELECT clip_id, " + r6("threshold", "threshold") + ", " + \
+    r6("speech_ratio", "speech_ratio") + " FROM act"
+SQL["snr_db"] = with_(FR, ACT) + "SELECT clip_id, " + r6("snr_db", "snr_db") + " FROM act"
+SQL["speaking_rate"] = with_(FR, ACT) + "SELECT clip_id, " + r6("syllable_count", "syllable_count") + ", " + \
+    r6("speaking_rate", "speaking_rate") + " FROM spk"
+SQL["left_transcript"] = with_(FR, ACT) + """
+SELECT g.clip_id, s.syllables IS NOT NULL AS has_transcript,
+       CASE WHEN s.syllables IS NOT NULL THEN CAST(s.syllables AS DOUBLE) ELSE 'NaN'::DOUBLE END AS syllable_count
+FROM (SELECT DISTINCT clip_id FROM fp) g LEFT JOIN syl s USING (clip_id)"""
+
+SEGK = dict(n="s", src="seg", k="clip_id, seg", k0="clip_id, s.seg", sk="s.clip_id, s.seg")
+SQL["audio_segment_features"] = with_(FR, SEGS, VELO.format(**SEGK), PAUSE.format(**SEGK)) + """,
+pst AS (""" + PITCH.format(k="clip_id, seg", src="seg") + """),
+est AS (""" + ENERGY.format(k="clip_id, seg", src="seg") + """)
+SELECT clip_id, seg, """ + ", ".join(r6(c, c) for c in [
+    "pitch_mean", "pitch_var", "pitch_range", "pitch_vel_mean", "pitch_vel_var",
+    "energy_mean", "energy_var", "energy_range", "pause_var"]) + """
+FROM pst JOIN vel_s USING (clip_id, seg) JOIN est USING (clip_id, seg) JOIN pv_s USING (clip_id, seg)"""
+
+SQL["audio_global_features"] = with_(FR, HALF, ACT) + """,
+est AS (""" + ENERGY.format(k="clip_id", src="fp") + """),
+pst AS (""" + PITCH.format(k="clip_id", src="fp") + """)
+SELECT clip_id, """ + ", ".join([r6("energy_mean", "energy_mean"), r6("energy_std", "energy_std"),
+                                 r6("pitch_mean", "pitch_mean_hz"), r6("pitch_std", "pitch_std_hz"),
+                                 r6("pitch_variation", "pitch_variation"), r6("snr_db", "snr_db"),
+                                 r6("speech_ratio", "speech_ratio"), r6("syllable_count", "syllable_count"),
+                                 r6("speaking_rate", "speaking_rate")]) + """
+FROM est JOIN pst USING (clip_id) JOIN hs USING (clip_id) JOIN act USING (clip_id) JOIN spk USING (clip_id)"""
+
+
+# --- report rounding ------------------------------------------------------------
+
+def _rewrite_round6(sql: str) -> str:
+    """`round(<e>, 6) + 0.0` -> the DECIMAL(38,9)-then-6 rounding used by the
+    Spark side (NaN / Inf pass through)."""
+    out, i = [], 0
+    key = "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = sql[j + len(key):k - 1]
+        tail = sql[k:k + 6]
+        # split the last top-level comma
+        depth, cut = 0, -1
+        for n, ch in enumerate(inner):
+            depth += {"(": 1, ")": -1}.get(ch, 0)
+            if ch == "," and depth == 0:
+                cut = n
+        if cut >= 0 and inner[cut + 1:].strip() == "6" and tail == " + 0.0":
+            e = _rewrite_round6(inner[:cut])
+            out.append(sql[i:j])
+            out.append(f"(CASE WHEN isnan(CAST({e} AS DOUBLE)) OR isinf(CAST({e} AS DOUBLE)) "
+                       f"THEN CAST({e} AS DOUBLE) "
+                       f"ELSE CAST(round(CAST({e} AS DECIMAL(38, 9)), 6) AS DOUBLE) END + 0.0)")
+            i = k + 6
+        else:
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+
+
+SQL = {name: _rewrite_round6(q) for name, q in SQL.items()}

@@ -47,5 +47,9 @@ def features_string(sets: Column) -> Column:
 
 
 def round6(x: Column) -> Column:
-    """Report rounding used by every checked output (-0.0 folded to 0.0)."""
-    return F.round(x, 6) + F.lit(0.0)
+    """Report rounding used by every checked output: through DECIMAL(38,9)
+    first, so last-bit noise from summation order cannot flip a decimal tie,
+    then half-up to 6 places; NaN/Inf pass through; -0.0 folds to 0.0."""
+    x = x.cast("double")
+    dec = F.round(x.cast("decimal(38,9)"), 6).cast("double")
+    return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), x).otherwise(dec) + F.lit(0.0)

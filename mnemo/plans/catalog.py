@@ -376,3 +376,140 @@ def q_freq_lookup(spark, sf):
         F.sum("c").cast("bigint").alias("n_words"),
         F.sum(F.when(F.col("n").isNull(), F.col("c")).otherwise(0)).cast("bigint").alias("n_unseen"),
         round6(F.sum(F.col("c") * F.ln(F.coalesce(F.col("n"), F.lit(1)).cast("double")))).alias("sum_ln_n"))
+
+
+# --- audio / time-series family --------------------------------------------------
+
+from ..operators import audio as AU  # noqa: E402
+
+
+def frames(spark, sf):
+    return B.clip_frames(spark, sf)
+
+
+def _r(df, cols):
+    return df.select(*[round6(F.col(c)).alias(c) if c not in ("clip_id", "seg", "frame", "start", "end")
+                       else F.col(c) for c in cols])
+
+
+@register("clip_prefix")
+def q_clip_prefix(spark, sf):
+    """Frames kept per clip under the 120 s cap."""
+    return AU.clip_prefix(frames(spark, sf)).groupBy("clip_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_frames"))
+
+
+@register("frame_rms")
+def q_frame_rms(spark, sf):
+    """W8 with hop 4 / frame 16 samples (the events are few per clip)."""
+    r = AU.frame_rms(B.clip_samples(spark, sf), hop=4, frame_length=16)
+    return r.select("clip_id", F.col("frame").cast("bigint"), round6(F.col("rms")).alias("rms"))
+
+
+@register("peak_db")
+def q_peak_db(spark, sf):
+    """F8."""
+    return AU.peak_db(B.clip_samples(spark, sf)).select("clip_id", round6(F.col("peak_db")).alias("peak_db"))
+
+
+@register("energy_stats")
+def q_energy_stats(spark, sf):
+    """A18 per clip."""
+    return _r(AU.energy_stats(frames(spark, sf), ["clip_id"]),
+              ["clip_id", "energy_mean", "energy_var", "energy_std", "energy_range"])
+
+
+@register("pitch_stats")
+def q_pitch_stats(spark, sf):
+    """A19 per clip."""
+    return _r(AU.pitch_stats(frames(spark, sf), ["clip_id"]),
+              ["clip_id", "pitch_mean", "pitch_var", "pitch_std", "pitch_range"])
+
+
+@register("velocity")
+def q_velocity(spark, sf):
+    """W3 per clip (120 s prefix)."""
+    return _r(AU.velocity(AU.clip_prefix(frames(spark, sf)), ["clip_id"]),
+              ["clip_id", "pitch_vel_mean", "pitch_vel_var"])
+
+
+@register("active_islands")
+def q_active_islands(spark, sf):
+    """W5 per clip (120 s prefix)."""
+    r = AU.active_islands(AU.clip_prefix(frames(spark, sf)), ["clip_id"])
+    return r.select("clip_id", F.col("start").cast("bigint"), F.col("end").cast("bigint"))
+
+
+@register("gap")
+def q_gap(spark, sf):
+    """W4 per clip (120 s prefix)."""
+    g = AU.gaps(AU.active_islands(AU.clip_prefix(frames(spark, sf)), ["clip_id"]), ["clip_id"])
+    return g.select("clip_id", F.col("start").cast("bigint"), round6(F.col("gap")).alias("gap"))
+
+
+@register("pause_variance")
+def q_pause_variance(spark, sf):
+    """A20 per clip (120 s prefix)."""
+    return _r(AU.pause_variance(AU.clip_prefix(frames(spark, sf)), ["clip_id"]), ["clip_id", "pause_var"])
+
+
+@register("three_segments")
+def q_three_segments(spark, sf):
+    """Frames per segment of every clip."""
+    s = AU.three_segments(frames(spark, sf))
+    return s.groupBy("clip_id", F.col("seg").cast("bigint").alias("seg")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_frames"),
+        F.min("frame").cast("bigint").alias("first_frame"), F.max("frame").cast("bigint").alias("last_frame"))
+
+
+@register("half_shift")
+def q_half_shift(spark, sf):
+    """W6 per clip (120 s prefix)."""
+    return _r(AU.half_shift(AU.clip_prefix(frames(spark, sf)), ["clip_id"]), ["clip_id", "pitch_variation"])
+
+
+@register("percentile_threshold")
+def q_percentile_threshold(spark, sf):
+    """A21 per clip (120 s prefix)."""
+    return _r(AU.speech_activity(AU.clip_prefix(frames(spark, sf)), ["clip_id"]),
+              ["clip_id", "threshold", "speech_ratio"])
+
+
+@register("snr_db")
+def q_snr_db(spark, sf):
+    """A22 per clip (120 s prefix)."""
+    return _r(AU.speech_activity(AU.clip_prefix(frames(spark, sf)), ["clip_id"]), ["clip_id", "snr_db"])
+
+
+@register("speaking_rate")
+def q_speaking_rate(spark, sf):
+    """J6 + A23: transcript optional (conversation of the same id)."""
+    f = AU.clip_prefix(frames(spark, sf))
+    act = AU.speech_activity(f, ["clip_id"])
+    r = AU.speaking_rate(act, AU.clip_syllables(B.clip_turns(spark, sf)), ["clip_id"])
+    return _r(r, ["clip_id", "syllable_count", "speaking_rate"])
+
+
+@register("left_transcript")
+def q_left_transcript(spark, sf):
+    """Which clips have a transcript, and its syllables (NaN if none)."""
+    f = AU.clip_prefix(frames(spark, sf)).select("clip_id").distinct()
+    syl = AU.clip_syllables(B.clip_turns(spark, sf))
+    j = f.join(syl, "clip_id", "left")
+    return j.select("clip_id", F.col("syllables").isNotNull().alias("has_transcript"),
+                    F.when(F.col("syllables").isNotNull(), F.col("syllables").cast("double"))
+                     .otherwise(F.lit(float("nan"))).alias("syllable_count"))
+
+
+@register("audio_segment_features")
+def q_audio_segment_features(spark, sf):
+    """Nine values per clip segment."""
+    r = AU.audio_segment_features(frames(spark, sf))
+    return _r(r.withColumn("seg", F.col("seg").cast("bigint")), ["clip_id", "seg", *AU.SEGMENT_COLS])
+
+
+@register("audio_global_features")
+def q_audio_global_features(spark, sf):
+    """Nine values per clip."""
+    r = AU.audio_global_features(frames(spark, sf), B.clip_turns(spark, sf))
+    return _r(r, ["clip_id", *AU.GLOBAL_COLS])

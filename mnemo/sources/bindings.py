@@ -150,3 +150,9 @@ def split_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return (e.where(split_of("vec_id") == "test")
              .select(F.col("vec_id").alias("item_id"), F.inline(_pred_structs())))
+
+
+def clip_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D13 samples: (clip_id, pos, amp) with amp = (value - 50) / 1000."""
+    f = clip_frames(spark, sf_dir)
+    return f.select("clip_id", F.col("frame").alias("pos"), ((F.col("rms") - 50.0) / 1000.0).alias("amp"))

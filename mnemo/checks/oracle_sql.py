@@ -671,6 +671,102 @@ SELECT clip_id, """ + ", ".join([r6("energy_mean", "energy_mean"), r6("energy_st
 FROM est JOIN pst USING (clip_id) JOIN hs USING (clip_id) JOIN act USING (clip_id) JOIN spk USING (clip_id)"""
 
 
+# --- quality family ------------------------------------------------------------
+
+QAV = """qv0 AS (
+  SELECT split, item_id, embedding,
+         CASE WHEN h < '0a' THEN 'nan0' WHEN h < '14' THEN 'inf1' WHEN h < '1e' THEN 'zero'
+              WHEN h < '28' THEN 'short' WHEN h < '32' THEN 'nan78' WHEN h < '38' THEN 'allnan'
+              ELSE 'none' END AS fault
+  FROM (SELECT *, substr(md5(CAST(item_id AS VARCHAR) || ':qa'), 1, 2) AS h FROM emb)),
+qk AS (SELECT * FROM (VALUES ('audio_c', 1, 27, 3, 9), ('audio_o', 28, 9, 1, 9),
+                             ('semantic', 37, 7, 1, 7), ('emotion', 44, 19, 1, 19)) t(kind, st, nv, rws, cols)),
+qv1 AS (
+  SELECT q.split || '/' || k.kind AS dir, k.kind, q.item_id, q.fault, k.rws, k.cols, k.st, q.embedding,
+         CASE WHEN q.fault = 'short' AND k.rws > 1 THEN k.nv - k.cols
+              WHEN q.fault = 'short' THEN k.nv - 1 ELSE k.nv END AS m
+  FROM qv0 q CROSS JOIN qk k),
+qv AS (
+  SELECT dir, kind, item_id,
+         CASE WHEN rws > 1 THEN [CASE WHEN fault = 'short' THEN rws - 1 ELSE rws END, cols] ELSE [m] END AS shape,
+         list_transform(list_slice(embedding, st, st + m - 1), lambda x, i:
+           CASE WHEN fault = 'nan0' AND i = 1 THEN 'NaN'::DOUBLE
+                WHEN fault = 'inf1' AND i = 2 THEN 'Infinity'::DOUBLE
+                WHEN fault = 'zero' THEN 0.0::DOUBLE
+                WHEN fault = 'nan78' AND i IN (8, 9) THEN 'NaN'::DOUBLE
+                WHEN fault = 'allnan' THEN 'NaN'::DOUBLE
+                ELSE CAST(x AS DOUBLE) END) AS vals
+  FROM qv1),
+qf AS (
+  SELECT *,
+    shape = CASE kind WHEN 'audio_c' THEN [3, 9] WHEN 'audio_o' THEN [9] WHEN 'semantic' THEN [7] ELSE [19] END AS shape_ok,
+    len(vals) AS n,
+    len(list_filter(vals, lambda x: isinf(x))) AS inf_n,
+    len(list_filter(vals, lambda x: isnan(x))) AS nan_n,
+    len(list_filter(list_transform(vals, lambda x, i: CASE WHEN isnan(x) AND (i - 1) NOT IN (7, 8) THEN i END),
+                    lambda j: j IS NOT NULL)) AS bad_nan_n,
+    len(list_filter(vals, lambda x: NOT isnan(x) AND NOT isinf(x))) > 0
+      AND len(list_filter(vals, lambda x: NOT isnan(x) AND NOT isinf(x) AND x <> 0)) = 0 AS all_zero
+  FROM qv),
+qt AS (
+  SELECT conv_id AS item_id, bool_and(text IS NULL OR regexp_matches(text, '^[ \\t\\n\\x0b\\f\\r]*$')) AS empty
+  FROM conversations GROUP BY conv_id),
+ql AS (
+  SELECT user_id AS item_id,
+         CASE WHEN max(abs(value / 100000.0)) > 0 THEN 20 * log10(max(abs(value / 100000.0)))
+              ELSE '-Infinity'::DOUBLE END AS peak_db
+  FROM events GROUP BY user_id),
+qi AS (
+  SELECT f.dir, f.kind, f.item_id,
+    CASE WHEN NOT f.shape_ok THEN ['FAIL wrong shape']
+         WHEN f.kind IN ('audio_c', 'audio_o') THEN list_filter([
+           CASE WHEN f.inf_n > 0 THEN 'FAIL Inf' END,
+           CASE WHEN f.kind = 'audio_o' THEN (CASE WHEN f.bad_nan_n > 0 THEN 'FAIL NaN at unexpected indices' END)
+                WHEN f.nan_n = f.n THEN 'FAIL all NaN' WHEN f.nan_n > 0 THEN 'FAIL NaN' END,
+           CASE WHEN f.all_zero THEN (CASE WHEN l.peak_db IS NULL THEN 'FAIL all-zero and could not determine audio level'
+                                          WHEN l.peak_db < -50.0 THEN 'BENIGN silent audio'
+                                          ELSE 'FAIL all-zero but audio not silent' END) END],
+           lambda s: s IS NOT NULL)
+         ELSE list_filter([
+           CASE WHEN f.inf_n > 0 THEN 'FAIL Inf' END,
+           CASE WHEN f.nan_n = f.n THEN 'FAIL all NaN'
+                WHEN (f.nan_n > 0 OR f.all_zero) AND coalesce(t.empty, true) THEN 'BENIGN empty transcript'
+                WHEN (f.nan_n > 0 OR f.all_zero) AND f.nan_n > 0 THEN 'FAIL NaN (transcript has content)' END,
+           CASE WHEN f.nan_n <> f.n AND NOT coalesce(t.empty, true) AND f.all_zero
+                THEN 'FAIL all-zero valid elements (transcript has content)' END],
+           lambda s: s IS NOT NULL) END AS issues
+  FROM qf f LEFT JOIN qt t USING (item_id) LEFT JOIN ql l USING (item_id)),
+qlv AS (
+  SELECT dir, item_id, issues,
+         CASE WHEN len(list_filter(issues, lambda s: starts_with(s, 'FAIL'))) > 0 THEN 'FAIL'
+              WHEN len(list_filter(issues, lambda s: starts_with(s, 'BENIGN'))) > 0 THEN 'BENIGN'
+              ELSE 'ok' END AS level
+  FROM qi),
+qs AS (
+  SELECT coalesce(dir, 'total') AS dir, CAST(count(*) AS BIGINT) AS files,
+         CAST(sum(CASE WHEN level = 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS ok,
+         CAST(sum(CASE WHEN level = 'BENIGN' THEN 1 ELSE 0 END) AS BIGINT) AS warn,
+         CAST(sum(CASE WHEN level = 'FAIL' THEN 1 ELSE 0 END) AS BIGINT) AS fail
+  FROM qlv GROUP BY ROLLUP (dir))"""
+
+QA_ALL = (EMB, QAV)
+SQL["qa_shape"] = with_(*QA_ALL) + "SELECT dir, item_id, shape_ok FROM qf"
+SQL["qa_inf"] = with_(*QA_ALL) + "SELECT dir, item_id, CAST(inf_n AS BIGINT) AS inf_n FROM qf"
+SQL["qa_nan_positions"] = with_(*QA_ALL) + \
+    "SELECT dir, item_id, CAST(bad_nan_n AS BIGINT) AS bad_nan_n FROM qf WHERE kind = 'audio_o'"
+SQL["qa_nan_other"] = with_(*QA_ALL) + \
+    "SELECT dir, item_id, CAST(nan_n AS BIGINT) AS nan_n, (nan_n = n AND n > 0) AS all_nan FROM qf WHERE kind = 'audio_c'"
+SQL["qa_issues"] = with_(*QA_ALL) + "SELECT dir, item_id, unnest(issues) AS issue FROM qi"
+SQL["qa_zero_audio"] = with_(*QA_ALL) + """SELECT * FROM (SELECT dir, item_id, unnest(issues) AS issue FROM qi)
+WHERE (contains(issue, 'all-zero') OR contains(issue, 'silent'))
+  AND NOT suffix(dir, 'semantic') AND NOT suffix(dir, 'emotion')"""
+SQL["qa_text"] = with_(*QA_ALL) + """SELECT * FROM (SELECT dir, item_id, unnest(issues) AS issue FROM qi)
+WHERE (suffix(dir, 'semantic') OR suffix(dir, 'emotion')) AND issue NOT IN ('FAIL Inf', 'FAIL wrong shape')"""
+SQL["qa_level"] = with_(*QA_ALL) + "SELECT dir, item_id, level FROM qlv"
+SQL["qa_summary"] = with_(*QA_ALL) + """SELECT dir, files, ok, warn, fail,
+  CASE WHEN warn + fail = 0 THEN 'ok' WHEN fail > 0 THEN 'FAIL' ELSE 'warn' END AS status FROM qs"""
+SQL["gated_publish"] = with_(*QA_ALL) + "SELECT fail AS fail_total, fail = 0 AS publish FROM qs WHERE dir = 'total'"
+
 # --- report rounding ------------------------------------------------------------
 
 def _rewrite_round6(sql: str) -> str:

@@ -513,3 +513,81 @@ def q_audio_global_features(spark, sf):
     """Nine values per clip."""
     r = AU.audio_global_features(frames(spark, sf), B.clip_turns(spark, sf))
     return _r(r, ["clip_id", *AU.GLOBAL_COLS])
+
+
+# --- quality family -------------------------------------------------------------
+
+from ..operators import quality as QA  # noqa: E402
+
+
+def _qa(spark, sf):
+    return QA.item_level(QA.issues(B.qa_vectors(spark, sf), B.qa_transcripts(spark, sf), B.qa_levels(spark, sf)))
+
+
+@register("qa_shape")
+def q_qa_shape(spark, sf):
+    """Q1: shape check of every vector."""
+    f = QA.vector_facts(B.qa_vectors(spark, sf))
+    return f.select("dir", "item_id", "shape_ok")
+
+
+@register("qa_inf")
+def q_qa_inf(spark, sf):
+    """Q2: Inf count of every vector."""
+    f = QA.vector_facts(B.qa_vectors(spark, sf))
+    return f.select("dir", "item_id", F.col("inf_n").cast("bigint").alias("inf_n"))
+
+
+@register("qa_nan_positions")
+def q_qa_nan_positions(spark, sf):
+    """Q3: NaN outside the optional positions of the global audio vectors."""
+    f = QA.vector_facts(B.qa_vectors(spark, sf)).where(F.col("kind") == "audio_o")
+    return f.select("dir", "item_id", F.col("bad_nan_n").cast("bigint").alias("bad_nan_n"))
+
+
+@register("qa_nan_other")
+def q_qa_nan_other(spark, sf):
+    """Q4: NaN count / all-NaN of the segmented audio vectors."""
+    f = QA.vector_facts(B.qa_vectors(spark, sf)).where(F.col("kind") == "audio_c")
+    return f.select("dir", "item_id", F.col("nan_n").cast("bigint").alias("nan_n"),
+                    ((F.col("nan_n") == F.col("n")) & (F.col("n") > 0)).alias("all_nan"))
+
+
+@register("qa_issues")
+def q_qa_issues(spark, sf):
+    """Q1-Q6: one row per reported issue (report lines)."""
+    return _qa(spark, sf).select("dir", "item_id", F.explode("issues").alias("issue"))
+
+
+@register("qa_zero_audio")
+def q_qa_zero_audio(spark, sf):
+    """Q5: verdicts on all-zero audio vectors (peak level lookup)."""
+    i = _qa(spark, sf).select("dir", "item_id", F.explode("issues").alias("issue"))
+    return i.where(F.col("issue").contains("all-zero") | F.col("issue").contains("silent")) \
+            .where(~F.col("dir").endswith("semantic") & ~F.col("dir").endswith("emotion"))
+
+
+@register("qa_text")
+def q_qa_text(spark, sf):
+    """Q6: NaN / all-zero verdicts on text vectors (transcript lookup)."""
+    i = _qa(spark, sf).select("dir", "item_id", F.explode("issues").alias("issue"))
+    return i.where(F.col("dir").endswith("semantic") | F.col("dir").endswith("emotion")) \
+            .where(~F.col("issue").isin("FAIL Inf", "FAIL wrong shape"))
+
+
+@register("qa_level")
+def q_qa_level(spark, sf):
+    """Q7: item level."""
+    return _qa(spark, sf).select("dir", "item_id", "level")
+
+
+@register("qa_summary")
+def q_qa_summary(spark, sf):
+    """Per directory counts and status, plus the total."""
+    return QA.qa_summary(_qa(spark, sf))
+
+
+@register("gated_publish")
+def q_gated_publish(spark, sf):
+    """S10 decision row."""
+    return QA.gate(QA.qa_summary(_qa(spark, sf)))

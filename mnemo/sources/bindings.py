@@ -156,3 +156,60 @@ def clip_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D13 samples: (clip_id, pos, amp) with amp = (value - 50) / 1000."""
     f = clip_frames(spark, sf_dir)
     return f.select("clip_id", F.col("frame").alias("pos"), ((F.col("rms") - 50.0) / 1000.0).alias("amp"))
+
+
+# Fixed values of the quality binding: where each kind sits in the embedding
+# (1-based start, values, rows x cols) and the injected faults, chosen by
+# the first two hex digits of md5(id || ':qa').
+QA_LAYOUT = [("audio_c", 1, 27, 3, 9), ("audio_o", 28, 9, 1, 9),
+             ("semantic", 37, 7, 1, 7), ("emotion", 44, 19, 1, 19)]
+QA_FAULTS = [("0a", "nan0"), ("14", "inf1"), ("1e", "zero"), ("28", "short"),
+             ("32", "nan78"), ("38", "allnan")]
+
+
+def qa_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dir, kind, item_id, shape, values) with faults injected by hash."""
+    e = table(spark, sf_dir, "embeddings")
+    h = F.substring(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit(":qa"))), 1, 2)
+    fault = F.lit("none")
+    for bound, name in reversed(QA_FAULTS):
+        fault = F.when(h < bound, F.lit(name)).otherwise(fault)
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("start"), F.lit(n).alias("nv"),
+                               F.lit(r).alias("rows"), F.lit(c).alias("cols")) for k, s, n, r, c in QA_LAYOUT])
+    base = e.select(split_of("vec_id").alias("split"), F.col("vec_id").alias("item_id"), "embedding",
+                    fault.alias("fault"), F.inline(kinds))
+    short = F.col("fault") == "short"
+    nv = (F.when(short & (F.col("rows") > 1), F.col("nv") - F.col("cols"))
+           .when(short, F.col("nv") - 1).otherwise(F.col("nv")))
+    flat = F.transform(F.slice("embedding", F.col("start"), nv), lambda x: x.cast("double"))
+    fz = F.col("fault")
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    faulted = F.transform(flat, lambda x, i: (
+        F.when((fz == "nan0") & (i == 0), nan)
+         .when((fz == "inf1") & (i == 1), inf)
+         .when(fz == "zero", F.lit(0.0))
+         .when((fz == "nan78") & i.isin(7, 8), nan)
+         .when(fz == "allnan", nan)
+         .otherwise(x)))
+    shape = F.when(F.col("rows") > 1, F.array(F.when(short, F.col("rows") - 1).otherwise(F.col("rows")),
+                                               F.col("cols"))) \
+             .otherwise(F.array(nv))
+    return base.select(F.concat_ws("/", "split", "kind").alias("dir"), "kind", "item_id",
+                       shape.alias("shape"), faulted.alias("values"))
+
+
+def qa_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emptiness of item i's transcript = conversation i (turns joined by a
+    space): empty iff every turn is blank, a partial aggregate per item."""
+    from ..functions.text import is_empty_text
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy(F.col("conv_id").alias("item_id")).agg(
+        F.bool_and(is_empty_text(F.col("text"))).alias("empty"))
+
+
+def qa_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peak level of item i's audio = clip i with amp = value / 1e5."""
+    f = clip_frames(spark, sf_dir)
+    pk = f.groupBy(F.col("clip_id").alias("item_id")).agg(F.max(F.abs(F.col("rms") / 100000.0)).alias("_pk"))
+    return pk.select("item_id", F.when(F.col("_pk") > 0, 20 * F.log10("_pk"))
+                     .otherwise(F.lit(float("-inf"))).alias("peak_db"))

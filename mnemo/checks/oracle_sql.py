@@ -767,6 +767,80 @@ SQL["qa_summary"] = with_(*QA_ALL) + """SELECT dir, files, ok, warn, fail,
   CASE WHEN warn + fail = 0 THEN 'ok' WHEN fail > 0 THEN 'FAIL' ELSE 'warn' END AS status FROM qs"""
 SQL["gated_publish"] = with_(*QA_ALL) + "SELECT fail AS fail_total, fail = 0 AS publish FROM qs WHERE dir = 'total'"
 
+# --- folds, scaling, kernels -------------------------------------------------
+
+SQL["kfold"] = with_(EMB, FOLDS) + "SELECT item_id, fold FROM folds"
+
+SQL["top_n_full"] = with_(EMB, VEC, LNG) + """,
+lab AS (SELECT item_id, y FROM emb WHERE split = 'dev'),
+yr AS (SELECT item_id, """ + AVG_RANK.format(w="w") + """ AS ry FROM lab WINDOW w AS (ORDER BY y)),
+fr AS (
+  SELECT l.feature_set, l.set_ord, l.idx, l.item_id, """ + AVG_RANK.format(w="w") + """ AS rv
+  FROM lng l WHERE l.split = 'dev' WINDOW w AS (PARTITION BY l.feature_set, l.idx ORDER BY l.value)),
+rho AS (
+  SELECT feature_set, set_ord, idx, """ + GUARDED.format(a="rv", b="ry") + """ AS rho
+  FROM fr JOIN yr USING (item_id) GROUP BY feature_set, set_ord, idx)
+SELECT feature_set, idx, rho, sel_rank FROM (
+  SELECT feature_set, idx, round(rho, 6) + 0.0 AS rho,
+         row_number() OVER (ORDER BY round(abs(rho), 9) DESC, set_ord, idx) AS sel_rank FROM rho)
+WHERE sel_rank <= 30"""
+
+KER = """rl AS (
+  SELECT CAST(k.range AS BIGINT) AS fold, CASE WHEN f.fold = k.range THEN 'test' ELSE 'train' END AS role,
+         l.item_id, l.feature_set, l.idx, l.value
+  FROM lng l JOIN folds f USING (item_id) CROSS JOIN range(1, 6) k WHERE l.split = 'dev'),
+mom AS (
+  SELECT fold, feature_set, idx, avg(value) AS mean, stddev_pop(value) AS sd, min(value) AS mn, max(value) AS mx
+  FROM rl WHERE role = 'train' GROUP BY fold, feature_set, idx),
+zz AS (
+  SELECT r.fold, r.role, r.item_id, r.feature_set, r.idx,
+         (r.value - m.mean) / CASE WHEN m.sd IS NULL OR m.sd < 2.220446049250313e-15 THEN 1.0 ELSE m.sd END AS z
+  FROM rl r JOIN mom m USING (fold, feature_set, idx)),
+pr AS (
+  SELECT a.fold, a.feature_set, a.role, a.item_id AS i, b.item_id AS j, sum((a.z - b.z) * (a.z - b.z)) AS d2
+  FROM zz a JOIN zz b ON a.fold = b.fold AND a.feature_set = b.feature_set AND a.idx = b.idx AND b.role = 'train'
+  GROUP BY a.fold, a.feature_set, a.role, a.item_id, b.item_id),
+smp AS (
+  SELECT fold, feature_set, item_id FROM (
+    SELECT fold, feature_set, item_id,
+           row_number() OVER (PARTITION BY fold, feature_set ORDER BY md5(CAST(item_id AS VARCHAR) || ':42')) AS rn
+    FROM (SELECT DISTINCT fold, feature_set, item_id FROM zz WHERE role = 'train')) WHERE rn <= 500),
+gam AS (
+  SELECT p.fold, p.feature_set,
+         CASE WHEN median(sqrt(p.d2)) > 1e-10 THEN 1.0 / (2.0 * median(sqrt(p.d2)) * median(sqrt(p.d2))) ELSE 1.0 END AS gamma
+  FROM pr p JOIN smp s1 ON s1.fold = p.fold AND s1.feature_set = p.feature_set AND s1.item_id = p.i
+            JOIN smp s2 ON s2.fold = p.fold AND s2.feature_set = p.feature_set AND s2.item_id = p.j
+  WHERE p.role = 'train' AND p.i < p.j GROUP BY p.fold, p.feature_set),
+kk AS (SELECT p.*, exp(-g.gamma * p.d2) AS k FROM pr p JOIN gam g USING (fold, feature_set)),
+wts AS (SELECT * FROM (VALUES ('emb_a', 1.0), ('emb_b', 0.5), ('emb_c', 2.0), ('emb_d', 1.0)) t(feature_set, w))"""
+
+KER_ALL = (EMB, VEC, LNG, FOLDS, KER)
+
+SQL["column_moments"] = with_(*KER_ALL) + """
+SELECT fold, feature_set, idx, round(mean, 6) + 0.0 AS mean, round(sd, 6) + 0.0 AS sd,
+       round(mn, 6) + 0.0 AS min, round(mx, 6) + 0.0 AS max FROM mom"""
+SQL["standardize"] = with_(*KER_ALL) + """
+SELECT fold, item_id, feature_set, idx, round(z, 6) + 0.0 AS z FROM zz WHERE role = 'test'"""
+SQL["median_gamma"] = with_(*KER_ALL) + "SELECT fold, feature_set, round(gamma, 6) + 0.0 AS gamma FROM gam"
+SQL["pairwise_distance"] = with_(*KER_ALL) + """
+SELECT fold, feature_set, i AS item_id, round(sum(sqrt(d2)), 6) + 0.0 AS dist_sum
+FROM pr WHERE role = 'train' GROUP BY fold, feature_set, i"""
+SQL["rbf_kernel_train"] = with_(*KER_ALL) + """
+SELECT fold, feature_set, i AS item_id, round(sum(k), 6) + 0.0 AS k_sum FROM kk WHERE role = 'train'
+GROUP BY fold, feature_set, i"""
+SQL["rbf_kernel_cross"] = with_(*KER_ALL) + """
+SELECT fold, feature_set, i AS item_id, round(sum(k), 6) + 0.0 AS k_sum FROM kk WHERE role = 'test'
+GROUP BY fold, feature_set, i"""
+SQL["rbf"] = with_(*KER_ALL) + """
+SELECT fold, feature_set, i AS item_id, role, round(max(k) FILTER (WHERE i <> j), 6) + 0.0 AS k_max
+FROM kk GROUP BY fold, feature_set, i, role"""
+SQL["combine_kernels"] = with_(*KER_ALL) + """
+SELECT fold, role, i AS item_id, round(sum(w * k), 6) + 0.0 AS k_sum
+FROM kk JOIN wts USING (feature_set) GROUP BY fold, role, i"""
+SQL["kernel_as_features"] = with_(*KER_ALL) + """
+SELECT fold, role, i AS item_id, CAST(count(DISTINCT j) AS BIGINT) AS n_cols, round(sum(w * k), 6) + 0.0 AS k_sum
+FROM kk JOIN wts USING (feature_set) GROUP BY fold, role, i"""
+
 # --- report rounding ------------------------------------------------------------
 
 def _rewrite_round6(sql: str) -> str:

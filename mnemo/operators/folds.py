@@ -47,7 +47,7 @@ def explode_train(folded: DataFrame, k: int = 5, fold_col: str = "fold",
 
 def explode_roles(folded: DataFrame, k: int = 5, fold_col: str = "fold") -> DataFrame:
     """(cv_fold, role) for every item: 'test' in its own fold, 'train' elsewhere."""
-    seq = F.sequence(F.lit(1), F.lit(k))
-    return (folded.withColumn("cv_fold", F.explode(seq).cast("bigint"))
+    seq = F.sequence(F.lit(1).cast("bigint"), F.lit(k).cast("bigint"))
+    return (folded.withColumn("cv_fold", F.explode(seq))
                   .withColumn("role", F.when(F.col("cv_fold") == F.col(fold_col), "test")
                               .otherwise("train")))

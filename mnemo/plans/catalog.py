@@ -591,3 +591,126 @@ def q_qa_summary(spark, sf):
 def q_gated_publish(spark, sf):
     """S10 decision row."""
     return QA.gate(QA.qa_summary(_qa(spark, sf)))
+
+
+# --- scaling, folds, kernels ----------------------------------------------------
+
+from ..operators import kernels as K  # noqa: E402
+from ..operators.folds import explode_roles  # noqa: E402
+from ..operators.scaling import column_moments, scale_of  # noqa: E402
+from ..operators.ranks import top_n_full  # noqa: E402
+
+# Fixed values of the kernel binding: per-set weights of the fused kernel.
+KERNEL_WEIGHTS = {"emb_a": 1.0, "emb_b": 0.5, "emb_c": 2.0, "emb_d": 1.0}
+
+
+@register("kfold")
+def q_kfold(spark, sf):
+    """Fold of every labelled item."""
+    return dev_folds(spark, sf).select("item_id", "fold")
+
+
+@register("top_n_full")
+def q_top_n_full(spark, sf):
+    """Top 30 features on all labelled rows."""
+    sel = top_n_full(dev_long(spark, sf), B.item_labels(spark, sf), 30, B.EMB_SETS)
+    return sel.select("feature_set", "idx", round6(F.col("rho")).alias("rho"), "sel_rank")
+
+
+def role_long(spark, sf):
+    """(cv_fold, role, item_id, feature_set, idx, value) of the labelled split."""
+    roles = explode_roles(dev_folds(spark, sf).select("item_id", "fold"))
+    return dev_long(spark, sf).join(roles.select("item_id", "cv_fold", "role"), "item_id")
+
+
+@register("column_moments")
+def q_column_moments(spark, sf):
+    """Per fold and feature, training mean / pop. std / min / max."""
+    tr = role_long(spark, sf).where(F.col("role") == "train").withColumnRenamed("cv_fold", "fold")
+    m = column_moments(tr, ["fold"])
+    return m.select("fold", "feature_set", "idx", *[round6(F.col(c)).alias(c) for c in ("mean", "sd", "min", "max")])
+
+
+def scaled(spark, sf):
+    rl = role_long(spark, sf).withColumnRenamed("cv_fold", "fold")
+    m = column_moments(rl.where(F.col("role") == "train"), ["fold"])
+    return (rl.join(m.select("fold", "feature_set", "idx", "mean", "sd"), ["fold", "feature_set", "idx"])
+              .withColumn("z", (F.col("value") - F.col("mean")) / scale_of(F.col("sd"))))
+
+
+@register("standardize")
+def q_standardize(spark, sf):
+    """M1: test rows standardised with training-fold moments."""
+    z = scaled(spark, sf).where(F.col("role") == "test")
+    return z.select("fold", "item_id", "feature_set", "idx", round6(F.col("z")).alias("z"))
+
+
+def kernel_inputs(spark, sf):
+    z = scaled(spark, sf)
+    vecs = K.vectors_from_long(z, ["fold", "role", "feature_set", "item_id"], "z")
+    lm = K.landmarks(vecs.where(F.col("role") == "train"), ["fold", "feature_set"])
+    return vecs, K.median_gamma(lm)
+
+
+@register("median_gamma")
+def q_median_gamma(spark, sf):
+    """RBF bandwidth per fold and set from the scaled training rows."""
+    _, lg = kernel_inputs(spark, sf)
+    return lg.select("fold", "feature_set", round6(F.col("gamma")).alias("gamma"))
+
+
+@register("pairwise_distance")
+def q_pairwise_distance(spark, sf):
+    """Per training row, the sum of distances to the other training
+    rows of its fold and set."""
+    vecs, lg = kernel_inputs(spark, sf)
+    d = K.pairwise_distances(vecs.where(F.col("role") == "train"), lg, ["fold", "feature_set"])
+    return d.select("fold", "feature_set", "item_id",
+                    round6(F.aggregate("dist", F.lit(0.0), lambda a, b: a + b)).alias("dist_sum"))
+
+
+def _krows(spark, sf):
+    vecs, lg = kernel_inputs(spark, sf)
+    return K.kernel_rows(vecs, lg, ["fold", "feature_set"])
+
+
+def _ksum(c):
+    return round6(F.aggregate(c, F.lit(0.0), lambda a, b: a + b)).alias("k_sum")
+
+
+@register("rbf_kernel_train")
+def q_rbf_kernel_train(spark, sf):
+    """K1: row sums of the training kernel."""
+    k = _krows(spark, sf).where(F.col("role") == "train")
+    return k.select("fold", "feature_set", "item_id", _ksum(F.col("k")))
+
+
+@register("rbf_kernel_cross")
+def q_rbf_kernel_cross(spark, sf):
+    """K2: row sums of K(test, train)."""
+    k = _krows(spark, sf).where(F.col("role") == "test")
+    return k.select("fold", "feature_set", "item_id", _ksum(F.col("k")))
+
+
+@register("rbf")
+def q_rbf(spark, sf):
+    """the largest off-diagonal kernel value of every row."""
+    k = _krows(spark, sf)
+    off = F.filter(F.arrays_zip(F.col("k").alias("k"), F.col("lm_ids").alias("j")),
+                   lambda s: s["j"] != F.col("item_id"))
+    return k.select("fold", "feature_set", "item_id", "role",
+                    round6(F.array_max(F.transform(off, lambda s: s["k"]))).alias("k_max"))
+
+
+@register("combine_kernels")
+def q_combine_kernels(spark, sf):
+    """K3: weighted sum of the four set kernels, row sums."""
+    fused = K.combine_kernels(_krows(spark, sf), ["fold", "role", "item_id"], KERNEL_WEIGHTS)
+    return fused.select("fold", "role", "item_id", _ksum(F.col("k")))
+
+
+@register("kernel_as_features")
+def q_kernel_as_features(spark, sf):
+    """K5: the fused kernel row as the model input (width = training rows)."""
+    fused = K.combine_kernels(_krows(spark, sf), ["fold", "role", "item_id"], KERNEL_WEIGHTS)
+    return fused.select("fold", "role", "item_id", F.size("k").cast("bigint").alias("n_cols"), _ksum(F.col("k")))

@@ -841,6 +841,90 @@ SQL["kernel_as_features"] = with_(*KER_ALL) + """
 SELECT fold, role, i AS item_id, CAST(count(DISTINCT j) AS BIGINT) AS n_cols, round(sum(w * k), 6) + 0.0 AS k_sum
 FROM kk JOIN wts USING (feature_set) GROUP BY fold, role, i"""
 
+# --- sources, projections, alignment, set operations ---------------------------
+
+LABQ = """labq AS (SELECT doc_id AS item_id, CAST(CAST(quality AS FLOAT) AS DOUBLE) AS y FROM labels)"""
+
+SQL["scan_feature_set"] = with_(EMB, VEC, LNG) + """
+SELECT item_id, idx, round(value, 6) + 0.0 AS value FROM lng WHERE split = 'dev' AND feature_set = 'emb_c'"""
+SQL["scan_labels"] = with_(LABQ) + "SELECT item_id, y FROM labq"
+SQL["scan_item_list"] = "SELECT doc_id AS item_id FROM documents"
+SQL["scan_transcripts"] = "SELECT doc_id AS item_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents"
+SQL["resolve_asset"] = """SELECT i.item_id, a.asset FROM (SELECT DISTINCT conv_id AS item_id FROM conversations) i
+LEFT JOIN (SELECT conv_id AS item_id, arg_min(role, CASE role WHEN 'system' THEN 1 WHEN 'assistant' THEN 2 END) AS asset
+           FROM conversations WHERE role IN ('system', 'assistant') GROUP BY conv_id) a USING (item_id)"""
+SQL["sink_sweep_results"] = with_(*RES_ALL) + "SELECT * FROM res"
+SQL["union_parts"] = with_(*RES_ALL) + "SELECT * FROM res"
+SQL["sink_predictions"] = SQL["batch_ensembles"].replace(
+    "SELECT u.run_id, n.item_id, round(round(avg(n.nr), 9), 6) + 0.0 AS score",
+    "SELECT u.run_id, n.item_id AS video, round(round(avg(n.nr), 9), 6) + 0.0 AS mem_score")
+SQL["nan_to_num"] = with_(EMB, QAV) + """
+SELECT dir, item_id, CAST(len(list_filter(vals, lambda x: isnan(x) OR isinf(x))) AS BIGINT) AS n_zeroed,
+       round(coalesce(list_sum(list_transform(vals, lambda x: CASE WHEN isnan(x) OR isinf(x) THEN 0.0 ELSE x END)), 0.0), 6) + 0.0 AS clean_sum
+FROM qv"""
+SQL["flatten_frames"] = with_(EMB, VEC, LNG) + """
+SELECT feature_set, item_id, idx, round(value, 6) + 0.0 AS value FROM lng WHERE feature_set IN ('emb_c', 'emb_d')"""
+SQL["explode_features"] = with_(EMB, VEC, LNG) + """
+SELECT item_id, feature_set || '_' || CAST(idx AS VARCHAR) AS name, round(value, 6) + 0.0 AS value
+FROM lng WHERE split = 'dev' AND feature_set = 'emb_a'"""
+SQL["concat_features"] = with_(EMB, VEC, LNG) + """
+SELECT item_id, CAST(CASE feature_set WHEN 'emb_a' THEN 0 WHEN 'emb_b' THEN 16 WHEN 'emb_c' THEN 32 ELSE 56 END + idx AS BIGINT) AS pos,
+       round(value, 6) + 0.0 AS value
+FROM lng WHERE split = 'dev'"""
+SQL["take_indices"] = with_(EMB, VEC, LNG, FOLDS, TRAIN, RHO_FOLD) + """,
+sel AS (SELECT * FROM (
+  SELECT tf AS fold, feature_set, idx,
+         row_number() OVER (PARTITION BY tf ORDER BY round(abs(rho), 9) DESC, set_ord, idx) AS sel_rank
+  FROM rho) WHERE sel_rank <= 30)
+SELECT s.fold, l.item_id, CAST(count(*) AS BIGINT) AS n_cols, round(sum(l.value), 6) + 0.0 AS value_sum
+FROM lng l JOIN sel s ON s.feature_set = l.feature_set AND s.idx = l.idx
+WHERE l.split = 'dev' GROUP BY s.fold, l.item_id"""
+SQL["drop_incomplete"] = with_(EMB, QAV) + """
+SELECT dir, item_id FROM qv WHERE len(list_filter(vals, lambda x: x IS NULL OR isnan(x))) = 0"""
+SQL["features_string"] = with_(COMBOS) + "SELECT combination, features FROM cmeta"
+SQL["align_inner"] = with_(EMB, LABQ) + "SELECT item_id, labq.y FROM emb JOIN labq USING (item_id) WHERE split = 'dev'"
+SQL["align_labels"] = with_(EMB, LABQ) + """
+SELECT split, item_id, labq.y FROM emb JOIN labq USING (item_id) WHERE split = 'dev'
+UNION ALL SELECT split, item_id, NULL::DOUBLE FROM emb WHERE split = 'test'"""
+SQL["semi_align"] = with_(EMB, LABQ) + """
+SELECT s.feature_set, CAST(count(*) AS BIGINT) AS n_items
+FROM emb JOIN labq USING (item_id) CROSS JOIN (VALUES ('emb_a'), ('emb_b'), ('emb_c'), ('emb_d')) s(feature_set)
+WHERE split = 'dev' GROUP BY s.feature_set"""
+SQL["intersect_ids"] = with_(EMB, LABQ) + """
+SELECT item_id FROM emb WHERE split = 'dev' INTERSECT SELECT item_id FROM labq"""
+
+TASKS = """tasks AS (SELECT d.doc_id, d.text, x.extractor FROM documents d
+                CROSS JOIN (VALUES ('emotion'), ('semantic')) x(extractor)),
+done AS (SELECT doc_id, 'emotion' AS extractor FROM labels
+         UNION ALL SELECT doc_id, 'semantic' FROM labels WHERE quality = 1),
+st AS (
+  SELECT t.doc_id, t.extractor,
+    CASE WHEN d.doc_id IS NOT NULL THEN 'skip_exists'
+         WHEN t.text IS NULL OR regexp_matches(t.text, '^[ \\t\\n\\x0b\\f\\r]*$') THEN 'skip_missing'
+         WHEN (CASE WHEN t.extractor = 'emotion' THEN len(""" + WSTOK.format(t=CLEAN.format(t="t.text")) + """)
+                    ELSE len(""" + ALPHA.format(t="t.text") + """) END) = 0 THEN 'fail'
+         ELSE 'ok' END AS status
+  FROM tasks t LEFT JOIN done d USING (doc_id, extractor))"""
+
+SQL["anti_done"] = with_(TASKS) + """
+SELECT doc_id, extractor FROM tasks t WHERE NOT EXISTS (
+  SELECT 1 FROM done d WHERE d.doc_id = t.doc_id AND d.extractor = t.extractor)"""
+SQL["extract_status"] = with_(TASKS) + "SELECT doc_id, extractor, status FROM st"
+SQL["run_counts"] = with_(TASKS) + """
+SELECT extractor, CAST(sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS done,
+       CAST(sum(CASE WHEN starts_with(status, 'skip') THEN 1 ELSE 0 END) AS BIGINT) AS skipped,
+       CAST(sum(CASE WHEN status = 'fail' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
+       CAST(count(*) AS BIGINT) AS total
+FROM st GROUP BY extractor"""
+SQL["grid_cross"] = with_(*RES_ALL) + """
+SELECT c.combination, m.model, s.selector, f.fusion
+FROM cmeta c CROSS JOIN (VALUES ('rho_sign'), ('mean_z'), ('LinearRegression'), ('Ridge')) m(model)
+CROSS JOIN (VALUES ('none'), ('spearman_30')) s(selector) CROSS JOIN (VALUES ('concat'), ('kernel')) f(fusion)
+WHERE NOT EXISTS (SELECT 1 FROM res r WHERE r.combination = c.combination AND r.model = m.model
+                  AND r.selector = s.selector AND f.fusion = 'concat')"""
+SQL["registry_union"] = """SELECT * FROM (VALUES ('emb_a', 'emb_a'), ('emb_b', 'emb_b'), ('emb_c', 'emb_c'), ('emb_d', 'emb_d'),
+  ('emb_a+emb_b', 'emb_a|emb_b'), ('emb_a+emb_c', 'emb_a|emb_c'), ('emb_a+emb_d', 'emb_a|emb_d'), ('emb_b+emb_c', 'emb_b|emb_c'), ('emb_b+emb_d', 'emb_b|emb_d'), ('emb_c+emb_d', 'emb_c|emb_d'), ('emb_a+emb_b+emb_c', 'emb_a|emb_b|emb_c'), ('emb_a+emb_b+emb_d', 'emb_a|emb_b|emb_d'), ('emb_a+emb_c+emb_d', 'emb_a|emb_c|emb_d'), ('emb_b+emb_c+emb_d', 'emb_b|emb_c|emb_d'), ('emb_a+emb_b+emb_c+emb_d', 'emb_a|emb_b|emb_c|emb_d')) t(combination, features)"""
+
 # --- report rounding ------------------------------------------------------------
 
 def _rewrite_round6(sql: str) -> str:

@@ -714,3 +714,251 @@ def q_kernel_as_features(spark, sf):
     """K5: the fused kernel row as the model input (width = training rows)."""
     fused = K.combine_kernels(_krows(spark, sf), ["fold", "role", "item_id"], KERNEL_WEIGHTS)
     return fused.select("fold", "role", "item_id", F.size("k").cast("bigint").alias("n_cols"), _ksum(F.col("k")))
+
+
+# --- sources, projections, alignment, set operations ------------------------------
+
+from ..operators import align as AL  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+from ..functions.arrays import nan_to_num as _nan_to_num, has_missing, flatten_frames  # noqa: E402
+from ..plans.evaluate import combo_of_set  # noqa: E402
+from ..functions import text as _T  # noqa: E402
+
+# Fixed values of the asset binding: candidate kinds in priority order.
+ASSET_PRIORITY = ["system", "assistant"]
+EXTRACTORS = ["emotion", "semantic"]
+
+
+def labels_quality(spark, sf):
+    return table(spark, sf, "labels").select(F.col("doc_id").alias("item_id"),
+                                             F.col("quality").cast("float").cast("double").alias("y"))
+
+
+@register("scan_feature_set")
+def q_scan_feature_set(spark, sf):
+    """One (2-D, padded) set of the labelled split, flattened."""
+    v = FS.scan_feature_set(B.feature_raw(spark, sf), "emb_c", "dev")
+    return v.select("item_id", F.posexplode("values").alias("idx", "value")).select(
+        "item_id", F.col("idx").cast("bigint"), round6(F.col("value")).alias("value"))
+
+
+@register("scan_labels")
+def q_scan_labels(spark, sf):
+    """S3: id -> float target."""
+    return labels_quality(spark, sf)
+
+
+@register("scan_item_list")
+def q_scan_item_list(spark, sf):
+    """The manifest ids."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"))
+
+
+@register("scan_transcripts")
+def q_scan_transcripts(spark, sf):
+    """One text per item (whole text; length reported)."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"),
+                                                F.length("text").cast("bigint").alias("n_chars"))
+
+
+@register("resolve_asset")
+def q_resolve_asset(spark, sf):
+    """First existing candidate per conversation by priority."""
+    c = table(spark, sf, "conversations")
+    listing = c.select(F.col("conv_id").alias("item_id"), F.col("role").alias("ext"))
+    return FS.resolve_asset(listing.select("item_id"), listing, ASSET_PRIORITY)
+
+
+def _partial_results(spark, sf):
+    res = sweep_results(spark, sf).cache()
+    return [res.where(F.col("model") == m) for m in ("rho_sign", "mean_z")]
+
+
+@register("sink_sweep_results")
+def q_sink_sweep_results(spark, sf):
+    """Merged, sorted sweep results."""
+    return FS.sink_sweep_results(_partial_results(spark, sf))
+
+
+@register("union_parts")
+def q_union_parts(spark, sf):
+    """Union of the partial result tables."""
+    a, b = _partial_results(spark, sf)
+    return a.unionByName(b)
+
+
+@register("sink_predictions")
+def q_sink_predictions(spark, sf):
+    """Per-run predictions with the sink's column names."""
+    p = B.split_predictions(spark, sf).select("cfg_id", "item_id", "p")
+    runs = spark.createDataFrame(BATCH_RUNS, "run_id bigint, cfg_id bigint")
+    out = FS.sink_predictions(ens.batch_ensembles(p, runs))
+    return out.select("run_id", "video", round6(F.col("mem_score")).alias("mem_score"))
+
+
+@register("nan_to_num")
+def q_nan_to_num(spark, sf):
+    """P1 on the faulty vectors: values zeroed and the cleaned sum."""
+    v = B.qa_vectors(spark, sf)
+    clean = _nan_to_num(F.col("values"))
+    return v.select("dir", "item_id",
+                    F.size(F.filter("values", lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf")))))
+                     .cast("bigint").alias("n_zeroed"),
+                    round6(F.aggregate(clean, F.lit(0.0), lambda a, b: a + b)).alias("clean_sum"))
+
+
+@register("flatten_frames")
+def q_flatten_frames(spark, sf):
+    """P2 on the 2-D sets (padded / truncated to three frames)."""
+    r = B.feature_raw(spark, sf).where(~F.col("is_global"))
+    return r.select("feature_set", "item_id",
+                    F.posexplode(flatten_frames(F.col("frames"), F.col("is_global"))).alias("idx", "value")) \
+            .select("feature_set", "item_id", F.col("idx").cast("bigint"), round6(F.col("value")).alias("value"))
+
+
+@register("explode_features")
+def q_explode_features(spark, sf):
+    """Named positional features of one set."""
+    v = B.feature_vec(spark, sf).where((F.col("split") == "dev") & (F.col("feature_set") == "emb_a"))
+    return AL.explode_features(v).select("item_id", "name", round6(F.col("value")).alias("value"))
+
+
+@register("concat_features")
+def q_concat_features(spark, sf):
+    """Early fusion of the four sets (global positions)."""
+    v = B.feature_vec(spark, sf).where(F.col("split") == "dev")
+    c = AL.concat_features(v, B.EMB_SETS)
+    return c.select("item_id", F.posexplode("values").alias("pos", "value")).select(
+        "item_id", F.col("pos").cast("bigint"), round6(F.col("value")).alias("value"))
+
+
+@register("take_indices")
+def q_take_indices(spark, sf):
+    """P5: the fold-selected columns of every labelled item (train and test
+    rows alike)."""
+    long = role_long(spark, sf).withColumnRenamed("cv_fold", "fold")
+    sel = top_n_spearman(dev_long(spark, sf), dev_folds(spark, sf), 30, B.EMB_SETS)
+    t = AL.take_indices(long, sel, ["fold", "feature_set", "idx"])
+    return t.groupBy("fold", "item_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_cols"),
+                                            round6(F.sum("value")).alias("value_sum"))
+
+
+@register("drop_incomplete")
+def q_drop_incomplete(spark, sf):
+    """Vectors without missing values (concat path)."""
+    v = B.qa_vectors(spark, sf)
+    return v.where(~has_missing(F.col("values"))).select("dir", "item_id")
+
+
+@register("features_string")
+def q_features_string(spark, sf):
+    """Pipe-joined set list of every combination present in the data."""
+    combos = B.emb_combos()
+    present = dev_long(spark, sf).select("feature_set").distinct().withColumn(
+        "combination", F.explode(F.element_at(combo_of_set(combos), F.col("feature_set"))))
+    fs = F.create_map(*sum([[F.lit(c), F.array_join(F.array(*[F.lit(s) for s in v]), "|")]
+                            for c, v in combos.items()], []))
+    return present.select("combination").distinct().select(
+        "combination", F.element_at(fs, F.col("combination")).alias("features"))
+
+
+@register("align_inner")
+def q_align_inner(spark, sf):
+    """Items in all four sets and in the quality labels."""
+    v = B.feature_vec(spark, sf).where(F.col("split") == "dev")
+    return AL.align_inner(v, B.EMB_SETS, labels_quality(spark, sf))
+
+
+@register("align_labels")
+def q_align_labels(spark, sf):
+    """Labels joined on the labelled split only."""
+    v = B.feature_vec(spark, sf).where(F.col("feature_set") == "emb_a").select("split", "item_id")
+    dev = v.where(F.col("split") == "dev").join(labels_quality(spark, sf), "item_id")
+    test = v.where(F.col("split") == "test").withColumn("y", F.lit(None).cast("double"))
+    return dev.select("split", "item_id", "y").unionByName(test.select("split", "item_id", "y"))
+
+
+@register("semi_align")
+def q_semi_align(spark, sf):
+    """Each set restricted to the shared labelled ids."""
+    v = B.feature_vec(spark, sf).where(F.col("split") == "dev")
+    s = AL.semi_align(v, B.EMB_SETS, labels_quality(spark, sf))
+    return s.groupBy("feature_set").agg(F.count(F.lit(1)).cast("bigint").alias("n_items"))
+
+
+@register("intersect_ids")
+def q_intersect_ids(spark, sf):
+    """Labelled-split ids that also carry a quality label."""
+    dev = B.item_labels(spark, sf).select("item_id")
+    return dev.intersect(labels_quality(spark, sf).select("item_id"))
+
+
+def _tasks(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id"), "text")
+    return d.withColumn("extractor", F.explode(F.array(*[F.lit(e) for e in EXTRACTORS])))
+
+
+def _done(spark, sf):
+    l = table(spark, sf, "labels")
+    return (l.select("doc_id", F.lit("emotion").alias("extractor"))
+             .unionByName(l.where(F.col("quality") == 1).select("doc_id", F.lit("semantic").alias("extractor"))))
+
+
+@register("anti_done")
+def q_anti_done(spark, sf):
+    """Extraction tasks whose output does not exist yet."""
+    return AL.anti_done(_tasks(spark, sf).select("doc_id", "extractor"), _done(spark, sf), ["doc_id", "extractor"])
+
+
+def _status(spark, sf):
+    t = _tasks(spark, sf).join(_done(spark, sf).withColumn("_done", F.lit(True)), ["doc_id", "extractor"], "left")
+    words = F.when(F.col("extractor") == "emotion", F.size(_T.tokenize_ws(_T.clean_text(F.col("text"))))) \
+             .otherwise(F.size(_T.tokenize_alpha(F.col("text"))))
+    status = (F.when(F.col("_done"), "skip_exists")
+               .when(_T.is_empty_text(F.col("text")), "skip_missing")
+               .when(words == 0, "fail").otherwise("ok"))
+    return t.select("doc_id", "extractor", status.alias("status"))
+
+
+@register("extract_status")
+def q_extract_status(spark, sf):
+    """Per item and extractor: skip (exists / missing input), ok, fail."""
+    return _status(spark, sf)
+
+
+@register("run_counts")
+def q_run_counts(spark, sf):
+    """A25."""
+    return AL.run_counts(_status(spark, sf), ["extractor"])
+
+
+# Fixed values of the grid binding.
+GRID_MODELS = ["rho_sign", "mean_z", "LinearRegression", "Ridge"]
+GRID_SELECTORS = ["none", "spearman_30"]
+GRID_FUSIONS = ["concat", "kernel"]
+
+
+def _present_combos(spark, sf):
+    combos = B.emb_combos()
+    return dev_long(spark, sf).select("feature_set").distinct().select(
+        F.explode(F.element_at(combo_of_set(combos), F.col("feature_set"))).alias("combination")).distinct()
+
+
+@register("grid_cross")
+def q_grid_cross(spark, sf):
+    """J9 (+ J4): the task grid over the combinations present, minus the
+    cells already in the results table."""
+    g = AL.grid(_present_combos(spark, sf), GRID_MODELS, GRID_SELECTORS, GRID_FUSIONS)
+    done = sweep_results(spark, sf).select("combination", "model", "selector", F.lit("concat").alias("fusion"))
+    return AL.anti_done(g, done, ["combination", "model", "selector", "fusion"])
+
+
+@register("registry_union")
+def q_registry_union(spark, sf):
+    """U4: single sets found in the data, then the groups (later wins)."""
+    singles = dev_long(spark, sf).select(F.col("feature_set").alias("combination")).distinct() \
+        .withColumn("feature_sets", F.array(F.col("combination")))
+    groups = spark.createDataFrame([(c, v) for c, v in B.emb_combos().items() if len(v) > 1],
+                                   "combination string, feature_sets array<string>")
+    r = AL.registry_union(singles, groups)
+    return r.select("combination", F.array_join("feature_sets", "|").alias("features"))

@@ -4,29 +4,30 @@ K5 kernel rows as features.
 
 Layout.  A kernel row is an ARRAY<DOUBLE> over the landmarks of its group
 (fold, feature_set), ordered by item id; landmarks are the training rows of
-the group.  The landmark matrix of a group is collected into one row and
-broadcast behind an explicit size check; every item row then computes its
-kernel row with higher-order functions.  Memory is rows x landmarks; no
-(row, row) pair table is ever materialised.  The bandwidth sample (first
-`max_samples` training rows by keyed hash, 500 as in the median heuristic)
-is paired inside its group row, so the pair count is bounded by the sample
-cap.
+the group.  Rows are spread over `buckets` tasks per group and every task
+receives the group's landmarks (replicated per bucket, size checked before),
+then numpy computes the block of squared distances and kernel values.
+Memory is rows x landmarks per task; no (row, row) pair table is ever
+written.  The bandwidth sample (first `max_samples` training rows by keyed
+hash, 500 as in the median heuristic) is paired inside one task per group,
+so the pair count is bounded by the sample cap.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import rbf
 from .folds import hash_key
+from .positions import block_row_number
 
 MAX_SAMPLES = 500
 MAX_LANDMARK_BYTES = 512 * 1024 * 1024
-
-
-def sq_dist(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+ROWS_PER_TASK = 512
 
 
 def vectors_from_long(long_df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -37,62 +38,141 @@ def vectors_from_long(long_df: DataFrame, keys: list[str], value: str = "value")
                     lambda s: s["v"]).alias("vec"))
 
 
-def landmarks(train_vecs: DataFrame, group_cols: list[str], seed: int = 42,
-              max_landmark_bytes: int = MAX_LANDMARK_BYTES) -> DataFrame:
-    """Collect each group's training vectors (ordered by item_id) into one
-    row after checking the total size that will be broadcast."""
-    stats = train_vecs.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).agg(
-        F.sum(F.col("n") * F.col("d") * 8).alias("bytes")).first()
-    if stats is not None and stats["bytes"] is not None and stats["bytes"] > max_landmark_bytes:
-        raise ValueError(f"landmark matrices take {stats['bytes']} bytes > {max_landmark_bytes}; "
-                         "raise max_landmark_bytes or reduce the training rows per group")
-    lm = train_vecs.groupBy(*group_cols).agg(
-        F.array_sort(F.collect_list(F.struct("item_id", "vec",
-                                             hash_key("item_id", seed).alias("h")))).alias("lm"))
-    return F.broadcast(lm)
-
-
-def median_gamma(lm: DataFrame, max_samples: int = MAX_SAMPLES) -> DataFrame:
+def check_landmarks(train_vecs: DataFrame, group_cols: list[str],
+                    max_bytes: int = MAX_LANDMARK_BYTES) -> int:
+    """Largest landmark count of a group; raises when a group's landmark
+    matrix would exceed `max_bytes` (it is shipped to every task of the
+    group)."""
+    st = train_vecs.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")) \
+        .agg(F.max("n").alias("n"), F.max(F.col("n") * F.col("d") * 8).alias("b")).first()
+    if st is None or st["n"] is None:
+        return 0
+    if st["b"] > max_bytes:
+        raise ValueError(f"a landmark matrix takes {st['b']} bytes > {max_bytes}")
+    return int(st["n"])
+
+
+def _sq_dists(q: np.ndarray, l: np.ndarray, exact: bool = False, chunk: int = 128) -> np.ndarray:
+    """Squared Euclidean distances.  Kernels use |q|^2 + |l|^2 - 2 q.l (one
+    BLAS product, clipped at 0); distances themselves (`exact`) sum squared
+    differences, since sqrt magnifies cancellation near 0."""
+    if not exact:
+        d = (q * q).sum(1)[:, None] + (l * l).sum(1)[None, :] - 2.0 * (q @ l.T)
+        return np.maximum(d, 0.0)
+    out = np.empty((q.shape[0], l.shape[0]))
+    for s in range(0, q.shape[0], chunk):
+        diff = q[s:s + chunk, None, :] - l[None, :, :]
+        out[s:s + chunk] = np.einsum("ijk,ijk->ij", diff, diff)
+    return out
+
+
+def _mat(col: pd.Series) -> np.ndarray:
+    return np.stack(col.to_numpy()).astype(float) if len(col) else np.zeros((0, 0))
+
+
+def median_gamma(train_vecs: DataFrame, group_cols: list[str], seed: int = 42,
+                 max_samples: int = MAX_SAMPLES) -> DataFrame:
     """gamma = 1 / (2 median^2) of the pairwise distances (strict upper
-    triangle) of the first `max_samples` landmarks by hash; 1.0 when the
-    median is <= 1e-10."""
-    sample = F.slice(F.array_sort(F.transform("lm", lambda s: F.struct(s["h"].alias("h"), s["vec"].alias("vec")))),
-                     1, max_samples)
-    m = F.size("_s")
-    dists = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(m - 2, F.lit(0))), lambda i: F.transform(
-        F.slice("_s", i + 2, F.greatest(m - i - 1, F.lit(1))),
-        lambda b: F.sqrt(sq_dist(F.element_at("_s", i + 1)["vec"], b["vec"])))))
-    with_d = lm.withColumn("_s", sample).withColumn("_d", F.when(m >= 2, F.array_sort(dists)))
-    k = F.size("_d")
-    lo = (F.floor((k - 1) / 2) + 1).cast("int")
-    hi = (F.floor(k / 2) + 1).cast("int")
-    med = (F.element_at("_d", lo) + F.element_at("_d", hi)) / 2.0
-    gamma = F.when((k > 0) & (med > 1e-10), 1.0 / (2.0 * med * med)).otherwise(F.lit(1.0))
-    return with_d.withColumn("gamma", gamma).drop("_s", "_d")
-
-
-def kernel_rows(rows: DataFrame, lm_gamma: DataFrame, group_cols: list[str]) -> DataFrame:
-    """K1 / K2 (F6 per entry): each row's kernel against its group's
-    landmarks.  rows: (group..., item_id, vec, ...) -> + k ARRAY<DOUBLE>."""
-    j = rows.join(lm_gamma.select(*group_cols, "lm", "gamma"), group_cols)
-    k = F.transform("lm", lambda l: rbf(sq_dist(F.col("vec"), l["vec"]), F.col("gamma")))
-    return j.withColumn("k", k).withColumn("lm_ids", F.transform("lm", lambda l: l["item_id"])) \
-            .drop("lm")
-
-
-def pairwise_distances(rows: DataFrame, lm: DataFrame, group_cols: list[str]) -> DataFrame:
+    triangle) of the first `max_samples` training rows by keyed hash; 1.0
+    when the median is <= 1e-10.  The sample is cut with a skew-safe block
+    row number, then one task per group pairs at most `max_samples` rows."""
+    h = train_vecs.withColumn("_h", hash_key("item_id", seed)).withColumn("_blk", F.substring("_h", 1, 3))
+    smp = block_row_number(h, group_cols, "_blk", ["_h", "item_id"], out="_pos") \
+        .where(F.col("_pos") < max_samples).select(*group_cols, "vec")
+
+    def gamma(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _mat(pdf["vec"])
+        n = x.shape[0]
+        g = 1.0
+        if n >= 2:
+            iu = np.triu_indices(n, k=1)
+            med = float(np.median(np.sqrt(_sq_dists(x, x, exact=True)[iu])))
+            g = 1.0 / (2.0 * med * med) if med > 1e-10 else 1.0
+        return pdf.iloc[:1][group_cols].assign(gamma=g)
+
+    schema = ", ".join(f"{c} {t}" for c, t in smp.select(*group_cols).dtypes) + ", gamma double"
+    return smp.groupBy(*group_cols).applyInPandas(gamma, schema)
+
+
+def _bucketed(rows: DataFrame, lms: DataFrame, group_cols: list[str], buckets: int) -> DataFrame:
+    q = rows.withColumn("_b", F.pmod(F.xxhash64("item_id"), F.lit(buckets)).cast("int")) \
+            .withColumn("_lm", F.lit(False))
+    l = lms.select(*group_cols, "item_id", "vec").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))) \
+           .withColumn("_lm", F.lit(True))
+    for c in rows.columns:
+        if c not in l.columns:
+            l = l.withColumn(c, F.lit(None).cast(dict(rows.dtypes)[c]))
+    return q.unionByName(l.select(*q.columns))
+
+
+def _buckets(rows: DataFrame, group_cols: list[str], rows_per_task: int) -> int:
+    n = rows.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 1
+    return max(1, math.ceil(n / rows_per_task))
+
+
+def _block_apply(rows: DataFrame, lms: DataFrame, group_cols: list[str], extra: DataFrame | None,
+                 fn, out_schema: str, rows_per_task: int) -> DataFrame:
+    b = _buckets(rows, group_cols, rows_per_task)
+    u = _bucketed(rows, lms, group_cols, b)
+    if extra is not None:
+        u = u.join(F.broadcast(extra), group_cols)
+    return u.groupBy(*group_cols, "_b").applyInPandas(fn, out_schema)
+
+
+def kernel_rows(rows: DataFrame, train_vecs: DataFrame, gamma: DataFrame, group_cols: list[str],
+                keep: list[str] | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """K1 / K2 (F6 per entry): each row's RBF kernel against its group's
+    landmarks.  rows: (group..., item_id, vec, keep...) -> (group..., item_id,
+    keep..., k ARRAY<DOUBLE>, lm_ids ARRAY<BIGINT>)."""
+    keep = keep or []
+    check_landmarks(train_vecs, group_cols)
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        lm = pdf[pdf["_lm"]].sort_values("item_id")
+        q = pdf[~pdf["_lm"]]
+        if q.empty:
+            return pd.DataFrame(columns=[*group_cols, "item_id", *keep, "k", "lm_ids"])
+        L = _mat(lm["vec"])
+        Q = _mat(q["vec"])
+        K = np.exp(-float(q["gamma"].iloc[0]) * _sq_dists(Q, L))
+        out = q[[*group_cols, "item_id", *keep]].copy()
+        out["k"] = list(K)
+        out["lm_ids"] = [lm["item_id"].to_numpy()] * len(out)
+        return out
+
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in [*group_cols, "item_id", *keep]) + \
+        ", k array<double>, lm_ids array<bigint>"
+    return _block_apply(rows.select(*group_cols, "item_id", "vec", *keep), train_vecs, group_cols,
+                        gamma.select(*group_cols, "gamma"), fn, schema, rows_per_task)
+
+
+def pairwise_distances(rows: DataFrame, train_vecs: DataFrame, group_cols: list[str],
+                       rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Euclidean distances of each row to every landmark of its group,
     as an array (no pair rows)."""
-    j = rows.join(lm.select(*group_cols, "lm"), group_cols)
-    return j.withColumn("dist", F.transform("lm", lambda l: F.sqrt(sq_dist(F.col("vec"), l["vec"])))) \
-            .withColumn("lm_ids", F.transform("lm", lambda l: l["item_id"])).drop("lm")
+    check_landmarks(train_vecs, group_cols)
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        lm = pdf[pdf["_lm"]].sort_values("item_id")
+        q = pdf[~pdf["_lm"]]
+        if q.empty:
+            return pd.DataFrame(columns=[*group_cols, "item_id", "dist"])
+        D = np.sqrt(_sq_dists(_mat(q["vec"]), _mat(lm["vec"]), exact=True))
+        out = q[[*group_cols, "item_id"]].copy()
+        out["dist"] = list(D)
+        return out
+
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in [*group_cols, "item_id"]) + ", dist array<double>"
+    return _block_apply(rows.select(*group_cols, "item_id", "vec"), train_vecs, group_cols, None, fn,
+                        schema, rows_per_task)
 
 
 def combine_kernels(krows: DataFrame, keys: list[str], weights: dict[str, float]) -> DataFrame:
     """K3: sum_s w_s * K_s element-wise.  krows: (keys..., feature_set, k).
-    Every fused row must have a kernel from every weighted set (else error,
-    as a length mismatch is in the reference)."""
+    Every fused row must have a kernel from every weighted set (else the job
+    fails, as a length mismatch does in the reference)."""
     if not weights:
         raise ValueError("kernel list must not be empty")
     wmap = F.create_map(*sum([[F.lit(s), F.lit(float(w))] for s, w in weights.items()], []))
@@ -103,7 +183,6 @@ def combine_kernels(krows: DataFrame, keys: list[str], weights: dict[str, float]
                         F.element_at("_ks", 1),
                         lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
     fused = F.when(F.size("_ks") > 1, fused).otherwise(F.element_at("_ks", 1))
-    # A group missing a weighted kernel fails the job (lazily, no extra pass).
     checked = F.when(F.col("_n") != len(weights),
                      F.raise_error(F.lit("weights length must equal the number of kernels"))
                      .cast("array<double>")).otherwise(fused)

@@ -647,31 +647,33 @@ def q_standardize(spark, sf):
 
 def kernel_inputs(spark, sf):
     z = scaled(spark, sf)
-    vecs = K.vectors_from_long(z, ["fold", "role", "feature_set", "item_id"], "z")
-    lm = K.landmarks(vecs.where(F.col("role") == "train"), ["fold", "feature_set"])
-    return vecs, K.median_gamma(lm)
+    # Reused by the size check, the bucket sizing, the bandwidth and the
+    # kernel jobs: persisted once (memory and disk) instead of recomputed.
+    vecs = K.vectors_from_long(z, ["fold", "role", "feature_set", "item_id"], "z").persist()
+    train = vecs.where(F.col("role") == "train")
+    return vecs, train, K.median_gamma(train, ["fold", "feature_set"])
 
 
 @register("median_gamma")
 def q_median_gamma(spark, sf):
     """RBF bandwidth per fold and set from the scaled training rows."""
-    _, lg = kernel_inputs(spark, sf)
-    return lg.select("fold", "feature_set", round6(F.col("gamma")).alias("gamma"))
+    _, _, g = kernel_inputs(spark, sf)
+    return g.select("fold", "feature_set", round6(F.col("gamma")).alias("gamma"))
 
 
 @register("pairwise_distance")
 def q_pairwise_distance(spark, sf):
     """Per training row, the sum of distances to the other training
     rows of its fold and set."""
-    vecs, lg = kernel_inputs(spark, sf)
-    d = K.pairwise_distances(vecs.where(F.col("role") == "train"), lg, ["fold", "feature_set"])
+    vecs, train, _ = kernel_inputs(spark, sf)
+    d = K.pairwise_distances(train, train, ["fold", "feature_set"])
     return d.select("fold", "feature_set", "item_id",
                     round6(F.aggregate("dist", F.lit(0.0), lambda a, b: a + b)).alias("dist_sum"))
 
 
 def _krows(spark, sf):
-    vecs, lg = kernel_inputs(spark, sf)
-    return K.kernel_rows(vecs, lg, ["fold", "feature_set"])
+    vecs, train, g = kernel_inputs(spark, sf)
+    return K.kernel_rows(vecs, train, g, ["fold", "feature_set"], keep=["role"])
 
 
 def _ksum(c):

@@ -83,7 +83,7 @@ def scan_item_list(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """One UTF-8 text per item (whole file), id = file stem."""
-    t = spark.read.option("wholetext", True).text(folder)
+    t = spark.read.text(folder, wholetext=True)
     stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
     return t.select(stem.alias("item_id"), F.col("value").alias("text"))
 

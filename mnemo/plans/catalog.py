@@ -964,3 +964,110 @@ def q_registry_union(spark, sf):
                                    "combination string, feature_sets array<string>")
     r = AL.registry_union(singles, groups)
     return r.select("combination", F.array_join("feature_sets", "|").alias("features"))
+
+
+# --- learners and full evaluations (rows-only checks) -------------------------------
+
+from . import evaluate as EV  # noqa: E402
+from .learners import fit_predict  # noqa: E402
+from ..operators.ensemble import ensemble_predict as _fuse_predict  # noqa: E402
+
+
+def cv_rows(spark, sf):
+    return EV.role_rows(dev_long(spark, sf), dev_folds(spark, sf))
+
+
+def _model_query(spark, sf, model, sets=("emb_a", "emb_b"), selector="none", fusion="concat", trees=100):
+    rows = cv_rows(spark, sf)
+    d = EV.concat_design(rows, list(sets), selector) if fusion == "concat" else \
+        EV.kernel_design(rows, list(sets), selector)
+    pred = fit_predict(d, model, trees=trees)
+    return EV.score_folds(pred).select("fold", round6(F.col("spearman")).alias("spearman"))
+
+
+@register("ols")
+def q_ols(spark, sf):
+    """M3: least squares on the scaled emb_a+emb_b columns, per-fold Spearman."""
+    return _model_query(spark, sf, "LinearRegression")
+
+
+@register("ridge")
+def q_ridge(spark, sf):
+    """M4: ridge (alpha 1) per fold."""
+    return _model_query(spark, sf, "Ridge")
+
+
+@register("gbt")
+def q_gbt(spark, sf):
+    """M5: gradient-boosted trees (100 x depth 3) per fold."""
+    return _model_query(spark, sf, "GradientBoosting", sets=("emb_a",))
+
+
+@register("rbf_regression")
+def q_rbf_regression(spark, sf):
+    """M6: robust regression on fused RBF kernel columns per fold."""
+    return _model_query(spark, sf, "SVR", sets=("emb_a", "emb_b"), fusion="kernel")
+
+
+@register("mlp_regression")
+def q_mlp_regression(spark, sf):
+    """M7: quantile-bin MLP per fold."""
+    return _model_query(spark, sf, "MLP", sets=("emb_a",))
+
+
+@register("pca_k")
+def q_pca_k(spark, sf):
+    """M2: PCA to 8 components fitted per training fold (first component
+    reported; signs are not defined)."""
+    rows = cv_rows(spark, sf)
+    d = EV.concat_design(rows, ["emb_a", "emb_b"], "pca_8")
+    return d.select("fold", "role", "item_id", F.size("features").cast("bigint").alias("n_components"))
+
+
+@register("evaluate_model")
+def q_evaluate_model(spark, sf):
+    """E1 with a Spark ML learner: Ridge on emb_a+emb_c, Spearman top-30."""
+    return EV.evaluate_model(spark, cv_rows(spark, sf), "emb_a+emb_c", ["emb_a", "emb_c"], B.EMB_WIDTHS,
+                             "spearman_30", "Ridge")
+
+
+@register("evaluate_kernel")
+def q_evaluate_kernel(spark, sf):
+    """Kernel fusion of emb_a and emb_b, Ridge on the fused kernel rows."""
+    return EV.evaluate_model(spark, cv_rows(spark, sf), "emb_a+emb_b", ["emb_a", "emb_b"], B.EMB_WIDTHS,
+                             "none", "Ridge", fusion="kernel")
+
+
+@register("sweep")
+def q_sweep(spark, sf):
+    """A grid of 3 combinations x 2 selectors x 2 linear models x both
+    fusions, evaluated as concurrent Spark jobs."""
+    combos = {c: v for c, v in B.emb_combos().items() if c in ("emb_a", "emb_d", "emb_a+emb_b")}
+    return EV.sweep(spark, cv_rows(spark, sf), combos, B.EMB_WIDTHS, ["LinearRegression", "Ridge"],
+                    ["none", "spearman_30"], "both")
+
+
+@register("kernel_predict")
+def q_kernel_predict(spark, sf):
+    """Kernel fusion fitted on the labelled split, unlabelled split predicted."""
+    p = EV.kernel_predict(spark, B.feature_long(spark, sf), B.item_labels(spark, sf),
+                          ["emb_a", "emb_b"], "none", "Ridge")
+    return p.select("item_id", round6(F.col("pred")).alias("pred"))
+
+
+# Fixed values of the fitted-ensemble binding.
+FIT_CONFIGS = [
+    {"cfg_id": 1, "combo": "emb_a+emb_b", "model": "Ridge", "selector": "spearman_30", "preprocessing": "concat"},
+    {"cfg_id": 2, "combo": "emb_c", "model": "LinearRegression", "selector": "none", "preprocessing": "concat"},
+    {"cfg_id": 3, "combo": "emb_a+emb_d", "model": "Ridge", "selector": "none", "preprocessing": "kernel"},
+    {"cfg_id": 4, "combo": "no_such_combo", "model": "Ridge", "selector": "none", "preprocessing": "concat"},
+]
+
+
+@register("ensemble_fit_predict")
+def q_ensemble_fit_predict(spark, sf):
+    """E6 end to end: configs fitted on the labelled split, the other split
+    predicted, failed configs dropped, rank-average fusion."""
+    p = EV.predict_configs(spark, B.feature_long(spark, sf), B.item_labels(spark, sf), FIT_CONFIGS,
+                           B.emb_combos())
+    return _fuse_predict(p).select("item_id", round6(F.col("fused")).alias("score"))

@@ -67,3 +67,169 @@ def evaluate_scored(long_dev: DataFrame, folded: DataFrame, combos: dict[str, li
                            F.element_at(nfeat, F.col("combination")).cast("bigint").alias("n_features"),
                            F.col("n_samples").cast("bigint"), F.lit("none").alias("selector"), "model",
                            "mean_spearman", "std_spearman", "min_spearman", "max_spearman"))
+
+
+# --- E1 / E2 with Spark ML learners, E8, E3 ---------------------------------------
+
+from ..operators import kernels as K  # noqa: E402
+from ..operators.folds import explode_roles  # noqa: E402
+from ..operators.ranks import top_n_spearman  # noqa: E402
+from .learners import fit_predict, pca_project, scale_arrays  # noqa: E402
+from ..session import cut_lineage  # noqa: E402
+
+
+def role_rows(long_df: DataFrame, folded: DataFrame, k: int = 5) -> DataFrame:
+    """(fold, role, item_id, y, feature_set, idx, value): every labelled row
+    once per CV fold, as 'test' in its own fold and 'train' elsewhere."""
+    roles = explode_roles(folded.select("item_id", "y", "fold"), k).select(
+        F.col("cv_fold").alias("fold"), "role", "item_id", "y")
+    return long_df.join(roles, "item_id")
+
+
+def full_rows(long_all: DataFrame, labels: DataFrame, train_split: str = "dev",
+              predict_split: str = "test") -> DataFrame:
+    """Fit on the whole labelled split, predict the other: one pseudo-fold 0."""
+    tr = long_all.where(F.col("split") == train_split).join(labels, "item_id").withColumn("role", F.lit("train"))
+    te = long_all.where(F.col("split") == predict_split).withColumn("y", F.lit(None).cast("double")) \
+        .withColumn("role", F.lit("test"))
+    return tr.unionByName(te).drop("split").withColumn("fold", F.lit(0).cast("bigint"))
+
+
+def _select_rows(rows: DataFrame, sets: list[str], selector: str, n_train_rows: DataFrame | None) -> DataFrame:
+    """Spearman selection fitted on the train rows of each fold."""
+    if not selector.startswith("spearman_"):
+        return rows
+    n = int(selector.split("_")[1])
+    train = rows.where(F.col("role") == "train")
+    from ..operators.ranks import feature_rho, _select_top
+    rho = feature_rho(train.select("fold", "item_id", "feature_set", "idx", "value"),
+                      train.select("fold", "item_id", "y").distinct(), ["fold"])
+    sel = _select_top(rho, ["fold"], n, sets)
+    return rows.join(F.broadcast(sel.select("fold", "feature_set", "idx")), ["fold", "feature_set", "idx"], "left_semi")
+
+
+def assemble(rows: DataFrame, sets: list[str]) -> DataFrame:
+    """Concatenate the (selected) positions of every set, in set then idx
+    order, into `features`.  A group is one item's vector (bounded)."""
+    order = F.array_position(F.array(*[F.lit(s) for s in sets]), F.col("feature_set"))
+    return rows.withColumn("_o", order).groupBy("fold", "role", "item_id", "y").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_o", "idx", "value"))), lambda s: s["value"])
+         .alias("features"))
+
+
+def concat_design(rows: DataFrame, sets: list[str], selector: str) -> DataFrame:
+    """select (fold-fitted) -> [PCA] -> scale: the model input of E1."""
+    rows = rows.where(F.col("feature_set").isin(*sets))
+    x = assemble(_select_rows(rows, sets, selector, None), sets)
+    if selector.startswith("pca_"):
+        x = pca_project(x, int(selector.split("_")[1]))
+    return scale_arrays(x, ["fold"])
+
+
+def kernel_design(rows: DataFrame, sets: list[str], selector: str,
+                  weights: dict[str, float] | None = None) -> DataFrame:
+    """Per set: select -> [PCA] -> scale -> median gamma -> kernel rows
+    against the fold's training rows; weighted sum; scaled again (E2)."""
+    fused_parts = []
+    for s in sets:
+        x = concat_design(rows, [s], selector).withColumn("feature_set", F.lit(s))
+        vec = cut_lineage(x.withColumnRenamed("features", "vec"))
+        train = vec.where(F.col("role") == "train")
+        g = K.median_gamma(train, ["fold", "feature_set"])
+        kr = K.kernel_rows(vec, train, g, ["fold", "feature_set"], keep=["role", "y"])
+        fused_parts.append(kr)
+    allk = fused_parts[0]
+    for p in fused_parts[1:]:
+        allk = allk.unionByName(p)
+    w = weights or {s: 1.0 for s in sets}
+    fused = K.combine_kernels(allk, ["fold", "role", "item_id", "y"], w).withColumnRenamed("k", "features")
+    return scale_arrays(fused, ["fold"])
+
+
+def score_folds(pred: DataFrame) -> DataFrame:
+    """A5 per fold: Spearman(y, pred) on the test rows."""
+    r = average_rank(average_rank(pred, ["fold"], "y", "ry"), ["fold"], "pred", "rp")
+    return r.groupBy("fold").agg(safe_pearson("ry", "rp").alias("spearman"))
+
+
+def evaluate_model(spark, rows: DataFrame, combo: str, sets: list[str], widths: dict[str, int],
+                   selector: str, model: str, fusion: str = "concat", trees: int = 100) -> DataFrame:
+    """E1 (fusion='concat') / E2 ('kernel'): one sweep-result row."""
+    design = concat_design(rows, sets, selector) if fusion == "concat" else kernel_design(rows, sets, selector)
+    pred = fit_predict(design, model, trees=trees)
+    stats = fold_stats(score_folds(pred).withColumn("_k", F.lit(1)), ["_k"])
+    n = rows.select("item_id").distinct().count()
+    return stats.select(
+        F.lit(combo).alias("combination"), F.lit("|".join(sets)).alias("features"),
+        F.lit(sum(widths[s] for s in sets)).cast("bigint").alias("n_features"),
+        F.lit(n).cast("bigint").alias("n_samples"), F.lit(selector).alias("selector"),
+        F.lit(model if fusion == "concat" else f"KF_{model}").alias("model"),
+        "mean_spearman", "std_spearman", "min_spearman", "max_spearman")
+
+
+def sweep(spark, rows: DataFrame, combos: dict[str, list[str]], widths: dict[str, int],
+          models: list[str], selectors: list[str], fusion: str = "both",
+          done: DataFrame | None = None, results_path: str | None = None,
+          threads: int = 2, trees: int = 100) -> DataFrame:
+    """Every (combination x selector x model x fusion) cell not yet in
+    `done` (J4), evaluated as concurrent Spark jobs; a failing cell is logged
+    and skipped; results are appended to `results_path` when given (resume =
+    pass the same table as `done`)."""
+    from concurrent.futures import ThreadPoolExecutor
+    fusions = ["kernel", "concat"] if fusion == "both" else [fusion]
+    tasks = [(f, c, m, s) for f in fusions for c in combos for m in models for s in selectors]
+    if done is not None:
+        have = {(r["combination"], r["model"], r["selector"]) for r in
+                done.select("combination", "model", "selector").collect()}
+        tasks = [t for t in tasks if (t[1], t[2] if t[0] == "concat" else f"KF_{t[2]}", t[3]) not in have]
+
+    def run(t):
+        f, c, m, s = t
+        try:
+            return evaluate_model(spark, rows, c, combos[c], widths, s, m, f, trees).collect()
+        except Exception as exc:  # noqa: BLE001 - a failed cell is skipped, as in the reference
+            print(f"  [ERROR] {c}/{m}/{s}/{f}: {str(exc)[:200]}")
+            return []
+
+    with ThreadPoolExecutor(max_workers=threads) as ex:
+        rows_out = [r for part in ex.map(run, tasks) for r in part]
+    schema = ("combination string, features string, n_features bigint, n_samples bigint, selector string, "
+              "model string, mean_spearman double, std_spearman double, min_spearman double, max_spearman double")
+    res = spark.createDataFrame(rows_out, schema)
+    if results_path:
+        res.write.mode("append").parquet(results_path)
+    return res.orderBy(F.col("mean_spearman").desc())
+
+
+def kernel_predict(spark, long_all: DataFrame, labels: DataFrame, sets: list[str], selector: str,
+                   model: str, weights: dict[str, float] | None = None, trees: int = 100) -> DataFrame:
+    """Kernel fusion fitted on the whole labelled split, predictions for
+    the other split.  -> (item_id, pred)."""
+    rows = full_rows(long_all, labels)
+    design = kernel_design(rows, sets, selector, weights)
+    return fit_predict(design, model, trees=trees).select("item_id", "pred")
+
+
+def predict_configs(spark, long_all: DataFrame, labels: DataFrame, configs: list[dict],
+                    combos: dict[str, list[str]], trees: int = 100) -> DataFrame:
+    """E6 inputs: every config fitted on the labelled split and applied to
+    the other; a failing config contributes no rows (dropped).
+    -> (cfg_id, item_id, p)."""
+    rows = full_rows(long_all, labels)
+    parts = []
+    for c in configs:
+        try:
+            sets = combos[c["combo"]]
+            d = concat_design(rows, sets, c["selector"]) if c["preprocessing"] == "concat" \
+                else kernel_design(rows, sets, c["selector"])
+            p = fit_predict(d, c["model"], trees=trees)
+            parts.append(p.select(F.lit(c["cfg_id"]).cast("bigint").alias("cfg_id"), "item_id",
+                                  F.col("pred").alias("p")))
+        except Exception as exc:  # noqa: BLE001
+            print(f"  [ERROR] config {c}: {str(exc)[:200]}")
+    if not parts:
+        return spark.createDataFrame([], "cfg_id bigint, item_id bigint, p double")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

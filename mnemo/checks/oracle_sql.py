@@ -455,6 +455,8 @@ SELECT doc_id, dominant_emotion, """ + ", ".join(f"round({e}_score, 6) + 0.0 AS
   CAST(dominant_emotion = 'fear' AS DOUBLE) AS dom_fear, CAST(dominant_emotion = 'sadness' AS DOUBLE) AS dom_sadness
 FROM dom JOIN lc USING (doc_id)"""
 
+SQL["incremental_emotion"] = SQL["emotion_features"]
+
 SEM = """plex AS (SELECT * FROM (VALUES
   ('is', 'VERB'), ('was', 'VERB'), ('are', 'VERB'), ('be', 'VERB'), ('have', 'VERB'),
   ('est', 'VERB'), ('ist', 'VERB'), ('es', 'VERB'),

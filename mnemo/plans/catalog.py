@@ -1071,3 +1071,30 @@ def q_ensemble_fit_predict(spark, sf):
     p = EV.predict_configs(spark, B.feature_long(spark, sf), B.item_labels(spark, sf), FIT_CONFIGS,
                            B.emb_combos())
     return _fuse_predict(p).select("item_id", round6(F.col("fused")).alias("score"))
+
+
+# --- streaming ------------------------------------------------------------------------
+
+from ..streaming import incremental as INC  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
+
+
+@register("incremental_emotion")
+def q_incremental_emotion(spark, sf):
+    """X1 run incrementally: the documents table read as a stream, every
+    micro-batch extracted and written to a table in the shared checkpoint
+    folder; the stream checkpoint is what skips already-processed input."""
+    import uuid
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/incremental-{uuid.uuid4().hex}"
+    stream = INC.parquet_text_stream(spark, f"{sf.rstrip('/')}/documents[.]parquet",
+                                     "doc_id bigint, text string, lang string, source string, n_chars bigint",
+                                     "doc_id")
+    lex = emotion_lexicon(spark)
+
+    def extract(batch):
+        r = TF.emotion_features(batch, "item_id", lex)
+        return r.select(F.col("item_id").alias("doc_id"), "dominant_emotion",
+                        *[round6(F.col(c).cast("double")).alias(c) for c in TF.EMOTION_VECTOR])
+
+    INC.stream_features(stream, extract, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").drop("batch_id")

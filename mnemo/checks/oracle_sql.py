@@ -927,6 +927,29 @@ WHERE NOT EXISTS (SELECT 1 FROM res r WHERE r.combination = c.combination AND r.
 SQL["registry_union"] = """SELECT * FROM (VALUES ('emb_a', 'emb_a'), ('emb_b', 'emb_b'), ('emb_c', 'emb_c'), ('emb_d', 'emb_d'),
   ('emb_a+emb_b', 'emb_a|emb_b'), ('emb_a+emb_c', 'emb_a|emb_c'), ('emb_a+emb_d', 'emb_a|emb_d'), ('emb_b+emb_c', 'emb_b|emb_c'), ('emb_b+emb_d', 'emb_b|emb_d'), ('emb_c+emb_d', 'emb_c|emb_d'), ('emb_a+emb_b+emb_c', 'emb_a|emb_b|emb_c'), ('emb_a+emb_b+emb_d', 'emb_a|emb_b|emb_d'), ('emb_a+emb_c+emb_d', 'emb_a|emb_c|emb_d'), ('emb_b+emb_c+emb_d', 'emb_b|emb_c|emb_d'), ('emb_a+emb_b+emb_c+emb_d', 'emb_a|emb_b|emb_c|emb_d')) t(combination, features)"""
 
+# --- K4: fold kernels with per-set Spearman top-8 selection ---------------------
+
+SQL["fold_kernels"] = with_(EMB, VEC, LNG, FOLDS, TRAIN) + """,
+yr AS (SELECT item_id, tf, """ + AVG_RANK.format(w="w") + """ AS ry FROM train WINDOW w AS (PARTITION BY tf ORDER BY y)),
+fr AS (
+  SELECT t.tf, l.feature_set, l.idx, l.item_id, """ + AVG_RANK.format(w="w") + """ AS rv
+  FROM lng l JOIN train t USING (item_id) WHERE l.split = 'dev'
+  WINDOW w AS (PARTITION BY t.tf, l.feature_set, l.idx ORDER BY l.value)),
+st AS (
+  SELECT tf AS fold, feature_set, idx, """ + GUARDED.format(a="rv", b="ry") + """ AS rho
+  FROM fr JOIN yr USING (item_id, tf) GROUP BY tf, feature_set, idx),
+sel AS (SELECT fold, feature_set, idx FROM (
+  SELECT *, row_number() OVER (PARTITION BY fold, feature_set ORDER BY round(abs(rho), 9) DESC, idx) AS rn
+  FROM st) WHERE rn <= 8),
+rl0 AS (
+  SELECT CAST(k.range AS BIGINT) AS fold, CASE WHEN f.fold = k.range THEN 'test' ELSE 'train' END AS role,
+         l.item_id, l.feature_set, l.idx, l.value
+  FROM lng l JOIN folds f USING (item_id) CROSS JOIN range(1, 6) k WHERE l.split = 'dev'),
+rl AS (SELECT r.* FROM rl0 r JOIN sel s USING (fold, feature_set, idx)),
+""" + KER[KER.index("mom AS ("):].replace("('emb_b', 0.5), ('emb_c', 2.0)", "('emb_b', 1.0), ('emb_c', 1.0)") + """
+SELECT fold, role, i AS item_id, round(sum(w * k), 6) + 0.0 AS k_sum
+FROM kk JOIN wts USING (feature_set) GROUP BY fold, role, i"""
+
 # --- report rounding ------------------------------------------------------------
 
 def _rewrite_round6(sql: str) -> str:

@@ -1098,3 +1098,28 @@ def q_incremental_emotion(spark, sf):
 
     INC.stream_features(stream, extract, f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").drop("batch_id")
+
+
+# --- X5 and K4 ---------------------------------------------------------------------------
+
+from .extract import extract_all  # noqa: E402
+
+
+@register("extract_all")
+def q_extract_all(spark, sf):
+    """Emotion + semantic on the documents, segmented + global audio on
+    the clips, quality rules on all outputs, directory summary."""
+    d = table(spark, sf, "documents").select(B.split_of("doc_id").alias("split"),
+                                             F.col("doc_id").alias("item_id"), "text")
+    fr = B.clip_frames(spark, sf).withColumn("split", B.split_of("clip_id"))
+    out = extract_all(d, fr, B.clip_turns(spark, sf), B.qa_levels(spark, sf), emotion_lexicon(spark),
+                      pos_lexicon(spark), ["dev", "test"])
+    return out["summary"]
+
+
+@register("fold_kernels")
+def q_fold_kernels(spark, sf):
+    """K4: per fold and set, top-8 Spearman selection -> scaling -> median
+    gamma -> kernel rows; the four kernels summed (row sums reported)."""
+    fused = EV.fused_kernel(cv_rows(spark, sf), B.EMB_SETS, "spearman_8")
+    return fused.select("fold", "role", "item_id", _ksum(F.col("k")))

@@ -126,23 +126,31 @@ def concat_design(rows: DataFrame, sets: list[str], selector: str) -> DataFrame:
     return scale_arrays(x, ["fold"])
 
 
-def kernel_design(rows: DataFrame, sets: list[str], selector: str,
-                  weights: dict[str, float] | None = None) -> DataFrame:
-    """Per set: select -> [PCA] -> scale -> median gamma -> kernel rows
-    against the fold's training rows; weighted sum; scaled again (E2)."""
-    fused_parts = []
+def fused_kernel(rows: DataFrame, sets: list[str], selector: str,
+                 weights: dict[str, float] | None = None) -> DataFrame:
+    """K4: per set select -> [PCA] -> scale -> median gamma -> kernel rows
+    against the fold's training rows; weighted sum (K3).
+    -> (fold, role, item_id, y, k)."""
+    parts = []
     for s in sets:
         x = concat_design(rows, [s], selector).withColumn("feature_set", F.lit(s))
+        # the per-set vectors feed the size check, the bucket sizing, the
+        # bandwidth and the kernel jobs: lineage cut once
         vec = cut_lineage(x.withColumnRenamed("features", "vec"))
         train = vec.where(F.col("role") == "train")
         g = K.median_gamma(train, ["fold", "feature_set"])
-        kr = K.kernel_rows(vec, train, g, ["fold", "feature_set"], keep=["role", "y"])
-        fused_parts.append(kr)
-    allk = fused_parts[0]
-    for p in fused_parts[1:]:
+        parts.append(K.kernel_rows(vec, train, g, ["fold", "feature_set"], keep=["role", "y"]))
+    allk = parts[0]
+    for p in parts[1:]:
         allk = allk.unionByName(p)
     w = weights or {s: 1.0 for s in sets}
-    fused = K.combine_kernels(allk, ["fold", "role", "item_id", "y"], w).withColumnRenamed("k", "features")
+    return K.combine_kernels(allk, ["fold", "role", "item_id", "y"], w)
+
+
+def kernel_design(rows: DataFrame, sets: list[str], selector: str,
+                  weights: dict[str, float] | None = None) -> DataFrame:
+    """E2 model input: the fused kernel row, scaled again (K5)."""
+    fused = fused_kernel(rows, sets, selector, weights).withColumnRenamed("k", "features")
     return scale_arrays(fused, ["fold"])
 
 

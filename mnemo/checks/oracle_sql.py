@@ -950,6 +950,24 @@ rl AS (SELECT r.* FROM rl0 r JOIN sel s USING (fold, feature_set, idx)),
 SELECT fold, role, i AS item_id, round(sum(w * k), 6) + 0.0 AS k_sum
 FROM kk JOIN wts USING (feature_set) GROUP BY fold, role, i"""
 
+# --- single-operator views ------------------------------------------------------
+
+SQL["significance_stars"] = with_(*RES_ALL, MARKERS, WELCH) + """
+SELECT feature, round(p, 6) + 0.0 AS p,
+       CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '** ' WHEN p < 0.05 THEN '*  ' ELSE 'n.s' END AS sig
+FROM tp"""
+SQL["fold_stats"] = with_(*RES_ALL) + """
+SELECT combination, model, mean_spearman, std_spearman, min_spearman, max_spearman FROM res"""
+SQL["emotion_vector"] = with_(ELEX) + """, lc AS (
+  SELECT doc_id, len(w) AS word_count, len(list_distinct(w)) AS vocab_size,
+    CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 'NaN'::DOUBLE END AS unique_word_ratio,
+    CASE WHEN len(w) > 0 THEN """ + LENSUM.format(w="w") + """ / len(w) ELSE 'NaN'::DOUBLE END AS avg_word_length
+  FROM (SELECT doc_id, """ + WSTOK.format(t=CLEAN.format(t="text")) + """ AS w FROM documents))
+SELECT doc_id, CAST(19 AS BIGINT) AS n, round(""" + " + ".join(f"{e}_score" for e in EMO10) + """
+  + word_count + vocab_size + unique_word_ratio + avg_word_length + emotion_intensity
+  + CAST(dominant_emotion <> 'none' AS DOUBLE), 6) + 0.0 AS vector_sum
+FROM dom JOIN lc USING (doc_id)"""
+
 # --- report rounding ------------------------------------------------------------
 
 def _rewrite_round6(sql: str) -> str:

@@ -87,10 +87,34 @@ EMOTION_VECTOR = ([f"{e}_score" for e in EMOTION_LABELS]
 def emotion_features(docs: DataFrame, id_col: str, lexicon: DataFrame,
                      text_col: str = "text") -> DataFrame:
     """The 19 named values (A13 order) plus `dominant_emotion`, and
-    `vector` = the 19 values as ARRAY<DOUBLE>."""
-    comp = language_complexity(docs, id_col, text_col)
-    emo = dominant_emotion(emotion_scores(docs, id_col, lexicon, text_col))
-    out = comp.join(emo, id_col)
+    `vector` = the 19 values as ARRAY<DOUBLE>.
+
+    One pass over the text: the token array gives the complexity values,
+    the same projection explodes the tokens (carrying those values), tokens
+    probe the broadcast word -> labels lexicon, and one aggregation per
+    document (partial on the map side: a document's tokens never leave their
+    task before being reduced to one row) counts the label hits.
+    """
+    words = tokenize_ws(clean_text(F.col(text_col)))
+    n = F.size("_w")
+    base = docs.select(id_col, words.alias("_w")).select(
+        id_col, n.cast("bigint").alias("word_count"),
+        F.size(F.array_distinct("_w")).cast("bigint").alias("vocab_size"),
+        F.when(n > 0, F.size(F.array_distinct("_w")) / n).otherwise(_nan()).alias("unique_word_ratio"),
+        F.when(n > 0, F.aggregate(F.transform("_w", F.length), F.lit(0), lambda a, b: a + b) / n)
+         .otherwise(_nan()).alias("avg_word_length"), "_w")
+    keys = [id_col, "word_count", "vocab_size", "unique_word_ratio", "avg_word_length"]
+    # per-document values are projected before the explode (else they would
+    # be re-evaluated on every token row)
+    base = base.select(*keys, F.explode_outer("_w").alias("word"))
+    lex = lexicon.groupBy("word").agg(F.collect_set("emotion").alias("_e"))
+    hits = (base.join(broadcast_checked(lex), "word", "left")
+                .groupBy(*keys).agg(*[F.sum(F.when(F.array_contains("_e", e), 1).otherwise(0)).alias(e)
+                                      for e in EMOTION_LABELS]))
+    tot = sum(F.col(e) for e in EMOTION_LABELS)
+    scored = hits.select(*keys, *[F.when(tot > 0, F.col(e) / tot).otherwise(F.lit(0.0)).alias(f"{e}_score")
+                                  for e in EMOTION_LABELS])
+    out = dominant_emotion(scored)
     return out.withColumn("vector", F.array(*[F.col(c).cast("double") for c in EMOTION_VECTOR]))
 
 
@@ -101,36 +125,40 @@ def semantic_features(docs: DataFrame, id_col: str, vocab: DataFrame, pos_lex: D
     text without words.
 
     rarity = -mean(ln(count(w) / corpus size)), unseen words count 1 and the
-    corpus size is not adjusted for them.
+    corpus size is not adjusted for them.  One pass over the text: per
+    document values and the (doc, word) counts come from the same
+    projection; the vocabulary lookup salts hot words.
     """
     words = tokenize_alpha(F.col(text_col))
-    base = docs.select(id_col, words.alias("_w"), sentence_count(F.col(text_col)).alias("_ns"))
     n = F.size("_w")
-    per_doc = base.select(
+    per_doc = docs.select(id_col, words.alias("_w"), sentence_count(F.col(text_col)).alias("_ns")).select(
         id_col, n.alias("num_words"),
         F.try_divide(F.size(F.array_distinct("_w")), n).alias("lexical_diversity"),
         F.try_divide(F.aggregate(F.transform("_w", F.length), F.lit(0), lambda a, b: a + b), n)
          .alias("avg_word_length"),
-        F.when(F.col("_ns") > 0, F.try_divide(n, F.col("_ns"))).otherwise(F.lit(0.0)).alias("avg_sentence_length"))
-    # (doc, word, c): bounded per document; hot words salted in the lookup.
-    dw = (base.select(id_col, F.explode("_w").alias("word"))
-              .groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("c")))
-    pos = (dw.join(broadcast_checked(pos_lex), "word")
-             .groupBy(id_col).agg(*[F.sum(F.when(F.col("pos") == p, F.col("c")).otherwise(0)).alias(p)
-                                    for p in ("NOUN", "VERB", "ADJ")]))
+        F.when(F.col("_ns") > 0, F.try_divide(n, F.col("_ns"))).otherwise(F.lit(0.0)).alias("avg_sentence_length"),
+        "_w")
+    keys = [id_col, "num_words", "lexical_diversity", "avg_word_length", "avg_sentence_length"]
+    per_doc = per_doc.select(*keys, F.explode_outer("_w").alias("word"))
+    # (doc, word, c): bounded per document, reduced before any shuffle
+    dw = per_doc.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("c"))
+    pos = pos_lex.groupBy("word").agg(F.first("pos").alias("pos"))
     total = vocab.agg(F.sum("n").alias("_tot")).withColumn("_j", F.lit(0))
-    looked = skew_safe_lookup(dw, vocab, "word", "n", id_col, salts=salts)
-    rar = (looked.withColumn("_j", F.lit(0)).join(F.broadcast(total), "_j")
-                 .groupBy(id_col).agg(F.try_divide(
-                     -F.sum(F.col("c") * F.ln(F.coalesce(F.col("n"), F.lit(1)) / F.col("_tot"))),
-                     F.sum("c")).alias("rarity")))
-    out = (per_doc.join(pos, id_col, "left").join(rar, id_col, "left")
-                  .select(id_col, "num_words",
-                          *[F.try_divide(F.coalesce(F.col(p), F.lit(0)), F.col("num_words")).alias(f"{p.lower()}_ratio")
-                            for p in ("NOUN", "VERB", "ADJ")],
-                          "lexical_diversity", "avg_word_length", "avg_sentence_length", "rarity"))
+    looked = skew_safe_lookup(dw.join(broadcast_checked(pos), "word", "left"), vocab, "word", "n", id_col,
+                              salts=salts)
+    agg = (looked.withColumn("_j", F.lit(0)).join(F.broadcast(total), "_j")
+                 .groupBy(*keys).agg(
+                     *[F.sum(F.when(F.col("pos") == p, F.col("c")).otherwise(0)).alias(p)
+                       for p in ("NOUN", "VERB", "ADJ")],
+                     F.try_divide(-F.sum(F.when(F.col("word").isNotNull(),
+                                                F.col("c") * F.ln(F.coalesce(F.col("n"), F.lit(1)) / F.col("_tot")))),
+                                  F.sum(F.when(F.col("word").isNotNull(), F.col("c")))).alias("rarity")))
     names = ["noun_ratio", "verb_ratio", "adj_ratio", "lexical_diversity", "avg_word_length",
              "avg_sentence_length", "rarity"]
+    out = agg.select(id_col, "num_words",
+                     *[F.try_divide(F.col(p), F.col("num_words")).alias(f"{p.lower()}_ratio")
+                       for p in ("NOUN", "VERB", "ADJ")],
+                     "lexical_diversity", "avg_word_length", "avg_sentence_length", "rarity")
     out = out.select(id_col, *[F.when(F.col("num_words") > 0, F.col(c).cast("double")).otherwise(F.lit(0.0)).alias(c)
                                for c in names])
     return out.withColumn("vector", F.array(*[F.col(c) for c in names]))

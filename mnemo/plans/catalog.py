@@ -1123,3 +1123,27 @@ def q_fold_kernels(spark, sf):
     gamma -> kernel rows; the four kernels summed (row sums reported)."""
     fused = EV.fused_kernel(cv_rows(spark, sf), B.EMB_SETS, "spearman_8")
     return fused.select("fold", "role", "item_id", _ksum(F.col("k")))
+
+
+# --- single-operator views of composite results ---------------------------------------------
+
+@register("significance_stars")
+def q_significance_stars(spark, sf):
+    """P10: stars of the Welch p-value per feature type."""
+    r = an.with_without(sweep_results(spark, sf), EMB_MARKERS)
+    return r.select("feature", round6(F.col("p")).alias("p"), "sig")
+
+
+@register("fold_stats")
+def q_fold_stats(spark, sf):
+    """A1: mean / population std / min / max of the fold scores (4 places)."""
+    return sweep_results(spark, sf).select("combination", "model", "mean_spearman", "std_spearman",
+                                           "min_spearman", "max_spearman")
+
+
+@register("emotion_vector")
+def q_emotion_vector(spark, sf):
+    """The 19-value vector, its length and sum (NaN kept)."""
+    r = TF.emotion_features(docs(spark, sf), "doc_id", emotion_lexicon(spark))
+    return r.select("doc_id", F.size("vector").cast("bigint").alias("n"),
+                    round6(F.aggregate("vector", F.lit(0.0), lambda a, b: a + b)).alias("vector_sum"))

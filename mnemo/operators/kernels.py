@@ -187,3 +187,62 @@ def combine_kernels(krows: DataFrame, keys: list[str], weights: dict[str, float]
                      F.raise_error(F.lit("weights length must equal the number of kernels"))
                      .cast("array<double>")).otherwise(fused)
     return g.withColumn("k", checked).drop("_ks", "_n")
+
+
+def fused_kernel_rows(rows: DataFrame, train_vecs: DataFrame, gamma: DataFrame, fold_cols: list[str],
+                      weights: dict[str, float], keep: list[str] | None = None,
+                      rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """K1/K2 + K3 in one pass: sum_s w_s * exp(-gamma_s d_s^2) against the
+    fold's landmarks, computed per (fold, row bucket) with all sets of the
+    bucket in one numpy block (no per-set kernel rows are shipped back).
+
+    rows / train_vecs: (fold..., feature_set, item_id, vec, keep...);
+    every item must carry every weighted set, and every set the same
+    landmark ids (aligned feature sets), else the task fails.
+    -> (fold..., item_id, keep..., k ARRAY<DOUBLE>, lm_ids ARRAY<BIGINT>).
+    """
+    if not weights:
+        raise ValueError("kernel list must not be empty")
+    keep = keep or []
+    gcols = [*fold_cols, "feature_set"]
+    rows = rows.where(F.col("feature_set").isin(*weights))
+    train_vecs = train_vecs.where(F.col("feature_set").isin(*weights))
+    check_landmarks(train_vecs, gcols)
+    sets = list(weights)
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        q_all = pdf[~pdf["_lm"]]
+        if q_all.empty:
+            return pd.DataFrame(columns=[*fold_cols, "item_id", *keep, "k", "lm_ids"])
+        items = np.sort(q_all["item_id"].unique())
+        fused, lm_ids = None, None
+        for s in sets:
+            lm = pdf[pdf["_lm"] & (pdf["feature_set"] == s)].sort_values("item_id")
+            q = q_all[q_all["feature_set"] == s].set_index("item_id").reindex(items)
+            if q["vec"].isna().any():
+                raise ValueError(f"an item lacks feature set {s!r}; weights must match the kernels")
+            ids = lm["item_id"].to_numpy()
+            if lm_ids is None:
+                lm_ids = ids
+            elif not np.array_equal(ids, lm_ids):
+                raise ValueError("feature sets are not aligned on the same training items")
+            k = weights[s] * np.exp(-float(q["gamma"].iloc[0]) * _sq_dists(_mat(q["vec"]), _mat(lm["vec"])))
+            fused = k if fused is None else fused + k
+        first = q_all.drop_duplicates("item_id").set_index("item_id").reindex(items).reset_index()
+        out = first[[*fold_cols, "item_id", *keep]].copy()
+        out["k"] = list(fused)
+        out["lm_ids"] = [lm_ids] * len(out)
+        return out
+
+    b = _buckets(rows, gcols, rows_per_task)
+    q = rows.select(*gcols, "item_id", "vec", *keep) \
+            .withColumn("_b", F.pmod(F.xxhash64("item_id"), F.lit(b)).cast("int")).withColumn("_lm", F.lit(False))
+    l = train_vecs.select(*gcols, "item_id", "vec").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))) \
+        .withColumn("_lm", F.lit(True))
+    types = dict(rows.dtypes)
+    for c in keep:
+        l = l.withColumn(c, F.lit(None).cast(types[c]))
+    u = q.unionByName(l.select(*q.columns)).join(F.broadcast(gamma.select(*gcols, "gamma")), gcols)
+    schema = ", ".join(f"{c} {types[c]}" for c in [*fold_cols, "item_id", *keep]) + \
+        ", k array<double>, lm_ids array<bigint>"
+    return u.groupBy(*fold_cols, "_b").applyInPandas(fn, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import round6
 from ..operators.folds import assign_folds
 from ..operators.ranks import top_n_spearman
+from ..session import cut_lineage
 from ..sources import bindings as B
 
 QUERIES = {}
@@ -21,12 +22,18 @@ def register(name):
     return deco
 
 
-def dev_long(spark, sf):
-    return B.feature_long(spark, sf).where(F.col("split") == "dev").drop("split")
+def dev_long(spark, sf, shared=False):
+    """Labelled long table.  `shared`: it feeds several branches of the
+    query (ranks, moments, test rows), so it is materialised once with a
+    reliable checkpoint in the shared checkpoint folder."""
+    df = B.feature_long(spark, sf).where(F.col("split") == "dev").drop("split")
+    return cut_lineage(df) if shared else df
 
 
-def dev_folds(spark, sf):
-    return assign_folds(B.item_labels(spark, sf))
+def dev_folds(spark, sf, shared=False):
+    """Fold plan of the labelled items (materialised when `shared`)."""
+    df = assign_folds(B.item_labels(spark, sf))
+    return cut_lineage(df) if shared else df
 
 
 @register("top_n_spearman")
@@ -44,7 +51,7 @@ from ..operators.ranks import average_rank, mse, normalised_rank, safe_pearson
 
 
 def cv_preds(spark, sf, zero=True):
-    folded = dev_folds(spark, sf)
+    folded = dev_folds(spark, sf, True)
     p = B.cv_predictions(spark, folded, sf).withColumn(
         "label", ens.config_label(F.col("cfg_label"), F.col("combo"), F.col("model"),
                                   F.col("selector"), F.col("preprocessing")))
@@ -107,7 +114,8 @@ def q_ensemble_cv(spark, sf):
     p = B.cv_predictions(spark, folded, sf).withColumn(
         "label", ens.config_label(F.col("cfg_label"), F.col("combo"), F.col("model"),
                                   F.col("selector"), F.col("preprocessing")))
-    out = ens.ensemble_cv(p.select("fold", "cfg_id", "label", "item_id", "y", "p"), on_error="zero")
+    # the prediction table feeds the per-config, fused and label branches
+    out = ens.ensemble_cv(cut_lineage(p.select("fold", "cfg_id", "label", "item_id", "y", "p")), on_error="zero")
     return out.select("config", "metric", *[round6(F.col(c)).alias(c) for c in ("mean", "std", "min", "max")])
 
 
@@ -154,7 +162,7 @@ EMB_MARKERS = [
 
 
 def sweep_results(spark, sf):
-    return evaluate_scored(dev_long(spark, sf), dev_folds(spark, sf), B.emb_combos(), B.EMB_WIDTHS)
+    return evaluate_scored(dev_long(spark, sf, True), dev_folds(spark, sf, True), B.emb_combos(), B.EMB_WIDTHS)
 
 
 @register("evaluate_concat")
@@ -384,7 +392,8 @@ from ..operators import audio as AU  # noqa: E402
 
 
 def frames(spark, sf):
-    return B.clip_frames(spark, sf)
+    # numbered once, read by every per-clip branch of the query
+    return cut_lineage(B.clip_frames(spark, sf))
 
 
 def _r(df, cols):
@@ -620,7 +629,7 @@ def q_top_n_full(spark, sf):
 def role_long(spark, sf):
     """(cv_fold, role, item_id, feature_set, idx, value) of the labelled split."""
     roles = explode_roles(dev_folds(spark, sf).select("item_id", "fold"))
-    return dev_long(spark, sf).join(roles.select("item_id", "cv_fold", "role"), "item_id")
+    return dev_long(spark, sf, True).join(roles.select("item_id", "cv_fold", "role"), "item_id")
 
 
 @register("column_moments")
@@ -704,17 +713,21 @@ def q_rbf(spark, sf):
                     round6(F.array_max(F.transform(off, lambda s: s["k"]))).alias("k_max"))
 
 
+def _fused(spark, sf):
+    vecs, train, g = kernel_inputs(spark, sf)
+    return K.fused_kernel_rows(vecs, train, g, ["fold"], KERNEL_WEIGHTS, keep=["role"])
+
+
 @register("combine_kernels")
 def q_combine_kernels(spark, sf):
     """K3: weighted sum of the four set kernels, row sums."""
-    fused = K.combine_kernels(_krows(spark, sf), ["fold", "role", "item_id"], KERNEL_WEIGHTS)
-    return fused.select("fold", "role", "item_id", _ksum(F.col("k")))
+    return _fused(spark, sf).select("fold", "role", "item_id", _ksum(F.col("k")))
 
 
 @register("kernel_as_features")
 def q_kernel_as_features(spark, sf):
     """K5: the fused kernel row as the model input (width = training rows)."""
-    fused = K.combine_kernels(_krows(spark, sf), ["fold", "role", "item_id"], KERNEL_WEIGHTS)
+    fused = _fused(spark, sf)
     return fused.select("fold", "role", "item_id", F.size("k").cast("bigint").alias("n_cols"), _ksum(F.col("k")))
 
 
@@ -974,7 +987,7 @@ from ..operators.ensemble import ensemble_predict as _fuse_predict  # noqa: E402
 
 
 def cv_rows(spark, sf):
-    return EV.role_rows(dev_long(spark, sf), dev_folds(spark, sf))
+    return cut_lineage(EV.role_rows(dev_long(spark, sf), dev_folds(spark, sf)))
 
 
 def _model_query(spark, sf, model, sets=("emb_a", "emb_b"), selector="none", fusion="concat", trees=100):

@@ -131,20 +131,20 @@ def fused_kernel(rows: DataFrame, sets: list[str], selector: str,
     """K4: per set select -> [PCA] -> scale -> median gamma -> kernel rows
     against the fold's training rows; weighted sum (K3).
     -> (fold, role, item_id, y, k)."""
-    parts = []
+    vecs = []
     for s in sets:
         x = concat_design(rows, [s], selector).withColumn("feature_set", F.lit(s))
-        # the per-set vectors feed the size check, the bucket sizing, the
-        # bandwidth and the kernel jobs: lineage cut once
-        vec = cut_lineage(x.withColumnRenamed("features", "vec"))
-        train = vec.where(F.col("role") == "train")
-        g = K.median_gamma(train, ["fold", "feature_set"])
-        parts.append(K.kernel_rows(vec, train, g, ["fold", "feature_set"], keep=["role", "y"]))
-    allk = parts[0]
-    for p in parts[1:]:
-        allk = allk.unionByName(p)
+        vecs.append(x.withColumnRenamed("features", "vec"))
+    allv = vecs[0]
+    for v in vecs[1:]:
+        allv = allv.unionByName(v)
+    # the per-set vectors feed the size check, the bucket sizing, the
+    # bandwidth and the kernel jobs: lineage cut once
+    allv = cut_lineage(allv)
+    train = allv.where(F.col("role") == "train")
+    g = K.median_gamma(train, ["fold", "feature_set"])
     w = weights or {s: 1.0 for s in sets}
-    return K.combine_kernels(allk, ["fold", "role", "item_id", "y"], w)
+    return K.fused_kernel_rows(allv, train, g, ["fold"], w, keep=["role", "y"])
 
 
 def kernel_design(rows: DataFrame, sets: list[str], selector: str,

@@ -220,7 +220,7 @@ def audio_global_features(frames: DataFrame, turns: DataFrame | None,
     k = ["clip_id"]
     act = speech_activity(f, k)
     syl = clip_syllables(turns) if turns is not None else \
-        f.select("clip_id").distinct().withColumn("syllables", F.lit(None).cast("bigint")).limit(0)
+        f.sparkSession.createDataFrame([], "clip_id bigint, syllables bigint")
     out = (energy_stats(f, k).join(pitch_stats(f, k), k).join(half_shift(f, k), k)
            .join(act, k).join(speaking_rate(act, syl, k), k))
     out = out.select("clip_id", "energy_mean", "energy_std", F.col("pitch_mean").alias("pitch_mean_hz"),

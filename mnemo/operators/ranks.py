@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from .folds import explode_train
 
 
+BLOCK_ROWS = 2_000_000   # a window partition above this is ranked in blocks
+
+
 def average_rank(df: DataFrame, partition_cols: list[str], value_col: str,
-                 out: str = "avg_rank", blocks: int | None = None) -> DataFrame:
+                 out: str = "avg_rank", blocks: int | str | None = None) -> DataFrame:
     """1-based ranks, ties get the mean of their positions.
 
     (rank + count of rows <= x) / 2 over ONE window spec: a single sort.
@@ -19,6 +22,11 @@ def average_rank(df: DataFrame, partition_cols: list[str], value_col: str,
     partition: rank = rows in lower blocks + rank inside the block.  Ties
     never straddle blocks because the block is a function of the value.
     """
+    if blocks == "auto":
+        # one small aggregate decides: block only partitions that would hold
+        # more than BLOCK_ROWS rows in a single task
+        big = df.groupBy(*partition_cols).count().agg(F.max("count")).first()[0] or 0
+        blocks = max(2, -(-big // (BLOCK_ROWS // 4))) if big > BLOCK_ROWS else None
     if not blocks or blocks < 2:
         w = Window.partitionBy(*partition_cols).orderBy(F.col(value_col).asc_nulls_last())
         upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -73,7 +81,11 @@ def spearman(df: DataFrame, group_cols: list[str], x: str, y: str,
     return r.groupBy(*group_cols).agg(safe_pearson("_rx", "_ry").alias(out))
 
 
-def feature_rho(long_df: DataFrame, labels: DataFrame, group_cols: list[str]) -> DataFrame:
+LABEL_RANK_BLOCKS = "auto"
+
+
+def feature_rho(long_df: DataFrame, labels: DataFrame, group_cols: list[str],
+                label_blocks: int | str | None = LABEL_RANK_BLOCKS) -> DataFrame:
     """Spearman of every feature column with the label.
 
     long_df: (*group_cols, item_id, feature_set, idx, value)
@@ -82,7 +94,9 @@ def feature_rho(long_df: DataFrame, labels: DataFrame, group_cols: list[str]) ->
     joined (broadcast by AQE when small); feature ranks use one window
     partitioned by (group, feature_set, idx), which the aggregate reuses.
     """
-    yr = average_rank(labels, group_cols, "y", "ry").select(*group_cols, "item_id", "ry")
+    # label ranks: a window per fold would hold every item of the fold in one
+    # task, so they are computed in value blocks (sketch-cut, exact ranks)
+    yr = average_rank(labels, group_cols, "y", "ry", blocks=label_blocks).select(*group_cols, "item_id", "ry")
     keys = [c for c in group_cols if c in long_df.columns] + ["item_id"]
     fr = average_rank(long_df.join(yr, keys),
                       [*group_cols, "feature_set", "idx"], "value", "rv")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import average_rank, safe_pearson
+from .ranks import LABEL_RANK_BLOCKS, average_rank, safe_pearson
 
 EPS10 = 10 * 2.220446049250313e-16
 
@@ -37,7 +37,7 @@ def fold_feature_stats(long_df: DataFrame, train: DataFrame) -> DataFrame:
 
     long_df: (item_id, feature_set, idx, value); train: (fold, item_id, y).
     """
-    yr = average_rank(train, ["fold"], "y", "ry").select("fold", "item_id", "ry")
+    yr = average_rank(train, ["fold"], "y", "ry", blocks=LABEL_RANK_BLOCKS).select("fold", "item_id", "ry")
     fr = average_rank(long_df.join(yr, "item_id"), ["fold", "feature_set", "idx"], "value", "rv")
     return fr.groupBy("fold", "feature_set", "idx").agg(
         safe_pearson("rv", "ry").alias("rho"),

@@ -119,3 +119,12 @@ def test_fusion_constant_config_contributes_constant(spark):
     const = (4 + 1) / (2 * 4)
     for i in range(4):
         assert abs(f[i] - ((i + 1) / 4 + const) / 2) < 1e-9
+
+
+def test_auto_blocks_switch(spark, monkeypatch):
+    from mnemo.operators import ranks as R
+    df = spark.createDataFrame([(i % 2, float(i % 7)) for i in range(60)], "g int, v double")
+    plain = {(r["g"], r["v"]): r["r"] for r in R.average_rank(df, ["g"], "v", "r").collect()}
+    monkeypatch.setattr(R, "BLOCK_ROWS", 10)          # force the blocked path
+    auto = {(r["g"], r["v"]): r["r"] for r in R.average_rank(df, ["g"], "v", "r", blocks="auto").collect()}
+    assert plain == auto

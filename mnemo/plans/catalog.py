@@ -1160,3 +1160,13 @@ def q_emotion_vector(spark, sf):
     r = TF.emotion_features(docs(spark, sf), "doc_id", emotion_lexicon(spark))
     return r.select("doc_id", F.size("vector").cast("bigint").alias("n"),
                     round6(F.aggregate("vector", F.lit(0.0), lambda a, b: a + b)).alias("vector_sum"))
+
+
+@register("pca_gram")
+def q_pca_gram(spark, sf):
+    """Wide PCA (distributed ARPACK on the centred training rows) to 8
+    components per fold over the concatenation of the four sets."""
+    from .learners import pca_wide
+    x = EV.assemble(cv_rows(spark, sf), B.EMB_SETS)
+    p = pca_wide(x, 8)
+    return p.select("fold", "role", "item_id", F.size("features").cast("bigint").alias("n_components"))

@@ -146,3 +146,47 @@ def scale_arrays_mean_only(df: DataFrame, keys: list[str], col: str = "features"
     arr = z.groupBy(*keys, "role", "item_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_p", "_z"))), lambda s: s["_z"]).alias(col))
     return df.drop(col).join(arr, [*keys, "role", "item_id"])
+
+
+def pca_wide(df: DataFrame, k: int, fold_col: str = "fold") -> DataFrame:
+    """PCA for wide, short data (tens of thousands of columns).
+
+    Spark ML's PCA materialises the D x D covariance on the driver (and is
+    limited to 65,535 columns).  Here the centred training rows of a fold
+    form a distributed `RowMatrix` and `computeSVD` finds the top-k right
+    singular vectors with ARPACK: every iteration is a distributed
+    matrix-vector product, and only k vectors of width D reach the driver
+    (bounded by the feature width, not by the rows).  The projection runs
+    as an Arrow-batched pandas UDF with those axes broadcast.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.mllib.linalg import Vectors as MLLibVectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
+
+    centred = cut_lineage(scale_arrays_mean_only(df, [fold_col]))
+    sc = df.sparkSession.sparkContext
+    folds = sorted(r[0] for r in centred.select(fold_col).distinct().collect())
+    outs = []
+    for f in folds:
+        part = centred.where(F.col(fold_col) == f)
+        tr = part.where(F.col("role") == "train").select("features")
+        n = tr.count()
+        d = len(tr.first()["features"])
+        kk = max(1, min(k, n - 1 if n > 1 else 1, d))
+        mat = RowMatrix(tr.rdd.map(lambda r: MLLibVectors.dense(r["features"])))
+        axes = np.array(mat.computeSVD(kk, computeU=False).V.toArray())   # d x kk
+        bv = sc.broadcast(axes)
+
+        def _proj(col, _bv=bv):
+            x = np.stack(col.to_numpy()).astype(float)
+            return pd.Series(list(x @ _bv.value))
+
+        project = pandas_udf(_proj, "array<double>", PandasUDFType.SCALAR)
+
+        outs.append(part.withColumn("features", project("features")))
+    res = outs[0]
+    for o in outs[1:]:
+        res = res.unionByName(o)
+    return res

@@ -128,3 +128,18 @@ def test_auto_blocks_switch(spark, monkeypatch):
     monkeypatch.setattr(R, "BLOCK_ROWS", 10)          # force the blocked path
     auto = {(r["g"], r["v"]): r["r"] for r in R.average_rank(df, ["g"], "v", "r", blocks="auto").collect()}
     assert plain == auto
+
+
+def test_pca_wide_matches_numpy_up_to_sign(spark):
+    from mnemo.plans.learners import pca_wide
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30, 120)) * np.linspace(5, 0.1, 120)
+    rows = [(1, "train" if i < 24 else "test", i, None, [float(v) for v in x[i]]) for i in range(30)]
+    df = spark.createDataFrame(rows, "fold long, role string, item_id long, y double, features array<double>")
+    got = {r["item_id"]: r["features"] for r in pca_wide(df, 3).collect()}
+    mu = x[:24].mean(0)
+    _, _, vt = np.linalg.svd(x[:24] - mu, full_matrices=False)
+    want = (x - mu) @ vt[:3].T
+    g = np.array([got[i] for i in range(30)])
+    for c in range(3):
+        assert min(np.abs(g[:, c] - want[:, c]).max(), np.abs(g[:, c] + want[:, c]).max()) < 1e-6

@@ -30,6 +30,7 @@ GBT_DEPTH = 3
 MLP_HIDDEN = (256, 128)
 MLP_BINS = 10
 HUBER_REG = 1e-2
+WIDE_PCA_COLUMNS = 4096   # above: distributed SVD instead of a local covariance
 
 
 def scale_arrays(df: DataFrame, keys: list[str], col: str = "features") -> DataFrame:
@@ -121,6 +122,9 @@ def pca_project(df: DataFrame, k: int, fold_col: str = "fold") -> DataFrame:
     """M2: PCA to min(k, n_train, D) fitted on the (centred) train rows of
     each fold; Spark's PCA does not centre, so rows are centred with the
     training means first (sklearn semantics)."""
+    width = df.select(F.max(F.size("features"))).first()[0] or 0
+    if width > WIDE_PCA_COLUMNS:
+        return pca_wide(df, k, fold_col)
     centred = scale_arrays_mean_only(df, [fold_col])
     v = cut_lineage(centred.withColumn("vec", array_to_vector("features")))
     folds = sorted(r[0] for r in v.select(fold_col).distinct().collect())

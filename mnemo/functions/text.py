@@ -11,10 +11,11 @@ WS = " \t\n\x0b\f\r"
 
 def clean_text(text: Column) -> Column:
     """drop [...] (within a line), non-letters -> space, squeeze, trim,
-    lower."""
+    lower.  "Non-letters other than whitespace -> space" followed by
+    "squeeze whitespace runs" turns every maximal run of non-letters into
+    one space, so both steps are a single `[^a-zA-Z]+` pass."""
     t = F.regexp_replace(text, r"\[[^\n]*?\]", " ")
-    t = F.regexp_replace(t, f"[^a-zA-Z{WS}]", " ")
-    t = F.regexp_replace(t, f"[{WS}]+", " ")
+    t = F.regexp_replace(t, "[^a-zA-Z]+", " ")
     return F.lower(F.trim(t))
 
 

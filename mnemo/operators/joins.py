@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BROADCAST_MAX_ROWS = 2_000_000
 
 
@@ -33,6 +35,9 @@ def skew_safe_lookup(probe: DataFrame, lookup: DataFrame, key: str, weight: str,
     hot (at most 1/hot_share of them, so the hot list is safe to broadcast).
     salt_by: probe column spreading a hot key (e.g. doc_id).
     """
+    # the lookup table is read three times (total, hot list, salted side):
+    # written once instead of recomputed (reliable checkpoint)
+    lookup = cut_lineage(lookup)
     tot = lookup.agg(F.sum(weight).alias("_tot")).withColumn("_j", F.lit(0))
     hot = (lookup.withColumn("_j", F.lit(0)).join(F.broadcast(tot), "_j")
                  .where(F.col(weight) > F.col("_tot") * hot_share)

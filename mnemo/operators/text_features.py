@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, sentence_count, tokenize_alpha, tokenize_ws
 from ..sources.lexicons import CORE_LABELS, EMOTION_LABELS
+from ..session import cut_lineage
 from .joins import broadcast_checked, skew_safe_lookup
 
 
@@ -118,7 +119,7 @@ def emotion_features(docs: DataFrame, id_col: str, lexicon: DataFrame,
     return out.withColumn("vector", F.array(*[F.col(c).cast("double") for c in EMOTION_VECTOR]))
 
 
-def semantic_features(docs: DataFrame, id_col: str, vocab: DataFrame, pos_lex: DataFrame,
+def semantic_features(docs: DataFrame, id_col: str, vocab: DataFrame | None, pos_lex: DataFrame,
                       text_col: str = "text", salts: int = 32) -> DataFrame:
     """noun/verb/adj ratios (A14), lexical diversity and mean word length
     (A15), words per sentence (A16), rarity (J8 + A17); seven zeros for a
@@ -127,7 +128,9 @@ def semantic_features(docs: DataFrame, id_col: str, vocab: DataFrame, pos_lex: D
     rarity = -mean(ln(count(w) / corpus size)), unseen words count 1 and the
     corpus size is not adjusted for them.  One pass over the text: per
     document values and the (doc, word) counts come from the same
-    projection; the vocabulary lookup salts hot words.
+    projection; the vocabulary lookup salts hot words.  `vocab=None` means
+    the vocabulary of these same documents, summed from the (doc, word)
+    counts instead of tokenizing the corpus a second time.
     """
     words = tokenize_alpha(F.col(text_col))
     n = F.size("_w")
@@ -142,6 +145,10 @@ def semantic_features(docs: DataFrame, id_col: str, vocab: DataFrame, pos_lex: D
     per_doc = per_doc.select(*keys, F.explode_outer("_w").alias("word"))
     # (doc, word, c): bounded per document, reduced before any shuffle
     dw = per_doc.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("c"))
+    if vocab is None:
+        # dw feeds both the lookup and the vocabulary: tokenised once
+        dw = cut_lineage(dw)
+        vocab = dw.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("c").alias("n"))
     pos = pos_lex.groupBy("word").agg(F.first("pos").alias("pos"))
     total = vocab.agg(F.sum("n").alias("_tot")).withColumn("_j", F.lit(0))
     looked = skew_safe_lookup(dw.join(broadcast_checked(pos), "word", "left"), vocab, "word", "n", id_col,

@@ -332,8 +332,8 @@ def q_emotion_features(spark, sf):
 
 
 def _semantic(spark, sf):
-    d = docs(spark, sf)
-    return TF.semantic_features(d, "doc_id", TF.word_frequency(d), pos_lexicon(spark))
+    # vocabulary = the documents themselves (summed from their word counts)
+    return TF.semantic_features(docs(spark, sf), "doc_id", None, pos_lexicon(spark))
 
 
 SEM_COLS = ["noun_ratio", "verb_ratio", "adj_ratio", "lexical_diversity", "avg_word_length",

@@ -657,8 +657,8 @@ def q_standardize(spark, sf):
 def kernel_inputs(spark, sf):
     z = scaled(spark, sf)
     # Reused by the size check, the bucket sizing, the bandwidth and the
-    # kernel jobs: persisted once (memory and disk) instead of recomputed.
-    vecs = K.vectors_from_long(z, ["fold", "role", "feature_set", "item_id"], "z").persist()
+    # kernel jobs: written once (reliable checkpoint) instead of recomputed.
+    vecs = cut_lineage(K.vectors_from_long(z, ["fold", "role", "feature_set", "item_id"], "z"))
     train = vecs.where(F.col("role") == "train")
     return vecs, train, K.median_gamma(train, ["fold", "feature_set"])
 
@@ -785,7 +785,7 @@ def q_resolve_asset(spark, sf):
 
 
 def _partial_results(spark, sf):
-    res = sweep_results(spark, sf).cache()
+    res = cut_lineage(sweep_results(spark, sf))
     return [res.where(F.col("model") == m) for m in ("rho_sign", "mean_z")]
 
 

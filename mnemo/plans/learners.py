@@ -134,7 +134,14 @@ def pca_project(df: DataFrame, k: int, fold_col: str = "fold") -> DataFrame:
         n = tr.count()
         d = len(tr.first()["features"])
         kk = max(1, min(k, n, d))
-        m = PCA(k=kk, inputCol="vec", outputCol="_pc").fit(tr)
+        try:
+            m = PCA(k=kk, inputCol="vec", outputCol="_pc").fit(tr)
+        except Exception as exc:  # noqa: BLE001
+            # Spark ML's local covariance path failed: the distributed SVD
+            # computes the same centred principal axes.
+            import sys
+            print(f"[WARNING] PCA fit failed ({str(exc)[:300]}); using the distributed SVD", file=sys.stderr)
+            return pca_wide(df, k, fold_col)
         outs.append(m.transform(v.where(F.col(fold_col) == f))
                      .withColumn("features", vector_to_array("_pc")).drop("_pc", "vec"))
     res = outs[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .importance import importance_resample
 from .winnowing import decontaminate
 
 
@@ -13,4 +14,9 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("hits")
 
 
-QUERIES = {f.__name__: f for f in (op3_winnowing,)}
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality decision on all documents: doc_id, log_weight, kept."""
+    return importance_resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("_row")
+
+
+QUERIES = {f.__name__: f for f in (op3_winnowing, op9_importance_resampling)}

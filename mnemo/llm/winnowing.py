@@ -118,7 +118,8 @@ def contaminated_windows(docs: DataFrame, items: DataFrame, text: str = "text",
                         "len int, fp long, pos long, windows array<bigint>")
     near = (emitted.join(written(fps, "benchmark-fingerprints"), ["len", "fp"], "left")
             .where((F.col("n_words") >= 0) | F.col("hit")))
-    each = near.select("_row", "doc_id", "n_words", "len", F.posexplode_outer("windows").alias("i", "window"), "pos")
+    each = (near.select("_row", "doc_id", "n_words", "len", F.posexplode_outer("windows").alias("i", "window"), "pos")
+            .withColumn("window", F.coalesce("window", "_row")))  # rows of word counts spread out, and meet nothing
     hits = (each.join(side.groupBy("len", "window").agg(F.flatten(F.collect_set("ids")).alias("ids")),
                       ["len", "window"], "left")
             .where((F.col("n_words") >= 0) | F.col("ids").isNotNull()))

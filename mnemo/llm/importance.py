@@ -103,19 +103,22 @@ def _count(batches):
         yield {"bucket": k, "raw": total[0, k], "good0": total[1, k], "good1": total[2, k]}
 
 
-def _ratios(raw, target, smoothing, min_z, dead_zone) -> np.ndarray:
-    """log p_target / p_raw of every bucket, 0 where the evidence is weak."""
-    if not target.sum() or not raw.sum():
-        return np.zeros(len(raw))
-    expected = raw * (target.sum() / raw.sum())
-    r = np.log((target + smoothing) / (expected + smoothing))
-    z = (target - expected) / np.sqrt(expected + 1)
-    r[(np.abs(z) < min_z) | (np.abs(r) < dead_zone)] = 0
-    return r
-
-
-def _score(models, temperature: float, seed: int):
-    """models: (buckets, ratios[3 x buckets]) of the half models and of the whole one."""
+def _ratios(counts: DataFrame, smoothing: float, min_z: float, dead_zone: float) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets with evidence and log p_target / p_raw there, for the two half models and the whole one (0: no evidence)."""
+    counts = counts.withColumn("good2", F.col("good0") + F.col("good1"))
+    total = counts.agg(*[F.sum(c).cast("double").alias(c) for c in ("raw", "good0", "good1", "good2")]).first()
+    ratios = []
+    for c in ("good0", "good1", "good2"):
+        expected = F.col("raw") * F.lit((total[c] or 0.0) / (total["raw"] or 1.0))
+        r = F.log((F.col(c) + smoothing) / (expected + smoothing))
+        z = (F.col(c) - expected) / F.sqrt(expected + 1)
+        ratios.append(F.when((F.abs(z) >= min_z) & (F.abs(r) >= dead_zone) & F.lit(bool(total[c])), r).otherwise(F.lit(0.0)).alias(c))
+    found = counts.select("bucket", *ratios).where("good0 != 0 OR good1 != 0 OR good2 != 0").toArrow()  # 2^BITS rows at most
+    return (found.column("bucket").to_numpy(),
+            np.array([found.column(c).to_numpy() for c in ("good0", "good1", "good2")], np.float32))
+
+
+def _score(models: tuple[np.ndarray, np.ndarray], temperature: float, seed: int):
     buckets, ratios = models
 
     def run(batches):
@@ -178,12 +181,9 @@ def importance_resample(docs: DataFrame, labels: DataFrame, text: str = "text",
     d = labelled(d, pick(labels, doc_id="doc_id", quality="quality", toxic="toxic"), max_labelled, seed)
     counts = (arrow_map(d.select("text", "good", "half"), _count, "bucket int, raw int, good0 int, good1 int")
               .groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", "good0", "good1")]))
-    c = counts.toPandas()  # 2^BITS rows at most
-    raw, g0, g1 = (c[x].to_numpy(float) for x in ("raw", "good0", "good1"))
-    ratios = np.array([_ratios(raw, t, smoothing, min_z, dead_zone) for t in (g0, g1, g0 + g1)])
-    some = ratios.any(axis=0)
+    models = _ratios(written(counts, "importance-counts"), smoothing, min_z, dead_zone)
     kind = d.schema["doc_id"].dataType.simpleString()
-    scored = written(arrow_map(d, _score((c["bucket"].to_numpy()[some], ratios[:, some]), temperature, seed),
+    scored = written(arrow_map(d, _score(models, temperature, seed),
                                f"doc_id {kind}, _row long, good boolean, log_weight double, held_out double, rank long"),
                      "importance")
     cut = _cut(scored, care)

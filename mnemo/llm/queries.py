@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .importance import importance_resample
+from .license_automaton import scan_licenses
+from .pivotal_mixing import mix
 from .winnowing import decontaminate
 
 
@@ -14,9 +16,19 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("hits")
 
 
+def op8_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and template labels of all documents."""
+    return scan_licenses(read(spark, sf_dir, "documents")).drop("matches")
+
+
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality decision on all documents: doc_id, log_weight, kept."""
     return importance_resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("_row")
 
 
-QUERIES = {f.__name__: f for f in (op3_winnowing, op9_importance_resampling)}
+def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of each document by the mix of all sources."""
+    return mix(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_winnowing, op8_license_automaton, op9_importance_resampling, op10_pivotal_mixing)}

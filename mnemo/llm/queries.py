@@ -8,9 +8,15 @@ from .common import read
 from .importance import importance_resample
 from .license_automaton import scan_licenses
 from .pivotal_mixing import mix
+from .secret_scan import secret_report
 from .winnowing import decontaminate
 
 
+def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, with owner-specific and widely copied values told apart."""
+    return secret_report(read(spark, sf_dir, "documents"))
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark decontamination of all documents."""
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("hits")
@@ -31,4 +37,5 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_winnowing, op8_license_automaton, op9_importance_resampling, op10_pivotal_mixing)}
+QUERIES = {f.__name__: f for f in (
+    op1_secret_ownership, op3_winnowing, op8_license_automaton, op9_importance_resampling, op10_pivotal_mixing)}

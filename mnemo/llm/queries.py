@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .count_rtree import jaccard_components
 from .importance import importance_resample
 from .license_automaton import scan_licenses
 from .pivotal_mixing import mix
@@ -22,6 +23,11 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("hits")
 
 
+def op5_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and near-duplicate component of all documents."""
+    return jaccard_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and template labels of all documents."""
     return scan_licenses(read(spark, sf_dir, "documents")).drop("matches")
@@ -38,4 +44,4 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_ownership, op3_winnowing, op8_license_automaton, op9_importance_resampling, op10_pivotal_mixing)}
+    op1_secret_ownership, op3_winnowing, op5_count_rtree, op8_license_automaton, op9_importance_resampling, op10_pivotal_mixing)}

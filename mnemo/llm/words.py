@@ -29,6 +29,7 @@ GRAM_BASE = 0xC2B2AE3D27D4EB4F | 1
 MASK = (1 << 64) - 1
 #: Bytes of text handled at once (a longer single text is one chunk).
 CHUNK_BYTES = 1 << 20
+CHUNK_TEXTS = 1 << 12
 
 _BYTE_VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 _IS_SPACE = np.zeros(256, bool)
@@ -109,7 +110,7 @@ def _chunks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     a, n = 0, len(offsets) - 1
     while a < n:
         b = int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1
-        b = min(max(b, a + 1), n)
+        b = min(max(b, a + 1), a + CHUNK_TEXTS, n)
         yield a, b
         a = b
 
@@ -165,6 +166,17 @@ def grams(w: Words, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray
     return doc, first, range_ids(w.ids, first, first + length[doc], GRAM_BASE)
 
 
+#: Bits of a shingle id that is kept beside the number of its text in a chunk.
+SET_BITS = 52
+
+
+def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, id of SET_BITS bits) of the distinct k-grams of every text, sorted; short texts are one gram."""
+    doc, _, ids = grams(w, k, short=True)
+    key = np.unique(doc.astype(np.uint64) << U(SET_BITS) | ids >> U(64 - SET_BITS))
+    return (key >> U(SET_BITS)).astype(np.int64), (key & U((1 << SET_BITS) - 1)).astype(np.int64)
+
+
 def window_minima(values: np.ndarray, group_ptr: np.ndarray, w: int) -> np.ndarray:
     """Winnowing: positions that hold the minimum of a window of `w` values.
 

@@ -10,6 +10,7 @@ from .importance import importance_resample
 from .license_automaton import scan_licenses
 from .pivotal_mixing import mix
 from .secret_scan import secret_report
+from .substring_dedup import dedup_substrings
 from .winnowing import decontaminate
 
 
@@ -18,6 +19,11 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read(spark, sf_dir, "documents"))
 
 
+def op2_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents left after repeated passages are removed."""
+    return dedup_substrings(read(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark decontamination of all documents."""
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("hits")
@@ -44,4 +50,4 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_ownership, op3_winnowing, op5_count_rtree, op8_license_automaton, op9_importance_resampling, op10_pivotal_mixing)}
+    op1_secret_ownership, op2_suffix_automata, op3_winnowing, op5_count_rtree, op8_license_automaton, op9_importance_resampling, op10_pivotal_mixing)}

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, pick, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
-ROWS_PER_BUCKET, FAN = 20_000, 64
+ROWS_PER_BUCKET, FAN = 2_000, 64
 
 
 def sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:

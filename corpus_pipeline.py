@@ -1,8 +1,60 @@
-"""The corpus pipeline: stages over `documents`, each written and read again."""
+"""The corpus pipeline: five stages over `documents`, each written and read again.
 
-STAGES = []
+quality      rejects what the importance-resampling classifier rejects
+near_dedup   keeps the smallest id of each group of near duplicates
+decontam     drops documents that share a window with the benchmark
+secrets      replaces live-looking credentials; widely copied examples stay
+mixture      how often each document is taken to reach the sources' targets
+
+A stage takes (spark, docs, sf_dir) and works on all rows of `docs`; all but
+the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mnemo.llm.common import keep_rows, read, written
+from mnemo.llm.count_rtree import jaccard_components
+from mnemo.llm.importance import importance_resample
+from mnemo.llm.pivotal_mixing import mix
+from mnemo.llm.secret_scan import redact
+from mnemo.llm.winnowing import contaminated_windows
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_rows(docs, importance_resample(docs, read(spark, sf_dir, "labels")).where("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard_components(docs)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    return keep_rows(docs, groups.groupBy("component").agg(F.min_by("_row", order).alias("_row")))
+
+
+def decontam(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    windows = contaminated_windows(docs, read(spark, sf_dir, "benchmark"))
+    return keep_rows(docs, windows.where(F.size("hits") == 0))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontam", decontam), ("secrets", secrets), ("mixture", mixture)]
+
+#: The model, the similarity join and the random rounding have no plain SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; returns the manifest of the mix."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

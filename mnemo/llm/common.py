@@ -35,6 +35,18 @@ def with_row(df: DataFrame) -> DataFrame:
     return df.withColumn("_row", F.monotonically_increasing_id())
 
 
+def keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` with the row key of `with_row` in a column of a fresh name, and that name."""
+    name = f"_key_{uuid.uuid4().hex}"
+    return df.withColumn(name, F.monotonically_increasing_id()), name
+
+
+def keep_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of `df` whose key is in the column `_row` of `rows`."""
+    with_key, name = keyed(df)
+    return with_key.join(rows.select(F.col("_row").alias(name)), name, "left_semi").drop(name)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table below spark.checkpoint.dir; lineage ends here.
 

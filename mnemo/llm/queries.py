@@ -11,6 +11,7 @@ from .html_extract import extract_main_text
 from .importance import importance_resample
 from .license_automaton import scan_licenses
 from .pivotal_mixing import mix
+from .rp_forest import link_vectors
 from .secret_scan import secret_report
 from .substring_dedup import dedup_substrings
 from .winnowing import decontaminate
@@ -52,6 +53,11 @@ def op6_text_to_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read(spark, sf_dir, "pages"))
 
 
+def op7_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links of all vectors."""
+    return link_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op8_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and template labels of all documents."""
     return scan_licenses(read(spark, sf_dir, "documents")).drop("matches")
@@ -69,4 +75,4 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_ownership, op2_suffix_automata, op3_winnowing, op4_chat_assembly, op5_count_rtree, op6_text_to_tag,
-    op8_license_automaton, op9_importance_resampling, op10_pivotal_mixing)}
+    op7_projection_forest, op8_license_automaton, op9_importance_resampling, op10_pivotal_mixing)}

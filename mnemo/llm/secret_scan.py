@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, with_row, written
+from .common import keyed, pick, with_row, written
 
 # Fixed values: (kind, pattern, group holding the value, minimum length of the value), base kinds first.
 BASE_KINDS = (
@@ -125,8 +125,10 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", text: str = "text", doc_id
            example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """`docs` with every live-looking span (overlapping ones as one) replaced by `mark`; all rows and columns stay."""
     s = scan_secrets(docs, text, doc_id, owner, example_owners)
-    live = s.select(F.col("_row").alias("_key"), F.filter("found", lambda x: x["live"]).alias("_live")).where(F.size("_live") > 0)
-    d = docs.withColumn("_key", F.monotonically_increasing_id()).join(live, "_key", "left")
+    d, key = keyed(docs)
+    spans = f"{key}_live"
+    live = s.select(F.col("_row").alias(key), F.filter("found", lambda x: x["live"]).alias(spans)).where(F.size(spans) > 0)
+    d = d.join(live, key, "left")
     t = F.col(f"`{text}`")
     begin = F.struct(F.lit(0).alias("upto"), F.lit("").alias("out"))
 
@@ -134,5 +136,5 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", text: str = "text", doc_id
         piece = F.when(x["start"] >= a["upto"], F.concat(a["out"], F.substring(t, a["upto"] + 1, x["start"] - a["upto"]), F.lit(mark)))
         return F.struct(F.greatest(a["upto"], x["end"]).alias("upto"), piece.otherwise(a["out"]).alias("out"))
 
-    cleaned = F.aggregate("_live", begin, step, lambda a: F.concat(a["out"], F.substring(t, a["upto"] + 1, F.length(t))))
-    return d.withColumn(text, F.when(F.col("_live").isNotNull(), cleaned).otherwise(t)).select(*[f"`{c}`" for c in docs.columns])
+    cleaned = F.aggregate(spans, begin, step, lambda a: F.concat(a["out"], F.substring(t, a["upto"] + 1, F.length(t))))
+    return d.withColumn(text, F.when(F.col(spans).isNotNull(), cleaned).otherwise(t)).drop(key, spans)

@@ -30,19 +30,31 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"].alias(a) for a, c in columns.items()])
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """`df` itself if it only projects and filters file scans, else `df` written as a table.
+
+    Rows are keyed by their place in the scan, which is the same in every
+    pass and whatever columns a pass reads.  That doesn't hold behind a
+    shuffle.
+    """
+    tree = df._jdf.queryExecution().optimizedPlan().treeString()
+    nodes = {line.lstrip(" +-:").split(" ")[0] for line in tree.splitlines()}
+    return df if nodes <= {"Project", "Filter", "Relation"} else written(df, "rows")
+
+
 def with_row(df: DataFrame) -> DataFrame:
     """Adds `_row`, a key of the input row: doc ids may repeat or be null."""
-    return df.withColumn("_row", F.monotonically_increasing_id())
+    return plain(df).withColumn("_row", F.monotonically_increasing_id())
 
 
 def keyed(df: DataFrame) -> tuple[DataFrame, str]:
-    """`df` with the row key of `with_row` in a column of a fresh name, and that name."""
+    """`df`, which must be `plain`, with the key of `with_row` in a column of a fresh name, and that name."""
     name = f"_key_{uuid.uuid4().hex}"
     return df.withColumn(name, F.monotonically_increasing_id()), name
 
 
 def keep_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of `df` whose key is in the column `_row` of `rows`."""
+    """The rows of `df`, which must be `plain`, whose key is in the column `_row` of `rows`."""
     with_key, name = keyed(df)
     return with_key.join(rows.select(F.col("_row").alias(name)), name, "left_semi").drop(name)
 

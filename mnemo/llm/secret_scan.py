@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, pick, with_row, written
+from .common import keyed, pick, plain, with_row, written
 
 # Fixed values: (kind, pattern, group holding the value, minimum length of the value), base kinds first.
 BASE_KINDS = (
@@ -124,6 +124,7 @@ def secret_report(docs: DataFrame, **columns) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[REDACTED]", text: str = "text", doc_id: str = "doc_id", owner: str = "source",
            example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """`docs` with every live-looking span (overlapping ones as one) replaced by `mark`; all rows and columns stay."""
+    docs = plain(docs)
     s = scan_secrets(docs, text, doc_id, owner, example_owners)
     d, key = keyed(docs)
     spans = f"{key}_live"

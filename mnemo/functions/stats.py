@@ -22,13 +22,13 @@ P_STEPS = 2000
 
 def welch_t(m1: Column, v1: Column, n1: Column, m2: Column, v2: Column, n2: Column) -> Column:
     se2 = v1 / n1 + v2 / n2
-    return (m1 - m2) / F.sqrt(se2)
+    return F.try_divide(m1 - m2, F.sqrt(se2))  # NULL for equal scores on both sides
 
 
 def welch_df(v1: Column, n1: Column, v2: Column, n2: Column) -> Column:
     a = v1 / n1
     b = v2 / n2
-    return (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1))
+    return F.try_divide((a + b) * (a + b), F.try_divide(a * a, n1 - 1) + F.try_divide(b * b, n2 - 1))
 
 
 def _simpson(lo: Column, hi: Column, df: Column, steps: int) -> Column:

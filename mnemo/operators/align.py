@@ -66,7 +66,7 @@ def explode_features(vecs: DataFrame) -> DataFrame:
 def take_indices(long_df: DataFrame, selected: DataFrame, keys: list[str]) -> DataFrame:
     """P5: keep the selected positions (semi join on the small selection,
     same positions for train and test rows)."""
-    return long_df.join(F.broadcast(selected.select(*keys).distinct()), keys, "left_semi")
+    return long_df.join(selected.select(*keys).distinct(), keys, "left_semi")
 
 
 def validate_names(requested: DataFrame, registry: DataFrame, key: str, strict: bool = True) -> DataFrame:

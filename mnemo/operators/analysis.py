@@ -88,10 +88,11 @@ def leaderboard(results: DataFrame, n: int = 10) -> DataFrame:
 
 
 def best_per_combination(results: DataFrame) -> DataFrame:
-    """Best row per combination."""
+    """Best row per combination, best first."""
     w = Window.partitionBy("combination").orderBy(F.col("mean_spearman").desc(), "model", "selector")
     return (results.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-                   .select("combination", "model", "selector", "mean_spearman"))
+                   .select("combination", "model", "selector", "mean_spearman")
+                   .orderBy(F.col("mean_spearman").desc(), "combination"))
 
 
 def combo_shape(aligned_long: DataFrame) -> DataFrame:

@@ -18,12 +18,22 @@ def config_label(label: Column, combo: Column, model: Column, selector: Column,
                       F.concat_ws("/", combo, model, selector, preprocessing))
 
 
-def normalised_ranks(preds: DataFrame, group_cols: list[str]) -> DataFrame:
-    """rank(p)/n per (group, cfg): F7 on every config at once."""
+def doubled_ranks(preds: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Twice the average rank of p (a whole number) and the row count n, per (group, cfg)."""
     g = [*group_cols, "cfg_id"]
     r = average_rank(preds, g, "p", "_r")
     n = F.count(F.lit(1)).over(Window.partitionBy(*g))
-    return r.withColumn("nr", F.col("_r") / n).drop("_r")
+    return r.withColumn("r2", (F.col("_r") * 2).cast("bigint")).withColumn("rows", n).drop("_r")
+
+
+def mean_rank(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, fused, _k): mean over configs of rank / n.  Whole numbers are
+    summed per n, and the sums are divided in the order of n, so equal
+    averages tie exactly in whatever order the partial sums arrive."""
+    per_n = ranked.groupBy(*keys, "rows").agg(F.sum("r2").alias("s"), F.countDistinct("cfg_id").alias("c"))
+    parts = F.sort_array(F.collect_list(F.struct("rows", "s")))
+    total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["s"] / x["rows"])
+    return per_n.groupBy(*keys).agg((total / (2 * F.sum("c"))).alias("fused"), F.sum("c").alias("_k"))
 
 
 def fuse_rank_average(preds: DataFrame, group_cols: list[str],
@@ -35,11 +45,7 @@ def fuse_rank_average(preds: DataFrame, group_cols: list[str],
     """
     if not group_cols:
         return fuse_rank_average(preds.withColumn("_g0", F.lit(0)), ["_g0"], n_configs).drop("_g0")
-    nr = normalised_ranks(preds, group_cols)
-    # Rounded to 9 places so that equal rank averages tie exactly whatever
-    # order the partial sums arrive in (distinct values differ by >= 1/(n*K)).
-    fused = nr.groupBy(*group_cols, "item_id").agg(F.round(F.avg("nr"), 9).alias("fused"),
-                                                    F.countDistinct("cfg_id").alias("_k"))
+    fused = mean_rank(doubled_ranks(preds, group_cols), [*group_cols, "item_id"])
     if n_configs is None:
         n_cfg = preds.groupBy(*group_cols).agg(F.countDistinct("cfg_id").alias("_need"))
         return (fused.join(n_cfg, group_cols).where(F.col("_k") == F.col("_need"))
@@ -90,14 +96,11 @@ def ensemble_predict(preds: DataFrame) -> DataFrame:
 
 def batch_ensembles(preds: DataFrame, runs: DataFrame) -> DataFrame:
     """Many ensembles at once.  Normalised ranks are computed once per
-    config and shared by every run that uses it; runs (run_id, cfg_id) is a
-    small fixed table (broadcast)."""
+    config and shared by every run that uses it; runs: (run_id, cfg_id)."""
     ok = preds.where(F.col("p").isNotNull())
-    nr = normalised_ranks(ok, [])
+    ranked = doubled_ranks(ok, [])
     used = runs.join(ok.select("cfg_id").distinct(), "cfg_id")
     need = used.groupBy("run_id").agg(F.countDistinct("cfg_id").alias("_need"))
-    fused = (nr.join(F.broadcast(used), "cfg_id")
-               .groupBy("run_id", "item_id").agg(F.round(F.avg("nr"), 9).alias("fused"),
-                                                 F.countDistinct("cfg_id").alias("_k")))
-    return (fused.join(F.broadcast(need), "run_id").where(F.col("_k") == F.col("_need"))
+    fused = mean_rank(ranked.join(used, "cfg_id"), ["run_id", "item_id"])
+    return (fused.join(need, "run_id").where(F.col("_k") == F.col("_need"))
                  .drop("_k", "_need"))

@@ -1,8 +1,6 @@
-"""Join helpers with explicit size and skew handling.
+"""A key lookup with skew handling.
 
-* `broadcast_checked`: broadcast only behind a row-count check; above the
-  bound the plain (shuffle) join is used.
-* `skew_safe_lookup`: key lookup where a few keys are hot (a third of all
+`skew_safe_lookup`: key lookup where a few keys are hot (a third of all
   rows may share one key).  Hot keys are found from the lookup table itself
   (bounded by construction: at most 1/share keys can hold that share), the
   probe side spreads each hot key over `salts` tasks and only hot keys of
@@ -16,14 +14,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """`broadcast(df)` if it has at most `max_rows` rows, else `df` as is."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def skew_safe_lookup(probe: DataFrame, lookup: DataFrame, key: str, weight: str,
                      salt_by: str, salts: int = 32, hot_share: float = 1e-3,

@@ -9,24 +9,17 @@ from pyspark.sql import functions as F
 from .folds import explode_train
 
 
-BLOCK_ROWS = 2_000_000   # a window partition above this is ranked in blocks
-
-
 def average_rank(df: DataFrame, partition_cols: list[str], value_col: str,
-                 out: str = "avg_rank", blocks: int | str | None = None) -> DataFrame:
+                 out: str = "avg_rank", blocks: int | None = None) -> DataFrame:
     """1-based ranks, ties get the mean of their positions.
 
     (rank + count of rows <= x) / 2 over ONE window spec: a single sort.
     With `blocks`, a partition is first cut into value ranges by a sketch
     (`percentile_approx`, partially aggregated), so no task ever sorts a whole
     partition: rank = rows in lower blocks + rank inside the block.  Ties
-    never straddle blocks because the block is a function of the value.
+    never straddle blocks because the block is a function of the value.  The
+    number of blocks is the caller's, whatever the size.  NULLs rank last.
     """
-    if blocks == "auto":
-        # one small aggregate decides: block only partitions that would hold
-        # more than BLOCK_ROWS rows in a single task
-        big = df.groupBy(*partition_cols).count().agg(F.max("count")).first()[0] or 0
-        blocks = max(2, -(-big // (BLOCK_ROWS // 4))) if big > BLOCK_ROWS else None
     if not blocks or blocks < 2:
         w = Window.partitionBy(*partition_cols).orderBy(F.col(value_col).asc_nulls_last())
         upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -37,7 +30,8 @@ def average_rank(df: DataFrame, partition_cols: list[str], value_col: str,
     bounds = df.groupBy(*partition_cols).agg(
         F.percentile_approx(value_col, qs, 1000).alias("_bnd"))
     keyed = df.join(bounds, partition_cols)
-    keyed = keyed.withColumn("_blk", F.size(F.filter("_bnd", lambda b: b < F.col(value_col)))).drop("_bnd")
+    below = F.size(F.filter("_bnd", lambda b: b < F.col(value_col)))
+    keyed = keyed.withColumn("_blk", F.when(F.col(value_col).isNull(), F.lit(blocks)).otherwise(below)).drop("_bnd")
     counts = keyed.groupBy(*partition_cols, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     run = (Window.partitionBy(*partition_cols).orderBy("_blk")
            .rowsBetween(Window.unboundedPreceding, -1))
@@ -81,11 +75,11 @@ def spearman(df: DataFrame, group_cols: list[str], x: str, y: str,
     return r.groupBy(*group_cols).agg(safe_pearson("_rx", "_ry").alias(out))
 
 
-LABEL_RANK_BLOCKS = "auto"
+LABEL_RANK_BLOCKS = 8
 
 
 def feature_rho(long_df: DataFrame, labels: DataFrame, group_cols: list[str],
-                label_blocks: int | str | None = LABEL_RANK_BLOCKS) -> DataFrame:
+                label_blocks: int | None = LABEL_RANK_BLOCKS) -> DataFrame:
     """Spearman of every feature column with the label.
 
     long_df: (*group_cols, item_id, feature_set, idx, value)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_text, sentence_count, tokenize_alpha, tokenize_ws
 from ..sources.lexicons import CORE_LABELS, EMOTION_LABELS
 from ..session import cut_lineage
-from .joins import broadcast_checked, skew_safe_lookup
+from .joins import skew_safe_lookup
 
 
 def _nan():
@@ -56,7 +56,7 @@ def emotion_scores(docs: DataFrame, id_col: str, lexicon: DataFrame,
     no hit).  Tokens probe a broadcast lexicon (map side, no token shuffle);
     only the (doc, label) hit counts are aggregated."""
     toks = docs.select(id_col, F.explode(tokenize_ws(clean_text(F.col(text_col)))).alias("word"))
-    hits = (toks.join(broadcast_checked(lexicon), "word")
+    hits = (toks.join(lexicon, "word")
                 .groupBy(id_col).pivot("emotion", EMOTION_LABELS).count())
     tot = sum(F.coalesce(F.col(e), F.lit(0)) for e in EMOTION_LABELS)
     scored = hits.select(id_col, *[(F.coalesce(F.col(e), F.lit(0)) / tot).alias(f"{e}_score")
@@ -109,7 +109,7 @@ def emotion_features(docs: DataFrame, id_col: str, lexicon: DataFrame,
     # be re-evaluated on every token row)
     base = base.select(*keys, F.explode_outer("_w").alias("word"))
     lex = lexicon.groupBy("word").agg(F.collect_set("emotion").alias("_e"))
-    hits = (base.join(broadcast_checked(lex), "word", "left")
+    hits = (base.join(lex, "word", "left")
                 .groupBy(*keys).agg(*[F.sum(F.when(F.array_contains("_e", e), 1).otherwise(0)).alias(e)
                                       for e in EMOTION_LABELS]))
     tot = sum(F.col(e) for e in EMOTION_LABELS)
@@ -151,7 +151,7 @@ def semantic_features(docs: DataFrame, id_col: str, vocab: DataFrame | None, pos
         vocab = dw.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("c").alias("n"))
     pos = pos_lex.groupBy("word").agg(F.first("pos").alias("pos"))
     total = vocab.agg(F.sum("n").alias("_tot")).withColumn("_j", F.lit(0))
-    looked = skew_safe_lookup(dw.join(broadcast_checked(pos), "word", "left"), vocab, "word", "n", id_col,
+    looked = skew_safe_lookup(dw.join(pos, "word", "left"), vocab, "word", "n", id_col,
                               salts=salts)
     agg = (looked.withColumn("_j", F.lit(0)).join(F.broadcast(total), "_j")
                  .groupBy(*keys).agg(

@@ -305,7 +305,7 @@ def q_language_complexity(spark, sf):
 def q_lexicon_join(spark, sf):
     """Lexicon hits per document and label."""
     toks = docs(spark, sf).select("doc_id", F.explode(T.tokenize_ws(T.clean_text(F.col("text")))).alias("word"))
-    return (toks.join(F.broadcast(emotion_lexicon(spark)), "word")
+    return (toks.join(emotion_lexicon(spark), "word")
                 .groupBy("doc_id", "emotion").agg(F.count(F.lit(1)).cast("bigint").alias("hits")))
 
 
@@ -437,29 +437,29 @@ def q_pitch_stats(spark, sf):
 
 @register("velocity")
 def q_velocity(spark, sf):
-    """W3 per clip (120 s prefix)."""
-    return _r(AU.velocity(AU.clip_prefix(frames(spark, sf)), ["clip_id"]),
+    """W3 per clip."""
+    return _r(AU.velocity(frames(spark, sf), ["clip_id"]),
               ["clip_id", "pitch_vel_mean", "pitch_vel_var"])
 
 
 @register("active_islands")
 def q_active_islands(spark, sf):
-    """W5 per clip (120 s prefix)."""
-    r = AU.active_islands(AU.clip_prefix(frames(spark, sf)), ["clip_id"])
+    """W5 per clip."""
+    r = AU.active_islands(frames(spark, sf), ["clip_id"])
     return r.select("clip_id", F.col("start").cast("bigint"), F.col("end").cast("bigint"))
 
 
 @register("gap")
 def q_gap(spark, sf):
-    """W4 per clip (120 s prefix)."""
-    g = AU.gaps(AU.active_islands(AU.clip_prefix(frames(spark, sf)), ["clip_id"]), ["clip_id"])
+    """W4 per clip."""
+    g = AU.gaps(AU.active_islands(frames(spark, sf), ["clip_id"]), ["clip_id"])
     return g.select("clip_id", F.col("start").cast("bigint"), round6(F.col("gap")).alias("gap"))
 
 
 @register("pause_variance")
 def q_pause_variance(spark, sf):
-    """A20 per clip (120 s prefix)."""
-    return _r(AU.pause_variance(AU.clip_prefix(frames(spark, sf)), ["clip_id"]), ["clip_id", "pause_var"])
+    """A20 per clip."""
+    return _r(AU.pause_variance(frames(spark, sf), ["clip_id"]), ["clip_id", "pause_var"])
 
 
 @register("three_segments")
@@ -1166,7 +1166,7 @@ def q_emotion_vector(spark, sf):
 def q_pca_gram(spark, sf):
     """Wide PCA (distributed ARPACK on the centred training rows) to 8
     components per fold over the concatenation of the four sets."""
-    from .learners import pca_wide
+    from .learners import pca_project
     x = EV.assemble(cv_rows(spark, sf), B.EMB_SETS)
-    p = pca_wide(x, 8)
+    p = pca_project(x, 8)
     return p.select("fold", "role", "item_id", F.size("features").cast("bigint").alias("n_components"))

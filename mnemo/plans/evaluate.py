@@ -105,7 +105,7 @@ def _select_rows(rows: DataFrame, sets: list[str], selector: str, n_train_rows:
     rho = feature_rho(train.select("fold", "item_id", "feature_set", "idx", "value"),
                       train.select("fold", "item_id", "y").distinct(), ["fold"])
     sel = _select_top(rho, ["fold"], n, sets)
-    return rows.join(F.broadcast(sel.select("fold", "feature_set", "idx")), ["fold", "feature_set", "idx"], "left_semi")
+    return rows.join(sel.select("fold", "feature_set", "idx"), ["fold", "feature_set", "idx"], "left_semi")
 
 
 def assemble(rows: DataFrame, sets: list[str]) -> DataFrame:
@@ -175,38 +175,46 @@ def evaluate_model(spark, rows: DataFrame, combo: str, sets: list[str], widths:
         "mean_spearman", "std_spearman", "min_spearman", "max_spearman")
 
 
+SWEEP_SCHEMA = ("combination string, features string, n_features bigint, n_samples bigint, selector string, "
+                "model string, mean_spearman double, std_spearman double, min_spearman double, max_spearman double, "
+                "status string, message string")
+
+
 def sweep(spark, rows: DataFrame, combos: dict[str, list[str]], widths: dict[str, int],
           models: list[str], selectors: list[str], fusion: str = "both",
           done: DataFrame | None = None, results_path: str | None = None,
           threads: int = 2, trees: int = 100) -> DataFrame:
     """Every (combination x selector x model x fusion) cell not yet in
-    `done` (J4), evaluated as concurrent Spark jobs; a failing cell is logged
-    and skipped; results are appended to `results_path` when given (resume =
-    pass the same table as `done`)."""
+    `done` (J4), evaluated as concurrent Spark jobs.
+
+    Every cell gives one row: status `ok` with its scores, or `failed` with
+    the error's text and null scores.  With `results_path` a cell is appended
+    as soon as it ends, so a stopped sweep resumes with that table as `done`;
+    failed cells are tried again.
+    """
     from concurrent.futures import ThreadPoolExecutor
     fusions = ["kernel", "concat"] if fusion == "both" else [fusion]
     tasks = [(f, c, m, s) for f in fusions for c in combos for m in models for s in selectors]
     if done is not None:
+        ok = done.where("status = 'ok'") if "status" in done.columns else done
         have = {(r["combination"], r["model"], r["selector"]) for r in
-                done.select("combination", "model", "selector").collect()}
+                ok.select("combination", "model", "selector").collect()}
         tasks = [t for t in tasks if (t[1], t[2] if t[0] == "concat" else f"KF_{t[2]}", t[3]) not in have]
 
     def run(t):
         f, c, m, s = t
         try:
-            return evaluate_model(spark, rows, c, combos[c], widths, s, m, f, trees).collect()
-        except Exception as exc:  # noqa: BLE001 - a failed cell is skipped, as in the reference
-            print(f"  [ERROR] {c}/{m}/{s}/{f}: {str(exc)[:200]}")
-            return []
+            cell = [(*r, "ok", None) for r in evaluate_model(spark, rows, c, combos[c], widths, s, m, f, trees).collect()]
+        except Exception as exc:  # noqa: BLE001 - the row says so
+            cell = [(c, "|".join(combos[c]), None, None, s, m if f == "concat" else f"KF_{m}", None, None, None, None,
+                     "failed", str(exc)[:1000])]
+        if results_path:
+            spark.createDataFrame(cell, SWEEP_SCHEMA).write.mode("append").parquet(results_path)
+        return cell
 
     with ThreadPoolExecutor(max_workers=threads) as ex:
         rows_out = [r for part in ex.map(run, tasks) for r in part]
-    schema = ("combination string, features string, n_features bigint, n_samples bigint, selector string, "
-              "model string, mean_spearman double, std_spearman double, min_spearman double, max_spearman double")
-    res = spark.createDataFrame(rows_out, schema)
-    if results_path:
-        res.write.mode("append").parquet(results_path)
-    return res.orderBy(F.col("mean_spearman").desc())
+    return spark.createDataFrame(rows_out, SWEEP_SCHEMA).orderBy(F.col("mean_spearman").desc_nulls_last())
 
 
 def kernel_predict(spark, long_all: DataFrame, labels: DataFrame, sets: list[str], selector: str,
@@ -220,24 +228,25 @@ def kernel_predict(spark, long_all: DataFrame, labels: DataFrame, sets: list[str
 
 def predict_configs(spark, long_all: DataFrame, labels: DataFrame, configs: list[dict],
                     combos: dict[str, list[str]], trees: int = 100) -> DataFrame:
-    """E6 inputs: every config fitted on the labelled split and applied to
-    the other; a failing config contributes no rows (dropped).
-    -> (cfg_id, item_id, p)."""
+    """E6 inputs: every config fitted on the labelled split and applied to the other.
+
+    -> (cfg_id, item_id, p, status, message).  A config that fails gives one
+    row with status `failed`, the error's text and null item and prediction;
+    fusion leaves it out because its prediction is null.
+    """
     rows = full_rows(long_all, labels)
-    parts = []
+    item = rows.schema["item_id"].dataType.simpleString()
+    schema = f"cfg_id bigint, item_id {item}, p double, status string, message string"
+    out = spark.createDataFrame([], schema)
     for c in configs:
         try:
             sets = combos[c["combo"]]
             d = concat_design(rows, sets, c["selector"]) if c["preprocessing"] == "concat" \
                 else kernel_design(rows, sets, c["selector"])
-            p = fit_predict(d, c["model"], trees=trees)
-            parts.append(p.select(F.lit(c["cfg_id"]).cast("bigint").alias("cfg_id"), "item_id",
-                                  F.col("pred").alias("p")))
-        except Exception as exc:  # noqa: BLE001
-            print(f"  [ERROR] config {c}: {str(exc)[:200]}")
-    if not parts:
-        return spark.createDataFrame([], "cfg_id bigint, item_id bigint, p double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            part = fit_predict(d, c["model"], trees=trees).select(
+                F.lit(c["cfg_id"]).cast("bigint").alias("cfg_id"), "item_id", F.col("pred").alias("p"),
+                F.lit("ok").alias("status"), F.lit(None).cast("string").alias("message"))
+        except Exception as exc:  # noqa: BLE001 - the row says so
+            part = spark.createDataFrame([(c["cfg_id"], None, None, "failed", str(exc)[:1000])], schema)
+        out = out.unionByName(part)
     return out

@@ -12,8 +12,10 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.feature import PCA, QuantileDiscretizer
+from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -30,7 +32,7 @@ GBT_DEPTH = 3
 MLP_HIDDEN = (256, 128)
 MLP_BINS = 10
 HUBER_REG = 1e-2
-WIDE_PCA_COLUMNS = 4096   # above: distributed SVD instead of a local covariance
+NORMAL_MAX_COLUMNS = 4096   # Spark's own limit of the normal-equation solver
 
 
 def scale_arrays(df: DataFrame, keys: list[str], col: str = "features") -> DataFrame:
@@ -47,14 +49,18 @@ def scale_arrays(df: DataFrame, keys: list[str], col: str = "features") -> DataF
 
 def make_model(name: str, d: int, n: int, y_sd: float, trees: int = GBT_TREES):
     """A fresh estimator for `name`."""
+    solver = "normal" if d <= NORMAL_MAX_COLUMNS else "l-bfgs"
     if name == "LinearRegression":
         return LinearRegression(featuresCol="vec", labelCol="y", predictionCol="pred", regParam=0.0,
-                                solver="normal" if d <= 4096 else "l-bfgs", standardization=False, tol=1e-9)
+                                solver=solver, standardization=False, tol=1e-12, maxIter=1000)
     if name == "Ridge":
-        # sklearn Ridge(alpha) on scaled data == Spark's L2 with regParam = alpha * sd(y) / n
+        # alpha on the summed squares == Spark's L2 with regParam = alpha * sd(y) / n, where the normal
+        # solver scales by the population deviation and l-bfgs by the sample deviation
+        if solver == "l-bfgs" and n > 1:
+            y_sd *= (n / (n - 1)) ** 0.5
         return LinearRegression(featuresCol="vec", labelCol="y", predictionCol="pred",
                                 regParam=RIDGE_ALPHA * y_sd / max(n, 1), elasticNetParam=0.0,
-                                solver="normal" if d <= 4096 else "l-bfgs", standardization=False)
+                                solver=solver, standardization=False, tol=1e-12, maxIter=1000)
     if name == "GradientBoosting":
         return GBTRegressor(featuresCol="vec", labelCol="y", predictionCol="pred", maxIter=trees,
                             maxDepth=GBT_DEPTH, stepSize=0.1, seed=SEED, maxBins=256)
@@ -64,7 +70,7 @@ def make_model(name: str, d: int, n: int, y_sd: float, trees: int = GBT_TREES):
                                 regParam=HUBER_REG, standardization=False)
     if name == "MLP":
         return "MLP"
-    raise ValueError(f"Unknown model '{name}'. Choose from {MODELS}")
+    raise ValueError(f"no model is registered as {name!r}; registered: {', '.join(MODELS)}")
 
 
 MODELS = ["LinearRegression", "Ridge", "MLP", "SVR", "GradientBoosting"]
@@ -74,7 +80,7 @@ SELECTORS = ["none", "spearman_30", "spearman_50", "pca_30", "pca_50"]
 def _fit_mlp(train: DataFrame, test: DataFrame, d: int) -> DataFrame:
     """M7 (re-aimed): target cut in quantile bins, an MLP classifier, the
     prediction is sum(prob x bin mean)."""
-    disc = QuantileDiscretizer(inputCol="y", outputCol="bin", numBuckets=MLP_BINS, relativeError=0.0)
+    disc = QuantileDiscretizer(inputCol="y", outputCol="bin", numBuckets=MLP_BINS, relativeError=1e-3)
     dm = disc.fit(train)
     tb = dm.transform(train)
     means = {int(r["bin"]): r["m"] for r in tb.groupBy("bin").agg(F.avg("y").alias("m")).collect()}
@@ -118,38 +124,6 @@ def fit_predict(df: DataFrame, model: str, fold_col: str = "fold", trees: int =
     return res
 
 
-def pca_project(df: DataFrame, k: int, fold_col: str = "fold") -> DataFrame:
-    """M2: PCA to min(k, n_train, D) fitted on the (centred) train rows of
-    each fold; Spark's PCA does not centre, so rows are centred with the
-    training means first (sklearn semantics)."""
-    width = df.select(F.max(F.size("features"))).first()[0] or 0
-    if width > WIDE_PCA_COLUMNS:
-        return pca_wide(df, k, fold_col)
-    centred = scale_arrays_mean_only(df, [fold_col])
-    v = cut_lineage(centred.withColumn("vec", array_to_vector("features")))
-    folds = sorted(r[0] for r in v.select(fold_col).distinct().collect())
-    outs = []
-    for f in folds:
-        tr = v.where((F.col(fold_col) == f) & (F.col("role") == "train"))
-        n = tr.count()
-        d = len(tr.first()["features"])
-        kk = max(1, min(k, n, d))
-        try:
-            m = PCA(k=kk, inputCol="vec", outputCol="_pc").fit(tr)
-        except Exception as exc:  # noqa: BLE001
-            # Spark ML's local covariance path failed: the distributed SVD
-            # computes the same centred principal axes.
-            import sys
-            print(f"[WARNING] PCA fit failed ({str(exc)[:300]}); using the distributed SVD", file=sys.stderr)
-            return pca_wide(df, k, fold_col)
-        outs.append(m.transform(v.where(F.col(fold_col) == f))
-                     .withColumn("features", vector_to_array("_pc")).drop("_pc", "vec"))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
-
-
 def scale_arrays_mean_only(df: DataFrame, keys: list[str], col: str = "features") -> DataFrame:
     pos = df.select(*keys, "role", "item_id", F.posexplode(col).alias("_p", "_v"))
     mom = pos.where(F.col("role") == "train").groupBy(*keys, "_p").agg(F.avg("_v").alias("_m"))
@@ -159,22 +133,25 @@ def scale_arrays_mean_only(df: DataFrame, keys: list[str], col: str = "features"
     return df.drop(col).join(arr, [*keys, "role", "item_id"])
 
 
-def pca_wide(df: DataFrame, k: int, fold_col: str = "fold") -> DataFrame:
-    """PCA for wide, short data (tens of thousands of columns).
+def _projection(axes):
+    """A pandas UDF that multiplies feature arrays with broadcast axes."""
+    @F.pandas_udf("array<double>")
+    def project(col: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(col.to_numpy()).astype(float) @ axes.value))
+    return project
+
+
+def pca_project(df: DataFrame, k: int, fold_col: str = "fold") -> DataFrame:
+    """M2: PCA to min(k, n_train, D), fitted on the centred train rows of each fold.
 
-    Spark ML's PCA materialises the D x D covariance on the driver (and is
-    limited to 65,535 columns).  Here the centred training rows of a fold
-    form a distributed `RowMatrix` and `computeSVD` finds the top-k right
-    singular vectors with ARPACK: every iteration is a distributed
-    matrix-vector product, and only k vectors of width D reach the driver
-    (bounded by the feature width, not by the rows).  The projection runs
-    as an Arrow-batched pandas UDF with those axes broadcast.
+    The centred training rows form a distributed `RowMatrix`; `computeSVD`
+    finds the top right singular vectors, so neither the D x D covariance nor
+    the rows reach the driver, only the axes (width D).  Directions without
+    variance, which the SVD leaves out, give columns of zeros.  The
+    projection runs in Arrow batches with the axes broadcast.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.mllib.linalg import Vectors as MLLibVectors
     from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.sql.functions import PandasUDFType, pandas_udf
+    from pyspark.mllib.util import MLUtils
 
     centred = cut_lineage(scale_arrays_mean_only(df, [fold_col]))
     sc = df.sparkSession.sparkContext
@@ -182,21 +159,14 @@ def pca_wide(df: DataFrame, k: int, fold_col: str = "fold") -> DataFrame:
     outs = []
     for f in folds:
         part = centred.where(F.col(fold_col) == f)
-        tr = part.where(F.col("role") == "train").select("features")
-        n = tr.count()
-        d = len(tr.first()["features"])
-        kk = max(1, min(k, n - 1 if n > 1 else 1, d))
-        mat = RowMatrix(tr.rdd.map(lambda r: MLLibVectors.dense(r["features"])))
-        axes = np.array(mat.computeSVD(kk, computeU=False).V.toArray())   # d x kk
-        bv = sc.broadcast(axes)
-
-        def _proj(col, _bv=bv):
-            x = np.stack(col.to_numpy()).astype(float)
-            return pd.Series(list(x @ _bv.value))
-
-        project = pandas_udf(_proj, "array<double>", PandasUDFType.SCALAR)
-
-        outs.append(part.withColumn("features", project("features")))
+        tr = part.where(F.col("role") == "train")
+        n, d = tr.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+        kk = max(1, min(k, n, d))
+        rows = MLUtils.convertVectorColumnsFromML(tr.select(array_to_vector("features").alias("vec")), "vec")
+        found = np.array(RowMatrix(rows).computeSVD(min(kk, d), computeU=False).V.toArray())
+        axes = np.zeros((d, kk))
+        axes[:, :found.shape[1]] = found
+        outs.append(part.withColumn("features", _projection(sc.broadcast(axes))("features")))
     res = outs[0]
     for o in outs[1:]:
         res = res.unionByName(o)

@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import mnemo
+
+# Functions of the package travel to the workers by value: they need no copy of it on their path.
+cloudpickle.register_pickle_by_value(mnemo)
+
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -15,6 +22,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -51,7 +59,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster")
         d = tempfile.mkdtemp(prefix="mnemo-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

@@ -121,22 +121,60 @@ def test_fusion_constant_config_contributes_constant(spark):
         assert abs(f[i] - ((i + 1) / 4 + const) / 2) < 1e-9
 
 
-def test_auto_blocks_switch(spark, monkeypatch):
+def test_blocks_do_not_change_ranks(spark):
     from mnemo.operators import ranks as R
-    df = spark.createDataFrame([(i % 2, float(i % 7)) for i in range(60)], "g int, v double")
+    values = [float(i % 7) for i in range(60)] + [None] * 5 + [3.0] * 90
+    df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)], "g int, v double")
     plain = {(r["g"], r["v"]): r["r"] for r in R.average_rank(df, ["g"], "v", "r").collect()}
-    monkeypatch.setattr(R, "BLOCK_ROWS", 10)          # force the blocked path
-    auto = {(r["g"], r["v"]): r["r"] for r in R.average_rank(df, ["g"], "v", "r", blocks="auto").collect()}
-    assert plain == auto
+    for blocks in (2, 5):
+        assert plain == {(r["g"], r["v"]): r["r"] for r in R.average_rank(df, ["g"], "v", "r", blocks=blocks).collect()}
+
+
+def test_equal_rank_averages_tie_exactly(spark):
+    # three configs whose ranks are permutations of each other for items 0, 1, 2
+    rows = [(c, i, float((i + c) % 3)) for c in range(3) for i in range(3)] + [(c, i, 3.0 + i) for c in range(3) for i in range(3, 50)]
+    p = spark.createDataFrame(rows, "cfg_id long, item_id long, p double")
+    f = {r["item_id"]: r["fused"] for r in fuse_rank_average(p, []).collect()}
+    assert f[0] == f[1] == f[2] and abs(f[0] - 2 / 50) < 1e-12
+
+
+def test_welch_of_equal_scores_is_null(spark):
+    from pyspark.sql import functions as F
+    from mnemo.functions.stats import t_two_sided_p, welch_df, welch_t
+    v, n, m = F.lit(0.0), F.lit(3.0), F.lit(0.5)
+    t, df = welch_t(m, v, n, m, v, n), welch_df(v, n, v, n)
+    assert tuple(spark.range(1).select(t, df, t_two_sided_p(t, df)).first()) == (None, None, None)
+
+
+def test_failed_configuration_is_visible(spark, monkeypatch):
+    from mnemo.plans import evaluate as EV
+    items = [("dev" if i < 30 else "test", i, "a", 0, float(i % 5)) for i in range(40)]
+    long = spark.createDataFrame(items, "split string, item_id long, feature_set string, idx int, value double")
+    labels = spark.createDataFrame([(i, float(i % 5)) for i in range(30)], "item_id long, y double")
+    configs = [{"cfg_id": 1, "combo": "a", "model": "LinearRegression", "selector": "none", "preprocessing": "concat"},
+               {"cfg_id": 2, "combo": "missing", "model": "LinearRegression", "selector": "none", "preprocessing": "concat"}]
+    got = EV.predict_configs(spark, long, labels, configs, {"a": ["a"]}).collect()
+    assert {(r["cfg_id"], r["status"]) for r in got} == {(1, "ok"), (2, "failed")}
+    assert [r["message"] for r in got if r["cfg_id"] == 2] == ["'missing'"]
+    monkeypatch.setattr(EV, "evaluate_model", lambda *a: 1 / 0)
+    cells = EV.sweep(spark, long, {"a": ["a"]}, {"a": 1}, ["Ridge"], ["none"], "concat").collect()
+    assert [(r["status"], r["mean_spearman"], r["message"]) for r in cells] == [("failed", None, "division by zero")]
+
+
+def test_pca_keeps_as_many_columns_as_rows(spark):
+    from mnemo.plans.learners import pca_project
+    rows = [(1, "train" if i < 4 else "test", i, [float(i * j % 3 + j) for j in range(6)]) for i in range(6)]
+    df = spark.createDataFrame(rows, "fold long, role string, item_id long, features array<double>")
+    assert {len(r["features"]) for r in pca_project(df, 5).collect()} == {4}
 
 
 def test_pca_wide_matches_numpy_up_to_sign(spark):
-    from mnemo.plans.learners import pca_wide
+    from mnemo.plans.learners import pca_project
     rng = np.random.default_rng(3)
     x = rng.normal(size=(30, 120)) * np.linspace(5, 0.1, 120)
     rows = [(1, "train" if i < 24 else "test", i, None, [float(v) for v in x[i]]) for i in range(30)]
     df = spark.createDataFrame(rows, "fold long, role string, item_id long, y double, features array<double>")
-    got = {r["item_id"]: r["features"] for r in pca_wide(df, 3).collect()}
+    got = {r["item_id"]: r["features"] for r in pca_project(df, 3).collect()}
     mu = x[:24].mean(0)
     _, _, vt = np.linalg.svd(x[:24] - mu, full_matrices=False)
     want = (x - mu) @ vt[:3].T

@@ -13,12 +13,12 @@ from ..functions.stats import significance_stars, t_two_sided_p, welch_df, welch
 # The six feature types analysed by default and their logic
 # (require_all = True means every marker must be present).
 DEFAULT_MARKERS = [
-    ("tcnj_audio_o", ["tcnj_audio_o"], False),
-    ("tcnj_audio_c", ["tcnj_audio_c"], False),
-    ("Audio", ["tcnj_audio_c", "tcnj_audio_o"], True),
-    ("tcnj_semantic", ["tcnj_semantic"], False),
-    ("tcnj_emotion", ["tcnj_emotion"], False),
-    ("EmotionSemantic", ["tcnj_emotion", "tcnj_semantic"], True),
+    ("audio_o", ["audio_o"], False),
+    ("audio_c", ["audio_c"], False),
+    ("Audio", ["audio_c", "audio_o"], True),
+    ("semantic", ["semantic"], False),
+    ("emotion", ["emotion"], False),
+    ("EmotionSemantic", ["emotion", "semantic"], True),
 ]
 
 

@@ -15,14 +15,14 @@ ALL_FEATURE_SETS = [
     "HSVHistogram", "RGBHistogram", "LBP",
     "R3D",
     "AlexNet", "DenseNet121", "EfficientNetB3", "ResNet50", "VGG", "ViT",
-    "tcnj_audio_c", "tcnj_audio_o",
-    "tcnj_emotion", "tcnj_semantic",
+    "audio_c", "audio_o",
+    "emotion", "semantic",
 ]
 
 _HC = ["HSVHistogram", "RGBHistogram", "LBP"]
 _DV = ["AlexNet", "DenseNet121", "EfficientNetB3", "ResNet50", "VGG", "ViT"]
-_AU = ["tcnj_audio_c", "tcnj_audio_o"]
-_ES = ["tcnj_emotion", "tcnj_semantic"]
+_AU = ["audio_c", "audio_o"]
+_ES = ["emotion", "semantic"]
 _T = ["R3D"]
 
 # The nineteen named groups (name -> sets in order).
@@ -52,7 +52,7 @@ FEATURE_GROUPS = {
 FEATURE_WIDTHS = {
     "HSVHistogram": 72, "RGBHistogram": 72, "LBP": 768, "R3D": 512, "AlexNet": 12288,
     "DenseNet121": 3072, "EfficientNetB3": 4608, "ResNet50": 6144, "VGG": 12288, "ViT": 2304,
-    "tcnj_audio_c": 27, "tcnj_audio_o": 9, "tcnj_emotion": 19, "tcnj_semantic": 7,
+    "audio_c": 27, "audio_o": 9, "emotion": 19, "semantic": 7,
 }
 
 SELECTORS = learners.SELECTORS

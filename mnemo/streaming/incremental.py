@@ -33,7 +33,7 @@ def run_incremental_emotion(spark: SparkSession, folder: str, lexicon: DataFrame
 
     def write(batch: DataFrame, batch_id: int) -> None:
         feats = emotion_features(batch, "item_id", lexicon)
-        out = feats.select(F.lit(split).alias("split"), F.lit("tcnj_emotion").alias("feature_set"),
+        out = feats.select(F.lit(split).alias("split"), F.lit("emotion").alias("feature_set"),
                            "item_id", F.lit(True).alias("is_global"),
                            F.array(F.col("vector").cast("array<float>")).alias("frames"),
                            F.lit(batch_id).cast("bigint").alias("batch_id"))

@@ -20,6 +20,7 @@ split.
 Defined cases: null texts count as empty and have no spans; a null owner is
 an owner of its own; a match shorter than its kind's minimum is dropped after
 matching (its characters are used up); spans of different kinds may overlap;
+a private key is the whole block and its value the body between the lines;
 one row is returned per input row.
 """
 
@@ -37,7 +38,9 @@ BASE_KINDS = (
     ("hex", r"[0-9a-f]+", 0, 24),
 )
 MORE_KINDS = (
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    # to the END line of the same type; without one, to the next key or the end of the text
+    ("pem", r"-----BEGIN (?<type>[A-Z ]*)PRIVATE KEY-----((?s:.*?))"
+            r"(?:-----END \k<type>PRIVATE KEY-----|(?=-----BEGIN [A-Z ]*PRIVATE KEY-----)|\z)", 2, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     ("github", r"gh[opsur]_[A-Za-z0-9]+", 0, 24),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
@@ -46,7 +49,7 @@ MORE_KINDS = (
     ("url", r"[a-z][a-z0-9+]*://[^\s:/@]+:([^\s:/@]+)@", 1, 1),
 )
 #: A cheap test before the full search of a kind: runs that no match can do without.
-QUICK = {"hex": r"[0-9a-f]{24}", "access": r"AKIA[A-Z0-9]{16}"}
+QUICK = {"hex": r"[0-9a-f]{24}", "access": r"AKIA[A-Z0-9]{16}", "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----"}
 KINDS = BASE_KINDS + MORE_KINDS
 EXAMPLE_OWNERS = 3
 

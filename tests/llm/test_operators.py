@@ -89,6 +89,28 @@ def test_secrets(spark):
     assert secret_scan.redact(docs(spark, rows)).columns == docs(spark, rows).columns
 
 
+def test_secrets_of_private_keys(spark):
+    """Every key is a value of its own and goes as a whole; only a key that three owners hold is an example."""
+    def pem(body, kind="RSA "):
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+
+    rows = [(i, f"é {pem(f'MIIEmine{i}+/' * 30)} after", f"o{i}") for i in range(4)]
+    rows += [(10 + i, f"a {pem('MIIEcopied')} b", f"o{i}") for i in range(3)]
+    rows += [(20, "x -----BEGIN PRIVATE KEY-----\nMIIEcut\r\nmore", "o1"),
+             (21, f"x -----BEGIN EC PRIVATE KEY-----\nMIIEcut2\n{pem('MIIEwhole', '')} y {pem('MIIEcopied')}", "o2"),
+             (22, "-----BEGIN EC PRIVATE KEY-----\nMIIEother\n-----END RSA PRIVATE KEY-----", "o3"),
+             (23, "-----BEGIN PRIVATE KEY-----", "o3"), (24, f"{pem('Q' * 200_000)} z", "o4")]
+    got = {r["doc_id"]: r for r in secret_scan.secret_report(docs(spark, rows)).collect()}
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs(spark, rows)).collect()}
+    for i in range(4):
+        assert got[i]["spans"] == f"pem:2:{len(rows[i][1]) - 6}" and (got[i]["n_live"], got[i]["n_example"]) == (1, 0)
+        assert out[i] == "é [REDACTED] after"
+    for i in range(10, 13):
+        assert (got[i]["n_live"], got[i]["n_example"]) == (0, 1) and out[i] == f"a {pem('MIIEcopied')} b"
+    assert out[20] == "x [REDACTED]" and out[21] == f"x [REDACTED][REDACTED] y {pem('MIIEcopied')}"
+    assert out[22] == "[REDACTED]" and got[23]["n_live"] == 0 and out[24] == "[REDACTED] z"
+
+
 def test_secrets_are_native(spark, corpus):
     for df in (secret_scan.secret_report(docs(spark, corpus)), secret_scan.redact(docs(spark, corpus))):
         plan = df._jdf.queryExecution().executedPlan().toString()

@@ -8,10 +8,10 @@ skipped with all they hold.
 
 On the remaining lines the text-to-tag ratio is smoothed with a Gaussian and
 parted in two clusters by a threshold; lines of the upper cluster are content.
-The region is the container that holds the content: an <article> or <main>
-with at least half of the content's characters, else the deepest container
-that holds `SHARE` of them.  All lines of that region are the text: a short
-paragraph between long ones stays.
+Without <article> and <main> the region is the smallest container that holds
+all of the content.  Where some of these hold content, each of them is in the
+region, and so is the innermost container of content that lies in none.  All
+lines of the region are the text: a short paragraph between long ones stays.
 
 White space in a line becomes one space; lines are joined by two newlines.
 <br> and table cells part words, not lines.
@@ -48,7 +48,7 @@ SKIP_NAMES = frozenset("header site-header page-header masthead topbar site-foot
 MAIN = frozenset(("article", "main"))
 CONTAINERS = frozenset("html body article main section div td center table tbody".split())
 CLOSED_BY_SAME = frozenset("li dt dd tr td th option".split())
-SIGMA, RADIUS, SHARE = 1.0, 2, 0.9
+SIGMA, RADIUS = 1.0, 2
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
@@ -156,6 +156,14 @@ def content_lines(ratios: list[float]) -> np.ndarray:
     return smooth >= min(cut, smooth.max())
 
 
+def _region(paths: list[tuple], kinds: dict[int, str]) -> set[int]:
+    """The containers that hold all content, given the containers of its lines."""
+    main = [next((n for n in path if kinds[n] in MAIN), None) for path in paths]
+    if any(n is not None for n in main):
+        return {path[-1] if n is None else n for n, path in zip(main, paths)}
+    return {[n for n, *others in zip(*paths) if all(n == o for o in others)][-1]}
+
+
 def extract(html: str | None) -> str:
     """Main text of one page."""
     if not html:
@@ -168,14 +176,8 @@ def extract(html: str | None) -> str:
     if not lines:
         return ""
     content = content_lines([len(t) / max(1, tags) for t, tags, _ in lines])
-    mass: dict[int, int] = {}
-    for (text, _, path), c in zip(lines, content):
-        if c:
-            for node in path:
-                mass[node] = mass.get(node, 0) + len(text)
-    main = [n for n in mass if parser.kinds[n] in MAIN and 2 * mass[n] >= mass[0]]
-    region = min(main) if main else max(n for n in mass if mass[n] >= SHARE * mass[0])
-    return "\n\n".join(text for text, _, path in lines if region in path)
+    region = _region([path for (_, _, path), c in zip(lines, content) if c], parser.kinds)
+    return "\n\n".join(text for text, _, path in lines if not region.isdisjoint(path))
 
 
 def _extract_batches(batches):

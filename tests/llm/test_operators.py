@@ -308,6 +308,27 @@ def test_html(page, text):
     assert html_extract.extract(page) == text
 
 
+def paragraphs(word, n, size=40):
+    return [f"{word}{i} " * size + "end." for i in range(n)]
+
+
+def test_html_region_holds_all_content():
+    """No content is left out for a share: sibling sections, sibling articles, a lead beside the body's container."""
+    long, short, lead = paragraphs("long", 19), paragraphs("short", 1), paragraphs("lead", 1)
+    tags = {name: "".join(f"<p>{p}</p>" for p in ps) for name, ps in (("long", long), ("short", short), ("lead", lead))}
+    links = "<ul>" + "<li><a href=x>l</a></li>" * 9 + "</ul>"
+    sections = f"<body><div>{links}</div><div><section>{tags['long']}</section><section>{tags['short']}</section></div>"
+    assert html_extract.extract(sections) == "\n\n".join(long + short)
+    articles = f"<body><div>{links}</div><article>{tags['long']}</article><div>{links}</div><article>{tags['short']}</article>"
+    assert html_extract.extract(articles) == "\n\n".join(long + short)
+    thirds = "<body>" + "".join(f"<article><p>{p}</p></article>" for p in paragraphs("third", 3)) + f"<div>{links}</div>"
+    assert html_extract.extract(thirds) == "\n\n".join(paragraphs("third", 3))
+    beside = f"<body><div>{links}</div><div>{tags['lead']}<div>{tags['long']}</div></div>"
+    assert html_extract.extract(beside) == "\n\n".join(lead + long)
+    outside = f"<body><div>{links}</div><div>{tags['lead']}</div><article>{tags['long']}</article>"
+    assert html_extract.extract(outside) == "\n\n".join(lead + long)
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<article><p>é😀</p></article>"), (2, None, None), (None, "u", "<p>x"), (1, "u", "<article><p>é😀</p></article>"),
             (3, "u", "<article>" + "<p>word word</p>" * 20_000)]

@@ -2,9 +2,17 @@
 
 The standard library's streaming parser emits events.  Each block of text is
 one line with its characters, its tags and its place in the element tree.
-Containers that HTML or their names mark as menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles or reader comments are
-skipped with all they hold.
+Containers that HTML marks as menus, headers, footers, sidebars, forms,
+scripts or styles are skipped with all they hold.
+
+A class or id marks a container as one of these, or as a notice, an advert or
+reader comments, if the word is the whole name or its head noun: `top-menu`
+and `menu-list`, not `with-sidebar` or `menu-open`.  <article> and <main> are
+never skipped by a name.  As names may mislead, clusters over all lines (see
+below) decide: a named container stays if it holds more of the content than
+the rest of the page, or any <article> or <main>, and if it doesn't stand
+outside one that has text itself; comments stay only if nothing else has
+content.
 
 On the remaining lines the text-to-tag ratio is smoothed with a Gaussian and
 parted in two clusters by a threshold; lines of the upper cluster are content.
@@ -40,11 +48,17 @@ BLOCK = frozenset(
 SKIP_TAGS = frozenset("head title script style noscript template iframe object svg canvas nav header footer aside form menu "
                       "dialog button select textarea input label datalist".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
-#: Words in a class or id that mark a container to skip; the second set only as a whole class or id.
+#: Words that mark a container to skip as a class or id or its head noun; SKIP_NAMES only as a whole class or id.
 SKIP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies "
                        "consent gdpr notice popup modal newsletter subscribe sidebar menu nav navbar navigation breadcrumb "
                        "breadcrumbs footer comment comments disqus share sharing social related recommended".split())
 SKIP_NAMES = frozenset("header site-header page-header masthead topbar site-footer respond".split())
+COMMENTS = frozenset("comment comments disqus".split())
+#: Words after the head noun that only tell the container's shape or place, and words that make a name a state of the page.
+SHAPES = frozenset("area articles bar block blocks body bottom box button buttons col column container content count feed form group "
+                   "holder icon icons image inner item items left link links list main module news outer panel posts primary right "
+                   "row secondary section signup slot stories text title top unit widget widgets wrap wrapper".split())
+STATES = frozenset("with without has no not hide hidden show".split())
 MAIN = frozenset(("article", "main"))
 CONTAINERS = frozenset("html body article main section div td center table tbody".split())
 CLOSED_BY_SAME = frozenset("li dt dd tr td th option".split())
@@ -62,30 +76,42 @@ def _skipped(tag: str, attrs: list) -> bool:
             return True
         if not value:
             continue
-        value = value.lower()
-        if name == "role" and value in SKIP_ROLES:
-            return True
-        if name in ("class", "id") and (SKIP_NAMES & set(value.split()) or SKIP_WORDS & set(_WORDS.findall(value))):
+        if name == "role" and value.lower() in SKIP_ROLES:
             return True
     return False
 
 
+def _named(tag: str, attrs: list) -> str | None:
+    """The word by which a class or id marks the element as one to skip."""
+    if tag in ("html", "body") or tag in MAIN:
+        return None
+    for attr, value in attrs:
+        for name in (value or "").lower().split() if attr in ("class", "id") else ():
+            if name in SKIP_NAMES:
+                return name
+            words = _WORDS.findall(name)
+            head = next((w for w in reversed(words) if w not in SHAPES and not w.isdigit()), None)
+            if head in SKIP_WORDS and STATES.isdisjoint(words):
+                return head
+    return None
+
+
 class _Lines(HTMLParser):
-    """Collects lines: [text, number of tags, containers from the root]."""
+    """Collects lines: (pieces of text, each with the named containers that hold it; number of tags; containers from the root)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple]] = []
+        self.lines: list[tuple[list[tuple[str, tuple]], int, tuple]] = []
         self.kinds = {0: "root"}
-        self.stack: list[tuple[str, int, bool]] = [("root", 0, False)]  # tag, container, skipped
+        self.named: list[tuple[str, bool]] = []  # the words that mark them, and whether <article> or <main> holds them
+        self.stack: list[tuple[str, int, bool, tuple]] = [("root", 0, False, ())]  # tag, container, skipped, named containers
         self.path: tuple = (0,)
-        self.parts: list[str] = []
+        self.parts: list[tuple[str, tuple]] = []
         self.tags = 0
 
     def flush(self):
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.lines.append((text, self.tags, self.path))
+        if self.parts:
+            self.lines.append((self.parts, self.tags, self.path))
         self.parts, self.tags = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -94,7 +120,7 @@ class _Lines(HTMLParser):
             if any(x[0] == "p" for x in self.stack[-8:]):
                 self.close_to("p", stop=CONTAINERS)
         elif tag in ("br", "td", "th"):
-            self.parts.append(" ")
+            self.parts.append((" ", ()))
         if tag in CLOSED_BY_SAME:
             self.close_to(tag, stop=frozenset(("ul", "ol", "dl", "table", "select")))
         self.tags += 1
@@ -104,16 +130,19 @@ class _Lines(HTMLParser):
         if skipped and tag in MAIN:
             skipped = self.skipped_but_forms()
         skipped = skipped or _skipped(tag, attrs)
-        node = self.stack[-1][1]
+        node, names = self.stack[-1][1], self.stack[-1][3]
+        if not skipped and (word := _named(tag, attrs)):
+            names += (len(self.named),)
+            self.named.append((word, any(x[0] in MAIN for x in self.stack)))
         if tag in CONTAINERS:
             node = len(self.kinds)
             self.kinds[node] = tag
             self.path += (node,)
-        self.stack.append((tag, node, skipped))
+        self.stack.append((tag, node, skipped, names))
 
     def skipped_but_forms(self) -> bool:
         """Whether some element that is no form starts to skip."""
-        return any(s and not before[2] and t != "form" for before, (t, _, s) in zip(self.stack, self.stack[1:]))
+        return any(s and not before[2] and t != "form" for before, (t, _, s, _) in zip(self.stack, self.stack[1:]))
 
     def handle_endtag(self, tag):
         if tag in BLOCK:
@@ -136,7 +165,7 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data):
         if not self.stack[-1][2]:
-            self.parts.append(data)
+            self.parts.append((data, self.stack[-1][3]))
 
     def unknown_decl(self, data):
         pass
@@ -164,6 +193,42 @@ def _region(paths: list[tuple], kinds: dict[int, str]) -> set[int]:
     return {[n for n, *others in zip(*paths) if all(n == o for o in others)][-1]}
 
 
+def _texts(lines: list, stays: set[int]) -> list[tuple[str, int, tuple, tuple]]:
+    """(text, tags, containers, named containers of the first piece) of the lines with text outside named containers that don't stay."""
+    out = []
+    for parts, tags, path in lines:
+        held = [(t, names) for t, names in parts if stays.issuperset(names)]
+        text = " ".join("".join(t for t, _ in held).split())
+        if text:
+            out.append((text, tags, path, next(names for t, names in held if t.strip())))
+    return out
+
+
+def _content(lines: list) -> list:
+    return [x for x, c in zip(lines, content_lines([len(x[0]) / max(1, x[1]) for x in lines])) if c]
+
+
+def _staying(parser: _Lines) -> set[int]:
+    """The named containers that are no menu, advert and so on, by the content that they hold."""
+    every = set(range(len(parser.named)))
+    lines = _texts(parser.lines, every)
+    if not every or not lines:
+        return set()
+    content = _content(lines)
+    total, held = sum(len(x[0]) for x in content), dict.fromkeys(every, 0)
+    inside, holds_main, main_outside = set(), set(), False
+    for _, _, path, names in lines:
+        if any(parser.kinds[n] in MAIN for n in path):
+            main_outside |= not names
+            inside.update(n for n in names if parser.named[n][1])
+            holds_main.update(n for n in names if not parser.named[n][1])
+    for text, _, _, names in content:
+        for n in names:
+            held[n] += len(text)
+    return {n for n in every if (n in inside or not main_outside) and
+            (held[n] == total or parser.named[n][0] not in COMMENTS and (2 * held[n] > total or n in holds_main))}
+
+
 def extract(html: str | None) -> str:
     """Main text of one page."""
     if not html:
@@ -172,12 +237,11 @@ def extract(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines = _texts(parser.lines, _staying(parser))
     if not lines:
         return ""
-    content = content_lines([len(t) / max(1, tags) for t, tags, _ in lines])
-    region = _region([path for (_, _, path), c in zip(lines, content) if c], parser.kinds)
-    return "\n\n".join(text for text, _, path in lines if not region.isdisjoint(path))
+    region = _region([path for _, _, path, _ in _content(lines)], parser.kinds)
+    return "\n\n".join(text for text, _, path, _ in lines if not region.isdisjoint(path))
 
 
 def _extract_batches(batches):

@@ -329,6 +329,34 @@ def test_html_region_holds_all_content():
     assert html_extract.extract(outside) == "\n\n".join(lead + long)
 
 
+@pytest.mark.parametrize("tag, name", [
+    ("div", "class='content with-sidebar'"), ("main", "class=no-sidebar"), ("article", "class='post comments-open'"),
+    ("div", "id=site-menu-open"), ("div", "class=notice"), ("div", "id=share-story"), ("article", "class=related"), ("div", "class=comments"),
+])
+def test_html_names_of_wrappers(tag, name):
+    """A wrapper of the text isn't skipped for a word in its name; menus, adverts and comments in and beside it are."""
+    body = paragraphs("body", 5)
+    beside = ("<div class='main-menu'><ul><li><a href=x>menu</a></ul></div>", "<div class='share-buttons'><p><a>share</a></div>")
+    text = "".join(f"<p>{p}</p>" for p in body)
+    for inner in (text, f"<article>{text}</article>"):
+        page = f"<body>{beside[0]}<{tag} {name}>{beside[1]}{inner}</{tag}>{beside[0]}"
+        assert html_extract.extract(page) == "\n\n".join(body)
+
+
+def test_html_named_containers_go():
+    body, more = "".join(f"<p>{p}</p>" for p in paragraphs("body", 3)), "".join(f"<p>{p}</p>" for p in paragraphs("more", 9))
+    want = "\n\n".join(paragraphs("body", 3))
+    for name in ("comments", "comment-list", "comments-area"):  # longer than the text
+        assert html_extract.extract(f"<div id=post>{body}</div><div class={name}>{more}</div>") == want
+    aside = f"<p>{paragraphs('more', 1)[0]}</p>"
+    for name in ("related-posts", "sidebar", "cookie-notice", "ad-1", "newsletter-signup", "sidebar-left"):
+        assert html_extract.extract(f"<div id=post>{body}</div><div class={name}>{aside}</div>") == want
+        assert html_extract.extract(f"<main>{body}<div class={name}><article>{aside}</article></div></main>") == want
+    assert html_extract.extract("<p>a <span class=share>b</span> c</p>") == "a c"
+    for name in ("related", "comments"):  # an article that is shorter than what stands beside it
+        assert html_extract.extract(f"<article><h1>T</h1><p>Short.</p></article><div class={name}>{more}</div>") == "T\n\nShort."
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<article><p>é😀</p></article>"), (2, None, None), (None, "u", "<p>x"), (1, "u", "<article><p>é😀</p></article>"),
             (3, "u", "<article>" + "<p>word word</p>" * 20_000)]

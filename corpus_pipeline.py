@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import keep_rows, plain, read, written
+from mnemo.llm.common import keep_rows, keyed, read, written
 from mnemo.llm.count_rtree import jaccard_components
 from mnemo.llm.importance import importance_resample
 from mnemo.llm.pivotal_mixing import mix
@@ -24,21 +24,21 @@ from mnemo.llm.winnowing import contaminated_windows
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = plain(docs)
-    return keep_rows(docs, importance_resample(docs, read(spark, sf_dir, "labels")).where("kept"))
+    docs, key = keyed(docs)
+    return keep_rows(docs, key, importance_resample(docs, read(spark, sf_dir, "labels"), row=key).where("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = plain(docs)
-    groups = jaccard_components(docs)
+    docs, key = keyed(docs)
+    groups = jaccard_components(docs, row=key)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    return keep_rows(docs, groups.groupBy("component").agg(F.min_by("_row", order).alias("_row")))
+    return keep_rows(docs, key, groups.groupBy("component").agg(F.min_by("_row", order).alias("_row")))
 
 
 def decontam(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = plain(docs)
-    windows = contaminated_windows(docs, read(spark, sf_dir, "benchmark"))
-    return keep_rows(docs, windows.where(F.size("hits") == 0))
+    docs, key = keyed(docs)
+    windows = contaminated_windows(docs, read(spark, sf_dir, "benchmark"), row=key)
+    return keep_rows(docs, key, windows.where(F.size("hits") == 0))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,9 +33,7 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 def plain(df: DataFrame) -> DataFrame:
     """`df` itself if it only projects and filters file scans, else `df` written as a table.
 
-    Rows are keyed by their place in the scan, which is the same in every
-    pass and whatever columns a pass reads.  That doesn't hold behind a
-    shuffle.
+    A place behind a shuffle may change when a lost task runs again.
     """
     tree = df._jdf.queryExecution().optimizedPlan().treeString()
     nodes = {line.lstrip(" +-:").split(" ")[0] for line in tree.splitlines()}
@@ -43,20 +41,28 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def with_row(df: DataFrame) -> DataFrame:
-    """Adds `_row`, a key of the input row: doc ids may repeat or be null."""
+    """Adds `_row`, a key of the input row for one pass: doc ids may repeat or be null.
+
+    It is the place in the scan, whose splits follow the cores that are
+    registered when a pass starts: several passes need `numbered`.
+    """
     return plain(df).withColumn("_row", F.monotonically_increasing_id())
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with a key `_row` of the input row, written once: it is the same in every pass."""
+    return written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def keyed(df: DataFrame) -> tuple[DataFrame, str]:
-    """`df`, which must be `plain`, with the key of `with_row` in a column of a fresh name, and that name."""
+    """`df` written with a key in a column of a fresh name, and that name: the key is the same in every pass."""
     name = f"_key_{uuid.uuid4().hex}"
-    return df.withColumn(name, F.monotonically_increasing_id()), name
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
-def keep_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of `df`, which must be `plain`, whose key is in the column `_row` of `rows`."""
-    with_key, name = keyed(df)
-    return with_key.join(rows.select(F.col("_row").alias(name)), name, "left_semi").drop(name)
+def keep_rows(docs: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    """The rows of `docs`, a table of `keyed`, whose key is in the column `_row` of `rows`; without the key."""
+    return docs.join(rows.select(F.col("_row").alias(key)), key, "left_semi").drop(key)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -175,9 +175,10 @@ def _largest(ranks: DataFrame, k: int) -> int:
 def importance_resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id",
                         max_labelled: int = MAX_LABELLED, smoothing: float = 1.0, min_z: float = 2.5,
                         dead_zone: float = 0.7, care: float = 4.0, temperature: float = 0.1,
-                        seed: int = 9) -> DataFrame:
-    """One row per document row: _row, doc_id, log_weight, kept."""
-    d = with_row(pick(docs, doc_id=doc_id, text=text)).withColumn("key", F.xxhash64("doc_id"))
+                        seed: int = 9, row: str | None = None) -> DataFrame:
+    """One row per document row: _row (`row` if named), doc_id, log_weight, kept."""
+    d = pick(docs, doc_id=doc_id, text=text, _row=row) if row else with_row(pick(docs, doc_id=doc_id, text=text))
+    d = d.withColumn("key", F.xxhash64("doc_id"))
     d = labelled(d, pick(labels, doc_id="doc_id", quality="quality", toxic="toxic"), max_labelled, seed)
     counts = (arrow_map(d.select("text", "good", "half"), _count, "bucket int, raw int, good0 int, good1 int")
               .groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", "good0", "good1")]))

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, list_array, pick, with_row, written
+from .common import arrow_map, list_array, numbered, pick, written
 from .components import components
 
 THRESHOLD, TREES, SPILL, LEAF, BLOCK, SAMPLE, MAX_DEPTH, SEED = 0.98, 6, 0.025, 256, 2048, 20_000, 24, 7
@@ -175,7 +175,7 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                  threshold: float = THRESHOLD, trees: int = TREES, spill: float = SPILL, leaf: int = LEAF, block: int = BLOCK,
                  sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """One row per vector row: vec_id, n_links, component_id, kept."""
-    v = with_row(pick(vectors, vec_id=vec_id, embedding=embedding, label=label))
+    v = numbered(pick(vectors, vec_id=vec_id, embedding=embedding, label=label))
     kind = v.schema["label"].dataType.simpleString()
     clean = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fit = F.col("label").isNotNull() & F.coalesce(clean & F.exists("embedding", lambda x: x != 0), F.lit(False))

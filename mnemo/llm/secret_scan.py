@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, pick, plain, with_row, written
+from .common import keyed, pick, with_row, written
 
 # Fixed values: (kind, pattern, group holding the value, minimum length of the value), base kinds first.
 BASE_KINDS = (
@@ -93,9 +93,10 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source",
-                 example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """One row per document row: _row, doc_id, found (spans with `live`), by start, then kind."""
-    d = with_row(pick(docs, doc_id=doc_id, text=text, owner=owner))
+                 example_owners: int = EXAMPLE_OWNERS, row: str | None = None) -> DataFrame:
+    """One row per document row: _row (`row` if named), doc_id, found (spans with `live`), by start, then kind."""
+    columns = {"doc_id": doc_id, "text": text, "owner": owner}
+    d = pick(docs, **columns, _row=row) if row else with_row(pick(docs, **columns))
     found = written(find_candidates(d).drop("text"), "secret-candidates")
     examples = ownership(found).where(F.col("n_owners") >= example_owners).select("hash", F.lit(False).alias("live"))
     each = found.where(F.size("found") > 0).select("_row", F.explode("found").alias("s"))
@@ -127,9 +128,8 @@ def secret_report(docs: DataFrame, **columns) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[REDACTED]", text: str = "text", doc_id: str = "doc_id", owner: str = "source",
            example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """`docs` with every live-looking span (overlapping ones as one) replaced by `mark`; all rows and columns stay."""
-    docs = plain(docs)
-    s = scan_secrets(docs, text, doc_id, owner, example_owners)
     d, key = keyed(docs)
+    s = scan_secrets(d, text, doc_id, owner, example_owners, key)
     spans = f"{key}_live"
     live = s.select(F.col("_row").alias(key), F.filter("found", lambda x: x["live"]).alias(spans)).where(F.size(spans) > 0)
     d = d.join(live, key, "left")

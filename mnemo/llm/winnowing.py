@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import arrow_map, list_array, pick, with_row, written
+from .common import arrow_map, list_array, numbered, pick, with_row, written
 
 WINDOW = 10
 K = 5
@@ -102,9 +102,10 @@ def _emit_items(window: int, k: int):
 
 
 def contaminated_windows(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                         item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, k: int = K) -> DataFrame:
-    """One row per document row: _row, doc_id, n_words, hits (array of [start, end) in words), items (sorted ids)."""
-    b = with_row(pick(items, item_id=item_id, text=item_text))
+                         item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, k: int = K,
+                         row: str | None = None) -> DataFrame:
+    """One row per document row: _row (`row` if named), doc_id, n_words, hits (array of [start, end) in words), items (sorted ids)."""
+    b = numbered(pick(items, item_id=item_id, text=item_text))
     # equal items have equal windows: a window lists its items once, as a sorted array
     side = arrow_map(b.select("_row", "text"), _emit_items(window, k), "_row long, len int, fp long, window long")
     side = written(side.join(b.select("_row", "item_id"), "_row")
@@ -112,7 +113,7 @@ def contaminated_windows(docs: DataFrame, items: DataFrame, text: str = "text",
                                                       F.count(F.lit(1)).alias("n")), "benchmark-windows")
     short = sorted(r["len"] for r in side.where(F.col("len") < window).select("len").distinct().collect())
     fps = side.select("len", "fp").distinct().withColumn("hit", F.lit(True))
-    d = with_row(pick(docs, doc_id=doc_id, text=text))
+    d = pick(docs, doc_id=doc_id, text=text, _row=row) if row else with_row(pick(docs, doc_id=doc_id, text=text))
     emitted = arrow_map(d, _emit_documents(window, k, short),
                         f"_row long, doc_id {d.schema['doc_id'].dataType.simpleString()}, n_words long, "
                         "len int, fp long, pos long, windows array<bigint>")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import brute
 from mnemo.llm import chat_assembly, count_rtree, html_extract, importance, license_automaton, pivotal_mixing
-from mnemo.llm import rp_forest, secret_scan, substring_dedup, winnowing
+from mnemo.llm import common, rp_forest, secret_scan, substring_dedup, winnowing
 from mnemo.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _row string, kept string, n string, node string, token string"
@@ -366,6 +366,44 @@ def test_html_table(spark):
     assert got == sorted(map(str, [(1, "u", 2, 2), (2, None, 0, 0), (None, "u", 1, 1), (1, "u", 2, 2), (3, "u", n, n)]))
 
 
+def test_row_keys_hold_when_splits_change(spark, monkeypatch, tmp_path):
+    """Executors that join or leave change spark.sql.files.minPartitionNum's default, and with it the splits, between passes."""
+    rows = [(i, f"password = mine{i:06d} " + "x " * (i % 7) + f"row {i}", f"o{i % 5}") for i in range(120)]
+    rows += [(200 + i, "one two three four five six seven " * (1 + i // 10) + str(i % 2), "s") for i in range(40)]
+    docs(spark, rows).repartition(12).write.parquet(str(tmp_path / "docs"))
+    table = spark.read.parquet(str(tmp_path / "docs"))
+    conf, real, n = "spark.sql.files.minPartitionNum", common.written, [0]
+
+    def written(df, name):
+        df = real(df, name)
+        n[0] += 1
+        spark.conf.set(conf, (1, 40, 3)[n[0] % 3])
+        return df
+
+    for module in (common, count_rtree, rp_forest, secret_scan, winnowing):
+        monkeypatch.setattr(module, "written", written)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    spark.conf.set(conf, 40)
+    try:
+        out = {r["doc_id"]: r["text"] for r in secret_scan.redact(table).collect()}
+        got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in count_rtree.jaccard_components(table).collect()]
+        vectors = table.selectExpr("doc_id AS vec_id", "array(1.0D, CAST(doc_id % 9 AS double)) AS embedding", "1 AS label")
+        forest = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in rp_forest.link_vectors(vectors, threshold=0.9999).collect()}
+        docs_key, key = common.keyed(table)
+        places = []
+        for least in (1, 40):
+            spark.conf.set(conf, least)
+            places.append(sorted((r["doc_id"], r[key]) for r in docs_key.select("doc_id", key).collect()))
+    finally:
+        spark.conf.unset(conf)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert out == {i: t if i >= 200 else "[REDACTED]" + t[len("password = mine000000"):] for i, t, _ in rows}
+    assert sorted(map(str, got)) == sorted(map(str, brute.jaccard([r[:2] for r in rows])))
+    alike = {i: [j for j, _, _ in rows if j % 9 == i % 9] for i, _, _ in rows}
+    assert len(forest) == len(rows) and all(c[0] == min(alike[i]) and c[1] == len(alike[i]) - 1 for i, c in forest.items())
+    assert places[0] == places[1]
+
+
 def test_empty_tables(spark):
     none = docs(spark, [(1, "a")]).limit(0)
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")

@@ -4,10 +4,11 @@ K5 kernel rows as features.
 
 Layout.  A kernel row is an ARRAY<DOUBLE> over the landmarks of its group
 (fold, feature_set), ordered by item id; landmarks are the training rows of
-the group.  Rows are spread over `buckets` tasks per group and every task
-receives the group's landmarks (replicated per bucket, size checked before),
-then numpy computes the block of squared distances and kernel values.
-Memory is rows x landmarks per task; no (row, row) pair table is ever
+the group.  Rows are spread over `buckets` of a group and its landmarks over
+blocks, both by hash; a task has one bucket and one block, and numpy computes
+their squared distances and kernel values.  A row's pieces are then joined in
+the order of the landmark ids.  Memory is ROWS_PER_TASK x LANDMARKS_PER_TASK
+a task, at every size, and one kernel row; no (row, row) pair table is ever
 written.  The bandwidth sample (first `max_samples` training rows by keyed
 hash, 500 as in the median heuristic) is paired inside one task per group,
 so the pair count is bounded by the sample cap.
@@ -26,8 +27,8 @@ from .folds import hash_key
 from .positions import block_row_number
 
 MAX_SAMPLES = 500
-MAX_LANDMARK_BYTES = 512 * 1024 * 1024
 ROWS_PER_TASK = 512
+LANDMARKS_PER_TASK = 8192
 
 
 def vectors_from_long(long_df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -38,20 +39,6 @@ def vectors_from_long(long_df: DataFrame, keys: list[str], value: str = "value")
                     lambda s: s["v"]).alias("vec"))
 
 
-def check_landmarks(train_vecs: DataFrame, group_cols: list[str],
-                    max_bytes: int = MAX_LANDMARK_BYTES) -> int:
-    """Largest landmark count of a group; raises when a group's landmark
-    matrix would exceed `max_bytes` (it is shipped to every task of the
-    group)."""
-    st = train_vecs.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")) \
-        .agg(F.max("n").alias("n"), F.max(F.col("n") * F.col("d") * 8).alias("b")).first()
-    if st is None or st["n"] is None:
-        return 0
-    if st["b"] > max_bytes:
-        raise ValueError(f"a landmark matrix takes {st['b']} bytes > {max_bytes}")
-    return int(st["n"])
-
-
 def _sq_dists(q: np.ndarray, l: np.ndarray, exact: bool = False, chunk: int = 128) -> np.ndarray:
     """Squared Euclidean distances.  Kernels use |q|^2 + |l|^2 - 2 q.l (one
     BLAS product, clipped at 0); distances themselves (`exact`) sum squared
@@ -94,10 +81,18 @@ def median_gamma(train_vecs: DataFrame, group_cols: list[str], seed: int = 42,
     return smp.groupBy(*group_cols).applyInPandas(gamma, schema)
 
 
-def _bucketed(rows: DataFrame, lms: DataFrame, group_cols: list[str], buckets: int) -> DataFrame:
-    q = rows.withColumn("_b", F.pmod(F.xxhash64("item_id"), F.lit(buckets)).cast("int")) \
-            .withColumn("_lm", F.lit(False))
-    l = lms.select(*group_cols, "item_id", "vec").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))) \
+def _parts(rows: DataFrame, group_cols: list[str], rows_per_part: int) -> int:
+    n = rows.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 1
+    return max(1, math.ceil(n / rows_per_part))
+
+
+def _dealt(rows: DataFrame, lms: DataFrame, group_cols: list[str], rows_per_task: int, landmarks_per_task: int) -> DataFrame:
+    """Rows and landmarks (`_lm`) of every pair of a row bucket `_b` and a landmark block `_lb`."""
+    buckets, blocks = _parts(rows, group_cols, rows_per_task), _parts(lms, group_cols, landmarks_per_task)
+    own = lambda n: F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = rows.withColumn("_b", own(buckets)).withColumn("_lb", each(blocks)).withColumn("_lm", F.lit(False))
+    l = lms.select(*group_cols, "item_id", "vec").withColumn("_b", each(buckets)).withColumn("_lb", own(blocks)) \
            .withColumn("_lm", F.lit(True))
     for c in rows.columns:
         if c not in l.columns:
@@ -105,36 +100,38 @@ def _bucketed(rows: DataFrame, lms: DataFrame, group_cols: list[str], buckets: i
     return q.unionByName(l.select(*q.columns))
 
 
-def _buckets(rows: DataFrame, group_cols: list[str], rows_per_task: int) -> int:
-    n = rows.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 1
-    return max(1, math.ceil(n / rows_per_task))
+def _joined(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., k, lm_ids) of whole rows, by landmark id, from one piece per landmark block."""
+    g = pieces.groupBy(*keys).agg(F.collect_list(F.struct("lm_ids", "k")).alias("_p"))
+    pairs = F.sort_array(F.arrays_zip(F.flatten(F.col("_p.lm_ids")).alias("id"), F.flatten(F.col("_p.k")).alias("k")))
+    pairs = F.when(F.size(pairs) == 0, F.raise_error(F.lit("a group has no training rows")).cast(
+        g.select(pairs.alias("p")).schema["p"].dataType)).otherwise(pairs)
+    return g.withColumn("_p", pairs).select(*keys, F.col("_p.k").alias("k"), F.col("_p.id").alias("lm_ids"))
 
 
 def _block_apply(rows: DataFrame, lms: DataFrame, group_cols: list[str], extra: DataFrame | None,
-                 fn, out_schema: str, rows_per_task: int) -> DataFrame:
-    b = _buckets(rows, group_cols, rows_per_task)
-    u = _bucketed(rows, lms, group_cols, b)
+                 fn, out_schema: str, rows_per_task: int, landmarks_per_task: int) -> DataFrame:
+    u = _dealt(rows, lms, group_cols, rows_per_task, landmarks_per_task)
     if extra is not None:
         u = u.join(F.broadcast(extra), group_cols)
-    return u.groupBy(*group_cols, "_b").applyInPandas(fn, out_schema)
+    return u.groupBy(*group_cols, "_b", "_lb").applyInPandas(fn, out_schema)
 
 
 def kernel_rows(rows: DataFrame, train_vecs: DataFrame, gamma: DataFrame, group_cols: list[str],
-                keep: list[str] | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                keep: list[str] | None = None, rows_per_task: int = ROWS_PER_TASK,
+                landmarks_per_task: int = LANDMARKS_PER_TASK) -> DataFrame:
     """K1 / K2 (F6 per entry): each row's RBF kernel against its group's
     landmarks.  rows: (group..., item_id, vec, keep...) -> (group..., item_id,
     keep..., k ARRAY<DOUBLE>, lm_ids ARRAY<BIGINT>)."""
     keep = keep or []
-    check_landmarks(train_vecs, group_cols)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         lm = pdf[pdf["_lm"]].sort_values("item_id")
         q = pdf[~pdf["_lm"]]
         if q.empty:
             return pd.DataFrame(columns=[*group_cols, "item_id", *keep, "k", "lm_ids"])
-        L = _mat(lm["vec"])
         Q = _mat(q["vec"])
-        K = np.exp(-float(q["gamma"].iloc[0]) * _sq_dists(Q, L))
+        K = np.exp(-float(q["gamma"].iloc[0]) * _sq_dists(Q, _mat(lm["vec"]).reshape(len(lm), Q.shape[1])))
         out = q[[*group_cols, "item_id", *keep]].copy()
         out["k"] = list(K)
         out["lm_ids"] = [lm["item_id"].to_numpy()] * len(out)
@@ -143,30 +140,33 @@ def kernel_rows(rows: DataFrame, train_vecs: DataFrame, gamma: DataFrame, group_
     types = dict(rows.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [*group_cols, "item_id", *keep]) + \
         ", k array<double>, lm_ids array<bigint>"
-    return _block_apply(rows.select(*group_cols, "item_id", "vec", *keep), train_vecs, group_cols,
-                        gamma.select(*group_cols, "gamma"), fn, schema, rows_per_task)
+    pieces = _block_apply(rows.select(*group_cols, "item_id", "vec", *keep), train_vecs, group_cols,
+                          gamma.select(*group_cols, "gamma"), fn, schema, rows_per_task, landmarks_per_task)
+    return _joined(pieces, [*group_cols, "item_id", *keep])
 
 
 def pairwise_distances(rows: DataFrame, train_vecs: DataFrame, group_cols: list[str],
-                       rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                       rows_per_task: int = ROWS_PER_TASK, landmarks_per_task: int = LANDMARKS_PER_TASK) -> DataFrame:
     """Euclidean distances of each row to every landmark of its group,
     as an array (no pair rows)."""
-    check_landmarks(train_vecs, group_cols)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         lm = pdf[pdf["_lm"]].sort_values("item_id")
         q = pdf[~pdf["_lm"]]
         if q.empty:
-            return pd.DataFrame(columns=[*group_cols, "item_id", "dist"])
-        D = np.sqrt(_sq_dists(_mat(q["vec"]), _mat(lm["vec"]), exact=True))
+            return pd.DataFrame(columns=[*group_cols, "item_id", "k", "lm_ids"])
+        Q = _mat(q["vec"])
+        D = np.sqrt(_sq_dists(Q, _mat(lm["vec"]).reshape(len(lm), Q.shape[1]), exact=True))
         out = q[[*group_cols, "item_id"]].copy()
-        out["dist"] = list(D)
+        out["k"] = list(D)
+        out["lm_ids"] = [lm["item_id"].to_numpy()] * len(out)
         return out
 
     types = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*group_cols, "item_id"]) + ", dist array<double>"
-    return _block_apply(rows.select(*group_cols, "item_id", "vec"), train_vecs, group_cols, None, fn,
-                        schema, rows_per_task)
+    schema = ", ".join(f"{c} {types[c]}" for c in [*group_cols, "item_id"]) + ", k array<double>, lm_ids array<bigint>"
+    pieces = _block_apply(rows.select(*group_cols, "item_id", "vec"), train_vecs, group_cols, None, fn,
+                          schema, rows_per_task, landmarks_per_task)
+    return _joined(pieces, [*group_cols, "item_id"]).withColumnRenamed("k", "dist").drop("lm_ids")
 
 
 def combine_kernels(krows: DataFrame, keys: list[str], weights: dict[str, float]) -> DataFrame:
@@ -191,10 +191,10 @@ def combine_kernels(krows: DataFrame, keys: list[str], weights: dict[str, float]
 
 def fused_kernel_rows(rows: DataFrame, train_vecs: DataFrame, gamma: DataFrame, fold_cols: list[str],
                       weights: dict[str, float], keep: list[str] | None = None,
-                      rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                      rows_per_task: int = ROWS_PER_TASK, landmarks_per_task: int = LANDMARKS_PER_TASK) -> DataFrame:
     """K1/K2 + K3 in one pass: sum_s w_s * exp(-gamma_s d_s^2) against the
-    fold's landmarks, computed per (fold, row bucket) with all sets of the
-    bucket in one numpy block (no per-set kernel rows are shipped back).
+    fold's landmarks, computed per (fold, row bucket, landmark block) with all
+    sets of the bucket in one numpy block (no per-set kernel rows are shipped back).
 
     rows / train_vecs: (fold..., feature_set, item_id, vec, keep...);
     every item must carry every weighted set, and every set the same
@@ -207,7 +207,6 @@ def fused_kernel_rows(rows: DataFrame, train_vecs: DataFrame, gamma: DataFrame,
     gcols = [*fold_cols, "feature_set"]
     rows = rows.where(F.col("feature_set").isin(*weights))
     train_vecs = train_vecs.where(F.col("feature_set").isin(*weights))
-    check_landmarks(train_vecs, gcols)
     sets = list(weights)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -226,7 +225,8 @@ def fused_kernel_rows(rows: DataFrame, train_vecs: DataFrame, gamma: DataFrame,
                 lm_ids = ids
             elif not np.array_equal(ids, lm_ids):
                 raise ValueError("feature sets are not aligned on the same training items")
-            k = weights[s] * np.exp(-float(q["gamma"].iloc[0]) * _sq_dists(_mat(q["vec"]), _mat(lm["vec"])))
+            Q = _mat(q["vec"])
+            k = weights[s] * np.exp(-float(q["gamma"].iloc[0]) * _sq_dists(Q, _mat(lm["vec"]).reshape(len(lm), Q.shape[1])))
             fused = k if fused is None else fused + k
         first = q_all.drop_duplicates("item_id").set_index("item_id").reindex(items).reset_index()
         out = first[[*fold_cols, "item_id", *keep]].copy()
@@ -234,15 +234,9 @@ def fused_kernel_rows(rows: DataFrame, train_vecs: DataFrame, gamma: DataFrame,
         out["lm_ids"] = [lm_ids] * len(out)
         return out
 
-    b = _buckets(rows, gcols, rows_per_task)
-    q = rows.select(*gcols, "item_id", "vec", *keep) \
-            .withColumn("_b", F.pmod(F.xxhash64("item_id"), F.lit(b)).cast("int")).withColumn("_lm", F.lit(False))
-    l = train_vecs.select(*gcols, "item_id", "vec").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))) \
-        .withColumn("_lm", F.lit(True))
+    u = _dealt(rows.select(*gcols, "item_id", "vec", *keep), train_vecs, gcols, rows_per_task, landmarks_per_task) \
+        .join(F.broadcast(gamma.select(*gcols, "gamma")), gcols)
     types = dict(rows.dtypes)
-    for c in keep:
-        l = l.withColumn(c, F.lit(None).cast(types[c]))
-    u = q.unionByName(l.select(*q.columns)).join(F.broadcast(gamma.select(*gcols, "gamma")), gcols)
     schema = ", ".join(f"{c} {types[c]}" for c in [*fold_cols, "item_id", *keep]) + \
         ", k array<double>, lm_ids array<bigint>"
-    return u.groupBy(*fold_cols, "_b").applyInPandas(fn, schema)
+    return _joined(u.groupBy(*fold_cols, "_b", "_lb").applyInPandas(fn, schema), [*fold_cols, "item_id", *keep])

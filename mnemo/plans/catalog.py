@@ -1080,10 +1080,13 @@ FIT_CONFIGS = [
 @register("ensemble_fit_predict")
 def q_ensemble_fit_predict(spark, sf):
     """E6 end to end: configs fitted on the labelled split, the other split
-    predicted, failed configs dropped, rank-average fusion."""
+    predicted, rank-average fusion of the configs that fit; a config that failed
+    gives a row with its id, status and error instead of an item."""
     p = EV.predict_configs(spark, B.feature_long(spark, sf), B.item_labels(spark, sf), FIT_CONFIGS,
                            B.emb_combos())
-    return _fuse_predict(p).select("item_id", round6(F.col("fused")).alias("score"))
+    scores = _fuse_predict(p).select("item_id", round6(F.col("fused")).alias("score"), F.lit(None).cast("bigint").alias("cfg_id"),
+                                     F.lit("ok").alias("status"), F.lit(None).cast("string").alias("message"))
+    return scores.unionByName(p.where("status = 'failed'").select("item_id", F.col("p").alias("score"), "cfg_id", "status", "message"))
 
 
 # --- streaming ------------------------------------------------------------------------

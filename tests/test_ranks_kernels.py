@@ -181,3 +181,33 @@ def test_pca_wide_matches_numpy_up_to_sign(spark):
     g = np.array([got[i] for i in range(30)])
     for c in range(3):
         assert min(np.abs(g[:, c] - want[:, c]).max(), np.abs(g[:, c] + want[:, c]).max()) < 1e-6
+
+
+def test_kernels_by_landmark_blocks(spark):
+    """Landmarks of any number go to tasks in blocks; the rows are those of one block."""
+    rng = np.random.default_rng(3)
+    rows = [(1 + i % 2, s, i, [float(x) for x in rng.normal(size=3)]) for i in range(60) for s in ("a", "b")]
+    v = spark.createDataFrame(rows, "fold int, feature_set string, item_id long, vec array<double>")
+    g = K.median_gamma(v, ["fold", "feature_set"])
+    gamma = {(r["fold"], r["feature_set"]): r["gamma"] for r in g.collect()}
+    vec = {(f, s, i): np.array(x) for f, s, i, x in rows}
+    small = {"rows_per_task": 7, "landmarks_per_task": 4}
+    for r in K.kernel_rows(v, v, g, ["fold", "feature_set"], **small).collect():
+        ids = sorted(i for f, s, i, _ in rows if (f, s) == (r["fold"], r["feature_set"]))
+        want = [np.exp(-gamma[r["fold"], r["feature_set"]] * ((vec[r["fold"], r["feature_set"], r["item_id"]]
+                - vec[r["fold"], r["feature_set"], i]) ** 2).sum()) for i in ids]
+        assert r["lm_ids"] == ids and np.allclose(r["k"], want)
+    dist = [sorted((r["fold"], r["feature_set"], r["item_id"], tuple(np.round(r["dist"], 9)))
+                   for r in K.pairwise_distances(v, v, ["fold", "feature_set"], **o).collect()) for o in (small, {})]
+    assert len(dist[0]) == 120 and dist[0] == dist[1]
+    fused = [sorted((r["fold"], r["item_id"], tuple(r["lm_ids"]), tuple(np.round(r["k"], 9)))
+                    for r in K.fused_kernel_rows(v, v, g, ["fold"], {"a": 1.0, "b": 0.5}, **o).collect()) for o in (small, {})]
+    assert len(fused[0]) == 60 and fused[0] == fused[1]
+
+
+def test_fitted_ensemble_tells_failed_configs(spark):
+    from mnemo.plans.catalog import q_ensemble_fit_predict
+    got = q_ensemble_fit_predict(spark, "/root/testdata/sf0.001").collect()
+    failed = [r for r in got if r["status"] == "failed"]
+    assert [r["cfg_id"] for r in failed] == [4] and "no_such_combo" in failed[0]["message"] and failed[0]["item_id"] is None
+    assert all(r["status"] == "ok" and r["score"] is not None for r in got if r not in failed) and len(got) > 1

@@ -84,3 +84,16 @@ links AS (SELECT a, count(*) AS n FROM link GROUP BY a),
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id,
        vec_id <= coalesce(least.b, vec_id) AS kept
 FROM embeddings e LEFT JOIN links ON links.a = vec_id LEFT JOIN least ON least.a = vec_id"""
+
+SQL["op11_slot_negatives"] = """
+WITH ok AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * c) FOR c IN x] AS x
+      FROM ok WHERE list_count(x) = len(x) AND isfinite(list_sum(x))),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_inner_product(a.x, r.x) AS BIGINT) AS score
+      FROM v a JOIN v r ON a.vec_id <> r.vec_id AND len(a.x) = len(r.x) WHERE a.vec_id % 50 = 0),
+pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+neg AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+               CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+        FROM pos p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3"""

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat_assembly import assemble, read_back
 from .common import read
 from .count_rtree import jaccard_components
+from .decision_list import quality_rules
+from .hard_negatives import mine
 from .html_extract import extract_main_text
 from .importance import importance_resample
 from .license_automaton import scan_licenses
 from .pivotal_mixing import mix
 from .rp_forest import link_vectors
 from .secret_scan import secret_report
+from .spelling_variants import spelling_variants
 from .substring_dedup import dedup_substrings
 from .winnowing import decontaminate
 
@@ -73,6 +77,24 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op11_slot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector among all vectors; every 7th vector's label is moved on first."""
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(read(spark, sf_dir, "embeddings"), anchor=F.col("id") % 50 == 0, label=label).drop("positive_rank")
+
+
+def op12_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all documents and the verdict of the learned decision list."""
+    return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op13_search_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of the vocabulary of all documents."""
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_ownership, op2_suffix_automata, op3_winnowing, op4_chat_assembly, op5_count_rtree, op6_text_to_tag,
-    op7_projection_forest, op8_license_automaton, op9_importance_resampling, op10_pivotal_mixing)}
+    op7_projection_forest, op8_license_automaton, op9_importance_resampling, op10_pivotal_mixing, op11_slot_negatives,
+    op12_decision_list, op13_search_schemes)}

@@ -1,7 +1,10 @@
 """Plain single-machine versions of the operators, from their contracts."""
 
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -126,3 +129,57 @@ def targets(by_source):
         if not over:
             return {s: share.get(s, 2.0 * by_source[s]) for s in names}
         full |= over
+
+
+def hard_negatives(rows):
+    """op11 of rows (vec_id, vector, label)."""
+    part = [(i, (y + 1) % 10 if i % 7 == 0 else y, [math.floor(256 * c) for c in x]) for i, x, y in rows
+            if y is not None and x and all(c is not None and math.isfinite(c) and abs(c) < 1e5 for c in x)]
+    out = []
+    for i, y, x in part:
+        if i % 50:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(x, v)), j, z) for j, z, v in part if j != i and len(v) == len(x))
+        for p, j, _ in [s for s in scored if s[2] == y][:5]:
+            found = [s for s in scored if s[2] != y and 50 * -p <= 100 * -s[0] <= 95 * -p][:3]
+            out += [(i, j, r + 1, s[1], -p, -s[0]) for r, s in enumerate(found)]
+    return sorted(out)
+
+
+def rules_counts(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of op12."""
+    text = text or ""
+    w = SPACE.findall(text)
+    lines = [x for x in text.split("\n") if SPACE.search(x)]
+    windows = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+    covered = {i + j for i in range(len(w) - 2) if windows[tuple(w[i:i + 3])] > 1 for j in range(3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def one_error(a, b):
+    """Do the texts differ by exactly one inserted, deleted or replaced code point?"""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    if len(a) > len(b):
+        a, b = b, a
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def spelling(rows):
+    """op13 of rows (doc_id, text): (word, form, root, n, n_near, form_n)."""
+    n = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            n[run if h % 97 else run[:h % len(run)] + run[h % len(run) + 1:]] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 5 and c >= 3}
+    near = {w: [v for v in n if one_error(w, v)] for w in n}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+    return sorted((w, form[w], root(w), n[w], len(near[w]), n.get(form[w])) for w in n)

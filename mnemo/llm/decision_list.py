@@ -11,8 +11,8 @@ conditional expression (`decision`).
    64 strongest, and of all, a text holds are three of the statistics.
 2. Grow, on the learning fold: a rule starts empty and takes the threshold
    condition of the highest information gain until it covers no good row or
-   nothing gains.  Thresholds are quantiles of the good and of the bad rows'
-   values other than 0.
+   nothing gains.  Thresholds are quantiles of the good and of the bad rows,
+   zeros left out.
 3. Prune, on the other fold: last conditions go while that raises the share of
    bad rows among those covered.
 4. The rule joins the list if enough of what it covers there is bad; rows it

@@ -58,10 +58,10 @@ def _views(w: W.Words):
         return
     s, e = w.start, w.end
     text = w.doc_of_word()
-    values = W._BYTE_VALUES[W._LOWER][w.data]
-    yield text, W.range_ids(values, s, e)
+    lower = W._LOWER[w.data]
+    yield text, W.byte_ids(lower, s, e)
     for n in PREFIXES:
-        yield text, W.mix(W.range_ids(values, s, np.minimum(s + n, e)) + np.uint64(n))
+        yield text, W.mix(W.byte_ids(lower, s, np.minimum(s + n, e)) + np.uint64(n))
     second = np.where(e - s > 1, _CLASS[w.data[np.minimum(s + 1, len(w.data) - 1)]], 0).astype(np.uint64)
     same = np.zeros(len(s), np.uint64)
     same[1:] = w.ids[1:] == w.ids[:-1]

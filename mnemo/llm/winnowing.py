@@ -96,7 +96,7 @@ def _emit_items(window: int, k: int):
                            "fp": W.signed(fp[which]), "window": W.signed(ids)}
                 n_words = np.diff(w.ptr)
                 few = np.flatnonzero((n_words > 0) & (n_words < window))
-                ids = W.range_ids(w.ids, w.ptr[few], w.ptr[few + 1], W.GRAM_BASE)
+                ids = W.range_ids(w.ids, w.ptr[few], w.ptr[few + 1])
                 yield {"_row": rows[w.first + few], "len": n_words[few], "fp": W.signed(ids), "window": W.signed(ids)}
     return run
 

@@ -1,9 +1,11 @@
 """Word positions and 64-bit word ids of whole texts, computed on Arrow buffers.
 
 A string column reaches a task as one byte buffer with offsets.  All steps
-here run on that buffer with numpy: no Python object is made per word.  Word
-ids are polynomial hashes modulo 2^64 over a fixed random byte table, taken
-from prefix sums, so the id of any byte range costs two lookups.
+here run on that buffer with numpy: no Python object is made per word.  A word
+id chains 8 bytes at a time through a bijection of 64 bits (`mix`); a very
+long word takes a cryptographic hash.  Ids of word sequences are joined pairwise
+from blocks of 1, 2, 4, ... words, each joint mixed again, so that no family of
+texts (as with polynomials modulo 2^64) has equal ids by construction.
 
 Two kinds of words exist in this package.  Both classes are ASCII sets plus
 all code points from U+0080 on, so they can be read from UTF-8 bytes:
@@ -16,6 +18,7 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,14 +27,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15 | 1
-GRAM_BASE = 0xC2B2AE3D27D4EB4F | 1
-MASK = (1 << 64) - 1
 #: Bytes of text handled at once (a longer single text is one chunk).
 CHUNK_BYTES = 1 << 20
 CHUNK_TEXTS = 1 << 12
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 
-_BYTE_VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -39,22 +40,8 @@ _LOWER[65:91] += 32
 _IS_ALNUM = np.zeros(256, bool)
 _IS_ALNUM[0x30:0x3A] = _IS_ALNUM[0x41:0x5B] = _IS_ALNUM[0x61:0x7B] = _IS_ALNUM[0x80:] = True
 _IS_WORD = {"space": ~_IS_SPACE, "alnum": _IS_ALNUM}
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(base^0..base^(n-1), the inverses of these) modulo 2^64."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        inverse = pow(base, -1, 1 << 64)
-        both = []
-        for b in (base, inverse):
-            a = np.full(size, U(b))
-            a[0] = 1
-            both.append(np.multiply.accumulate(a))
-        have = _powers[base] = (both[0], both[1])
-    return have
+#: The lowest 0 to 8 bytes of a 64-bit value.
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -120,7 +107,6 @@ def tokenize(column: pa.Array, kind: str = "space", lower: bool = False,
     """Words of every text, in chunks of whole texts of about `limit` bytes."""
     offsets, data = buffers(column)
     is_word = _IS_WORD[kind]
-    values = _BYTE_VALUES[_LOWER] if lower or kind == "alnum" else _BYTE_VALUES
     for a, b in _chunks(offsets, limit):
         lo, hi = int(offsets[a]), int(offsets[b])
         d = data[lo:hi]
@@ -134,15 +120,46 @@ def tokenize(column: pa.Array, kind: str = "space", lower: bool = False,
         ends[inner - 1] = m[inner - 1]
         s = np.flatnonzero(starts)
         e = np.flatnonzero(ends) + 1
-        yield Words(a, np.searchsorted(s, at), s, e, range_ids(values[d], s, e), d, at)
-
-
-def range_ids(v: np.ndarray, s: np.ndarray, e: np.ndarray, base: int = BASE) -> np.ndarray:
-    """Ids of the ranges [s, e) of a sequence of 64-bit values."""
-    up, down = powers(base, len(v) + 1)
-    total = np.zeros(len(v) + 1, np.uint64)
-    np.cumsum(v * up[:len(v)], out=total[1:])
-    return mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * U(0x9FB21C651E98DF25))
+        yield Words(a, np.searchsorted(s, at), s, e, byte_ids(_LOWER[d] if lower or kind == "alnum" else d, s, e), d, at)
+
+
+def byte_ids(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Ids of the byte ranges [s, e)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from every byte on
+    size = e - s
+    ids = mix(size.astype(np.uint64) + U(0x9FB21C651E98DF25))
+    at = np.flatnonzero(size <= LONG_WORD)
+    for offset in range(0, LONG_WORD, 8):
+        at = at[size[at] > offset]
+        if not len(at):
+            break
+        part = eight[s[at] + offset] & _FIRST_BYTES[np.minimum(size[at] - offset, 8)]
+        ids[at] = joined(ids[at], mix(part))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        ids[i] = int.from_bytes(hashlib.blake2b(data[s[i]:e[i]], digest_size=8).digest(), "little")
+    return ids
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ids of a followed by b."""
+    return mix(a * U(0x9E3779B97F4A7C15) + b)
+
+
+def range_ids(ids: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Ids of the ranges [s, e) of a sequence of ids, joined from blocks of 2^i elements."""
+    size = e - s
+    out = mix(size.astype(np.uint64) + U(0xC2B2AE3D27D4EB4F))
+    at, block, width = np.array(s, np.int64), ids, 1
+    longest = int(size.max(initial=0))
+    while width <= longest:
+        odd = np.flatnonzero(size & width)
+        out[odd] = joined(out[odd], block[at[odd]])
+        at[odd] += width
+        if 2 * width <= longest:
+            block = joined(block[:-width], block[width:])
+        width *= 2
+    return out
 
 
 def grams(w: Words, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +180,7 @@ def grams(w: Words, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray
     skip = np.zeros(w.n + 1, np.int64)
     np.cumsum(n_grams, out=skip[1:])
     first = np.arange(len(doc)) - skip[doc] + w.ptr[doc]
-    return doc, first, range_ids(w.ids, first, first + length[doc], GRAM_BASE)
+    return doc, first, range_ids(w.ids, first, first + length[doc])
 
 
 #: Bits of a shingle id that is kept beside the number of its text in a chunk.

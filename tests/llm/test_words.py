@@ -68,3 +68,28 @@ def test_window_minima(groups, w):
             part = g[i:i + w]
             want.add(p + i + max(j for j, x in enumerate(part) if x == min(part)))
     assert set(got) == want
+
+
+def thue_morse(n):
+    """A word of 2^n letters and its complement: equal under any polynomial modulo 2^64 from n = 10 on."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_ids_of_thue_morse_words_differ():
+    for n in (3, 5, 8, 10, 12):
+        a, b = thue_morse(n)
+        (w,) = W.tokenize(pa.array([a + " " + b]))
+        assert len(set(w.ids.tolist())) == 2
+        (w,) = W.tokenize(pa.array([" ".join(a), " ".join(b)]))  # as sequences of words
+        x, y = W.range_ids(w.ids, w.ptr[:-1], w.ptr[1:])
+        assert x != y
+        assert len(W.range_ids(w.ids, w.ptr[:0], w.ptr[:0])) == 0
+
+
+def test_ids_do_not_depend_on_place():
+    texts = ["x" * 255, "x" * 256, "x" * 257, "x" * 5000, "abcdefgh", "abcdefghi", "é" * 4, "q"]
+    (w,) = W.tokenize(pa.array([" ".join(texts), "  ".join(texts[::-1])]))
+    ids = w.ids.tolist()
+    assert ids[:8] == ids[8:][::-1] and len(set(ids)) == 8
+    assert (W.range_ids(w.ids, np.array([0, 0, 7]), np.array([0, 3, 8])) != 0).all()

@@ -129,13 +129,46 @@ def test_count_tree_finds_all_that_the_bound_allows():
     points = rng.integers(0, 6, (300, 8)).astype(np.int32)
     sizes, comps = points.sum(axis=1), rng.integers(0, 20, 300)
     tree = count_rtree.CountTree(points, sizes, comps)
-    for q in range(0, 300, 17):
-        shared = np.minimum(points, points[q]).sum(axis=1)
-        want = np.flatnonzero((175 * shared >= 75 * (sizes + sizes[q])) & (comps != comps[q]))
-        got = tree.candidates(points[q], int(sizes[q]), int(comps[q]), 75)
-        assert set(want) <= set(got.tolist())
-        # a leaf entry is tested by the bound itself
-        assert all(175 * shared[i] >= 75 * (sizes[i] + sizes[q]) and comps[i] != comps[q] for i in got)
+    at = np.arange(0, 300, 17)
+    for at_once in (1 << 13, 7):
+        got = set(zip(*map(np.ndarray.tolist, tree.candidates(points[at], sizes[at], comps[at], 75, at_once))))
+        shared = np.minimum(points[None], points[at][:, None]).sum(axis=2)
+        fits = (175 * shared >= 75 * (sizes[None] + sizes[at][:, None])) & (comps[None] != comps[at][:, None])
+        assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(fits))))
+
+
+def test_tree_finds_links_that_first_nodes_miss(spark, monkeypatch):
+    """Longer texts come first in every bucket of two near copies and link with neither."""
+    rng = random.Random(12)
+    base = words(rng, 150, 10**6).split()
+    near = [base[:70] + ["other"] + base[71:], base]
+    rows = [(i, " ".join(base + words(rng, 70, 10**6).split())) for i in range(20)] + [(50 + i, " ".join(w)) for i, w in enumerate(near)]
+    want = sorted(map(str, brute.jaccard(rows)))
+
+    def run():
+        got = count_rtree.jaccard_components(docs(spark, rows).orderBy("doc_id").coalesce(1), counted=0.0)
+        return sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got.collect())
+
+    assert run() == want and "51, 146, 50" in str(want)
+    none = (np.zeros(0, np.int64),) * 2
+    monkeypatch.setattr(count_rtree.CountTree, "candidates", lambda self, *a: none)
+    assert run() != want
+
+
+def thue_morse():
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_with_equal_polynomials_are_different(spark):
+    a, b = thue_morse()
+    rest = words(random.Random(1), 12)
+    rows = [(1, a), (2, b), (3, f"{rest} {a}"), (4, f"{rest} {b}")]
+    got = {r["doc_id"]: r["component_id"] for r in count_rtree.jaccard_components(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}  # 8 of 10 shingles
+    assert substring_dedup.dedup_substrings(docs(spark, rows)).where("n_removed > 0").count() == 0
+    items = spark.createDataFrame([(1, b)], "item_id long, text string")
+    assert {r["doc_id"] for r in winnowing.decontaminate(docs(spark, rows), items).where("contaminated").collect()} == {2, 4}
 
 
 def test_components(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,6 +21,10 @@ from ..session import ensure_checkpoint_dir
 cloudpickle.register_pickle_by_value(mnemo)
 
 
+#: Bytes of a batch that a function of `arrow_map` gets at once (a longer single row is one piece).
+PART_BYTES = 4 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one table (its partitions follow spark.sql.files.*)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -86,16 +91,32 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     target = to_arrow_schema(struct)
 
     def run(batches):
-        for out in fn(b for b in batches if b.num_rows):
+        for out in fn(part for b in batches for part in _parts(b)):
             batch = pa.RecordBatch.from_arrays(
                 [a if isinstance(a, pa.Array) and a.type == f.type else _cast(a, f.type)
                  for f, a in ((f, out[f.name]) for f in target)], schema=target)
             if batch.num_rows:
                 yield batch
+        release_memory()
 
     return df.mapInArrow(run, struct)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about PART_BYTES."""
+    rows = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
+def release_memory() -> None:
+    """Gives free memory of this Python worker back: workers live on and run the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _cast(a, kind: pa.DataType) -> pa.Array:
     if not isinstance(a, pa.Array):
         return pa.array(a, type=kind)

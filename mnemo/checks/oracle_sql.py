@@ -657,10 +657,11 @@ SEGK = dict(n="s", src="seg", k="clip_id, seg", k0="clip_id, s.seg", sk="s.clip_
 SQL["audio_segment_features"] = with_(FR, SEGS, VELO.format(**SEGK), PAUSE.format(**SEGK)) + """,
 pst AS (""" + PITCH.format(k="clip_id, seg", src="seg") + """),
 est AS (""" + ENERGY.format(k="clip_id, seg", src="seg") + """)
-SELECT clip_id, seg, """ + ", ".join(r6(c, c) for c in [
+SELECT clip_id, seg, """ + ", ".join(r6(f"coalesce({c}, 0)", c) for c in [
     "pitch_mean", "pitch_var", "pitch_range", "pitch_vel_mean", "pitch_vel_var",
     "energy_mean", "energy_var", "energy_range", "pause_var"]) + """
-FROM pst JOIN vel_s USING (clip_id, seg) JOIN est USING (clip_id, seg) JOIN pv_s USING (clip_id, seg)"""
+FROM (SELECT DISTINCT clip_id FROM fr) CROSS JOIN (VALUES (0), (1), (2)) t(seg)
+LEFT JOIN pst USING (clip_id, seg) LEFT JOIN vel_s USING (clip_id, seg) LEFT JOIN est USING (clip_id, seg) LEFT JOIN pv_s USING (clip_id, seg)"""
 
 SQL["audio_global_features"] = with_(FR, HALF, ACT) + """,
 est AS (""" + ENERGY.format(k="clip_id", src="fp") + """),

@@ -2,18 +2,23 @@
 
 frames: (clip_id, frame INT, rms DOUBLE, f0 DOUBLE, voiced BOOLEAN), hop
 `HOP` samples at `SR` Hz.  Per-clip aggregates are grouped aggregations
-(partial, skew-safe).  Order-dependent steps (velocity, islands, halves)
-use windows over (clip) or (clip, segment) only after the clip prefix cap
-(W9, 120 s) or the segment cut (W7, 60 s), so a window never holds more than
-a bounded number of frames, whatever the clip length.
+(partial, skew-safe).  Order-dependent steps (velocity, islands, gaps, halves)
+never sort a whole clip in one task: windows hold one block of `BLOCK_FRAMES`
+frames of a clip, each block leaves a border state (its last voiced frame, its
+islands at either end, its first interval, its number of frames), and a pass
+over these few rows per clip carries the state from block to block.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_syllables
+from .joins import null_safe_join
+from .positions import block_row_number
 
 # Signal constants.
 HOP = 512
@@ -26,6 +31,9 @@ SILENCE_DB = -50.0
 SNR_NO_NOISE = 60.0
 RMS_QUANTILE = 0.35
 
+#: Frames of one clip that a window may hold (about 17 minutes).
+BLOCK_FRAMES = 1 << 15
+
 
 def frame_time(frame: Column) -> Column:
     return frame * float(HOP) / float(SR)
@@ -38,22 +46,44 @@ def _nan():
 def frame_rms(samples: DataFrame, hop: int = HOP, frame_length: int = FRAME_LENGTH) -> DataFrame:
     """Centred, zero-padded RMS per hop.
 
-    samples (clip_id, pos, amp) -> (clip_id, frame, rms).  Every sample is
-    sent to the <= frame_length/hop frames covering it and the squares are
-    summed by (clip, frame): a partial aggregate, no per-clip task.
+    samples (clip_id, pos, amp) -> (clip_id, frame, rms).  Squares are summed
+    once per piece of a clip (the largest piece that parts every frame evenly:
+    a hop, if it divides the half frame), and only these sums go to the frames
+    that cover the piece.
     """
     half = frame_length // 2
+    piece = math.gcd(hop, half, frame_length)
+    per_hop, per_frame = hop // piece, frame_length // piece
     n_frames = samples.groupBy("clip_id").agg(
         (F.floor((F.max("pos") + 1) / hop) + 1).cast("bigint").alias("_nf"))
-    lo = F.greatest(F.ceil((F.col("pos") - half + 1) / hop), F.lit(0))
-    hi = F.floor((F.col("pos") + half) / hop)
-    spread = samples.select("clip_id", F.col("amp"),
-                            F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))).alias("frame"))
-    sq = spread.groupBy("clip_id", "frame").agg(F.sum(F.col("amp") * F.col("amp")).alias("_s"))
+    at = F.floor((F.col("pos") + half) / piece).cast("bigint")
+    sums = samples.groupBy("clip_id", at.alias("_p")).agg(F.sum(F.col("amp") * F.col("amp")).alias("_s"))
+    # frame f covers the pieces from f * per_hop on
+    lo = F.greatest(F.ceil((F.col("_p") - per_frame + 1) / per_hop), F.lit(0)).cast("bigint")
+    hi = F.floor(F.col("_p") / per_hop).cast("bigint")
+    spread = sums.where(lo <= hi).select("clip_id", "_s", F.explode(F.sequence(lo, hi)).alias("frame"))
+    sq = spread.groupBy("clip_id", "frame").agg(F.sum("_s").alias("_s"))
     return (sq.join(n_frames, "clip_id").where(F.col("frame") < F.col("_nf"))
               .select("clip_id", "frame", F.sqrt(F.col("_s") / frame_length).alias("rms")))
 
 
+def with_neighbour(rows: DataFrame, keys: list[str], order: str, columns: list[str], out: str, forward: bool = False,
+                   block: int = BLOCK_FRAMES) -> DataFrame:
+    """Adds the struct (order, columns) of the row before (`forward`: after) in the clip, null at its end.
+
+    Inside a block of `block` units of `order` a window finds it; the last
+    (first) row of each block is carried over to the next row's block.
+    """
+    rows = rows.withColumn("_blk", F.floor(F.col(order) / block).cast("bigint"))
+    state = F.struct(order, *columns)
+    step, edge = (F.lead, F.min) if forward else (F.lag, F.max)
+    inside = step(state).over(Window.partitionBy(*keys, "_blk").orderBy(order))
+    edges = rows.groupBy(*keys, "_blk").agg(edge(state).alias("_edge"))
+    carried = edges.select(*keys, "_blk", step("_edge").over(Window.partitionBy(*keys).orderBy("_blk")).alias("_carried"))
+    return (null_safe_join(rows.withColumn(out, inside), carried, [*keys, "_blk"])
+            .withColumn(out, F.coalesce(out, "_carried")).drop("_blk", "_carried"))
+
+
 def peak_db(samples: DataFrame) -> DataFrame:
     """F8: 20*log10(max |amp|) per clip (-inf for digital silence)."""
     return samples.groupBy("clip_id").agg(
@@ -84,46 +114,54 @@ def pitch_stats(frames: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(F.max(v) - F.min(v), F.lit(0.0)).alias("pitch_range"))
 
 
-def velocity(frames: DataFrame, keys: list[str]) -> DataFrame:
+def velocity(frames: DataFrame, keys: list[str], block: int = BLOCK_FRAMES) -> DataFrame:
     """Abs mean and pop. variance of d f0 / d t between successive voiced
     frames; 0 with fewer than two voiced frames."""
     voiced = frames.where("voiced").select(*keys, "frame", "f0")
-    w = Window.partitionBy(*keys).orderBy("frame")
-    d = (voiced.withColumn("_v", (F.col("f0") - F.lag("f0").over(w))
-                           / frame_time(F.col("frame") - F.lag("frame").over(w)))
-               .where(F.col("_v").isNotNull()))
+    d = with_neighbour(voiced, keys, "frame", ["f0"], "_p", block=block).where(F.col("_p").isNotNull())
+    d = d.withColumn("_v", (F.col("f0") - F.col("_p.f0")) / frame_time(F.col("frame") - F.col("_p.frame")))
     agg = d.groupBy(*keys).agg(F.avg(F.abs("_v")).alias("pitch_vel_mean"),
                                F.var_pop("_v").alias("pitch_vel_var"))
-    return (frames.select(*keys).distinct().join(agg, keys, "left")
+    return (null_safe_join(frames.select(*keys).distinct(), agg, keys, "left")
                   .select(*keys, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c)
                                    for c in ("pitch_vel_mean", "pitch_vel_var")]))
 
 
-def active_islands(frames: DataFrame, keys: list[str], top_db: float = TOP_DB) -> DataFrame:
+def active_islands(frames: DataFrame, keys: list[str], top_db: float = TOP_DB, block: int = BLOCK_FRAMES) -> DataFrame:
     """Runs of consecutive frames within `top_db` of the group maximum
-    (all frames active when the maximum is 0).  -> (*keys, start, end)."""
+    (all frames active when the maximum is 0).  -> (*keys, start, end).
+
+    Runs are found inside blocks; those that reach a block's border (two a
+    block at most) are joined over the borders.
+    """
     mx = frames.groupBy(*keys).agg(F.max("rms").alias("_mx"))
     thr = 10 ** (-top_db / 20.0)
-    act = (frames.join(mx, keys)
+    act = (null_safe_join(frames, mx, keys)
                  .where((F.col("_mx") <= 0) | (F.col("rms") > F.col("_mx") * thr))
-                 .select(*keys, "frame"))
-    w = Window.partitionBy(*keys).orderBy("frame")
-    isl = act.withColumn("_isl", F.col("frame") - F.row_number().over(w))
-    return isl.groupBy(*keys, "_isl").agg(F.min("frame").alias("start"), F.max("frame").alias("end")) \
-              .drop("_isl")
-
-
-def gaps(islands: DataFrame, keys: list[str]) -> DataFrame:
+                 .select(*keys, "frame", F.floor(F.col("frame") / block).cast("bigint").alias("_blk")))
+    w = Window.partitionBy(*keys, "_blk").orderBy("frame")
+    runs = (act.withColumn("_isl", F.col("frame") - F.row_number().over(w)).groupBy(*keys, "_blk", "_isl")
+            .agg(F.min("frame").alias("start"), F.max("frame").alias("end")))
+    at_border = (F.col("start") == F.col("_blk") * block) | (F.col("end") == (F.col("_blk") + 1) * block - 1)
+    by_start = Window.partitionBy(*keys).orderBy("start")
+    border = (runs.where(at_border)
+              .withColumn("_new", F.coalesce(F.col("start") != F.lag("end").over(by_start) + 1, F.lit(True)).cast("long"))
+              .withColumn("_isl", F.sum("_new").over(by_start)))
+    joined = border.groupBy(*keys, "_isl").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return joined.select(*keys, "start", "end").unionByName(runs.where(~at_border).select(*keys, "start", "end"))
+
+
+def gaps(islands: DataFrame, keys: list[str], block: int = BLOCK_FRAMES) -> DataFrame:
     """Seconds from the end of an interval to the start of the next."""
-    w = Window.partitionBy(*keys).orderBy("start")
-    return (islands.withColumn("gap", frame_time(F.lead("start").over(w) - F.col("end") - 1))
-                   .where(F.col("gap").isNotNull()))
+    near = with_neighbour(islands, keys, "start", [], "_next", forward=True, block=block)
+    return (near.where(F.col("_next").isNotNull())
+                .withColumn("gap", frame_time(F.col("_next.start") - F.col("end") - 1)).drop("_next"))
 
 
 def pause_variance(frames: DataFrame, keys: list[str]) -> DataFrame:
     """Pop. variance of the gaps, 0 when there is none."""
     g = gaps(active_islands(frames, keys), keys).groupBy(*keys).agg(F.var_pop("gap").alias("_pv"))
-    return (frames.select(*keys).distinct().join(g, keys, "left")
+    return (null_safe_join(frames.select(*keys).distinct(), g, keys, "left")
                   .select(*keys, F.coalesce("_pv", F.lit(0.0)).alias("pause_var")))
 
 
@@ -156,19 +194,21 @@ def audio_segment_features(frames: DataFrame, max_seconds: float = SEGMENT_MAX_S
     """Nine values per (clip, segment); `vector` holds them in order."""
     seg = three_segments(frames, max_seconds)
     k = ["clip_id", "seg"]
-    out = (pitch_stats(seg, k).join(velocity(seg, k), k).join(energy_stats(seg, k), k)
-           .join(pause_variance(seg, k), k))
-    return out.select(*k, *SEGMENT_COLS, F.array(*[F.col(c) for c in SEGMENT_COLS]).alias("vector"))
+    every = frames.select("clip_id").distinct().withColumn("seg", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    out = every
+    for part in (pitch_stats(seg, k), velocity(seg, k), energy_stats(seg, k), pause_variance(seg, k)):
+        out = null_safe_join(out, part, k, "left")
+    # a segment without frames (a clip of one or two frames) has nine zeros, like silence
+    out = out.select(*k, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in SEGMENT_COLS])
+    return out.select("*", F.array(*[F.col(c) for c in SEGMENT_COLS]).alias("vector"))
 
 
 def half_shift(frames: DataFrame, keys: list[str]) -> DataFrame:
     """Mean of the second half minus mean of the first half of the voiced
     f0 (mid = n div 2): NaN with one voiced frame, 0 with none."""
-    v = frames.where("voiced").select(*keys, "frame", "f0")
-    w = Window.partitionBy(*keys).orderBy("frame")
-    v = v.withColumn("_i", F.row_number().over(w) - 1) \
-         .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    first = F.col("_i") < F.floor(F.col("_n") / 2)
+    v = frames.where("voiced").select(*keys, "frame", "f0", F.floor(F.col("frame") / BLOCK_FRAMES).cast("bigint").alias("_blk"))
+    v = block_row_number(v, keys, "_blk", ["frame"], out="_i", total="_count")
+    first = F.col("_i") < F.floor(F.col("_count") / 2)
     agg = v.groupBy(*keys).agg(
         F.coalesce(F.avg(F.when(~first, F.col("f0"))), _nan()).alias("_b"),
         F.coalesce(F.avg(F.when(first, F.col("f0"))), _nan()).alias("_a"))

@@ -3,10 +3,11 @@ metrics, E6 predict-split fusion, E7 many ensembles in one pass, P7 labels."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import average_rank, mse, safe_pearson
+from .joins import null_safe_join
+from .ranks import mse, safe_pearson, spearman, value_ranks
 
 ENSEMBLE_LABEL = "Ensemble (rank average)"
 
@@ -21,9 +22,9 @@ def config_label(label: Column, combo: Column, model: Column, selector: Column,
 def doubled_ranks(preds: DataFrame, group_cols: list[str]) -> DataFrame:
     """Twice the average rank of p (a whole number) and the row count n, per (group, cfg)."""
     g = [*group_cols, "cfg_id"]
-    r = average_rank(preds, g, "p", "_r")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*g))
-    return r.withColumn("r2", (F.col("_r") * 2).cast("bigint")).withColumn("rows", n).drop("_r")
+    n = preds.groupBy(*g).agg(F.count(F.lit(1)).alias("rows"))
+    r = null_safe_join(preds, value_ranks(preds, g, "p").withColumnRenamed("rank2", "r2"), [*g, "p"])
+    return null_safe_join(r, n, g)
 
 
 def mean_rank(ranked: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,12 +55,8 @@ def fuse_rank_average(preds: DataFrame, group_cols: list[str],
 
 
 def _metrics(df: DataFrame, group_cols: list[str], y: str, p: str) -> DataFrame:
-    r = average_rank(df, group_cols, y, "_ry")
-    r = average_rank(r, group_cols, p, "_rp")
-    return r.groupBy(*group_cols).agg(
-        safe_pearson("_ry", "_rp").alias("spearman"),
-        safe_pearson(y, p).alias("pearson"),
-        mse(y, p).alias("mse"))
+    plain = df.groupBy(*group_cols).agg(safe_pearson(y, p).alias("pearson"), mse(y, p).alias("mse"))
+    return null_safe_join(spearman(df, group_cols, y, p), plain, group_cols)
 
 
 def ensemble_cv(preds: DataFrame, on_error: str = "zero") -> DataFrame:

@@ -41,3 +41,11 @@ def skew_safe_lookup(probe: DataFrame, lookup: DataFrame, key: str, weight: str,
                                                .otherwise(F.array(F.lit(0)))))
                 .drop("_hot"))
     return p.join(lk, [key, "_salt"], how).drop("_salt")
+
+
+def null_safe_join(a: DataFrame, b: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names in which null equals null; they appear once."""
+    names = {c: f"_key_{i}" for i, c in enumerate(cols)}
+    b = b.withColumnsRenamed(names)
+    cond = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()] or [F.lit(True)]
+    return a.join(b, cond, how).drop(*names.values())

@@ -1,54 +1,47 @@
 """Rank family: W1 average_rank, F7 normalised_rank, A5 spearman,
-A6 safe_pearson, A7 mse, T2 top_n_spearman (per fold), T3 top_n_full."""
+A6 safe_pearson, A7 mse, T2 top_n_spearman (per fold), T3 top_n_full.
+
+Ranks are made from counts of distinct (group, value) pairs: rows are combined
+by value before the shuffle, and running sums over range partitions give the
+rank of every value (`operators.prefix`).  No task sorts a whole group, and
+equal values are one row however many they are.  Correlations of ranks need
+sums per value only, so ranks are not joined back to the rows of the ranked
+column; folds are columns of these sums, not copies of the rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import explode_train
+from .joins import null_safe_join
+from .prefix import BEFORE, running_sums
+
+
+def value_ranks(df: DataFrame, partition_cols: list[str], value_col: str, ranges: int | None = None) -> DataFrame:
+    """(partition_cols, value_col, rank2): twice the average rank of every distinct value, a whole number; NULLs rank last."""
+    counts = df.groupBy(*partition_cols, value_col).agg(F.count(F.lit(1)).alias("_n"))
+    r = running_sums(counts, partition_cols, [F.col(value_col).asc_nulls_last()], ["_n"], ranges)
+    return r.select(*partition_cols, value_col, (2 * F.col("_n" + BEFORE) + F.col("_n") + 1).alias("rank2"))
 
 
 def average_rank(df: DataFrame, partition_cols: list[str], value_col: str,
                  out: str = "avg_rank", blocks: int | None = None) -> DataFrame:
-    """1-based ranks, ties get the mean of their positions.
-
-    (rank + count of rows <= x) / 2 over ONE window spec: a single sort.
-    With `blocks`, a partition is first cut into value ranges by a sketch
-    (`percentile_approx`, partially aggregated), so no task ever sorts a whole
-    partition: rank = rows in lower blocks + rank inside the block.  Ties
-    never straddle blocks because the block is a function of the value.  The
-    number of blocks is the caller's, whatever the size.  NULLs rank last.
+    """1-based ranks, ties get the mean of their positions; NULLs rank last.
+
+    Ranks are joined back by value (adaptive execution splits a hot one).
+    `blocks` fixes the number of value ranges; by default Spark chooses it.
     """
-    if not blocks or blocks < 2:
-        w = Window.partitionBy(*partition_cols).orderBy(F.col(value_col).asc_nulls_last())
-        upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(out, (F.rank().over(w) + F.count(F.lit(1)).over(upto)) / 2.0)
-    if not partition_cols:
-        return average_rank(df.withColumn("_g0", F.lit(0)), ["_g0"], value_col, out, blocks).drop("_g0")
-    qs = [i / blocks for i in range(1, blocks)]
-    bounds = df.groupBy(*partition_cols).agg(
-        F.percentile_approx(value_col, qs, 1000).alias("_bnd"))
-    keyed = df.join(bounds, partition_cols)
-    below = F.size(F.filter("_bnd", lambda b: b < F.col(value_col)))
-    keyed = keyed.withColumn("_blk", F.when(F.col(value_col).isNull(), F.lit(blocks)).otherwise(below)).drop("_bnd")
-    counts = keyed.groupBy(*partition_cols, "_blk").agg(F.count(F.lit(1)).alias("_n"))
-    run = (Window.partitionBy(*partition_cols).orderBy("_blk")
-           .rowsBetween(Window.unboundedPreceding, -1))
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(run), F.lit(0))).drop("_n")
-    w = Window.partitionBy(*partition_cols, "_blk").orderBy(F.col(value_col).asc_nulls_last())
-    upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return (keyed.join(offs, [*partition_cols, "_blk"])
-                 .withColumn(out, F.col("_off") + (F.rank().over(w) + F.count(F.lit(1)).over(upto)) / 2.0)
-                 .drop("_blk", "_off"))
+    ranks = value_ranks(df, partition_cols, value_col, blocks)
+    return null_safe_join(df, ranks, [*partition_cols, value_col]).withColumn(out, F.col("rank2") / 2.0).drop("rank2")
 
 
 def normalised_rank(df: DataFrame, partition_cols: list[str], value_col: str,
                     out: str = "norm_rank") -> DataFrame:
     """average rank / n within the partition."""
-    r = average_rank(df, partition_cols, value_col, "_ar")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*partition_cols))
-    return r.withColumn(out, F.col("_ar") / n).drop("_ar")
+    n = df.groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("_n_rows"))
+    r = null_safe_join(average_rank(df, partition_cols, value_col, "_ar"), n, partition_cols)
+    return r.withColumn(out, F.col("_ar") / F.col("_n_rows")).drop("_ar", "_n_rows")
 
 
 def safe_pearson(a: str | Column, b: str | Column) -> Column:
@@ -66,35 +59,94 @@ def mse(y: str, p: str) -> Column:
     return F.avg((F.col(y) - F.col(p)) * (F.col(y) - F.col(p)))
 
 
+#: Names of `_sums`.
+SUMS = ("n", "x", "xx", "y", "yy", "xy", "low", "high")
+
+
+def _sums(x: Column, n: Column, y: Column, yy: Column) -> list[Column]:
+    """Sums over values for the correlation of x (n rows a value) with y (summed per value)."""
+    return [F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * x * x).alias("xx"), F.sum(y).alias("y"), F.sum(yy).alias("yy"),
+            F.sum(x * y).alias("xy"), F.min(F.when(n > 0, x)).alias("low"), F.max(F.when(n > 0, x)).alias("high")]
+
+
+def _correlation(s: Column, y_low: Column, y_high: Column) -> Column:
+    """Pearson correlation from `_sums`, 0 when either side is constant."""
+    def m(c):
+        return s[c] / s["n"]
+    xx, yy, xy = m("xx") - m("x") * m("x"), m("yy") - m("y") * m("y"), m("xy") - m("x") * m("y")
+    const = (s["low"] == s["high"]) | (y_low == y_high) | (xx <= 0) | (yy <= 0) | (s["n"] == 0)
+    return F.when(F.coalesce(const, F.lit(True)), F.lit(0.0)).otherwise(xy / F.sqrt(xx * yy))
+
+
+def rank_correlation(df: DataFrame, group_cols: list[str], x: str, rank2: str = "rank2", out: str = "spearman") -> DataFrame:
+    """Correlation per group of the ranks of x with given (doubled) ranks, 0 when either is constant."""
+    r = F.col(rank2).cast("double")
+    by_value = df.groupBy(*group_cols, F.col(x).alias("_x")).agg(F.count(F.lit(1)).alias("_n"), F.sum(r).alias("_s"), F.sum(r * r).alias("_ss"),
+                                                                 F.min(r).alias("_low"), F.max(r).alias("_high"))
+    t = running_sums(by_value, group_cols, [F.col("_x").asc_nulls_last()], ["_n"])
+    rx = (2 * F.col("_n" + BEFORE) + F.col("_n") + 1).cast("double")
+    g = t.groupBy(*group_cols).agg(*_sums(rx, F.col("_n"), F.col("_s"), F.col("_ss")), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    return g.select(*group_cols, _correlation(F.struct(*SUMS), F.col("_low"), F.col("_high")).alias(out))
+
+
 def spearman(df: DataFrame, group_cols: list[str], x: str, y: str,
              out: str = "spearman") -> DataFrame:
-    """A5: Spearman correlation per group = Pearson of average ranks, 0 for
-    constant input.  Two window sorts (one per ranked column), one aggregate."""
-    r = average_rank(df, group_cols, x, "_rx")
-    r = average_rank(r, group_cols, y, "_ry")
-    return r.groupBy(*group_cols).agg(safe_pearson("_rx", "_ry").alias(out))
+    """A5: Spearman correlation per group = Pearson of average ranks, 0 for constant input."""
+    d = df.select(*group_cols, F.col(x).alias("_v"), F.col(y).alias("_y"))
+    return rank_correlation(null_safe_join(d, value_ranks(d, group_cols, "_y"), [*group_cols, "_y"]), group_cols, "_v", out=out)
+
 
+def role_rho(rows: DataFrame) -> DataFrame:
+    """(fold, feature_set, idx, rho) over the rows of role `train`; the label is ranked once per fold.
 
-LABEL_RANK_BLOCKS = 8
+    rows: (fold, role, item_id, y, feature_set, idx, value).
+    """
+    train = rows.where(F.col("role") == "train")
+    labels = train.select("fold", "item_id", "y").distinct()
+    ranked = null_safe_join(train, value_ranks(labels, ["fold"], "y"), ["fold", "y"])
+    return rank_correlation(ranked, ["fold", "feature_set", "idx"], "value", out="rho")
 
 
-def feature_rho(long_df: DataFrame, labels: DataFrame, group_cols: list[str],
-                label_blocks: int | None = LABEL_RANK_BLOCKS) -> DataFrame:
-    """Spearman of every feature column with the label.
+def fold_rho(long_df: DataFrame, labelled: DataFrame, k: int) -> DataFrame:
+    """(fold, feature_set, idx, rho): Spearman of every feature with the label over each fold's training rows.
 
-    long_df: (*group_cols, item_id, feature_set, idx, value)
-    labels:  (*group_cols, item_id, y)
-    Label ranks are computed once per group on the small label table and
-    joined (broadcast by AQE when small); feature ranks use one window
-    partitioned by (group, feature_set, idx), which the aggregate reuses.
+    long_df: (item_id, feature_set, idx, value); labelled: (item_id, y, fold).
+    The training rows of fold f are those of other folds; a fold f without
+    items of its own ranks them all.  Counts and label-rank sums of all k folds
+    are columns of one aggregate by (feature, value).
     """
-    # label ranks: a window per fold would hold every item of the fold in one
-    # task, so they are computed in value blocks (sketch-cut, exact ranks)
-    yr = average_rank(labels, group_cols, "y", "ry", blocks=label_blocks).select(*group_cols, "item_id", "ry")
-    keys = [c for c in group_cols if c in long_df.columns] + ["item_id"]
-    fr = average_rank(long_df.join(yr, keys),
-                      [*group_cols, "feature_set", "idx"], "value", "rv")
-    return fr.groupBy(*group_cols, "feature_set", "idx").agg(safe_pearson("rv", "ry").alias("rho"))
+    folds = range(1, k + 1)
+
+    def counted(f):
+        return F.count_if(F.col("fold") != f).alias(f"n{f}")
+
+    names = [f"n{f}" for f in folds]
+    y = running_sums(labelled.groupBy("y").agg(*map(counted, folds)), [], [F.col("y").asc_nulls_last()], names)
+    y = y.select("y", *[(2 * F.col(n + BEFORE) + F.col(n) + 1).cast("double").alias(f"r{n[1:]}") for n in names])
+    rows = long_df.join(null_safe_join(labelled.select("item_id", "y", "fold"), y, ["y"]), "item_id")
+
+    def train(f, value):
+        return F.when(F.col("fold") != f, value)
+
+    parts = []
+    for f in folds:
+        r = train(f, F.col(f"r{f}"))
+        parts += [counted(f), F.coalesce(F.sum(r), F.lit(0.0)).alias(f"s{f}"), F.coalesce(F.sum(r * r), F.lit(0.0)).alias(f"q{f}"),
+                  F.min(r).alias(f"l{f}"), F.max(r).alias(f"h{f}")]
+    by_value = rows.groupBy("feature_set", "idx", "value").agg(*parts)
+    t = running_sums(by_value, ["feature_set", "idx"], [F.col("value").asc_nulls_last()], names)
+    sums = []
+    for f in folds:
+        n = F.col(f"n{f}")
+        rank = (2 * F.col(f"n{f}{BEFORE}") + n + 1).cast("double")
+        sums += [c.alias(f"{name}_{f}") for name, c in zip(SUMS, _sums(rank, n, F.col(f"s{f}"), F.col(f"q{f}")))]
+        sums += [F.min(f"l{f}").alias(f"ylow_{f}"), F.max(f"h{f}").alias(f"yhigh_{f}")]
+    g = t.groupBy("feature_set", "idx").agg(*sums)
+    each = F.array(*[F.struct(F.lit(f).cast("bigint").alias("fold"), F.col(f"n_{f}").alias("_n"), _correlation(
+        F.struct(*[F.col(f"{c}_{f}").alias(c) for c in SUMS]),
+        F.col(f"ylow_{f}"), F.col(f"yhigh_{f}")).alias("rho")) for f in folds])
+    out = g.select("feature_set", "idx", F.inline(each))
+    return out.where(F.col("_n") > 0).select("fold", "feature_set", "idx", "rho")
 
 
 def _select_top(rho: DataFrame, group_cols: list[str], n: int, sets: list[str]) -> DataFrame:
@@ -114,14 +166,11 @@ def top_n_spearman(long_df: DataFrame, folded: DataFrame, n: int, sets: list[str
     Returns (fold, feature_set, idx, rho, sel_rank).  Only training rows of a
     fold take part in its ranking (leakage-free).
     """
-    train = explode_train(folded.select("item_id", "y", "fold"), k).select(
-        F.col("tf").alias("fold"), "item_id", "y")
-    rho = feature_rho(long_df, train, ["fold"])
-    return _select_top(rho, ["fold"], n, sets)
+    return _select_top(fold_rho(long_df, folded, k), ["fold"], n, sets)
 
 
 def top_n_full(long_df: DataFrame, labels: DataFrame, n: int, sets: list[str]) -> DataFrame:
     """The same on all labelled rows; the result is the reusable
     `selected(feature_set, idx)` transform."""
-    rho = feature_rho(long_df.withColumn("_g", F.lit(0)), labels.withColumn("_g", F.lit(0)), ["_g"])
-    return _select_top(rho, ["_g"], n, sets).drop("_g")
+    rho = fold_rho(long_df, labels.withColumn("fold", F.lit(0)), 1)
+    return _select_top(rho, ["fold"], n, sets).drop("fold")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import LABEL_RANK_BLOCKS, average_rank, safe_pearson
+from .joins import null_safe_join
+from .ranks import fold_rho, rank_correlation, value_ranks
 
 EPS10 = 10 * 2.220446049250313e-16
 
@@ -33,12 +34,27 @@ def standardize(rows: DataFrame, moments: DataFrame, keys: list[str]) -> DataFra
 
 def fold_feature_stats(long_df: DataFrame, train: DataFrame) -> DataFrame:
     """Per (fold, feature_set, idx) on the training rows of the fold:
-    Spearman rho with y, mean and population std, in one windowed pass.
+    Spearman rho with y, mean and population std.
 
     long_df: (item_id, feature_set, idx, value); train: (fold, item_id, y).
     """
-    yr = average_rank(train, ["fold"], "y", "ry", blocks=LABEL_RANK_BLOCKS).select("fold", "item_id", "ry")
-    fr = average_rank(long_df.join(yr, "item_id"), ["fold", "feature_set", "idx"], "value", "rv")
-    return fr.groupBy("fold", "feature_set", "idx").agg(
-        safe_pearson("rv", "ry").alias("rho"),
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    ranked = null_safe_join(train, value_ranks(train, ["fold"], "y"), ["fold", "y"])
+    rows = long_df.join(ranked, "item_id")
+    keys = ["fold", "feature_set", "idx"]
+    moments = rows.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    return rank_correlation(rows, keys, "value", out="rho").join(moments, keys)
+
+
+def all_fold_stats(long_df: DataFrame, folded: DataFrame, k: int = 5) -> DataFrame:
+    """`fold_feature_stats` of every fold of a fold plan, without a copy of the rows per fold.
+
+    long_df: (item_id, feature_set, idx, value); folded: (item_id, y, fold).
+    All folds' moments are columns of one aggregate.
+    """
+    rows = long_df.join(folded.select("item_id", "fold"), "item_id")
+    train = {f: F.when(F.col("fold") != f, F.col("value")) for f in range(1, k + 1)}
+    moments = rows.groupBy("feature_set", "idx").agg(
+        *[F.struct(F.lit(f).cast("bigint").alias("fold"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd")).alias(f"f{f}")
+          for f, v in train.items()])
+    moments = moments.select("feature_set", "idx", F.inline(F.array(*[f"f{f}" for f in train])))
+    return fold_rho(long_df, folded, k).join(moments, ["fold", "feature_set", "idx"])

@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import features_string
 from ..operators.analysis import fold_stats
-from ..operators.folds import explode_train
-from ..operators.ranks import average_rank, safe_pearson
-from ..operators.scaling import fold_feature_stats, scale_of
+from ..operators.ranks import spearman
+from ..operators.scaling import all_fold_stats, scale_of
 
 SCORERS = ["rho_sign", "mean_z"]
 
@@ -40,22 +39,23 @@ def combo_of_set(combos: dict[str, list[str]]):
 def evaluate_scored(long_dev: DataFrame, folded: DataFrame, combos: dict[str, list[str]],
                     widths: dict[str, int], k: int = 5) -> DataFrame:
     """Sweep-result rows (D8) for every combination x scorer."""
-    train = explode_train(folded.select("item_id", "y", "fold"), k).select(
-        F.col("tf").alias("fold"), "item_id", "y")
-    stats = fold_feature_stats(long_dev, train)
+    stats = all_fold_stats(long_dev, folded, k)
     test = long_dev.join(folded.select("item_id", "fold", "y"), "item_id")
     z = (test.join(stats, ["fold", "feature_set", "idx"])
              .withColumn("z", (F.col("value") - F.col("mean")) / scale_of(F.col("sd")))
              .withColumn("w", F.signum("rho")))
-    scored = (z.withColumn("combination", F.explode(F.element_at(combo_of_set(combos), F.col("feature_set"))))
-               .select("fold", "combination", "item_id", "y", F.inline(F.array(
-                   F.struct(F.lit("rho_sign").alias("model"), (F.col("w") * F.col("z")).alias("s")),
-                   F.struct(F.lit("mean_z").alias("model"), F.col("z").alias("s")))))
-               .groupBy("fold", "combination", "model", "item_id", "y").agg(F.avg("s").alias("pred")))
+    # one row per (fold, item, set) before the combinations multiply them
+    by_set = z.groupBy("fold", "item_id", "y", "feature_set").agg(
+        F.sum(F.col("w") * F.col("z")).alias("signed"), F.sum("z").alias("plain"), F.count(F.lit(1)).alias("n"))
+    by_combo = (by_set.withColumn("combination", F.explode(F.element_at(combo_of_set(combos), F.col("feature_set"))))
+                .groupBy("fold", "combination", "item_id", "y")
+                .agg((F.sum("signed") / F.sum("n")).alias("signed"), (F.sum("plain") / F.sum("n")).alias("plain")))
+    scored = by_combo.select("fold", "combination", "item_id", "y", F.inline(F.array(
+        F.struct(F.lit("rho_sign").alias("model"), F.col("signed").alias("pred")),
+        F.struct(F.lit("mean_z").alias("model"), F.col("plain").alias("pred")))))
+    scored = cut_lineage(scored)  # read for the label ranks, the correlation and the counts
     g = ["fold", "combination", "model"]
-    r = average_rank(average_rank(scored, g, "y", "ry"), g, "pred", "rp")
-    per_fold = r.groupBy(*g).agg(safe_pearson("ry", "rp").alias("spearman"),
-                                 F.count(F.lit(1)).alias("n_test"))
+    per_fold = spearman(scored, g, "pred", "y").join(scored.groupBy(*g).agg(F.count(F.lit(1)).alias("n_test")), g)
     summary = fold_stats(per_fold, ["combination", "model"])
     n = per_fold.groupBy("combination", "model").agg(F.sum("n_test").alias("n_samples"))
     feats = F.create_map(*sum([[F.lit(c), features_string(F.array(*[F.lit(s) for s in sets]))]
@@ -73,7 +73,7 @@ def evaluate_scored(long_dev: DataFrame, folded: DataFrame, combos: dict[str, li
 
 from ..operators import kernels as K  # noqa: E402
 from ..operators.folds import explode_roles  # noqa: E402
-from ..operators.ranks import top_n_spearman  # noqa: E402
+from ..operators.ranks import _select_top, role_rho  # noqa: E402
 from .learners import fit_predict, pca_project, scale_arrays  # noqa: E402
 from ..session import cut_lineage  # noqa: E402
 
@@ -100,10 +100,7 @@ def _select_rows(rows: DataFrame, sets: list[str], selector: str, n_train_rows:
     if not selector.startswith("spearman_"):
         return rows
     n = int(selector.split("_")[1])
-    train = rows.where(F.col("role") == "train")
-    from ..operators.ranks import feature_rho, _select_top
-    rho = feature_rho(train.select("fold", "item_id", "feature_set", "idx", "value"),
-                      train.select("fold", "item_id", "y").distinct(), ["fold"])
+    rho = role_rho(rows)
     sel = _select_top(rho, ["fold"], n, sets)
     return rows.join(sel.select("fold", "feature_set", "idx"), ["fold", "feature_set", "idx"], "left_semi")
 
@@ -156,8 +153,7 @@ def kernel_design(rows: DataFrame, sets: list[str], selector: str,
 
 def score_folds(pred: DataFrame) -> DataFrame:
     """A5 per fold: Spearman(y, pred) on the test rows."""
-    r = average_rank(average_rank(pred, ["fold"], "y", "ry"), ["fold"], "pred", "rp")
-    return r.groupBy("fold").agg(safe_pearson("ry", "rp").alias("spearman"))
+    return spearman(pred, ["fold"], "pred", "y")
 
 
 def evaluate_model(spark, rows: DataFrame, combo: str, sets: list[str], widths: dict[str, int],

@@ -772,6 +772,8 @@ SQL["gated_publish"] = with_(*QA_ALL) + "SELECT fail AS fail_total, fail = 0 AS
 
 # --- folds, scaling, kernels -------------------------------------------------
 
+N_LANDMARKS = 256  # fixed value: training rows of a kernel, the first by keyed hash
+
 SQL["kfold"] = with_(EMB, FOLDS) + "SELECT item_id, fold FROM folds"
 
 SQL["top_n_full"] = with_(EMB, VEC, LNG) + """,
@@ -799,22 +801,23 @@ zz AS (
   SELECT r.fold, r.role, r.item_id, r.feature_set, r.idx,
          (r.value - m.mean) / CASE WHEN m.sd IS NULL OR m.sd < 2.220446049250313e-15 THEN 1.0 ELSE m.sd END AS z
   FROM rl r JOIN mom m USING (fold, feature_set, idx)),
-pr AS (
-  SELECT a.fold, a.feature_set, a.role, a.item_id AS i, b.item_id AS j, sum((a.z - b.z) * (a.z - b.z)) AS d2
-  FROM zz a JOIN zz b ON a.fold = b.fold AND a.feature_set = b.feature_set AND a.idx = b.idx AND b.role = 'train'
-  GROUP BY a.fold, a.feature_set, a.role, a.item_id, b.item_id),
 smp AS (
-  SELECT fold, feature_set, item_id FROM (
+  SELECT fold, feature_set, item_id, rn FROM (
     SELECT fold, feature_set, item_id,
            row_number() OVER (PARTITION BY fold, feature_set ORDER BY md5(CAST(item_id AS VARCHAR) || ':42')) AS rn
     FROM (SELECT DISTINCT fold, feature_set, item_id FROM zz WHERE role = 'train')) WHERE rn <= 500),
+pr AS (
+  SELECT a.fold, a.feature_set, a.role, a.item_id AS i, b.item_id AS j, s.rn AS j_rn, sum((a.z - b.z) * (a.z - b.z)) AS d2
+  FROM zz a JOIN zz b ON a.fold = b.fold AND a.feature_set = b.feature_set AND a.idx = b.idx AND b.role = 'train'
+       JOIN smp s ON s.fold = b.fold AND s.feature_set = b.feature_set AND s.item_id = b.item_id
+  GROUP BY a.fold, a.feature_set, a.role, a.item_id, b.item_id, s.rn),
 gam AS (
   SELECT p.fold, p.feature_set,
          CASE WHEN median(sqrt(p.d2)) > 1e-10 THEN 1.0 / (2.0 * median(sqrt(p.d2)) * median(sqrt(p.d2))) ELSE 1.0 END AS gamma
   FROM pr p JOIN smp s1 ON s1.fold = p.fold AND s1.feature_set = p.feature_set AND s1.item_id = p.i
             JOIN smp s2 ON s2.fold = p.fold AND s2.feature_set = p.feature_set AND s2.item_id = p.j
   WHERE p.role = 'train' AND p.i < p.j GROUP BY p.fold, p.feature_set),
-kk AS (SELECT p.*, exp(-g.gamma * p.d2) AS k FROM pr p JOIN gam g USING (fold, feature_set)),
+kk AS (SELECT p.*, exp(-g.gamma * p.d2) AS k FROM pr p JOIN gam g USING (fold, feature_set) WHERE j_rn <= """ + str(N_LANDMARKS) + """),
 wts AS (SELECT * FROM (VALUES ('emb_a', 1.0), ('emb_b', 0.5), ('emb_c', 2.0), ('emb_d', 1.0)) t(feature_set, w))"""
 
 KER_ALL = (EMB, VEC, LNG, FOLDS, KER)
@@ -827,7 +830,7 @@ SELECT fold, item_id, feature_set, idx, round(z, 6) + 0.0 AS z FROM zz WHERE rol
 SQL["median_gamma"] = with_(*KER_ALL) + "SELECT fold, feature_set, round(gamma, 6) + 0.0 AS gamma FROM gam"
 SQL["pairwise_distance"] = with_(*KER_ALL) + """
 SELECT fold, feature_set, i AS item_id, round(sum(sqrt(d2)), 6) + 0.0 AS dist_sum
-FROM pr WHERE role = 'train' GROUP BY fold, feature_set, i"""
+FROM pr WHERE role = 'train' AND j_rn <= """ + str(N_LANDMARKS) + """ GROUP BY fold, feature_set, i"""
 SQL["rbf_kernel_train"] = with_(*KER_ALL) + """
 SELECT fold, feature_set, i AS item_id, round(sum(k), 6) + 0.0 AS k_sum FROM kk WHERE role = 'train'
 GROUP BY fold, feature_set, i"""

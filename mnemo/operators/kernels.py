@@ -2,22 +2,23 @@
 kernel, K2 cross kernel, K3 weighted combination, K4 per-fold kernels,
 K5 kernel rows as features.
 
-Layout.  A kernel row is an ARRAY<DOUBLE> over the landmarks of its group
-(fold, feature_set), ordered by item id; landmarks are the training rows of
-the group.  Rows are spread over `buckets` of a group and its landmarks over
-blocks, both by hash; a task has one bucket and one block, and numpy computes
-their squared distances and kernel values.  A row's pieces are then joined in
-the order of the landmark ids.  Memory is ROWS_PER_TASK x LANDMARKS_PER_TASK
-a task, at every size, and one kernel row; no (row, row) pair table is ever
-written.  The bandwidth sample (first `max_samples` training rows by keyed
-hash, 500 as in the median heuristic) is paired inside one task per group,
-so the pair count is bounded by the sample cap.
+A kernel over all pairs of rows grows with the square of the data, so kernels
+are low-rank: every row meets the landmarks of its group (fold, feature_set),
+the first `n_landmarks` training rows by keyed hash.  A kernel row is an
+ARRAY<DOUBLE> over them, ordered by item id; a group of up to `n_landmarks`
+training rows has the whole kernel.  `nystroem_map` turns these rows into
+features whose inner products approximate the kernel (and equal it when all
+training rows are landmarks).
+
+Landmarks (n_landmarks x width numbers a group, whatever the data) are
+broadcast to the tasks; rows are mapped where they are, in Arrow batches, and
+never shuffled.  Only a fused kernel groups the vectors of one item first.
+The bandwidth sample (first `max_samples` training rows by the same hash, 500
+as in the median heuristic) is paired inside one task per group.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,8 +28,7 @@ from .folds import hash_key
 from .positions import block_row_number
 
 MAX_SAMPLES = 500
-ROWS_PER_TASK = 512
-LANDMARKS_PER_TASK = 8192
+N_LANDMARKS = 256
 
 
 def vectors_from_long(long_df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -57,15 +57,20 @@ def _mat(col: pd.Series) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(float) if len(col) else np.zeros((0, 0))
 
 
+def choose_landmarks(train_vecs: DataFrame, group_cols: list[str], n: int = N_LANDMARKS, seed: int = 42) -> DataFrame:
+    """(group..., item_id, vec): the first n training rows of each group by keyed hash, numbered in hash blocks."""
+    h = train_vecs.withColumn("_h", hash_key("item_id", seed)).withColumn("_blk", F.substring("_h", 1, 3))
+    return (block_row_number(h, group_cols, "_blk", ["_h", "item_id"], out="_pos")
+            .where(F.col("_pos") < n).select(*group_cols, "item_id", "vec"))
+
+
 def median_gamma(train_vecs: DataFrame, group_cols: list[str], seed: int = 42,
                  max_samples: int = MAX_SAMPLES) -> DataFrame:
     """gamma = 1 / (2 median^2) of the pairwise distances (strict upper
     triangle) of the first `max_samples` training rows by keyed hash; 1.0
     when the median is <= 1e-10.  The sample is cut with a skew-safe block
     row number, then one task per group pairs at most `max_samples` rows."""
-    h = train_vecs.withColumn("_h", hash_key("item_id", seed)).withColumn("_blk", F.substring("_h", 1, 3))
-    smp = block_row_number(h, group_cols, "_blk", ["_h", "item_id"], out="_pos") \
-        .where(F.col("_pos") < max_samples).select(*group_cols, "vec")
+    smp = choose_landmarks(train_vecs, group_cols, max_samples, seed).select(*group_cols, "vec")
 
     def gamma(pdf: pd.DataFrame) -> pd.DataFrame:
         x = _mat(pdf["vec"])
@@ -81,92 +86,77 @@ def median_gamma(train_vecs: DataFrame, group_cols: list[str], seed: int = 42,
     return smp.groupBy(*group_cols).applyInPandas(gamma, schema)
 
 
-def _parts(rows: DataFrame, group_cols: list[str], rows_per_part: int) -> int:
-    n = rows.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 1
-    return max(1, math.ceil(n / rows_per_part))
+class _Groups:
+    """Landmarks and bandwidth of every group, for the tasks: group -> (ids, matrix, gamma)."""
 
+    def __init__(self, landmarks: DataFrame, gamma: DataFrame | None, group_cols: list[str]):
+        # n_landmarks rows a group at most
+        self.of = {tuple(k if isinstance(k, tuple) else (k,)): (g["item_id"].to_numpy(), _mat(g["vec"]), 1.0)
+                   for k, g in landmarks.toPandas().sort_values("item_id", kind="stable").groupby(group_cols, sort=False)}
+        for r in gamma.collect() if gamma is not None else ():
+            k = tuple(r[c] for c in group_cols)
+            if k in self.of:
+                self.of[k] = (*self.of[k][:2], float(r["gamma"]))
 
-def _dealt(rows: DataFrame, lms: DataFrame, group_cols: list[str], rows_per_task: int, landmarks_per_task: int) -> DataFrame:
-    """Rows and landmarks (`_lm`) of every pair of a row bucket `_b` and a landmark block `_lb`."""
-    buckets, blocks = _parts(rows, group_cols, rows_per_task), _parts(lms, group_cols, landmarks_per_task)
-    own = lambda n: F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = rows.withColumn("_b", own(buckets)).withColumn("_lb", each(blocks)).withColumn("_lm", F.lit(False))
-    l = lms.select(*group_cols, "item_id", "vec").withColumn("_b", each(buckets)).withColumn("_lb", own(blocks)) \
-           .withColumn("_lm", F.lit(True))
-    for c in rows.columns:
-        if c not in l.columns:
-            l = l.withColumn(c, F.lit(None).cast(dict(rows.dtypes)[c]))
-    return q.unionByName(l.select(*q.columns))
+    def __getitem__(self, key):
+        key = key if isinstance(key, tuple) else (key,)
+        if key not in self.of:
+            raise ValueError(f"group {key} has no training rows")
+        return self.of[key]
 
 
-def _joined(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., k, lm_ids) of whole rows, by landmark id, from one piece per landmark block."""
-    g = pieces.groupBy(*keys).agg(F.collect_list(F.struct("lm_ids", "k")).alias("_p"))
-    pairs = F.sort_array(F.arrays_zip(F.flatten(F.col("_p.lm_ids")).alias("id"), F.flatten(F.col("_p.k")).alias("k")))
-    pairs = F.when(F.size(pairs) == 0, F.raise_error(F.lit("a group has no training rows")).cast(
-        g.select(pairs.alias("p")).schema["p"].dataType)).otherwise(pairs)
-    return g.withColumn("_p", pairs).select(*keys, F.col("_p.k").alias("k"), F.col("_p.id").alias("lm_ids"))
+def _map_groups(rows: DataFrame, groups: _Groups, group_cols: list[str], keep: list[str], fn, out: str, ids: bool) -> DataFrame:
+    """`keep` columns, the array fn(part, landmark ids, matrix, gamma) per row, and the landmark ids if asked for."""
+    shared = rows.sparkSession.sparkContext.broadcast(groups)
 
+    def run(batches):
+        for pdf in batches:
+            for key, part in pdf.groupby(group_cols, sort=False):
+                lm_ids, x, gamma = shared.value[key]
+                done = part[keep].copy()
+                done[out] = list(fn(part, x, gamma))
+                if ids:
+                    done["lm_ids"] = [lm_ids] * len(part)
+                yield done
 
-def _block_apply(rows: DataFrame, lms: DataFrame, group_cols: list[str], extra: DataFrame | None,
-                 fn, out_schema: str, rows_per_task: int, landmarks_per_task: int) -> DataFrame:
-    u = _dealt(rows, lms, group_cols, rows_per_task, landmarks_per_task)
-    if extra is not None:
-        u = u.join(F.broadcast(extra), group_cols)
-    return u.groupBy(*group_cols, "_b", "_lb").applyInPandas(fn, out_schema)
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in keep) + f", {out} array<double>" + (", lm_ids array<bigint>" if ids else "")
+    return rows.mapInPandas(run, schema)
 
 
 def kernel_rows(rows: DataFrame, train_vecs: DataFrame, gamma: DataFrame, group_cols: list[str],
-                keep: list[str] | None = None, rows_per_task: int = ROWS_PER_TASK,
-                landmarks_per_task: int = LANDMARKS_PER_TASK) -> DataFrame:
+                keep: list[str] | None = None, n_landmarks: int = N_LANDMARKS, ids: bool = False) -> DataFrame:
     """K1 / K2 (F6 per entry): each row's RBF kernel against its group's
     landmarks.  rows: (group..., item_id, vec, keep...) -> (group..., item_id,
-    keep..., k ARRAY<DOUBLE>, lm_ids ARRAY<BIGINT>)."""
-    keep = keep or []
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        lm = pdf[pdf["_lm"]].sort_values("item_id")
-        q = pdf[~pdf["_lm"]]
-        if q.empty:
-            return pd.DataFrame(columns=[*group_cols, "item_id", *keep, "k", "lm_ids"])
-        Q = _mat(q["vec"])
-        K = np.exp(-float(q["gamma"].iloc[0]) * _sq_dists(Q, _mat(lm["vec"]).reshape(len(lm), Q.shape[1])))
-        out = q[[*group_cols, "item_id", *keep]].copy()
-        out["k"] = list(K)
-        out["lm_ids"] = [lm["item_id"].to_numpy()] * len(out)
-        return out
+    keep..., k ARRAY<DOUBLE>[, lm_ids ARRAY<BIGINT>])."""
+    groups = _Groups(choose_landmarks(train_vecs, group_cols, n_landmarks), gamma, group_cols)
+    return _map_groups(rows, groups, group_cols, [*group_cols, "item_id", *(keep or [])],
+                       lambda part, x, g: np.exp(-g * _sq_dists(_mat(part["vec"]), x)), "k", ids)
 
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*group_cols, "item_id", *keep]) + \
-        ", k array<double>, lm_ids array<bigint>"
-    pieces = _block_apply(rows.select(*group_cols, "item_id", "vec", *keep), train_vecs, group_cols,
-                          gamma.select(*group_cols, "gamma"), fn, schema, rows_per_task, landmarks_per_task)
-    return _joined(pieces, [*group_cols, "item_id", *keep])
 
+def nystroem_map(rows: DataFrame, train_vecs: DataFrame, gamma: DataFrame, group_cols: list[str],
+                 keep: list[str] | None = None, n_landmarks: int = N_LANDMARKS) -> DataFrame:
+    """Low-rank feature map: kernel row times the inverse square root of the landmarks' own kernel.
 
-def pairwise_distances(rows: DataFrame, train_vecs: DataFrame, group_cols: list[str],
-                       rows_per_task: int = ROWS_PER_TASK, landmarks_per_task: int = LANDMARKS_PER_TASK) -> DataFrame:
-    """Euclidean distances of each row to every landmark of its group,
-    as an array (no pair rows)."""
+    -> (group..., item_id, keep..., phi ARRAY<DOUBLE>).  Inner products of phi
+    approximate the kernel; directions of eigenvalue 0 give columns of zeros.
+    """
+    groups = _Groups(choose_landmarks(train_vecs, group_cols, n_landmarks), gamma, group_cols)
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        lm = pdf[pdf["_lm"]].sort_values("item_id")
-        q = pdf[~pdf["_lm"]]
-        if q.empty:
-            return pd.DataFrame(columns=[*group_cols, "item_id", "k", "lm_ids"])
-        Q = _mat(q["vec"])
-        D = np.sqrt(_sq_dists(Q, _mat(lm["vec"]).reshape(len(lm), Q.shape[1]), exact=True))
-        out = q[[*group_cols, "item_id"]].copy()
-        out["k"] = list(D)
-        out["lm_ids"] = [lm["item_id"].to_numpy()] * len(out)
-        return out
+    def phi(part, x, g):
+        values, axes = np.linalg.eigh(np.exp(-g * _sq_dists(x, x)))
+        scale = np.where(values > 1e-10 * values.max(), 1.0 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+        return np.exp(-g * _sq_dists(_mat(part["vec"]), x)) @ (axes * scale)
+
+    return _map_groups(rows, groups, group_cols, [*group_cols, "item_id", *(keep or [])], phi, "phi", False)
 
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*group_cols, "item_id"]) + ", k array<double>, lm_ids array<bigint>"
-    pieces = _block_apply(rows.select(*group_cols, "item_id", "vec"), train_vecs, group_cols, None, fn,
-                          schema, rows_per_task, landmarks_per_task)
-    return _joined(pieces, [*group_cols, "item_id"]).withColumnRenamed("k", "dist").drop("lm_ids")
+
+def pairwise_distances(rows: DataFrame, train_vecs: DataFrame, group_cols: list[str], n_landmarks: int = N_LANDMARKS) -> DataFrame:
+    """Euclidean distances of each row to every landmark of its group,
+    as an array (no pair rows)."""
+    groups = _Groups(choose_landmarks(train_vecs, group_cols, n_landmarks), None, group_cols)
+    return _map_groups(rows, groups, group_cols, [*group_cols, "item_id"],
+                       lambda part, x, g: np.sqrt(_sq_dists(_mat(part["vec"]), x, exact=True)), "dist", False)
 
 
 def combine_kernels(krows: DataFrame, keys: list[str], weights: dict[str, float]) -> DataFrame:
@@ -190,53 +180,40 @@ def combine_kernels(krows: DataFrame, keys: list[str], weights: dict[str, float]
 
 
 def fused_kernel_rows(rows: DataFrame, train_vecs: DataFrame, gamma: DataFrame, fold_cols: list[str],
-                      weights: dict[str, float], keep: list[str] | None = None,
-                      rows_per_task: int = ROWS_PER_TASK, landmarks_per_task: int = LANDMARKS_PER_TASK) -> DataFrame:
-    """K1/K2 + K3 in one pass: sum_s w_s * exp(-gamma_s d_s^2) against the
-    fold's landmarks, computed per (fold, row bucket, landmark block) with all
-    sets of the bucket in one numpy block (no per-set kernel rows are shipped back).
+                      weights: dict[str, float], keep: list[str] | None = None, n_landmarks: int = N_LANDMARKS,
+                      ids: bool = False) -> DataFrame:
+    """K1/K2 + K3 in one pass: sum_s w_s * exp(-gamma_s d_s^2) against the fold's landmarks.
+
+    The vectors of an item (one per set) are grouped, so only vectors are
+    shuffled and only the weighted sum leaves a task.
 
     rows / train_vecs: (fold..., feature_set, item_id, vec, keep...);
     every item must carry every weighted set, and every set the same
-    landmark ids (aligned feature sets), else the task fails.
-    -> (fold..., item_id, keep..., k ARRAY<DOUBLE>, lm_ids ARRAY<BIGINT>).
+    landmark ids (aligned feature sets), else the job fails.
+    -> (fold..., item_id, keep..., k ARRAY<DOUBLE>[, lm_ids ARRAY<BIGINT>]).
     """
     if not weights:
         raise ValueError("kernel list must not be empty")
-    keep = keep or []
-    gcols = [*fold_cols, "feature_set"]
-    rows = rows.where(F.col("feature_set").isin(*weights))
+    sets, gcols, keep = list(weights), [*fold_cols, "feature_set"], keep or []
     train_vecs = train_vecs.where(F.col("feature_set").isin(*weights))
-    sets = list(weights)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        q_all = pdf[~pdf["_lm"]]
-        if q_all.empty:
-            return pd.DataFrame(columns=[*fold_cols, "item_id", *keep, "k", "lm_ids"])
-        items = np.sort(q_all["item_id"].unique())
-        fused, lm_ids = None, None
-        for s in sets:
-            lm = pdf[pdf["_lm"] & (pdf["feature_set"] == s)].sort_values("item_id")
-            q = q_all[q_all["feature_set"] == s].set_index("item_id").reindex(items)
-            if q["vec"].isna().any():
+    groups = _Groups(choose_landmarks(train_vecs, gcols, n_landmarks), gamma, gcols)
+    folds = {k[:-1] for k in groups.of}
+    for f in folds:
+        first = groups[(*f, sets[0])][0]
+        if any((*f, s) not in groups.of or not np.array_equal(groups[(*f, s)][0], first) for s in sets):
+            raise ValueError("feature sets are not aligned on the same training items")
+    by_item = rows.where(F.col("feature_set").isin(*weights)).groupBy(*fold_cols, "item_id", *keep).agg(
+        *[F.first(F.when(F.col("feature_set") == s, F.col("vec")), ignorenulls=True).alias(f"_vec_{i}") for i, s in enumerate(sets)])
+    per_fold = _Groups.__new__(_Groups)
+    per_fold.of = {f: (groups[(*f, sets[0])][0], [groups[(*f, s)] for s in sets], 1.0) for f in folds}
+
+    def fuse(part, of_sets, _):
+        total = 0.0
+        for i, (s, (_, x, g)) in enumerate(zip(sets, of_sets)):
+            v = part[f"_vec_{i}"]
+            if v.isna().any():
                 raise ValueError(f"an item lacks feature set {s!r}; weights must match the kernels")
-            ids = lm["item_id"].to_numpy()
-            if lm_ids is None:
-                lm_ids = ids
-            elif not np.array_equal(ids, lm_ids):
-                raise ValueError("feature sets are not aligned on the same training items")
-            Q = _mat(q["vec"])
-            k = weights[s] * np.exp(-float(q["gamma"].iloc[0]) * _sq_dists(Q, _mat(lm["vec"]).reshape(len(lm), Q.shape[1])))
-            fused = k if fused is None else fused + k
-        first = q_all.drop_duplicates("item_id").set_index("item_id").reindex(items).reset_index()
-        out = first[[*fold_cols, "item_id", *keep]].copy()
-        out["k"] = list(fused)
-        out["lm_ids"] = [lm_ids] * len(out)
-        return out
-
-    u = _dealt(rows.select(*gcols, "item_id", "vec", *keep), train_vecs, gcols, rows_per_task, landmarks_per_task) \
-        .join(F.broadcast(gamma.select(*gcols, "gamma")), gcols)
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*fold_cols, "item_id", *keep]) + \
-        ", k array<double>, lm_ids array<bigint>"
-    return _joined(u.groupBy(*fold_cols, "_b", "_lb").applyInPandas(fn, schema), [*fold_cols, "item_id", *keep])
+            total = total + weights[s] * np.exp(-g * _sq_dists(_mat(v), x))
+        return total
+
+    return _map_groups(by_item, per_fold, fold_cols, [*fold_cols, "item_id", *keep], fuse, "k", ids)

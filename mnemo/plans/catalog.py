@@ -672,17 +672,17 @@ def q_median_gamma(spark, sf):
 
 @register("pairwise_distance")
 def q_pairwise_distance(spark, sf):
-    """Per training row, the sum of distances to the other training
-    rows of its fold and set."""
+    """Per training row, the sum of distances to the landmarks of its
+    fold and set."""
     vecs, train, _ = kernel_inputs(spark, sf)
     d = K.pairwise_distances(train, train, ["fold", "feature_set"])
     return d.select("fold", "feature_set", "item_id",
                     round6(F.aggregate("dist", F.lit(0.0), lambda a, b: a + b)).alias("dist_sum"))
 
 
-def _krows(spark, sf):
+def _krows(spark, sf, ids=False):
     vecs, train, g = kernel_inputs(spark, sf)
-    return K.kernel_rows(vecs, train, g, ["fold", "feature_set"], keep=["role"])
+    return K.kernel_rows(vecs, train, g, ["fold", "feature_set"], keep=["role"], ids=ids)
 
 
 def _ksum(c):
@@ -691,22 +691,22 @@ def _ksum(c):
 
 @register("rbf_kernel_train")
 def q_rbf_kernel_train(spark, sf):
-    """K1: row sums of the training kernel."""
+    """K1: row sums of the training kernel (training rows x landmarks)."""
     k = _krows(spark, sf).where(F.col("role") == "train")
     return k.select("fold", "feature_set", "item_id", _ksum(F.col("k")))
 
 
 @register("rbf_kernel_cross")
 def q_rbf_kernel_cross(spark, sf):
-    """K2: row sums of K(test, train)."""
+    """K2: row sums of K(test, landmarks)."""
     k = _krows(spark, sf).where(F.col("role") == "test")
     return k.select("fold", "feature_set", "item_id", _ksum(F.col("k")))
 
 
 @register("rbf")
 def q_rbf(spark, sf):
-    """the largest off-diagonal kernel value of every row."""
-    k = _krows(spark, sf)
+    """the largest kernel value of every row with a landmark other than itself."""
+    k = _krows(spark, sf, ids=True)
     off = F.filter(F.arrays_zip(F.col("k").alias("k"), F.col("lm_ids").alias("j")),
                    lambda s: s["j"] != F.col("item_id"))
     return k.select("fold", "feature_set", "item_id", "role",
@@ -726,7 +726,7 @@ def q_combine_kernels(spark, sf):
 
 @register("kernel_as_features")
 def q_kernel_as_features(spark, sf):
-    """K5: the fused kernel row as the model input (width = training rows)."""
+    """K5: the fused kernel row as the model input (width = landmarks)."""
     fused = _fused(spark, sf)
     return fused.select("fold", "role", "item_id", F.size("k").cast("bigint").alias("n_cols"), _ksum(F.col("k")))
 

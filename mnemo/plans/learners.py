@@ -18,10 +18,11 @@ from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scaling import scale_of
+from ..operators.scaling import EPS10
 from ..session import cut_lineage
 
 SEED = 42
@@ -35,16 +36,42 @@ HUBER_REG = 1e-2
 NORMAL_MAX_COLUMNS = 4096   # Spark's own limit of the normal-equation solver
 
 
+def _array_map(moments: dict, fn):
+    """A pandas UDF over (group, array): fn(matrix, *moments[group])."""
+    @F.pandas_udf("array<double>")
+    def run(group: pd.Series, col: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(col), dtype=object)
+        for g, at in group.groupby(group, sort=False).groups.items():
+            out.loc[at] = pd.Series(list(fn(np.stack(col.loc[at].to_numpy()).astype(float), *moments.value[g])), index=at)
+        return out
+    return run
+
+
+def train_moments(df: DataFrame, key: str, col: str = "features") -> dict:
+    """Per group: mean and scale (population std, 1 where it is nearly 0) of every position of the training arrays.
+
+    Arrays are summarised in place (mergeable moments); groups x width numbers reach the driver.
+    """
+    s = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(col))
+    rows = df.where(F.col("role") == "train").groupBy(key).agg(s.alias("s")).collect()
+    out = {}
+    for r in rows:
+        n = r["s"]["count"]
+        sd = np.sqrt(np.maximum(r["s"]["variance"].toArray() * (n - 1) / n, 0.0))
+        out[r[key]] = (r["s"]["mean"].toArray(), np.where(sd < EPS10, 1.0, sd))
+    return out
+
+
+def _standardised(df: DataFrame, key: str, col: str, fn) -> DataFrame:
+    moments = train_moments(df, key, col)
+    shared = df.sparkSession.sparkContext.broadcast(moments)
+    return df.where(F.col(key).isin(list(moments))).withColumn(col, _array_map(shared, fn)(F.col(key), F.col(col)))
+
+
 def scale_arrays(df: DataFrame, keys: list[str], col: str = "features") -> DataFrame:
-    """M1 on array features: per (keys, position) train mean / population
-    std (zero std -> 1), applied to every role of the fold."""
-    pos = df.select(*keys, "role", "item_id", F.posexplode(col).alias("_p", "_v"))
-    mom = pos.where(F.col("role") == "train").groupBy(*keys, "_p").agg(
-        F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_s"))
-    z = pos.join(mom, [*keys, "_p"]).withColumn("_z", (F.col("_v") - F.col("_m")) / scale_of(F.col("_s")))
-    arr = z.groupBy(*keys, "role", "item_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_p", "_z"))), lambda s: s["_z"]).alias(col))
-    return df.drop(col).join(arr, [*keys, "role", "item_id"])
+    """M1 on array features: per (key, position) train mean / population
+    std (zero std -> 1), applied to every role of the fold.  Arrays stay arrays."""
+    return _standardised(df, *keys, col, lambda x, mean, scale: (x - mean) / scale)
 
 
 def make_model(name: str, d: int, n: int, y_sd: float, trees: int = GBT_TREES):
@@ -125,12 +152,7 @@ def fit_predict(df: DataFrame, model: str, fold_col: str = "fold", trees: int =
 
 
 def scale_arrays_mean_only(df: DataFrame, keys: list[str], col: str = "features") -> DataFrame:
-    pos = df.select(*keys, "role", "item_id", F.posexplode(col).alias("_p", "_v"))
-    mom = pos.where(F.col("role") == "train").groupBy(*keys, "_p").agg(F.avg("_v").alias("_m"))
-    z = pos.join(mom, [*keys, "_p"]).withColumn("_z", F.col("_v") - F.col("_m"))
-    arr = z.groupBy(*keys, "role", "item_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_p", "_z"))), lambda s: s["_z"]).alias(col))
-    return df.drop(col).join(arr, [*keys, "role", "item_id"])
+    return _standardised(df, *keys, col, lambda x, mean, scale: x - mean)
 
 
 def _projection(axes):

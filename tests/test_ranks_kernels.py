@@ -85,7 +85,7 @@ def test_kernel_symmetric_unit_diagonal(spark):
     rng = np.random.default_rng(1)
     v = _vecs(spark, rng.normal(size=(25, 4)))
     g = K.median_gamma(v, ["fold", "feature_set"])
-    kr = K.kernel_rows(v, v, g, ["fold", "feature_set"], rows_per_task=7).collect()
+    kr = K.kernel_rows(v, v, g, ["fold", "feature_set"], ids=True).collect()
     m = np.zeros((25, 25))
     for r in kr:
         m[r["item_id"], r["lm_ids"]] = r["k"]
@@ -183,26 +183,63 @@ def test_pca_wide_matches_numpy_up_to_sign(spark):
         assert min(np.abs(g[:, c] - want[:, c]).max(), np.abs(g[:, c] + want[:, c]).max()) < 1e-6
 
 
-def test_kernels_by_landmark_blocks(spark):
-    """Landmarks of any number go to tasks in blocks; the rows are those of one block."""
+def test_kernels_against_landmarks(spark):
+    """Rows meet the first m training rows by keyed hash; with m of all rows that is the whole kernel."""
+    import hashlib
     rng = np.random.default_rng(3)
     rows = [(1 + i % 2, s, i, [float(x) for x in rng.normal(size=3)]) for i in range(60) for s in ("a", "b")]
-    v = spark.createDataFrame(rows, "fold int, feature_set string, item_id long, vec array<double>")
+    v = spark.createDataFrame(rows, "fold int, feature_set string, item_id long, vec array<double>").repartition(5)
     g = K.median_gamma(v, ["fold", "feature_set"])
     gamma = {(r["fold"], r["feature_set"]): r["gamma"] for r in g.collect()}
     vec = {(f, s, i): np.array(x) for f, s, i, x in rows}
-    small = {"rows_per_task": 7, "landmarks_per_task": 4}
-    for r in K.kernel_rows(v, v, g, ["fold", "feature_set"], **small).collect():
-        ids = sorted(i for f, s, i, _ in rows if (f, s) == (r["fold"], r["feature_set"]))
-        want = [np.exp(-gamma[r["fold"], r["feature_set"]] * ((vec[r["fold"], r["feature_set"], r["item_id"]]
-                - vec[r["fold"], r["feature_set"], i]) ** 2).sum()) for i in ids]
-        assert r["lm_ids"] == ids and np.allclose(r["k"], want)
-    dist = [sorted((r["fold"], r["feature_set"], r["item_id"], tuple(np.round(r["dist"], 9)))
-                   for r in K.pairwise_distances(v, v, ["fold", "feature_set"], **o).collect()) for o in (small, {})]
-    assert len(dist[0]) == 120 and dist[0] == dist[1]
-    fused = [sorted((r["fold"], r["item_id"], tuple(r["lm_ids"]), tuple(np.round(r["k"], 9)))
-                    for r in K.fused_kernel_rows(v, v, g, ["fold"], {"a": 1.0, "b": 0.5}, **o).collect()) for o in (small, {})]
-    assert len(fused[0]) == 60 and fused[0] == fused[1]
+    for m in (7, 30, 1000):
+        ids = {f: sorted(sorted((i for i in range(60) if 1 + i % 2 == f), key=lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest())[:m])
+               for f in (1, 2)}
+
+        def kernel(f, s, i):
+            return np.array([np.exp(-gamma[f, s] * ((vec[f, s, i] - vec[f, s, j]) ** 2).sum()) for j in ids[f]])
+
+        for r in K.kernel_rows(v, v, g, ["fold", "feature_set"], n_landmarks=m, ids=True).collect():
+            assert r["lm_ids"] == ids[r["fold"]] and np.allclose(r["k"], kernel(r["fold"], r["feature_set"], r["item_id"]))
+        for r in K.pairwise_distances(v, v, ["fold", "feature_set"], n_landmarks=m).collect():
+            f, s, i = r["fold"], r["feature_set"], r["item_id"]
+            assert np.allclose(r["dist"], [np.sqrt(((vec[f, s, i] - vec[f, s, j]) ** 2).sum()) for j in ids[f]])
+        fused = K.fused_kernel_rows(v, v, g, ["fold"], {"a": 1.0, "b": 0.5}, n_landmarks=m, ids=True).collect()
+        assert len(fused) == 60
+        for r in fused:
+            f, i = r["fold"], r["item_id"]
+            assert r["lm_ids"] == ids[f] and np.allclose(r["k"], kernel(f, "a", i) + 0.5 * kernel(f, "b", i))
+    with pytest.raises(ValueError):  # item 0 lacks set b
+        K.fused_kernel_rows(v, v.where("NOT (item_id = 0 AND feature_set = 'b')"), g, ["fold"], {"a": 1.0, "b": 1.0})
+    with pytest.raises(Exception):
+        K.fused_kernel_rows(v.where("NOT (item_id = 0 AND feature_set = 'b')"), v, g, ["fold"], {"a": 1.0, "b": 1.0}).collect()
+
+
+def test_nystroem_map_approximates_the_kernel(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(60, 4)), rng.normal(size=(2, 4)).repeat(10, axis=0)])  # repeated rows: eigenvalues 0
+    v = _vecs(spark, x)
+    g = K.median_gamma(v, ["fold", "feature_set"])
+    full = np.exp(-g.first()["gamma"] * ((x[:, None] - x[None]) ** 2).sum(-1))
+
+    def error(m):
+        got = K.nystroem_map(v, v, g, ["fold", "feature_set"], n_landmarks=m).orderBy("item_id").collect()
+        phi = np.array([r["phi"] for r in got])
+        assert phi.shape == (80, min(m, 80))
+        return np.abs(phi @ phi.T - full).max()
+
+    assert error(80) < 1e-6 and error(200) < 1e-6
+    assert error(40) < error(10) < 1.0
+
+
+def test_no_kernel_query_pairs_rows(spark):
+    """Rows are mapped where they are: no exchange of kernel rows, and the width does not grow with the data."""
+    rng = np.random.default_rng(6)
+    v = _vecs(spark, rng.normal(size=(600, 4)))
+    g = K.median_gamma(v, ["fold", "feature_set"])
+    k = K.kernel_rows(v, v, g, ["fold", "feature_set"])
+    assert "Exchange" not in k._jdf.queryExecution().executedPlan().toString()
+    assert {len(r["k"]) for r in k.collect()} == {K.N_LANDMARKS}
 
 
 def test_fitted_ensemble_tells_failed_configs(spark):

@@ -286,6 +286,40 @@ RES_ALL = (EMB, VEC, LNG, FOLDS, TRAIN, COMBOS, RES)
 
 SQL["evaluate_concat"] = with_(*RES_ALL) + "SELECT * FROM res"
 
+# items that lack sets (hash below 20) and values (below 30), aligned per combination
+SPARSE = """ph AS (
+  SELECT e.item_id, e.y, s.feature_set, substr(md5(CAST(e.item_id AS VARCHAR) || ':' || s.feature_set), 1, 2) AS h
+  FROM emb e CROSS JOIN (SELECT DISTINCT feature_set FROM combos) s WHERE e.split = 'dev'),
+al AS (
+  SELECT f.fusion, c.combination, p.item_id, p.y
+  FROM ph p JOIN combos c USING (feature_set) CROSS JOIN (VALUES ('concat', '30'), ('kernel', '20')) f(fusion, least)
+  GROUP BY f.fusion, c.combination, p.item_id, p.y, f.least HAVING min(p.h) >= f.least),
+af AS (
+  SELECT *, CAST(ntile(5) OVER (PARTITION BY fusion, combination ORDER BY md5(CAST(item_id AS VARCHAR) || ':42')) AS BIGINT) AS fold
+  FROM al)"""
+
+SQL["aligned_folds"] = with_(EMB, COMBOS, SPARSE) + "SELECT fusion, combination, item_id, fold FROM af"
+
+SQL["evaluate_aligned"] = with_(EMB, VEC, LNG, COMBOS, SPARSE) + """,
+m AS (SELECT combination, item_id, y, fold FROM af WHERE fusion = 'concat'),
+tr AS (SELECT m.combination, m.item_id, m.y, k.range AS tf FROM m JOIN range(1, 6) k ON m.fold <> k.range),
+yr AS (SELECT combination, item_id, tf, """ + AVG_RANK.format(w="w") + """ AS ry FROM tr WINDOW w AS (PARTITION BY combination, tf ORDER BY y)),
+fr AS (
+  SELECT t.combination, t.tf, l.feature_set, l.idx, l.item_id, l.value, """ + AVG_RANK.format(w="w") + """ AS rv
+  FROM lng l JOIN combos c USING (feature_set) JOIN tr t ON t.item_id = l.item_id AND t.combination = c.combination
+  WHERE l.split = 'dev' WINDOW w AS (PARTITION BY t.combination, t.tf, l.feature_set, l.idx ORDER BY l.value)),
+st AS (
+  SELECT combination, tf AS fold, feature_set, idx, """ + GUARDED.format(a="rv", b="ry") + """ AS rho, avg(value) AS mean, stddev_pop(value) AS sd
+  FROM fr JOIN yr USING (combination, item_id, tf) GROUP BY combination, tf, feature_set, idx),
+zt AS (
+  SELECT m.fold, m.item_id, m.y, m.combination, sign(s.rho) AS w,
+         (l.value - s.mean) / CASE WHEN s.sd IS NULL OR s.sd < 2.220446049250313e-15 THEN 1.0 ELSE s.sd END AS z
+  FROM lng l JOIN m USING (item_id)
+  JOIN st s ON s.combination = m.combination AND s.fold = m.fold AND s.feature_set = l.feature_set AND s.idx = l.idx
+  WHERE l.split = 'dev'),
+""" + RES[RES.index("sc AS ("):] + """
+SELECT * FROM res"""
+
 SQL["overall_stats"] = with_(*RES_ALL) + """
 SELECT CAST(count(*) AS BIGINT) AS n, round(avg(mean_spearman), 6) + 0.0 AS mean,
        round(stddev_pop(mean_spearman), 6) + 0.0 AS std FROM res"""

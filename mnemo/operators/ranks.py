@@ -107,10 +107,11 @@ def role_rho(rows: DataFrame) -> DataFrame:
     return rank_correlation(ranked, ["fold", "feature_set", "idx"], "value", out="rho")
 
 
-def fold_rho(long_df: DataFrame, labelled: DataFrame, k: int) -> DataFrame:
-    """(fold, feature_set, idx, rho): Spearman of every feature with the label over each fold's training rows.
+def fold_rho(long_df: DataFrame, labelled: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, fold, feature_set, idx, rho): Spearman of every feature with the label over each fold's training rows.
 
-    long_df: (item_id, feature_set, idx, value); labelled: (item_id, y, fold).
+    long_df: (item_id, feature_set, idx, value); labelled: (*by, item_id, y, fold), an own fold plan per `by`
+    (long_df may have the columns of `by` too, and then holds rows of each plan).
     The training rows of fold f are those of other folds; a fold f without
     items of its own ranks them all.  Counts and label-rank sums of all k folds
     are columns of one aggregate by (feature, value).
@@ -121,9 +122,10 @@ def fold_rho(long_df: DataFrame, labelled: DataFrame, k: int) -> DataFrame:
         return F.count_if(F.col("fold") != f).alias(f"n{f}")
 
     names = [f"n{f}" for f in folds]
-    y = running_sums(labelled.groupBy("y").agg(*map(counted, folds)), [], [F.col("y").asc_nulls_last()], names)
-    y = y.select("y", *[(2 * F.col(n + BEFORE) + F.col(n) + 1).cast("double").alias(f"r{n[1:]}") for n in names])
-    rows = long_df.join(null_safe_join(labelled.select("item_id", "y", "fold"), y, ["y"]), "item_id")
+    y = running_sums(labelled.groupBy(*by, "y").agg(*map(counted, folds)), list(by), [F.col("y").asc_nulls_last()], names)
+    y = y.select(*by, "y", *[(2 * F.col(n + BEFORE) + F.col(n) + 1).cast("double").alias(f"r{n[1:]}") for n in names])
+    keys = [c for c in (*by, "item_id") if c in long_df.columns]
+    rows = long_df.join(null_safe_join(labelled.select(*by, "item_id", "y", "fold"), y, [*by, "y"]), keys)
 
     def train(f, value):
         return F.when(F.col("fold") != f, value)
@@ -133,20 +135,20 @@ def fold_rho(long_df: DataFrame, labelled: DataFrame, k: int) -> DataFrame:
         r = train(f, F.col(f"r{f}"))
         parts += [counted(f), F.coalesce(F.sum(r), F.lit(0.0)).alias(f"s{f}"), F.coalesce(F.sum(r * r), F.lit(0.0)).alias(f"q{f}"),
                   F.min(r).alias(f"l{f}"), F.max(r).alias(f"h{f}")]
-    by_value = rows.groupBy("feature_set", "idx", "value").agg(*parts)
-    t = running_sums(by_value, ["feature_set", "idx"], [F.col("value").asc_nulls_last()], names)
+    by_value = rows.groupBy(*by, "feature_set", "idx", "value").agg(*parts)
+    t = running_sums(by_value, [*by, "feature_set", "idx"], [F.col("value").asc_nulls_last()], names)
     sums = []
     for f in folds:
         n = F.col(f"n{f}")
         rank = (2 * F.col(f"n{f}{BEFORE}") + n + 1).cast("double")
         sums += [c.alias(f"{name}_{f}") for name, c in zip(SUMS, _sums(rank, n, F.col(f"s{f}"), F.col(f"q{f}")))]
         sums += [F.min(f"l{f}").alias(f"ylow_{f}"), F.max(f"h{f}").alias(f"yhigh_{f}")]
-    g = t.groupBy("feature_set", "idx").agg(*sums)
+    g = t.groupBy(*by, "feature_set", "idx").agg(*sums)
     each = F.array(*[F.struct(F.lit(f).cast("bigint").alias("fold"), F.col(f"n_{f}").alias("_n"), _correlation(
         F.struct(*[F.col(f"{c}_{f}").alias(c) for c in SUMS]),
         F.col(f"ylow_{f}"), F.col(f"yhigh_{f}")).alias("rho")) for f in folds])
-    out = g.select("feature_set", "idx", F.inline(each))
-    return out.where(F.col("_n") > 0).select("fold", "feature_set", "idx", "rho")
+    out = g.select(*by, "feature_set", "idx", F.inline(each))
+    return out.where(F.col("_n") > 0).select(*by, "fold", "feature_set", "idx", "rho")
 
 
 def _select_top(rho: DataFrame, group_cols: list[str], n: int, sets: list[str]) -> DataFrame:

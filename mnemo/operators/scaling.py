@@ -45,16 +45,17 @@ def fold_feature_stats(long_df: DataFrame, train: DataFrame) -> DataFrame:
     return rank_correlation(rows, keys, "value", out="rho").join(moments, keys)
 
 
-def all_fold_stats(long_df: DataFrame, folded: DataFrame, k: int = 5) -> DataFrame:
-    """`fold_feature_stats` of every fold of a fold plan, without a copy of the rows per fold.
+def all_fold_stats(long_df: DataFrame, folded: DataFrame, k: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """`fold_feature_stats` of every fold of a fold plan (one per `by`), without a copy of the rows per fold.
 
-    long_df: (item_id, feature_set, idx, value); folded: (item_id, y, fold).
+    long_df: (item_id, feature_set, idx, value); folded: (*by, item_id, y, fold).
     All folds' moments are columns of one aggregate.
     """
-    rows = long_df.join(folded.select("item_id", "fold"), "item_id")
+    keys = [*by, "feature_set", "idx"]
+    rows = long_df.join(folded.select(*by, "item_id", "fold"), [c for c in (*by, "item_id") if c in long_df.columns])
     train = {f: F.when(F.col("fold") != f, F.col("value")) for f in range(1, k + 1)}
-    moments = rows.groupBy("feature_set", "idx").agg(
+    moments = rows.groupBy(*keys).agg(
         *[F.struct(F.lit(f).cast("bigint").alias("fold"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd")).alias(f"f{f}")
           for f, v in train.items()])
-    moments = moments.select("feature_set", "idx", F.inline(F.array(*[f"f{f}" for f in train])))
-    return fold_rho(long_df, folded, k).join(moments, ["fold", "feature_set", "idx"])
+    moments = moments.select(*keys, F.inline(F.array(*[f"f{f}" for f in train])))
+    return fold_rho(long_df, folded, k, by).join(moments, ["fold", *keys])

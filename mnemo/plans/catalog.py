@@ -147,7 +147,8 @@ def q_config_label(spark, sf):
 # --- evaluation + analysis family ---------------------------------------------
 
 from ..operators import analysis as an  # noqa: E402
-from ..plans.evaluate import evaluate_scored  # noqa: E402
+from ..plans.aligned import make_plans  # noqa: E402
+from ..plans.evaluate import evaluate_aligned, evaluate_scored  # noqa: E402
 
 # Fixed values of the analysis binding: feature types over the four sets
 # (two single, one AND pair, two single, one OR pair).
@@ -171,6 +172,31 @@ def q_evaluate_concat(spark, sf):
     return sweep_results(spark, sf)
 
 
+def sparse_dev(spark, sf):
+    return cut_lineage(B.sparse_vec(spark, sf).where(F.col("split") == "dev").drop("split"))
+
+
+@register("evaluate_aligned")
+def q_evaluate_aligned(spark, sf):
+    """E1 with alignment (J1, J2, P6): items lack sets and values, so every
+    combination has its own items, folds and n_samples."""
+    return evaluate_aligned(sparse_dev(spark, sf), B.item_labels(spark, sf), B.emb_combos(), B.EMB_WIDTHS)
+
+
+@register("aligned_folds")
+def q_aligned_folds(spark, sf):
+    """Items and folds of every combination, for early fusion
+    (sets without missing values) and for kernels (sets present)."""
+    vecs, labels, out = sparse_dev(spark, sf), B.item_labels(spark, sf), None
+    for fusion, complete in (("concat", True), ("kernel", False)):
+        p = make_plans(vecs, labels, B.emb_combos(), B.EMB_SETS, complete)
+        of = F.create_map(*[x for c, q in p.of.items() for x in (F.lit(c), F.lit(q))])
+        names = spark.createDataFrame([(c,) for c in p.of], "combination string").withColumn("plan", F.element_at(of, F.col("combination")))
+        part = names.join(p.members, "plan").select(F.lit(fusion).alias("fusion"), "combination", "item_id", "fold")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("overall_stats")
 def q_overall_stats(spark, sf):
     """A2."""

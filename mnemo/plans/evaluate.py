@@ -18,10 +18,14 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import features_string
 from ..operators.analysis import fold_stats
+from ..operators.align import explode_features
 from ..operators.ranks import spearman
 from ..operators.scaling import all_fold_stats, scale_of
+from .aligned import aligned_items, make_plans
 
 SCORERS = ["rho_sign", "mean_z"]
+SCORED_SCHEMA = ("combination string, features string, n_features bigint, n_samples bigint, selector string, "
+                 "model string, mean_spearman double, std_spearman double, min_spearman double, max_spearman double")
 
 
 def combo_of_set(combos: dict[str, list[str]]):
@@ -38,16 +42,48 @@ def combo_of_set(combos: dict[str, list[str]]):
 
 def evaluate_scored(long_dev: DataFrame, folded: DataFrame, combos: dict[str, list[str]],
                     widths: dict[str, int], k: int = 5) -> DataFrame:
-    """Sweep-result rows (D8) for every combination x scorer."""
-    stats = all_fold_stats(long_dev, folded, k)
-    test = long_dev.join(folded.select("item_id", "fold", "y"), "item_id")
-    z = (test.join(stats, ["fold", "feature_set", "idx"])
+    """Sweep-result rows (D8) for every combination x scorer; all items have all sets."""
+    return _scored_rows(long_dev, folded.withColumn("plan", F.lit("all")), combos, dict.fromkeys(combos, "all"), widths, k)
+
+
+def evaluate_aligned(vecs: DataFrame, labels: DataFrame, combos: dict[str, list[str]], widths: dict[str, int],
+                     k: int = 5) -> DataFrame:
+    """E1 from the sets as they are: every combination is aligned (J1, J2, P6), folded and scored on the items it has.
+
+    vecs: (item_id, feature_set, values) of the labelled split; labels: (item_id, y).
+    A combination without items gives no row.
+    """
+    plans = make_plans(vecs, labels, combos, list(widths), complete=True, k=k)
+    long_df = explode_features(vecs).select("item_id", "feature_set", F.col("idx").cast("bigint").alias("idx"), "value")
+    # an item with a missing value is in no plan of that set, so its row is never used
+    return _scored_rows(cut_lineage(long_df), plans.members, {c: combos[c] for c in plans.of}, plans.of, widths, k)
+
+
+def _scored_rows(long_df: DataFrame, members: DataFrame, combos: dict[str, list[str]], plan_of: dict[str, str],
+                 widths: dict[str, int], k: int) -> DataFrame:
+    """Sweep-result rows; members: (plan, item_id, y, fold), plan_of: combination -> plan."""
+    if not combos:
+        return long_df.sparkSession.createDataFrame([], SCORED_SCHEMA)
+    # (plan, set) -> the combinations that read the set under this plan
+    readers: dict[tuple[str, str], list[str]] = {}
+    for c, sets in combos.items():
+        for s in sets:
+            readers.setdefault((plan_of[c], s), []).append(c)
+    table = F.create_map(*[x for (p, s), cs in readers.items() for x in (F.lit(f"{p}/{s}"), F.array(*map(F.lit, cs)))])
+    read_by = F.element_at(table, F.concat_ws("/", "plan", "feature_set"))
+    of_plan = F.create_map(*[x for p in set(plan_of.values()) for x in (F.lit(p), F.array(*[F.lit(s) for q, s in readers if q == p]))])
+
+    # a plan meets only the sets that its combinations read
+    keyed = members.withColumn("feature_set", F.explode(F.element_at(of_plan, F.col("plan"))))
+    rows = long_df.join(keyed.select("plan", "item_id", "y", "fold", "feature_set"), ["item_id", "feature_set"])
+    stats = all_fold_stats(rows.select("plan", "item_id", "feature_set", "idx", "value"), members, k, ("plan",))
+    z = (rows.join(stats, ["plan", "fold", "feature_set", "idx"])
              .withColumn("z", (F.col("value") - F.col("mean")) / scale_of(F.col("sd")))
              .withColumn("w", F.signum("rho")))
     # one row per (fold, item, set) before the combinations multiply them
-    by_set = z.groupBy("fold", "item_id", "y", "feature_set").agg(
+    by_set = z.groupBy("plan", "fold", "item_id", "y", "feature_set").agg(
         F.sum(F.col("w") * F.col("z")).alias("signed"), F.sum("z").alias("plain"), F.count(F.lit(1)).alias("n"))
-    by_combo = (by_set.withColumn("combination", F.explode(F.element_at(combo_of_set(combos), F.col("feature_set"))))
+    by_combo = (by_set.withColumn("combination", F.explode(read_by))
                 .groupBy("fold", "combination", "item_id", "y")
                 .agg((F.sum("signed") / F.sum("n")).alias("signed"), (F.sum("plain") / F.sum("n")).alias("plain")))
     scored = by_combo.select("fold", "combination", "item_id", "y", F.inline(F.array(

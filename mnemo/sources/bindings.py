@@ -64,6 +64,18 @@ def feature_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
                       nan_to_num(flatten_frames(F.col("frames"), F.col("is_global"))).alias("values"))
 
 
+def sparse_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 vector form where items lack sets and values: (split, feature_set, item_id, values).
+
+    By md5 of `id:set`: an eighth of the (item, set) pairs is absent, and a
+    sixteenth has a null first value.
+    """
+    v = feature_vec(spark, sf_dir)
+    h = F.substring(F.md5(F.concat_ws(":", F.col("item_id").cast("string"), "feature_set")), 1, 2)
+    holed = F.transform("values", lambda x, i: F.when((i == 0) & (h < "30"), F.lit(None)).otherwise(x))
+    return v.where(h >= "20").withColumn("values", holed)
+
+
 def feature_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2 long form: (split, feature_set, item_id, idx, value)."""
     return (feature_vec(spark, sf_dir)

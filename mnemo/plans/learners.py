@@ -122,9 +122,10 @@ def _fit_mlp(train: DataFrame, test: DataFrame, d: int) -> DataFrame:
 
 
 def fit_predict(df: DataFrame, model: str, fold_col: str = "fold", trees: int = GBT_TREES,
-                threads: int = 4) -> DataFrame:
-    """Fit `model` on the train rows of every fold, predict its test rows.
-    df: (fold, role, item_id, y, features ARRAY<DOUBLE>) -> (fold, item_id, y, pred)."""
+                threads: int = 4, roles: tuple[str, ...] = ("test",)) -> DataFrame:
+    """Fit `model` on the train rows of every fold, predict its rows of `roles`.
+    df: (fold, role, item_id, y, features ARRAY<DOUBLE>) -> (fold, item_id, y, pred),
+    with `role` if there are several."""
     # The design matrix feeds 2 + (iterations x folds) jobs: cut its lineage
     # once (reliable checkpoint in the shared checkpoint folder).
     v = cut_lineage(df.withColumn("vec", array_to_vector("features")))
@@ -134,14 +135,14 @@ def fit_predict(df: DataFrame, model: str, fold_col: str = "fold", trees: int =
 
     def one(f):
         tr = v.where((F.col(fold_col) == f) & (F.col("role") == "train"))
-        te = v.where((F.col(fold_col) == f) & (F.col("role") == "test"))
+        te = v.where((F.col(fold_col) == f) & F.col("role").isin(*roles))
         st = stats[f]
         est = make_model(model, st["d"], st["n"], st["sd"] or 0.0, trees)
         if est == "MLP":
             out = _fit_mlp(tr, te, st["d"])
         else:
             out = est.fit(tr).transform(te)
-        return out.select(fold_col, "item_id", "y", F.col("pred").cast("double"))
+        return out.select(fold_col, *(["role"] if len(roles) > 1 else []), "item_id", "y", F.col("pred").cast("double"))
 
     with ThreadPoolExecutor(max_workers=threads) as ex:
         parts = list(ex.map(one, folds))

@@ -8,7 +8,9 @@ the transcript and audio-level lookups are key joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,6 +55,8 @@ def issues(vectors: DataFrame, transcripts: DataFrame, levels: DataFrame) -> Dat
     transcripts: (item_id, empty) emptiness of the item's transcript
     (missing = empty);
     levels: (item_id, peak_db) of the item's audio (missing = unknown).
+    vectors may have `load_error`: the error of a file that could not be
+    decoded (its values are null), which is then its only issue.
     Returns vectors' keys + `issues ARRAY<STRING>` (empty when clean).
     """
     f = (vector_facts(vectors)
@@ -77,7 +81,9 @@ def issues(vectors: DataFrame, transcripts: DataFrame, levels: DataFrame) -> Dat
                .when(flagged & (F.col("nan_n") > 0), F.lit("FAIL NaN (transcript has content)")))
     text_b = F.when(~all_nan_text & ~empty & F.col("all_zero"),
                     F.lit("FAIL all-zero valid elements (transcript has content)"))
-    checks = F.when(~F.col("shape_ok"), F.array(F.lit("FAIL wrong shape"))) \
+    error = F.col("load_error") if "load_error" in vectors.columns else F.lit(None)
+    checks = F.when(error.isNotNull(), F.array(F.concat(F.lit("FAIL not readable: "), error))) \
+              .when(~F.coalesce("shape_ok", F.lit(False)), F.array(F.lit("FAIL wrong shape"))) \
               .when(audio, F.array_compact(F.array(inf_i, nan_audio, zero_audio))) \
               .otherwise(F.array_compact(F.array(inf_i, text_a, text_b)))
     return f.select("dir", "kind", "item_id", checks.alias("issues"))
@@ -91,9 +97,22 @@ def item_level(iss: DataFrame) -> DataFrame:
     return iss.withColumn("level", lvl)
 
 
-def qa_summary(levels: DataFrame) -> DataFrame:
+def qa_summary(levels: DataFrame, folders: DataFrame | None = None) -> DataFrame:
     """Per directory files / ok / warn / fail and a status, plus the
-    grand total (dir = 'total') via ROLLUP."""
+    grand total (dir = 'total') via ROLLUP.
+
+    folders: (dir, state) of the expected directories; one that is `missing` or
+    `empty` counts as one failure and has that as its status.
+    """
+    if folders is not None:
+        gone = folders.where(F.col("state") != "present").select("dir", F.col("state").alias("status"))
+        plain = qa_summary(levels)
+        total = plain.where(F.col("dir") == "total").crossJoin(gone.agg(F.count(F.lit(1)).cast("bigint").alias("_gone")))  # one row each
+        total = total.select("dir", "files", "ok", "warn", (F.col("fail") + F.col("_gone")).alias("fail"),
+                             F.when(F.col("_gone") > 0, "FAIL").otherwise(F.col("status")).alias("status"))
+        zero = F.lit(0).cast("bigint")
+        return plain.where(F.col("dir") != "total").unionByName(total).unionByName(gone.select(
+            "dir", zero.alias("files"), zero.alias("ok"), zero.alias("warn"), F.lit(1).cast("bigint").alias("fail"), "status"))
     lv = F.col("level")
     agg = levels.rollup("dir").agg(
         F.count(F.lit(1)).cast("bigint").alias("files"),
@@ -112,15 +131,60 @@ def gate(summary: DataFrame) -> DataFrame:
         F.col("fail").alias("fail_total"), (F.col("fail") == 0).alias("publish"))
 
 
+CURRENT = "CURRENT"
+
+
 def gated_publish(summary: DataFrame, outputs: dict[str, DataFrame], root: str,
                   report: DataFrame | None = None) -> bool:
-    """Write every output (and the report) only if nothing failed.
-    One scalar comes back to the driver; the data never does."""
+    """A new version of every output (and the report), only if nothing failed.
+
+    Outputs are written to a staging folder with a manifest, the folder is
+    renamed to a version, and a pointer file names the version (one rename).
+    A publish that is interrupted, or that the gate stops, leaves the version
+    that was there readable (`read_published`).  One scalar comes back to the
+    driver; the data never does.
+    """
     row = gate(summary).first()
     if row is None or not row["publish"]:
         return False
-    for name, df in outputs.items():
-        df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
-    if report is not None:
-        report.write.mode("overwrite").parquet(f"{root.rstrip('/')}/check_report")
+    spark = summary.sparkSession
+    root, version = root.rstrip("/"), uuid.uuid4().hex
+    staging = f"{root}/_staging-{version}"
+    every = outputs if report is None else {**outputs, "check_report": report}
+    manifest = []
+    for name, df in every.items():
+        df.write.parquet(f"{staging}/{name}")
+        manifest.append((name, spark.read.parquet(f"{staging}/{name}").count(), df.schema.simpleString()))
+    spark.createDataFrame(manifest, "name string, rows long, columns string").coalesce(1).write.json(f"{staging}/_manifest")
+    path, fs = _fs(spark, root)
+    if not fs.rename(path(staging), path(f"{root}/{version}")):
+        raise OSError(f"could not rename {staging}")
+    pointer = fs.create(path(f"{root}/{CURRENT}-{version}"), False)
+    pointer.writeBytes(version)
+    pointer.close()
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(root).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(path(f"{root}/{CURRENT}-{version}")), context.makeQualified(path(f"{root}/{CURRENT}")), options)
     return True
+
+
+def _fs(spark: SparkSession, root: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path, path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def published_version(spark: SparkSession, root: str) -> str | None:
+    """The version that the pointer names, None before the first publish."""
+    path, fs = _fs(spark, root)
+    if not fs.exists(path(f"{root.rstrip('/')}/{CURRENT}")):
+        return None
+    return spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{CURRENT}").first()["content"].decode()
+
+
+def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """An output of the published version."""
+    version = published_version(spark, root)
+    if version is None:
+        raise FileNotFoundError(f"nothing is published below {root}")
+    return spark.read.parquet(f"{root.rstrip('/')}/{version}/{name}")

@@ -4,7 +4,8 @@
   (item_id, is_global, frames ARRAY<ARRAY<FLOAT>>); a scan of one set prunes
   partitions instead of listing folders.
 * `.npy` ingest: `binaryFile` + `mapInPandas` (numpy decodes one file per
-  row inside the task), written once to the feature store.
+  row inside the task), written once to the feature store; a file that can't
+  be decoded is a row with its error.
 * CSV labels / item lists, whole-text transcripts, asset resolution.
 """
 
@@ -47,29 +48,69 @@ def write_feature_store(raw: DataFrame, root: str, mode: str = "append") -> None
         .write.mode(mode).partitionBy("split", "feature_set").parquet(root))
 
 
+DECODED_SCHEMA = T.StructType([
+    T.StructField("path", T.StringType()), *RAW_SCHEMA.fields,
+    T.StructField("status", T.StringType()), T.StructField("message", T.StringType()),
+])
+
+
 def _decode_npy(batches):
     import numpy as np
     import pandas as pd
     for pdf in batches:
-        ids, glob, frames = [], [], []
+        out = []
         for path, content in zip(pdf["path"], pdf["content"]):
-            arr = np.load(io.BytesIO(bytes(content)), allow_pickle=False).astype(np.float32)
             stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-            ids.append(stem)
-            glob.append(arr.ndim == 1)
-            frames.append([arr.tolist()] if arr.ndim == 1 else [r.tolist() for r in arr])
-        yield pd.DataFrame({"item_id": ids, "is_global": glob, "frames": frames})
+            try:
+                arr = np.load(io.BytesIO(bytes(content)), allow_pickle=False).astype(np.float32)
+                if arr.ndim not in (1, 2):
+                    raise ValueError(f"an array of {arr.ndim} dimensions")
+                out.append((path, stem, arr.ndim == 1, [arr.tolist()] if arr.ndim == 1 else [r.tolist() for r in arr], "ok", None))
+            except Exception as exc:  # noqa: BLE001 - the row says so
+                out.append((path, stem, None, None, "fail", f"{type(exc).__name__}: {exc}"[:1000]))
+        yield pd.DataFrame(out, columns=DECODED_SCHEMA.names)
+
+
+def decode_arrays(files: DataFrame) -> DataFrame:
+    """(path, content) of `.npy` files -> path, item_id (file stem), is_global, frames, status, message.
+
+    One row per file: a file that can't be decoded (cut off, not an array,
+    null content, more than two dimensions) has status `fail`, the error's
+    text and no frames; it ends neither its task nor the job.  Spark's file
+    sources leave out files of no bytes: these show up as missing items.
+    """
+    return files.select("path", "content").mapInPandas(_decode_npy, schema=DECODED_SCHEMA)
 
 
-def ingest_arrays(spark: SparkSession, folder: str, split: str, feature_set: str) -> DataFrame:
+def ingest_arrays(spark: SparkSession, folder: str, split: str, feature_set: str, failed: bool = False) -> DataFrame:
     """One `.npy` per item -> raw rows; id = file stem.  Files are read
-    and decoded in parallel tasks (one file per row)."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder)
-                  .select("path", "content"))
-    rows = files.mapInPandas(_decode_npy, schema=RAW_SCHEMA)
+    and decoded in parallel tasks (one file per row).  `failed`: also the files
+    that could not be decoded, with the columns path, status and message."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder)
+    rows = decode_arrays(files)
+    rows = rows if failed else rows.where("status = 'ok'").select(*RAW_SCHEMA.names)
     return rows.select(F.lit(split).alias("split"), F.lit(feature_set).alias("feature_set"), "*")
 
 
+def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(dir, file, bytes) of all files below `root`; contents are not read."""
+    found = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+             .select("path", F.col("length").alias("bytes")))
+    return found.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("dir"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "bytes")
+
+
+def folder_states(spark: SparkSession, root: str, dirs: list[str]) -> DataFrame:
+    """(dir, state, files): every expected folder as `present`, `empty` or `missing`."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    here = [d for d in dirs if fs.exists(path(f"{root.rstrip('/')}/{d}"))]
+    expected = spark.createDataFrame([(d, d in here) for d in dirs], "dir string, here boolean")
+    counts = list_files(spark, root).groupBy("dir").agg(F.count(F.lit(1)).alias("files"))
+    state = F.when(~F.col("here"), "missing").when(F.col("files").isNull(), "empty").otherwise("present")
+    return expected.join(counts, "dir", "left").select("dir", state.alias("state"), F.coalesce("files", F.lit(0)).alias("files"))
+
+
 def scan_labels(spark: SparkSession, path: str, target: str = "memorability_score") -> DataFrame:
     """S3: CSV indexed by `id`, one target column cast to float."""
     df = spark.read.option("header", True).csv(path)

@@ -1006,6 +1006,51 @@ SELECT doc_id, CAST(19 AS BIGINT) AS n, round(""" + " + ".join(f"{e}_score" for
   + CAST(dominant_emotion <> 'none' AS DOUBLE), 6) + 0.0 AS vector_sum
 FROM dom JOIN lc USING (doc_id)"""
 
+# --- PCA: squared scores of the first components ---------------------------------
+
+PCA_COMPONENTS, PCA_SQUARINGS = 3, 18
+
+
+def _pca_sql() -> str:
+    """Projectors on the first axes by repeated squaring of the scatter matrix, with deflation."""
+    out = [with_(EMB, VEC, LNG, FOLDS, KER[:KER.index("mom AS (")].rstrip().rstrip(",")) + """,
+px AS MATERIALIZED (SELECT r.fold, r.role, r.item_id, l.set_ord * 1000 + r.idx AS p, r.value
+  FROM rl r JOIN (SELECT DISTINCT feature_set, set_ord FROM lng) l USING (feature_set)),
+pm AS MATERIALIZED (SELECT fold, p, avg(value) AS mean FROM px WHERE role = 'train' GROUP BY fold, p),
+pc AS MATERIALIZED (SELECT fold, role, item_id, p, value - mean AS c FROM px JOIN pm USING (fold, p)),
+c1 AS MATERIALIZED (SELECT a.fold, a.p AS i, b.p AS j, sum(a.c * b.c) AS v FROM pc a JOIN pc b USING (fold, item_id)
+  WHERE a.role = 'train' AND b.role = 'train' GROUP BY a.fold, a.p, b.p)"""]
+    for n in range(1, PCA_COMPONENTS + 1):
+        last = f"c{n}"
+        for k in range(1, PCA_SQUARINGS + 1):
+            out.append(f"""s{n}_{k} AS MATERIALIZED (SELECT a.fold, a.i, b.j, sum(a.v / t.t * b.v / t.t) AS v
+  FROM {last} a JOIN {last} b ON a.fold = b.fold AND a.j = b.i JOIN (SELECT fold, sum(v) AS t FROM {last} WHERE i = j GROUP BY fold) t ON t.fold = a.fold
+  GROUP BY a.fold, a.i, b.j)""")
+            last = f"s{n}_{k}"
+        out.append(f"""p{n} AS MATERIALIZED (SELECT fold, i, j, v / t AS v FROM {last} JOIN (SELECT fold, sum(v) AS t FROM {last} WHERE i = j GROUP BY fold) USING (fold)),
+l{n} AS MATERIALIZED (SELECT a.fold, sum(a.v * b.v) AS l FROM p{n} a JOIN c{n} b ON a.fold = b.fold AND a.i = b.j AND a.j = b.i GROUP BY a.fold),
+q{n} AS MATERIALIZED (SELECT a.fold, a.role, a.item_id, sum(a.c * p.v * b.c) AS square
+  FROM pc a JOIN p{n} p ON p.fold = a.fold AND p.i = a.p JOIN pc b ON b.fold = a.fold AND b.item_id = a.item_id AND b.p = p.j GROUP BY a.fold, a.role, a.item_id),
+c{n + 1} AS MATERIALIZED (SELECT c.fold, c.i, c.j, c.v - l.l * p.v AS v FROM c{n} c JOIN p{n} p USING (fold, i, j) JOIN l{n} l USING (fold))""")
+    joins = " ".join(f"JOIN q{n} USING (fold, role, item_id)" for n in range(2, PCA_COMPONENTS + 1))
+    return ",\n".join(out) + "\nSELECT fold, role, item_id, CAST(8 AS BIGINT) AS n_components, " + ", ".join(
+        f"round(q{n}.square, 6) + 0.0 AS square_{n}" for n in range(1, PCA_COMPONENTS + 1)) + f" FROM q1 {joins}"
+
+
+SQL["pca_gram"] = _pca_sql()
+
+# --- sources and names -----------------------------------------------------------
+
+SQL["decode_status"] = """
+SELECT vec_id AS item_id, CASE WHEN h IN ('0', '1') THEN 'fail' ELSE 'ok' END AS status, h IN ('0', '1') AS has_message,
+       CAST(CASE WHEN h IN ('0', '1') THEN 0 ELSE len(embedding) END AS BIGINT) AS n_values,
+       CASE WHEN h NOT IN ('0', '1') THEN round(list_sum(CAST(embedding AS DOUBLE[])), 6) + 0.0 END AS value_sum
+FROM (SELECT *, substr(md5(CAST(vec_id AS VARCHAR) || ':npy'), 1, 1) AS h FROM embeddings)"""
+SQL["sink_features"] = with_(EMB) + """
+SELECT split, feature_set, CAST(count(*) AS BIGINT) AS n, CAST(sum(w) AS BIGINT) AS n_values
+FROM emb CROSS JOIN (VALUES ('emb_a', 16), ('emb_b', 16), ('emb_c', 16), ('emb_d', 16)) t(feature_set, w) GROUP BY split, feature_set"""
+SQL["validate_names"] = "SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE source IS NOT NULL"
+
 # --- report rounding ------------------------------------------------------------
 
 def _rewrite_round6(sql: str) -> str:

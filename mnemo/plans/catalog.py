@@ -1016,7 +1016,7 @@ def cv_rows(spark, sf):
     return cut_lineage(EV.role_rows(dev_long(spark, sf), dev_folds(spark, sf)))
 
 
-def _model_query(spark, sf, model, sets=("emb_a", "emb_b"), selector="none", fusion="concat", trees=100):
+def _model_query(spark, sf, model, sets=tuple(B.EMB_SETS), selector="none", fusion="concat", trees=100):
     rows = cv_rows(spark, sf)
     d = EV.concat_design(rows, list(sets), selector) if fusion == "concat" else \
         EV.kernel_design(rows, list(sets), selector)
@@ -1026,7 +1026,7 @@ def _model_query(spark, sf, model, sets=("emb_a", "emb_b"), selector="none", fus
 
 @register("ols")
 def q_ols(spark, sf):
-    """M3: least squares on the scaled emb_a+emb_b columns, per-fold Spearman."""
+    """M3: least squares on the scaled columns of all four sets, per-fold Spearman."""
     return _model_query(spark, sf, "LinearRegression")
 
 
@@ -1039,19 +1039,19 @@ def q_ridge(spark, sf):
 @register("gbt")
 def q_gbt(spark, sf):
     """M5: gradient-boosted trees (100 x depth 3) per fold."""
-    return _model_query(spark, sf, "GradientBoosting", sets=("emb_a",))
+    return _model_query(spark, sf, "GradientBoosting")
 
 
 @register("rbf_regression")
 def q_rbf_regression(spark, sf):
     """M6: robust regression on fused RBF kernel columns per fold."""
-    return _model_query(spark, sf, "SVR", sets=("emb_a", "emb_b"), fusion="kernel")
+    return _model_query(spark, sf, "SVR", fusion="kernel")
 
 
 @register("mlp_regression")
 def q_mlp_regression(spark, sf):
     """M7: quantile-bin MLP per fold."""
-    return _model_query(spark, sf, "MLP", sets=("emb_a",))
+    return _model_query(spark, sf, "MLP")
 
 
 @register("pca_k")
@@ -1065,15 +1065,15 @@ def q_pca_k(spark, sf):
 
 @register("evaluate_model")
 def q_evaluate_model(spark, sf):
-    """E1 with a Spark ML learner: Ridge on emb_a+emb_c, Spearman top-30."""
-    return EV.evaluate_model(spark, cv_rows(spark, sf), "emb_a+emb_c", ["emb_a", "emb_c"], B.EMB_WIDTHS,
+    """E1 with a Spark ML learner: Ridge on all four sets, Spearman top-30."""
+    return EV.evaluate_model(spark, cv_rows(spark, sf), "+".join(B.EMB_SETS), B.EMB_SETS, B.EMB_WIDTHS,
                              "spearman_30", "Ridge")
 
 
 @register("evaluate_kernel")
 def q_evaluate_kernel(spark, sf):
-    """Kernel fusion of emb_a and emb_b, Ridge on the fused kernel rows."""
-    return EV.evaluate_model(spark, cv_rows(spark, sf), "emb_a+emb_b", ["emb_a", "emb_b"], B.EMB_WIDTHS,
+    """Kernel fusion of all four sets, Ridge on the fused kernel rows."""
+    return EV.evaluate_model(spark, cv_rows(spark, sf), "+".join(B.EMB_SETS), B.EMB_SETS, B.EMB_WIDTHS,
                              "none", "Ridge", fusion="kernel")
 
 
@@ -1090,7 +1090,7 @@ def q_sweep(spark, sf):
 def q_kernel_predict(spark, sf):
     """Kernel fusion fitted on the labelled split, unlabelled split predicted."""
     p = EV.kernel_predict(spark, B.feature_long(spark, sf), B.item_labels(spark, sf),
-                          ["emb_a", "emb_b"], "none", "Ridge")
+                          B.EMB_SETS, "none", "Ridge")
     return p.select("item_id", round6(F.col("pred")).alias("pred"))
 
 
@@ -1115,6 +1115,111 @@ def q_ensemble_fit_predict(spark, sf):
     return scores.unionByName(p.where("status = 'failed'").select("item_id", F.col("p").alias("score"), "cfg_id", "status", "message"))
 
 
+# --- runs over a store: E3, E5, E6, E7 on sets that items may lack ---------------------
+
+from . import runs as RU  # noqa: E402
+from .. import registry as REG  # noqa: E402
+
+
+def _study(spark, sf):
+    v = B.sparse_vec(spark, sf)
+    return RU.Study(cut_lineage(v.where(F.col("split") == "dev").drop("split")), B.item_labels(spark, sf), B.emb_combos(), B.EMB_WIDTHS,
+                    others=cut_lineage(v.where(F.col("split") == "test").drop("split")))
+
+
+def _store(spark, name):
+    import uuid
+    return RU.Store(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+
+
+# Fixed values of the run binding: which of the configurations above (by place) each run fuses.
+FIT_RUNS = {1: [0, 1], 2: [1, 0, 3], 3: [0, 1, 2]}
+
+
+@register("ensemble_fit_cv")
+def q_ensemble_fit_cv(spark, sf):
+    """E5 / E7 end to end: every run aligned on the items all its
+    configurations have, fitted per fold, equal fits shared through a store;
+    a failed configuration predicts zeros."""
+    runs = {r: [FIT_CONFIGS[i] for i in at] for r, at in FIT_RUNS.items()}
+    out = RU.ensemble_cv_runs(_study(spark, sf), _store(spark, "ensembles"), runs)
+    return out.select("run_id", "config", "metric", *[round6(F.col(c)).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@register("ensemble_status")
+def q_ensemble_status(spark, sf):
+    """State, training rho and training rows of every configuration."""
+    _, status = RU.full_predictions(_study(spark, sf), _store(spark, "ensemble"), FIT_CONFIGS)
+    return status.withColumn("train_rho", round6(F.col("train_rho")))
+
+
+@register("sweep_resumed")
+def q_sweep_resumed(spark, sf):
+    """E3 over a store: all selectors, two linear models and both fusions on
+    the four sets, stopped after half of the entries and resumed."""
+    study, store = _study(spark, sf), _store(spark, "sweep")
+    grid = (["+".join(B.EMB_SETS), "no_such_combo"], ["LinearRegression", "Ridge"], REG.SELECTORS)
+    RU.sweep_cells(study, store, *grid, stop_after=5)
+    return RU.sweep_cells(study, RU.Store(spark, store.path), *grid)
+
+
+@register("selector_registry")
+def q_selector_registry(spark, sf):
+    """Width of the model input of every selector, per fold."""
+    rows, out = cv_rows(spark, sf), None
+    for name in REG.SELECTORS:
+        d = REG.selector(name)(rows, B.EMB_SETS).groupBy("fold").agg(F.max(F.size("features")).cast("bigint").alias("width"),
+                                                                     F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+        d = d.select(F.lit(name).alias("selector"), "fold", "width", "n_rows")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@register("decode_status")
+def q_decode_status(spark, sf):
+    """Every embedding as the bytes of an `.npy` file, some cut off or
+    overwritten by hash of the id, decoded to one row with status and message."""
+    @F.pandas_udf("binary")
+    def encoded(col):
+        import io
+        import numpy as np
+        import pandas as pd
+        out = []
+        for x in col:
+            b = io.BytesIO()
+            np.save(b, np.asarray(x, np.float32))
+            out.append(b.getvalue())
+        return pd.Series(out)
+
+    e = table(spark, sf, "embeddings")
+    h = F.substring(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit(":npy"))), 1, 1)
+    content = encoded(F.col("embedding"))
+    content = F.when(h == "0", F.substring(content, F.lit(1), F.length(content) - 4)).when(h == "1", F.lit(b"garbage")).otherwise(content)
+    d = FS.decode_arrays(e.select(F.concat(F.col("vec_id").cast("string"), F.lit(".npy")).alias("path"), content.alias("content")))
+    return d.select(F.col("item_id").cast("bigint").alias("item_id"), "status", F.col("message").isNotNull().alias("has_message"),
+                    F.coalesce(F.size(F.flatten("frames")), F.lit(0)).cast("bigint").alias("n_values"),
+                    round6(F.aggregate(F.flatten("frames"), F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("value_sum"))
+
+
+@register("sink_features")
+def q_sink_features(spark, sf):
+    """Vectors written to a feature store and read back, per split and set."""
+    import uuid
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/features-{uuid.uuid4().hex}"
+    FS.write_feature_store(B.feature_raw(spark, sf), root)
+    back = FS.read_feature_store(spark, root)
+    return back.groupBy("split", "feature_set").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
+                                                    F.sum(F.size(F.flatten("frames"))).cast("bigint").alias("n_values"))
+
+
+@register("validate_names")
+def q_validate_names(spark, sf):
+    """Document sources that the labelled documents know; unknown ones are left out."""
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    known = d.join(table(spark, sf, "labels").select("doc_id"), "doc_id").select("source").distinct()
+    return AL.validate_names(d.select("source").distinct(), known, "source", strict=False)
+
+
 # --- streaming ------------------------------------------------------------------------
 
 from ..streaming import incremental as INC  # noqa: E402
@@ -1193,9 +1298,11 @@ def q_emotion_vector(spark, sf):
 
 @register("pca_gram")
 def q_pca_gram(spark, sf):
-    """Wide PCA (distributed ARPACK on the centred training rows) to 8
-    components per fold over the concatenation of the four sets."""
-    from .learners import pca_project
+    """Wide PCA (block Krylov passes over the centred training rows) to 8
+    components per fold over the four sets; squared scores of the first three
+    components (signs are not defined)."""
+    from .learners import pca_krylov
     x = EV.assemble(cv_rows(spark, sf), B.EMB_SETS)
-    p = pca_project(x, 8)
-    return p.select("fold", "role", "item_id", F.size("features").cast("bigint").alias("n_components"))
+    p = pca_krylov(x, 8)
+    return p.select("fold", "role", "item_id", F.size("features").cast("bigint").alias("n_components"),
+                    *[round6(F.pow(F.get("features", F.lit(i)), 2)).alias(f"square_{i + 1}") for i in range(3)])

@@ -96,7 +96,7 @@ def make_model(name: str, d: int, n: int, y_sd: float, trees: int = GBT_TREES):
         return LinearRegression(featuresCol="vec", labelCol="y", predictionCol="pred", loss="huber",
                                 regParam=HUBER_REG, standardization=False)
     if name == "MLP":
-        return "MLP"
+        return QuantileMlp(d)
     raise ValueError(f"no model is registered as {name!r}; registered: {', '.join(MODELS)}")
 
 
@@ -104,21 +104,30 @@ MODELS = ["LinearRegression", "Ridge", "MLP", "SVR", "GradientBoosting"]
 SELECTORS = ["none", "spearman_30", "spearman_50", "pca_30", "pca_50"]
 
 
-def _fit_mlp(train: DataFrame, test: DataFrame, d: int) -> DataFrame:
-    """M7 (re-aimed): target cut in quantile bins, an MLP classifier, the
-    prediction is sum(prob x bin mean)."""
-    disc = QuantileDiscretizer(inputCol="y", outputCol="bin", numBuckets=MLP_BINS, relativeError=1e-3)
-    dm = disc.fit(train)
-    tb = dm.transform(train)
-    means = {int(r["bin"]): r["m"] for r in tb.groupBy("bin").agg(F.avg("y").alias("m")).collect()}
-    nb = max(means) + 1 if means else 1
-    mlp = MultilayerPerceptronClassifier(featuresCol="vec", labelCol="bin", layers=[d, *MLP_HIDDEN, nb],
-                                         seed=SEED, maxIter=200, blockSize=64)
-    model = mlp.fit(tb)
-    mvec = F.array(*[F.lit(float(means.get(b, 0.0))) for b in range(nb)])
-    out = model.transform(test).withColumn("_p", vector_to_array("probability"))
-    return out.withColumn("pred", F.aggregate(F.zip_with("_p", mvec, lambda a, b: a * b), F.lit(0.0),
-                                              lambda s, x: s + x)).drop("_p")
+class QuantileMlp:
+    """M7 (re-aimed): the target cut in quantile bins, an MLP classifier; the
+    prediction is sum(probability x bin mean).  `fit` gives a model with `transform`, like Spark's estimators."""
+
+    def __init__(self, d: int, bins: int = MLP_BINS, hidden: tuple[int, ...] = MLP_HIDDEN):
+        self.d, self.bins, self.hidden = d, bins, hidden
+
+    def fit(self, train: DataFrame) -> "QuantileMlpModel":
+        bins = QuantileDiscretizer(inputCol="y", outputCol="bin", numBuckets=self.bins, relativeError=1e-3).fit(train)
+        binned = bins.transform(train)
+        means = {int(r["bin"]): r["m"] for r in binned.groupBy("bin").agg(F.avg("y").alias("m")).collect()}
+        n = max(means) + 1 if means else 1
+        mlp = MultilayerPerceptronClassifier(featuresCol="vec", labelCol="bin", layers=[self.d, *self.hidden, n],
+                                             seed=SEED, maxIter=200, blockSize=64)
+        return QuantileMlpModel(mlp.fit(binned), [float(means.get(b, 0.0)) for b in range(n)])
+
+
+class QuantileMlpModel:
+    def __init__(self, classifier, means: list[float]):
+        self.classifier, self.means = classifier, means
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        parts = F.zip_with(vector_to_array("probability"), F.array(*map(F.lit, self.means)), lambda p, m: p * m)
+        return self.classifier.transform(rows).withColumn("pred", F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))
 
 
 def fit_predict(df: DataFrame, model: str, fold_col: str = "fold", trees: int = GBT_TREES,
@@ -138,10 +147,7 @@ def fit_predict(df: DataFrame, model: str, fold_col: str = "fold", trees: int =
         te = v.where((F.col(fold_col) == f) & F.col("role").isin(*roles))
         st = stats[f]
         est = make_model(model, st["d"], st["n"], st["sd"] or 0.0, trees)
-        if est == "MLP":
-            out = _fit_mlp(tr, te, st["d"])
-        else:
-            out = est.fit(tr).transform(te)
+        out = est.fit(tr).transform(te)
         return out.select(fold_col, *(["role"] if len(roles) > 1 else []), "item_id", "y", F.col("pred").cast("double"))
 
     with ThreadPoolExecutor(max_workers=threads) as ex:
@@ -194,3 +200,80 @@ def pca_project(df: DataFrame, k: int, fold_col: str = "fold") -> DataFrame:
     for o in outs[1:]:
         res = res.unionByName(o)
     return res
+
+
+def _covariance_times(train: DataFrame, fold_col: str, means: dict, blocks: dict, width: int) -> dict:
+    """Per fold: the training rows' scatter matrix times a thin block, D x l, in one pass over all folds.
+
+    A task adds up x (x . B) over its rows; the partial sums meet by position.
+    """
+    shared = train.sparkSession.sparkContext.broadcast({f: (means[f], blocks[f]) for f in blocks})
+
+    def run(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for f, part in pdf.groupby(fold_col, sort=False):
+                if f not in shared.value:
+                    continue
+                mean, block = shared.value[f]
+                x = np.stack(part["features"].to_numpy()).astype(float) - mean
+                sums[f] = sums.get(f, 0.0) + x.T @ (x @ block)
+        for f, w in sums.items():
+            yield pd.DataFrame({fold_col: f, "pos": np.arange(len(w)), "w": list(w)})
+
+    kind = dict(train.dtypes)[fold_col]
+    partial = train.select(fold_col, "features").mapInPandas(run, f"{fold_col} {kind}, pos int, w array<double>")
+    total = partial.groupBy(fold_col, "pos").agg(F.array(*[F.sum(F.get("w", F.lit(j))) for j in range(width)]).alias("w"))
+    out = {f: np.zeros((len(means[f]), width)) for f in blocks}
+    for r in total.collect():  # folds x D rows of `width` numbers
+        out[r[fold_col]][r["pos"]] = [v or 0.0 for v in r["w"]]
+    return out
+
+
+def pca_krylov(df: DataFrame, k: int, fold_col: str = "fold", oversample: int = 10, depth: int = 4, seed: int = SEED) -> DataFrame:
+    """PCA to min(k, D) of wide data by a randomised block Krylov space, all folds in each of depth + 1 passes.
+
+    The space starts from k + oversample random directions; each pass multiplies
+    its last block with the scatter matrix of the centred training rows, and the
+    result, made orthogonal to the blocks before it, is the next block.  Rayleigh
+    and Ritz give the axes inside the space; they are exact when it reaches the
+    rank of the data.  Neither a D x D nor an n x n matrix is made; the driver
+    holds (depth + 1) x (k + oversample) vectors of width D.  Directions without
+    variance give columns of zeros.
+    """
+    v = cut_lineage(df)
+    train = v.where(F.col("role") == "train")
+    means = {f: m[0] for f, m in train_moments(v, fold_col).items()}
+    rng = np.random.default_rng(seed)
+    width = {f: min(k + oversample, len(m)) for f, m in means.items()}
+    last = {f: np.linalg.qr(rng.normal(size=(len(m), width[f])))[0] for f, m in means.items()}
+    space, image = {f: [] for f in means}, {f: [] for f in means}
+    for _ in range(depth + 1):
+        if not last:
+            break
+        got = _covariance_times(train, fold_col, means, last, max(b.shape[1] for b in last.values()))
+        after = {}
+        for f, block in last.items():
+            w = got[f][:, :block.shape[1]]
+            space[f].append(block)
+            image[f].append(w)
+            q, rest = np.concatenate(space[f], axis=1), w
+            for _ in range(2):
+                rest = rest - q @ (q.T @ rest)
+            left, sizes, _ = np.linalg.svd(rest, full_matrices=False)
+            left = left[:, sizes > 1e-9 * max(np.abs(w).max(initial=0.0), 1e-300)][:, :q.shape[0] - q.shape[1]]
+            if left.shape[1]:
+                after[f] = left
+        last = after
+    axes = {}
+    for f in means:
+        q, w = np.concatenate(space[f], axis=1), np.concatenate(image[f], axis=1)
+        small = q.T @ w
+        values, u = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(values)[::-1][:k]
+        a = np.zeros((len(means[f]), min(k, len(means[f]))))
+        a[:, :len(order)] = (q @ u[:, order]) * (values[order] > 1e-12 * max(values.max(), 1e-300))
+        axes[f] = (means[f], a)
+    shared = v.sparkSession.sparkContext.broadcast(axes)
+    return v.where(F.col(fold_col).isin(list(axes))).withColumn(
+        "features", _array_map(shared, lambda x, mean, a: (x - mean) @ a)(F.col(fold_col), F.col("features")))

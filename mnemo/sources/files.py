@@ -42,9 +42,11 @@ def read_feature_store(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root)
 
 
-def write_feature_store(raw: DataFrame, root: str, mode: str = "append") -> None:
-    """Save vectors, one partition directory per (split, feature_set)."""
-    (raw.repartition("split", "feature_set")
+def write_feature_store(raw: DataFrame, root: str, mode: str = "append", files_per_set: int = 8) -> None:
+    """Save vectors, one partition directory per (split, feature_set), each
+    written by up to `files_per_set` tasks."""
+    bucket = F.pmod(F.xxhash64("item_id"), F.lit(files_per_set))
+    (raw.repartition("split", "feature_set", bucket)
         .write.mode(mode).partitionBy("split", "feature_set").parquet(root))
 
 

@@ -74,17 +74,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table below spark.checkpoint.dir; lineage ends here.
 
     The table is read by later steps from the shared folder, so a lost
-    executor costs only its own tasks.  It is deleted when the session ends.
+    executor costs only its own tasks.  It is deleted when the session ends,
+    or before by `drop_tables`.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that `written` has made and nobody has dropped.
+_tables: list[str] = []
+
+
+def tables() -> list[str]:
+    return list(_tables)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes working tables; nothing that reads them may be left to run."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        if path in _tables:
+            _tables.remove(path)
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow for functions that yield {column: array}; empty results are left out."""
     struct: StructType = _parse_datatype_string(schema)

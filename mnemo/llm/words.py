@@ -46,11 +46,20 @@ _FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a bijection)."""
-    h = h ^ (h >> U(32))
-    h = h * U(0xD6E8FEB86659FD93)
-    h = h ^ (h >> U(29))
-    h = h * U(0x94D049BB133111EB)
-    return h ^ (h >> U(32))
+    return _mixed(h.copy())
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """`mix` in place."""
+    part = h >> U(32)
+    h ^= part
+    h *= U(0xD6E8FEB86659FD93)
+    np.right_shift(h, U(29), out=part)
+    h ^= part
+    h *= U(0x94D049BB133111EB)
+    np.right_shift(h, U(32), out=part)
+    h ^= part
+    return h
 
 
 @dataclass
@@ -143,7 +152,9 @@ def byte_ids(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Ids of a followed by b."""
-    return mix(a * U(0x9E3779B97F4A7C15) + b)
+    h = a * U(0x9E3779B97F4A7C15)
+    h += b
+    return _mixed(h)
 
 
 def range_ids(ids: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -152,10 +163,15 @@ def range_ids(ids: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     out = mix(size.astype(np.uint64) + U(0xC2B2AE3D27D4EB4F))
     at, block, width = np.array(s, np.int64), ids, 1
     longest = int(size.max(initial=0))
+    alike = len(size) > 0 and int(size.min()) == longest
     while width <= longest:
-        odd = np.flatnonzero(size & width)
-        out[odd] = joined(out[odd], block[at[odd]])
-        at[odd] += width
+        if not alike:
+            odd = np.flatnonzero(size & width)
+            out[odd] = joined(out[odd], block[at[odd]])
+            at[odd] += width
+        elif longest & width:
+            out = joined(out, block[at])
+            at += width
         if 2 * width <= longest:
             block = joined(block[:-width], block[width:])
         width *= 2

@@ -57,14 +57,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     temporary directory.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not d:
-        master = spark.sparkContext.master or ""
-        if not re.fullmatch(r"local(\[.*\])?", master):
+        if (have := sc.getCheckpointDir()) is not None:
+            return have
+        if not re.fullmatch(r"local(\[.*\])?", sc.master or ""):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster")
         d = tempfile.mkdtemp(prefix="mnemo-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)  # the setting itself can't be changed in a running session
     return d
 
 

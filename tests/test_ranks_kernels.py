@@ -248,3 +248,52 @@ def test_fitted_ensemble_tells_failed_configs(spark):
     failed = [r for r in got if r["status"] == "failed"]
     assert [r["cfg_id"] for r in failed] == [4] and "no_such_combo" in failed[0]["message"] and failed[0]["item_id"] is None
     assert all(r["status"] == "ok" and r["score"] is not None for r in got if r not in failed) and len(got) > 1
+
+
+def test_whole_kernels_meet_every_training_row(spark, monkeypatch):
+    """Sums over all training rows, more than the landmarks; blocks and tiles of any size, repeated vectors, null ids."""
+    rng = np.random.default_rng(7)
+    n = 300
+    x = {s: rng.normal(size=(n, w)) for s, w in (("a", 3), ("b", 5))}
+    x["a"][5] = x["a"][4]
+    rows = [(1, s, "train" if i % 10 else "test", None if i == 9 else i, [float(v) for v in x[s][i]]) for s in x for i in range(n)]
+    v = spark.createDataFrame(rows, "fold int, feature_set string, role string, item_id long, vec array<double>").repartition(3)
+    tr = np.array([i for i in range(n) if i % 10])
+    train = v.where("role = 'train'")
+    g = K.median_gamma(train, ["fold", "feature_set"])
+    gamma = {r["feature_set"]: r["gamma"] for r in g.collect()}
+    dist = {s: np.sqrt(((x[s][:, None] - x[s][tr][None]) ** 2).sum(-1)) for s in x}
+    kern = {s: np.exp(-gamma[s] * dist[s] ** 2) for s in x}
+    monkeypatch.setattr(K, "ROW_BLOCK", 70)
+    monkeypatch.setattr(K, "TRAIN_BLOCK", 90)
+    monkeypatch.setattr(K, "TILE", (16, 11))
+    at = {None: 9}
+    for r in K.distance_sums(v, train, ["fold", "feature_set"]).collect():
+        assert r["n"] == len(tr) == 270 and abs(r["total"] - dist[r["feature_set"]][at.get(r["item_id"], r["item_id"])].sum()) < 1e-9
+    got = K.kernel_sums(v, train, g, ["fold", "feature_set"], keep=["role"], off_diagonal=True).collect()
+    assert len(got) == 2 * n
+    for r in got:
+        i, s = at.get(r["item_id"], r["item_id"]), r["feature_set"]
+        other = kern[s][i][(tr != i) & (tr != 9)]  # a null id is neither equal to another nor different
+        assert abs(r["total"] - kern[s][i].sum()) < 1e-9
+        assert r["largest"] is None if i == 9 else abs(r["largest"] - other.max()) < 1e-12
+    fused = K.fused_kernel_sums(v, train, g, ["fold"], {"a": 1.0, "b": 0.5}, keep=["role"]).collect()
+    assert len(fused) == n and {r["n"] for r in fused} == {270}
+    for r in fused:
+        i = at.get(r["item_id"], r["item_id"])
+        assert abs(r["total"] - (kern["a"][i] + 0.5 * kern["b"][i]).sum()) < 1e-9
+    with pytest.raises(Exception):
+        K.fused_kernel_sums(v.where("NOT (item_id = 0 AND feature_set = 'b')"), train, g, ["fold"], {"a": 1.0, "b": 1.0}).collect()
+    with pytest.raises(Exception):
+        K.distance_sums(v, train.where("feature_set = 'a'"), ["fold", "feature_set"]).collect()
+
+
+def test_kernel_queries_are_whole(spark):
+    from mnemo.checks.oracle_sql import SQL
+    from mnemo.plans.catalog import QUERIES
+    sf = "/root/testdata/sf0.01"
+    got = QUERIES["kernel_as_features"](spark, sf).groupBy("fold").agg({"n_cols": "min", "role": "count"}).collect()
+    train = {r["fold"]: r["n"] for r in QUERIES["rbf_kernel_train"](spark, sf).where("feature_set = 'emb_a'").groupBy("fold").count()
+             .withColumnRenamed("count", "n").collect()}
+    assert all(r["min(n_cols)"] == train[r["fold"]] > K.N_LANDMARKS for r in got) and len(got) == 5
+    assert not any("rn <= 256" in SQL[q] for q in ("pairwise_distance", "rbf", "fold_kernels"))

@@ -5,7 +5,7 @@ A15 diversity, A16 sentence length, J8/A17 rarity, X2 semantic vector.
 Per-document work stays inside rows (arrays + higher-order functions, no
 shuffle); corpus work is grouped aggregation (map-side partial counts); the
 lexicon lookups are broadcast joins behind a size check; the vocabulary
-lookup is a shuffle join with hot words salted.
+lookup is a broadcast join for frequent words, a shuffle join for the others.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_text, sentence_count, tokenize_alpha, tokenize_ws
 from ..sources.lexicons import CORE_LABELS, EMOTION_LABELS
 from ..session import cut_lineage
-from .joins import skew_safe_lookup
+from .joins import null_safe_join
+
+# A word above this share of a corpus is looked up in a broadcast table: at most 100,000 words.
+FREQUENT_SHARE = 1e-5
 
 
 def _nan():
@@ -120,46 +123,50 @@ def emotion_features(docs: DataFrame, id_col: str, lexicon: DataFrame,
 
 
 def semantic_features(docs: DataFrame, id_col: str, vocab: DataFrame | None, pos_lex: DataFrame,
-                      text_col: str = "text", salts: int = 32) -> DataFrame:
+                      text_col: str = "text") -> DataFrame:
     """noun/verb/adj ratios (A14), lexical diversity and mean word length
     (A15), words per sentence (A16), rarity (J8 + A17); seven zeros for a
     text without words.
 
     rarity = -mean(ln(count(w) / corpus size)), unseen words count 1 and the
-    corpus size is not adjusted for them.  One pass over the text: per
-    document values and the (doc, word) counts come from the same
-    projection; the vocabulary lookup salts hot words.  `vocab=None` means
-    the vocabulary of these same documents, summed from the (doc, word)
-    counts instead of tokenizing the corpus a second time.
+    corpus size is not adjusted for them.  Words above `FREQUENT_SHARE` of the
+    corpus (at most 1/share, most tokens of a text) are looked up in a
+    broadcast table and summed where the text is; only the other words are
+    shuffled, as (document, word), to the rest of the vocabulary.  None of them
+    is hot.  `vocab=None` means the vocabulary of these same documents.
     """
+    vocab = cut_lineage(word_frequency(docs, text_col) if vocab is None else vocab)
+    total = vocab.agg(F.sum("n").alias("_tot"))
+    frequent = (vocab.join(F.broadcast(total)).where(F.col("n") > F.col("_tot") * FREQUENT_SHARE).select("word", "n"))
     words = tokenize_alpha(F.col(text_col))
     n = F.size("_w")
-    per_doc = docs.select(id_col, words.alias("_w"), sentence_count(F.col(text_col)).alias("_ns")).select(
-        id_col, n.alias("num_words"),
+    values = ["num_words", "lexical_diversity", "avg_word_length", "avg_sentence_length"]
+    # `_k` tells apart the texts of one id until their sums meet
+    text_key = F.xxhash64(text_col).alias("_k")
+    per_doc = docs.select(id_col, text_key, words.alias("_w"), sentence_count(F.col(text_col)).alias("_ns")).select(
+        id_col, "_k", n.alias("num_words"),
         F.try_divide(F.size(F.array_distinct("_w")), n).alias("lexical_diversity"),
         F.try_divide(F.aggregate(F.transform("_w", F.length), F.lit(0), lambda a, b: a + b), n)
          .alias("avg_word_length"),
         F.when(F.col("_ns") > 0, F.try_divide(n, F.col("_ns"))).otherwise(F.lit(0.0)).alias("avg_sentence_length"),
         "_w")
-    keys = [id_col, "num_words", "lexical_diversity", "avg_word_length", "avg_sentence_length"]
-    per_doc = per_doc.select(*keys, F.explode_outer("_w").alias("word"))
-    # (doc, word, c): bounded per document, reduced before any shuffle
-    dw = per_doc.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("c"))
-    if vocab is None:
-        # dw feeds both the lookup and the vocabulary: tokenised once
-        dw = cut_lineage(dw)
-        vocab = dw.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("c").alias("n"))
+    keys = [id_col, "_k", *values]
     pos = pos_lex.groupBy("word").agg(F.first("pos").alias("pos"))
-    total = vocab.agg(F.sum("n").alias("_tot")).withColumn("_j", F.lit(0))
-    looked = skew_safe_lookup(dw.join(pos, "word", "left"), vocab, "word", "n", id_col,
-                              salts=salts)
-    agg = (looked.withColumn("_j", F.lit(0)).join(F.broadcast(total), "_j")
-                 .groupBy(*keys).agg(
-                     *[F.sum(F.when(F.col("pos") == p, F.col("c")).otherwise(0)).alias(p)
-                       for p in ("NOUN", "VERB", "ADJ")],
-                     F.try_divide(-F.sum(F.when(F.col("word").isNotNull(),
-                                                F.col("c") * F.ln(F.coalesce(F.col("n"), F.lit(1)) / F.col("_tot")))),
-                                  F.sum(F.when(F.col("word").isNotNull(), F.col("c")))).alias("rarity")))
+    weight = F.ln(F.coalesce(F.col("n"), F.lit(1)) / F.col("_tot"))
+    # per-document values are projected before the explode; sums of a document are partial in its task
+    common = (per_doc.select(*keys, F.explode_outer("_w").alias("word"))
+              .join(pos, "word", "left").join(F.broadcast(frequent), "word", "left").join(F.broadcast(total))
+              .groupBy(*keys).agg(
+                  *[F.sum(F.when(F.col("pos") == p, 1).otherwise(0)).alias(p) for p in ("NOUN", "VERB", "ADJ")],
+                  F.sum(F.when(F.col("n").isNotNull(), weight)).alias("_ln"), F.count("word").alias("_c")))
+    rare = (docs.select(id_col, text_key, F.explode(words).alias("word"))
+            .join(F.broadcast(frequent.select("word")), "word", "left_anti")
+            .join(vocab, "word", "left").join(F.broadcast(total))
+            .groupBy(id_col, "_k").agg(F.sum(weight).alias("_rare")))
+    agg = (null_safe_join(common, rare, [id_col, "_k"], "left")
+           .withColumn("_ln", F.coalesce(F.col("_ln") + F.col("_rare"), "_ln", "_rare"))
+           .groupBy(id_col, *values).agg(*[F.sum(p).alias(p) for p in ("NOUN", "VERB", "ADJ")],
+                                         F.try_divide(-F.sum("_ln"), F.sum("_c")).alias("rarity")))
     names = ["noun_ratio", "verb_ratio", "adj_ratio", "lexical_diversity", "avg_word_length",
              "avg_sentence_length", "rarity"]
     out = agg.select(id_col, "num_words",

@@ -81,3 +81,24 @@ def test_p_matches_jvm_reference(spark):
     df = one(spark, [(1.7, 7.3)], "t double, df double")
     got = df.select(t_two_sided_p(F.col("t"), F.col("df"))).first()[0]
     assert abs(got - expect) < 1e-6
+
+
+def test_frequent_and_rare_words_give_one_rarity(spark, monkeypatch):
+    """Words looked up in the broadcast table and shuffled ones give the same values; repeated rows, null ids and texts."""
+    from mnemo.operators import text_features as TF
+    rows = [(1, "the cat. the dog"), (2, "the owl"), (2, "the owl"), (2, "a bee sees the owl"), (None, "cat"), (3, None), (4, "...")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    pos = spark.createDataFrame([("cat", "NOUN"), ("sees", "VERB")], "word string, pos string")
+    n = {}
+    for _, t in rows:
+        for w in __import__("re").findall("[a-z]+", t or ""):
+            n[w] = n.get(w, 0) + 1
+    total, got = sum(n.values()), []
+    for share in (0.0, 0.2, 1.0):
+        monkeypatch.setattr(TF, "FREQUENT_SHARE", share)
+        got.append(sorted((str(r["id"]), round(r["rarity"], 9), round(r["noun_ratio"], 9), round(r["lexical_diversity"], 9))
+                          for r in TF.semantic_features(docs, "id", None, pos).collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 6  # equal rows of one id are one row, as before
+    from math import log
+    want = -(2 * log(n["the"] / total) + log(n["cat"] / total) + log(n["dog"] / total)) / 4
+    assert [r for r in got[0] if r[0] == "1"] == [("1", round(want, 9), 0.25, 0.75)]

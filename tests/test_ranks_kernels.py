@@ -297,3 +297,32 @@ def test_kernel_queries_are_whole(spark):
              .withColumnRenamed("count", "n").collect()}
     assert all(r["min(n_cols)"] == train[r["fold"]] > K.N_LANDMARKS for r in got) and len(got) == 5
     assert not any("rn <= 256" in SQL[q] for q in ("pairwise_distance", "rbf", "fold_kernels"))
+
+
+def test_models_of_a_sweep_share_one_design(spark, monkeypatch):
+    from mnemo.plans import evaluate as EV
+    rng = np.random.default_rng(2)
+    rows = [(f, "test" if i % 5 == f - 1 else "train", i, float(i % 7), "a", j, float(rng.normal()))
+            for f in range(1, 6) for i in range(40) for j in range(3)]
+    rows = spark.createDataFrame(rows, "fold long, role string, item_id long, y double, feature_set string, idx long, value double")
+    made, real = [], EV.concat_design
+    monkeypatch.setattr(EV, "concat_design", lambda *a: made.append(a[2]) or real(*a))
+    cells = EV.sweep(spark, rows, {"a": ["a"]}, {"a": 3}, ["Ridge", "LinearRegression"], ["none"], "concat").collect()
+    assert made == ["none"] and [(r["status"], r["n_samples"]) for r in cells] == [("ok", 40)] * 2
+
+
+def test_array_maps_hold_a_bounded_number_of_rows(spark):
+    """Batches are cut: groups mixed in a batch, more rows than a cut, order kept."""
+    from mnemo.plans import learners as L
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 4))
+    rows = [(1 + i % 3, "train", i, [float(v) for v in x[i]]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "fold long, role string, item_id long, features array<double>").coalesce(1)
+    got = {r["item_id"]: r["features"] for r in L.scale_arrays(df, ["fold"]).collect()}
+    for f in range(3):
+        at = np.arange(f, 3000, 3)
+        assert np.allclose([got[i] for i in at], (x[at] - x[at].mean(0)) / x[at].std(0))
+    seen = []
+    L._array_map(type("B", (), {"value": {1: ()}}), lambda m: seen.append(len(m)) or m).func(
+        __import__("pyarrow").array([1] * 3000), __import__("pyarrow").array(x.tolist()))
+    assert max(seen) <= 1024 and sum(seen) == 3000

@@ -326,3 +326,42 @@ def test_array_maps_hold_a_bounded_number_of_rows(spark):
     L._array_map(type("B", (), {"value": {1: ()}}), lambda m: seen.append(len(m)) or m).func(
         __import__("pyarrow").array([1] * 3000), __import__("pyarrow").array(x.tolist()))
     assert max(seen) <= 1024 and sum(seen) == 3000
+
+
+def test_training_rows_meet_once_for_both(spark, monkeypatch):
+    """Blocks of training rows meet in pairs: half of the tiles, the sums and largest values of every row; copies, null ids."""
+    rng = np.random.default_rng(9)
+    n = 200
+    x = rng.normal(size=(n, 3))
+    x[7] = x[3]
+    ids = [None if i == 9 else 20 if i == 21 else i for i in range(n)]  # a null id, a repeated one
+    rows = [(1, "a", "train" if i % 10 else "test", ids[i], i, [float(v) for v in x[i]]) for i in range(n)]
+    v = spark.createDataFrame(rows, "fold int, feature_set string, role string, item_id long, at long, vec array<double>").repartition(3)
+    train, g = v.where("role = 'train'"), None
+    g = K.median_gamma(train, ["fold", "feature_set"])
+    tr = [i for i in range(n) if i % 10]
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    kern = np.exp(-g.first()["gamma"] * d2)
+    monkeypatch.setattr(K, "ROW_BLOCK", 40)
+    monkeypatch.setattr(K, "TRAIN_BLOCK", 50)
+    monkeypatch.setattr(K, "TILE", (16, 11))
+    among = v.role == "train"
+    got = K.kernel_sums(v, train, g, ["fold", "feature_set"], keep=["role", "at"], off_diagonal=True, among=among).collect()
+    assert sorted(r["at"] for r in got) == list(range(n))
+    for r in got:
+        i = r["at"]
+        others = [j for j in tr if ids[j] is not None and ids[i] is not None and ids[j] != ids[i]]
+        assert r["n"] == len(tr) and abs(r["total"] - kern[i, tr].sum()) < 1e-9
+        assert r["largest"] is None if ids[i] is None else abs(r["largest"] - kern[i, others].max()) < 1e-12
+    both = K.fused_kernel_sums(v.drop("at"), train.drop("at"), g, ["fold"], {"a": 2.0}, keep=["role"], among=among)
+    apart = K.fused_kernel_sums(v.drop("at"), train.drop("at"), g, ["fold"], {"a": 2.0}, keep=["role"])
+    at = {(r["role"], r["item_id"]): (r["total"], r["n"]) for r in apart.collect()}
+    assert {(r["role"], r["item_id"]) for r in both.collect()} == set(at) and None in {i for _, i in at}
+    assert all(r["n"] == at[r["role"], r["item_id"]][1] and abs(r["total"] - at[r["role"], r["item_id"]][0]) < 1e-9 for r in both.collect())
+    made = []
+    tiles = lambda *_: lambda i, j: made.append(1) or np.zeros((len(range(40)[i]), len(range(40)[j])))
+    one = __import__("pyarrow").table({"item_id": list(range(40)), "vec": [[0.0]] * 40, "fold": [1] * 40})
+    K._meet(one, one, ("item_id", "item_id"), (["vec"], ["vec"]), ["fold"], tiles, False, True)
+    assert len(made) == 3 * 4  # tiles of one direction only
+    plan = K.distance_sums(train, train, ["fold", "feature_set"])._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan and "CoGroups" not in plan

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_syllables
+from ..session import cut_lineage
 from .joins import null_safe_join
 from .positions import block_row_number
 
@@ -192,7 +193,7 @@ SEGMENT_COLS = ["pitch_mean", "pitch_var", "pitch_range", "pitch_vel_mean", "pit
 
 def audio_segment_features(frames: DataFrame, max_seconds: float = SEGMENT_MAX_S) -> DataFrame:
     """Nine values per (clip, segment); `vector` holds them in order."""
-    seg = three_segments(frames, max_seconds)
+    seg = cut_lineage(three_segments(frames, max_seconds))  # read by every statistic
     k = ["clip_id", "seg"]
     every = frames.select("clip_id").distinct().withColumn("seg", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     out = every
@@ -258,7 +259,7 @@ def audio_global_features(frames: DataFrame, turns: DataFrame | None,
     """Nine values per clip over its first `max_seconds`."""
     f = clip_prefix(frames, max_seconds)
     k = ["clip_id"]
-    act = speech_activity(f, k)
+    act = cut_lineage(speech_activity(f, k))  # one row a clip, read twice
     syl = clip_syllables(turns) if turns is not None else \
         f.sparkSession.createDataFrame([], "clip_id bigint, syllables bigint")
     out = (energy_stats(f, k).join(pitch_stats(f, k), k).join(half_shift(f, k), k)

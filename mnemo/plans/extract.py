@@ -13,10 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_empty_text
+from ..functions.text import is_empty_text, tokenize_alpha
 from ..operators import audio as AU
 from ..operators import quality as QA
 from ..operators import text_features as TF
+from ..session import cut_lineage
 
 
 def _vectors(df: DataFrame, kind: str, split_col: str = "split") -> DataFrame:
@@ -31,11 +32,15 @@ def extract_all(transcripts: DataFrame, frames: DataFrame, turns: DataFrame, lev
     turns: (clip_id, turn, role, text); levels: (item_id, peak_db).
     Returns the feature tables, the issues, the summary and the gate."""
     out = {}
+    # both feed many branches: the numbered frames every statistic of a clip, the word counts both vocabularies
+    frames = cut_lineage(frames)
+    counts = cut_lineage(transcripts.select("split", F.explode(tokenize_alpha(F.col("text"))).alias("word"))
+                         .groupBy("split", "word").agg(F.count(F.lit(1)).alias("n")))
     emo = TF.emotion_features(transcripts.select("item_id", "text"), "item_id", emotion_lex) \
         .join(transcripts.select("item_id", "split"), "item_id")
     sem_parts = []
     for i, sp in enumerate(split_order):
-        vocab = TF.word_frequency(transcripts.where(F.col("split").isin(*split_order[:i + 1])))
+        vocab = counts.where(F.col("split").isin(*split_order[:i + 1])).groupBy("word").agg(F.sum("n").alias("n"))
         sem_parts.append(TF.semantic_features(transcripts.where(F.col("split") == sp).select("item_id", "text"),
                                               "item_id", vocab, pos_lex).withColumn("split", F.lit(sp)))
     sem = sem_parts[0]

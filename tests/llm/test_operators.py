@@ -179,6 +179,39 @@ def test_components(spark):
     assert got == {i: root[i] for a, b in pairs for i in (a, b) if a != b}
 
 
+def jobs_of(spark, name, run):
+    """What `run` returns, and the number of Spark jobs that it starts."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        return run(), len(sc.statusTracker().getJobIdsForGroup(name))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_stop_at_stars(spark):
+    """Edges that are stars already take no further step."""
+    pairs = [(1000 + i, i % 7) for i in range(300)]
+    got, jobs = jobs_of(spark, "stars", lambda: dict(components(spark.createDataFrame(pairs, "a long, b long")).collect()))
+    assert got == {i: min(p) for p in pairs for i in p}
+    assert jobs <= 8
+
+
+def test_jaccard_jobs_do_not_follow_shuffle_partitions(spark, corpus):
+    """The driver keeps something of every job: bitmaps come in a fixed number of them, components are not made anew."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        got, jobs = jobs_of(spark, "jaccard", lambda: count_rtree.jaccard_components(docs(spark, corpus)).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == sorted(map(str, brute.jaccard([r[:2] for r in corpus])))
+    assert jobs <= 120
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     rows = []

@@ -23,7 +23,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import drop_tables, keep_rows, keyed, read, tables, written
+from mnemo.llm.common import drop_tables, keep_rows, keyed, read, release_driver_memory, tables, written
 from mnemo.llm.count_rtree import jaccard_components
 from mnemo.llm.importance import importance_resample
 from mnemo.llm.pivotal_mixing import mix
@@ -39,6 +39,7 @@ def stage(fn):
     @functools.wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop_tables(spark, _working)
+        release_driver_memory(spark)
         before = set(tables())
         out = fn(spark, docs, sf_dir)
         _working[:] = [t for t in tables() if t not in before]
